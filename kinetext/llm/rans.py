@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinetext.llm.common import batch, map_arrow, materialize, new_path, table
-from kinetext.llm.tokens import PieceEncoder, load, public_path
+from kinetext.llm.tokens import PieceEncoder, forget, load, public_path
 
 MAGIC, VERSION = b"KTXRANS1", 1
 LOW = np.uint64(1 << 31)
-LANES, BLOCK, CHECK_ROWS, FILE_TOKENS = 2048, 1 << 20, 256, 1 << 23
+LANES, BLOCK, CHECK_ROWS, FILE_TOKENS = 2048, 1 << 20, 256, 1 << 22
 _HEAD, _BLOCK = struct.Struct("<8sIIQQII"), struct.Struct("<IIIIII")
 
 
@@ -188,6 +188,7 @@ def count_ids(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     wide = "<u2" if vocabulary <= 65536 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
             for v in b.column(0):
@@ -215,6 +216,7 @@ def write_files(tokens: DataFrame, folder: str, t: Table, vocabulary: int, parti
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
+        forget()
         where, root = fs.FileSystem.from_uri(folder)
         coder, ctx = Table(freq, bits), TaskContext.get()
         part, number = ctx.partitionId(), 0

@@ -1,11 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from kinetext.llm import chat, packing, rans
+from kinetext.llm import chat, licenses, packing, rans, simhash
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_licenses": licenses.op2_licenses,
     "op3_rans": rans.op3_rans,
     "op4_chat_formatting": chat.op4_chat_formatting,
+    "op7_simhash": simhash.op7_simhash,
 }
 
 ORACLES: dict[str, str] = {}

@@ -9,10 +9,22 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces kept per Python worker before the cache starts anew (about 150 bytes each).
-CACHE = 700_000
+CACHE = 400_000
 _caches: dict[tuple, dict] = {}
 
 
+def forget() -> None:
+    """Gives the memory of a worker's piece caches back, before a stage that doesn't tokenise."""
+    if _caches:
+        import ctypes
+
+        _caches.clear()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:
+            pass
+
+
 def public_path(name: str) -> str:
     import public_tokenizers
 
@@ -29,6 +41,21 @@ def load(path: str):
     return t
 
 
+@lru_cache(maxsize=8)
+def separator(path: str) -> tuple[str, int]:
+    """A control character that alone is one token and that no longer token holds, and its id."""
+    t = load(path)
+    vocab = t.get_vocab()
+    names = {i: n for n, i in vocab.items()}
+    for c in map(chr, [0x7F, *range(1, 9), *range(14, 28)]):
+        ids = t.encode(c, add_special_tokens=False).ids
+        if len(ids) == 1:
+            shown = names[ids[0]].removesuffix("</w>")
+            if len(shown) == 1 and all(n in (shown, shown + "</w>") for n in vocab if shown in n):
+                return c, ids[0]
+    raise ValueError("the vocabulary has no separate control character")
+
+
 class PieceEncoder:
     """Gives the ids of a text as little-endian bytes, equal to encoding the whole text at once.
 
@@ -39,7 +66,7 @@ class PieceEncoder:
     """
 
     def __init__(self, path: str, kind: str, width: str = "<u4"):
-        self.tok, self.kind, self.width = load(path), kind, width
+        self.path, self.tok, self.kind, self.width = path, load(path), kind, width
         self.cache = _caches.setdefault((path, kind, width), {})
 
     def pieces(self, text: str) -> list[str]:
@@ -66,7 +93,7 @@ class PieceEncoder:
             p = self.pieces(t) if t else []
             todo.append(p)
             size += len(p)
-            if size > 400_000:
+            if size > 150_000:
                 out += self._flush(todo)
                 todo, size = [], 0
         return out + self._flush(todo)
@@ -81,10 +108,28 @@ class PieceEncoder:
         return [b"".join(map(get, p)) for p in todo]
 
     def _learn(self, pieces: list[str]) -> None:
-        for a in range(0, len(pieces), 20000):
-            part = pieces[a : a + 20000]
-            for piece, enc in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[piece] = np.asarray(enc.ids, self.width).tobytes()
+        """Encodes unknown pieces, many at a time: joined by a byte that no merge touches, and parted again at its id."""
+        mark, mark_id = separator(self.path)
+        glue = mark if self.kind == "byte" else f" {mark} "
+        joint, alone = [], []
+        for p in pieces:
+            ok = p and mark not in p and (self.kind == "word" or p == "\n" or not (p[0] == "'" or p[-1].isspace()))
+            (joint if ok else alone).append(p)
+        for a in range(0, len(joint), 4000):
+            part = joint[a : a + 4000]
+            ids = np.asarray(self.tok.encode_batch_fast([glue.join(part)], add_special_tokens=False)[0].ids, self.width)
+            ends = np.append(np.flatnonzero(ids == mark_id), len(ids))
+            if len(ends) != len(part):
+                alone += part
+                continue
+            size, data, at = ids.itemsize, ids.tobytes(), 0
+            for p, end in zip(part, ends.tolist(), strict=True):
+                self.cache[p] = data[at * size : end * size]
+                at = end + 1
+        for a in range(0, len(alone), 20000):
+            part = alone[a : a + 20000]
+            for p, enc in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.cache[p] = np.asarray(enc.ids, self.width).tobytes()
 
 
 #: A single space between two characters that are not white space.
