@@ -1,13 +1,15 @@
 """The queries of this subpackage and their SQL."""
 
-from kinetext.llm import chat, licenses, packing, rans, simhash
+from kinetext.llm import chat, langid, licenses, packing, rans, simhash, substrings
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_licenses": licenses.op2_licenses,
     "op3_rans": rans.op3_rans,
     "op4_chat_formatting": chat.op4_chat_formatting,
+    "op5_substring_dedup": substrings.op5_substring_dedup,
     "op7_simhash": simhash.op7_simhash,
+    "op9_language_id": langid.op9_language_id,
 }
 
 ORACLES: dict[str, str] = {}

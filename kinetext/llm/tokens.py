@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces kept per Python worker before the cache starts anew (about 150 bytes each).
-CACHE = 400_000
+CACHE = 900_000
 _caches: dict[tuple, dict] = {}
 
 
@@ -41,18 +41,26 @@ def load(path: str):
     return t
 
 
+#: How byte-level vocabularies show bytes: printable ones as themselves, the others from U+0100 on; line feeds stay, to part runs.
+_SHOWN = {b: (chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else None) for b in range(256)}
+_SHOWN |= {b: chr(256 + k) for k, b in enumerate(b for b, c in list(_SHOWN.items()) if c is None)} | {10: "\n"}
+
+
 @lru_cache(maxsize=8)
-def separator(path: str) -> tuple[str, int]:
-    """A control character that alone is one token and that no longer token holds, and its id."""
+def bare_tokenizer(path: str):
+    """The vocabulary's merges alone, on runs parted by line feeds; a control character's form that no longer token holds; its id."""
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import CharDelimiterSplit
+
     t = load(path)
+    bare = Tokenizer(t.model)
+    bare.pre_tokenizer = CharDelimiterSplit("\n")
     vocab = t.get_vocab()
-    names = {i: n for n, i in vocab.items()}
-    for c in map(chr, [0x7F, *range(1, 9), *range(14, 28)]):
-        ids = t.encode(c, add_special_tokens=False).ids
-        if len(ids) == 1:
-            shown = names[ids[0]].removesuffix("</w>")
-            if len(shown) == 1 and all(n in (shown, shown + "</w>") for n in vocab if shown in n):
-                return c, ids[0]
+    for b in [0x7F, *range(1, 9), *range(14, 28)]:
+        shown = _SHOWN[b]
+        ids = bare.encode(shown, add_special_tokens=False).ids
+        if len(ids) == 1 and all(n in (shown, shown + "</w>") for n in vocab if shown in n):
+            return bare, shown, ids[0]
     raise ValueError("the vocabulary has no separate control character")
 
 
@@ -71,6 +79,11 @@ class PieceEncoder:
 
     def pieces(self, text: str) -> list[str]:
         if self.kind == "word":
+            try:  # lower-casing Latin-1 is what the tokenizer does to it; fewer distinct pieces
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
             return text.replace("\n", " ").split(" ")
         out: list[str] = []
         for line in text.split("\n"):
@@ -99,37 +112,56 @@ class PieceEncoder:
         return out + self._flush(todo)
 
     def _flush(self, todo: list[list[str]]) -> list[bytes]:
-        new = set().union(*todo) - self.cache.keys()
+        own = set().union(*todo)
+        new = own - self.cache.keys()
         if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
-            new = set().union(*todo)
+            new = own
         self._learn(list(new))
-        get = self.cache.__getitem__
+        near = dict(zip(own, map(self.cache.__getitem__, own), strict=True))  # small, so mostly in the processor's cache
+        get = near.__getitem__
         return [b"".join(map(get, p)) for p in todo]
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encodes unknown pieces, many at a time: joined by a byte that no merge touches, and parted again at its id."""
-        mark, mark_id = separator(self.path)
-        glue = mark if self.kind == "byte" else f" {mark} "
-        joint, alone = [], []
+        """Encodes unknown pieces. Most are a run of letters with or without punctuation behind it: two tokens' places, parted
+        here; the run goes straight to the vocabulary's merges, many at a time. All others take the whole way."""
+        cache, lead = self.cache, 0 if self.kind == "word" else 1
+        cores: dict[str, None] = {}
+        parted, alone = [], []
         for p in pieces:
-            ok = p and mark not in p and (self.kind == "word" or p == "\n" or not (p[0] == "'" or p[-1].isspace()))
-            (joint if ok else alone).append(p)
-        for a in range(0, len(joint), 4000):
-            part = joint[a : a + 4000]
-            ids = np.asarray(self.tok.encode_batch_fast([glue.join(part)], add_special_tokens=False)[0].ids, self.width)
+            core = p.rstrip(".,!?;:")
+            run = core[1:] if lead and core[:1] == " " else core
+            if run.isalpha() and len(run) < 200 and (lead or run.islower() and (run.isascii() or max(run) < "\u0250")):
+                if len(core) < len(p):
+                    parted.append((p, core, p[len(core) :]))
+                if core not in cache:
+                    cores[core] = None
+            else:
+                alone.append(p)
+        self._whole(list({tail for _, _, tail in parted}.difference(cache)))
+        self._merge(list(cores))
+        for p, core, tail in parted:
+            cache[p] = cache[core] + cache[tail]
+        self._whole(alone)
+
+    def _whole(self, pieces: list[str]) -> None:
+        for a in range(0, len(pieces), 20000):
+            part = pieces[a : a + 20000]
+            for p, enc in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.cache[p] = np.asarray(enc.ids, self.width).tobytes()
+
+    def _merge(self, runs: list[str]) -> None:
+        """Runs of letters, each one pre-token, joined by a mark that no merge touches and parted again at its id."""
+        bare, mark, mark_id = bare_tokenizer(self.path)
+        for a in range(0, len(runs), 4000):
+            part = runs[a : a + 4000]
+            shown = "\n".join(part).encode().decode("latin-1").translate(_SHOWN).split("\n")
+            ids = np.asarray(bare.encode_batch_fast([f"\n{mark}\n".join(shown)], add_special_tokens=False)[0].ids, self.width)
             ends = np.append(np.flatnonzero(ids == mark_id), len(ids))
-            if len(ends) != len(part):
-                alone += part
-                continue
             size, data, at = ids.itemsize, ids.tobytes(), 0
             for p, end in zip(part, ends.tolist(), strict=True):
                 self.cache[p] = data[at * size : end * size]
                 at = end + 1
-        for a in range(0, len(alone), 20000):
-            part = alone[a : a + 20000]
-            for p, enc in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[p] = np.asarray(enc.ids, self.width).tobytes()
 
 
 #: A single space between two characters that are not white space.
