@@ -15,13 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kinetext.llm.common import pack_runs
+from kinetext.llm.common import mix, pack_runs, shuffle_partitions
 
 #: kind 0: entries of a shard; kind 1: positions already decided, on their way to their document.
 SCHEMA = "shard int, kind int, n int, hashes binary, more binary, times binary, docs binary, codes binary, places binary"
 ARROW = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), *[(c, pa.binary()) for c in ("hashes", "more", "times", "docs", "codes", "places")]])
 FOUND = "doc_id bigint, _h bigint, runs binary"
 FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("_h", pa.int64()), ("runs", pa.binary())])
+#: Packed answers on their way to the documents: documents, how many places each has, and the places.
+SENT = "bucket int, docs binary, numbers binary, places binary"
+SENT_ARROW = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("docs", "numbers", "places")]])
 NULL_ID = np.iinfo(np.int64).min
 
 
@@ -87,11 +90,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def answer(entries: DataFrame, decide: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(doc_id, _h, runs): for each document places whose keys repeat, as pairs (first, number) of uint32.
+    """(doc_id, _h, runs): for each document with repeated keys their places, as pairs (first, number) of uint32.
 
     ``decide`` gets a shard's hashes, second hashes and times, and says which of its entries repeat.
     """
 
+    buckets = shuffle_partitions(entries.sparkSession)
+
     def run(group: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray]] = []
         cols = {c: group[c].to_pylist() for c in group.column_names if c != "shard"}
@@ -111,21 +116,51 @@ def answer(entries: DataFrame, decide: Callable[[np.ndarray, np.ndarray, np.ndar
             if kind == 1:
                 docs = np.frombuffer(cols["docs"][k], np.int64).reshape(-1, 2)
                 out.append((docs[np.frombuffer(cols["codes"][k], np.uint32)], np.frombuffer(cols["places"][k], np.uint32)))
-        return _found(out)
+        return _sent(out, buckets)
+
+    return gather(entries.groupBy("shard").applyInArrow(run, SENT))
+
+
+def _sent(parts: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.Table:
+    """Packed answers, one row per bucket of documents: a document's answers come from many shards."""
+    rows: list[tuple] = []
+    if parts:
+        docs, place = np.concatenate([d for d, _ in parts]), np.concatenate([p for _, p in parts])
+        bucket = (mix(docs[:, 0].view(np.uint64) ^ docs[:, 1].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((place, docs[:, 1], docs[:, 0], bucket))
+        docs, place, bucket = docs[order], place[order], bucket[order]
+        new = np.r_[True, (docs[1:] != docs[:-1]).any(axis=1)]
+        cut = np.append(np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            first = np.flatnonzero(new[a:b])
+            rows.append((int(bucket[a]), docs[a:b][first].tobytes(), np.diff(np.append(first, b - a)).astype(np.uint32).tobytes(), place[a:b].tobytes()))
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, SENT_ARROW, strict=True)], schema=SENT_ARROW)
+
+
+def gather(sent: DataFrame) -> DataFrame:
+    """One row per answered document: (doc_id, _h, runs)."""
+
+    def run(group: pa.Table) -> pa.Table:
+        docs = np.concatenate([np.frombuffer(v, np.int64).reshape(-1, 2) for v in group["docs"].to_pylist()])
+        n = np.concatenate([np.frombuffer(v, np.uint32) for v in group["numbers"].to_pylist()])
+        place = np.concatenate([np.frombuffer(v, np.uint32) for v in group["places"].to_pylist()])
+        return _found([(np.repeat(docs, n, axis=0), place)])
 
-    return entries.groupBy("shard").applyInArrow(run, FOUND)
+    return sent.groupBy("bucket").applyInArrow(run, FOUND)
 
 
 def _found(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
     """A row for each document of each part, its places as runs."""
     ids, hs, runs = [], [], []
     for docs, place in parts:
+        order = np.lexsort((place, docs[:, 1], docs[:, 0]))
+        docs, place = docs[order], place[order]
         cut = np.flatnonzero((docs[1:] != docs[:-1]).any(axis=1)) + 1
         bounds = np.r_[0, cut, len(place)]
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             ids.append(int(docs[a, 0]))
             hs.append(int(docs[a, 1]))
-            runs.append(np.stack(pack_runs(np.sort(place[a:b]).astype(np.int64)), axis=1).astype(np.uint32).tobytes())
+            runs.append(np.stack(pack_runs(np.unique(place[a:b]).astype(np.int64)), axis=1).astype(np.uint32).tobytes())
     return pa.table({"doc_id": pa.array([None if i == NULL_ID else i for i in ids], pa.int64()), "_h": hs, "runs": pa.array(runs, pa.binary())}, schema=FOUND_ARROW)
 
 

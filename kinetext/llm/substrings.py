@@ -75,9 +75,8 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
                 w = Words(buf[off[i] : off[j]], off[i : j + 1] - off[i], width, anchor)
                 suspect = np.zeros(len(w.h) + 1, bool)
                 for k, runs in enumerate(lists.slice(i, j - i).to_pylist()):
-                    for r in runs:
-                        for a, n in np.frombuffer(r, np.uint32).reshape(-1, 2).tolist():
-                            suspect[w.first[k] + a : w.first[k] + a + n] = True
+                    for a, n in np.frombuffer(runs, np.uint32).reshape(-1, 2).tolist():
+                        suspect[w.first[k] + a : w.first[k] + a + n] = True
                 own = np.flatnonzero(suspect[w.anchor])
                 if len(own):
                     at = w.window[own]
@@ -90,11 +89,10 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
             yield from held.rows(shards, sharding=by)
 
     suspects = repeats.answer(map_arrow(docs.select("doc_id", "_h", "text"), sketch, repeats.SCHEMA), repeats.count_min)
-    suspects = materialize(suspects.groupBy("doc_id", "_h").agg(F.collect_list("runs").alias("anchors")), "suspects")
+    suspects = materialize(suspects.withColumnRenamed("runs", "anchors"), "suspects")
     same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._h") == F.col("s._h"))
     some = docs.alias("d").join(suspects.alias("s"), same).select("d.doc_id", "d._h", "d.text", "s.anchors")
-    found = repeats.answer(map_arrow(some, windows, repeats.SCHEMA), repeats.exact)
-    return found.groupBy("doc_id", "_h").agg(F.collect_list("runs").alias("starts"))
+    return repeats.answer(map_arrow(some, windows, repeats.SCHEMA), repeats.exact).withColumnRenamed("runs", "starts")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
@@ -119,7 +117,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
                 words = t.as_buffer().to_pybytes().split() if t.is_valid else []
                 n.append(len(words))
                 if runs:
-                    out = repeats.covered(runs, len(words), width)
+                    out = repeats.covered([runs], len(words), width)
                     words = [w for w, o in zip(words, out.tolist(), strict=True) if not o]
                 gone.append(n[-1] - len(words))
                 kept.append(b" ".join(words))
