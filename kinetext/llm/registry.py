@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from kinetext.llm import chat, langid, licenses, packing, rans, simhash, substrings
+from kinetext.llm import chat, decontaminate, langid, licenses, packing, rans, simhash, substrings
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op7_simhash": simhash.op7_simhash,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op9_language_id": langid.op9_language_id,
 }
 
