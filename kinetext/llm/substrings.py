@@ -43,17 +43,17 @@ class Words:
 
 def _keys(b: pa.RecordBatch, i: int, j: int) -> np.ndarray:
     ids = b.column(0).slice(i, j - i).fill_null(int(repeats.NULL_ID)).to_numpy(zero_copy_only=False)
-    return np.stack([ids, b.column(1).slice(i, j - i).to_numpy(zero_copy_only=False)], axis=1).astype(np.int64)
+    return np.stack([ids, b.column(2).slice(i, j - i).to_numpy(zero_copy_only=False)], axis=1).astype(np.int64)
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, shards: int | None = None) -> DataFrame:
-    """(doc_id, _h, starts): for each document with repeated windows the runs of their first words; ``docs`` has doc_id, _h, text."""
+    """(doc_id, _h, starts): for each document with repeated windows the runs of their first words; ``docs`` has doc_id, text, _h."""
     shards = shards or shuffle_partitions(docs.sparkSession)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = repeats.Entries()
         for b in batches:
-            buf, off = texts_of(b.column(2))
+            buf, off = texts_of(b.column(1))
             for i, j in runs_of_rows(off, 1 << 20):
                 w = Words(buf[off[i] : off[j]], off[i : j + 1] - off[i], width, anchor)
                 if len(w.anchor):
@@ -69,7 +69,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, by = repeats.Entries(), []
         for b in batches:
-            buf, off = texts_of(b.column(2))
+            buf, off = texts_of(b.column(1))
             lists = b.column(3)
             for i, j in runs_of_rows(off, 1 << 20):
                 w = Words(buf[off[i] : off[j]], off[i : j + 1] - off[i], width, anchor)
@@ -88,10 +88,10 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
         if by:
             yield from held.rows(shards, sharding=by)
 
-    suspects = repeats.answer(map_arrow(docs.select("doc_id", "_h", "text"), sketch, repeats.SCHEMA), repeats.count_min)
+    suspects = repeats.answer(map_arrow(docs, sketch, repeats.SCHEMA), repeats.count_min)
     suspects = materialize(suspects.withColumnRenamed("runs", "anchors"), "suspects")
     same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._h") == F.col("s._h"))
-    some = docs.alias("d").join(suspects.alias("s"), same).select("d.doc_id", "d._h", "d.text", "s.anchors")
+    some = docs.alias("d").join(suspects.alias("s"), same).select("d.doc_id", "d.text", "d._h", "s.anchors")
     return repeats.answer(map_arrow(some, windows, repeats.SCHEMA), repeats.exact).withColumnRenamed("runs", "starts")
 
 
@@ -104,7 +104,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
     """
     base = key_of(docs.drop("kept", "n_words", "n_removed"))
     keep = [c for c in base.columns if c != "_h"]
-    starts = repeated_windows(base.select("doc_id", "_h", "text"), width, anchor)
+    starts = repeated_windows(base.select("doc_id", "text", "_h"), width, anchor)
     same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._h") == F.col("s._h"))
     both = base.alias("d").join(starts.alias("s"), same, "left").select(*[F.col(f"d.`{c}`") for c in keep], F.col("s.starts").alias("_starts"))
     at = keep.index("text")
