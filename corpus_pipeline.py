@@ -1,12 +1,63 @@
-"""The corpus pipeline: STAGES applied to documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: STAGES applied to documents, each written as Parquet and read again as the next one's input.
+
+language     drops documents whose language can't be told: no letters, or hardly an n-gram of any language
+near_copies  keeps one document of each group of near-duplicates
+passages     removes repeated passages of 35 words and more; a document of which nothing stays goes
+benchmarks   drops documents that leak a benchmark item
+packing      packs what is left into context windows
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinetext.llm import decontaminate, langid, packing, simhash, substrings
+from kinetext.llm.common import materialize, table
+from kinetext.llm.tokens import public_path
+
+#: A text of at least so many n-grams of which a smaller share belongs to its best language is in no known language.
+LEAST_GRAMS, LEAST_EVIDENCE = 20, 0.1
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Trains on the labelled rows outside the held-out fold and rejects "und" and texts without evidence; null languages get the prediction."""
+    model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))).select("lang", "text"))
+    found = langid.identify(docs, model)
+    unknown = (F.col("lang_pred") == "und") | ((F.col("n_grams") >= LEAST_GRAMS) & (F.col("evidence") < LEAST_EVIDENCE))
+    return found.filter(~unknown).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs, radius=3, k=5)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that lose words get the rest, joined by spaces, as their text and its length; others stay as they are."""
+    found = substrings.remove_repeats(docs)
+    cut = F.col("n_removed") > 0
+    found = found.filter(~cut | (F.col("n_removed") < F.col("n_words")))
+    found = found.withColumn("text", F.when(cut, F.col("kept")).otherwise(F.col("text"))).withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast("bigint"))
+    return found.select(*docs.columns)
+
+
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.alias("d").join(leaks.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")), "left_anti")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_path("word_bpe_49k.json"))
+
+
+STAGES = [("language", language), ("near_copies", near_copies), ("passages", passages), ("benchmarks", benchmarks), ("packing", pack)]
 
-STAGES: list = []
+#: SimHash links, language models and tokenizers are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinetext.llm.common import batch, map_arrow, materialize, shuffle_partitions, ship, table
@@ -44,25 +44,29 @@ def shingle_hashes(text: bytes, k: int = SHINGLE, seed: int = SEED) -> Iterator[
         yield np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts[:m].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, m)
 
 
-def fingerprint(text: bytes) -> int:
+def fingerprint(text: bytes, k: int = SHINGLE) -> int:
     """The bits that are set in over half of the shingle hashes of a text (bytes, lower-cased here in A-Z); 0 without words."""
     total, ones = 0, np.zeros(64, np.int64)
-    for h in shingle_hashes(text.lower()):
+    for h in shingle_hashes(text.lower(), k):
         total += len(h)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0]) if total else 0
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row; null and empty texts: 0."""
-    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and _key (a hash of doc_id and text) of every row; null and empty texts: 0."""
+    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("_key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = np.fromiter((fingerprint(t.as_buffer().to_pybytes()) if t.is_valid else 0 for t in b.column(1)), np.uint64, b.num_rows)
-            yield batch(out, doc_id=b.column(0), fp=got.view(np.int64))
+            got = np.fromiter((fingerprint(t.as_buffer().to_pybytes(), k) if t.is_valid else 0 for t in b.column(1)), np.uint64, b.num_rows)
+            yield batch(out, doc_id=b.column(0), fp=got.view(np.int64), _key=b.column(2))
 
-    return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")), run, "doc_id bigint, fp bigint")
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), row_key().alias("_key")), run, "doc_id bigint, fp bigint, _key bigint")
+
+
+def row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("doc_id").isNull(), F.col("text"), F.col("text").isNull())
 
 
 def distance(fps: np.ndarray, point: np.uint64) -> np.ndarray:
@@ -191,6 +195,22 @@ def near_duplicates(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE,
     return fps.join(named, "fp")
 
 
+def keep_one(docs: DataFrame, radius: int = 3, k: int = 5) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group that links within ``radius`` bits join, the row of the smallest
+    doc_id stays (nulls last; ties: the smaller hash of the row; of equal rows one).
+
+    Fingerprints are of ``k``-word shingles. All columns stay; an empty table stays empty.
+    """
+    fps = materialize(fingerprints(docs, k), "simhash")
+    groups = near_duplicates(fps, radius)
+    # groups without any doc_id are told apart by their fingerprints
+    one = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_key"))
+    kept = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(F.min(one).alias("one")).select(F.col("one._key").alias("_key"))
+    rows = docs.withColumn("_key", row_key()).join(kept.distinct(), "_key")
+    again = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    return rows.withColumn("_again", again).filter("_again = 1").select(*docs.columns)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     fps = materialize(fingerprints(table(spark, sf_dir, "documents")), "simhash")
     return near_duplicates(fps).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
