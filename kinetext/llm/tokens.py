@@ -64,6 +64,17 @@ def bare_tokenizer(path: str):
     raise ValueError("the vocabulary has no separate control character")
 
 
+class _Index(dict):
+    """Numbers pieces in the order of their first sight; new ones wait in ``pending``."""
+
+    pending: list[str]
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.pending.append(piece)
+        return n
+
+
 class PieceEncoder:
     """Gives the ids of a text as little-endian bytes, equal to encoding the whole text at once.
 
@@ -71,11 +82,20 @@ class PieceEncoder:
     ``kind`` "byte" is for byte-level ones, where a token may start with a space: a cut before a single space, or around
     a single line feed, between two characters that are not white space is independent; a text with
     longer runs of white space is cut at its single spaces only.
+
+    A worker keeps the pieces that it has met (at most CACHE) as numbers into one array of ids.
     """
 
     def __init__(self, path: str, kind: str, width: str = "<u4"):
         self.path, self.tok, self.kind, self.width = path, load(path), kind, width
-        self.cache = _caches.setdefault((path, kind, width), {})
+        self.kept = _caches.setdefault((path, kind, width), {})
+        if not self.kept:
+            self._empty()
+
+    def _empty(self) -> None:
+        index = _Index()
+        index.pending = []
+        self.kept |= {"index": index, "ids": np.zeros(0, self.width), "starts": np.zeros(0, np.int64), "sizes": np.zeros(0, np.int32)}
 
     def pieces(self, text: str) -> list[str]:
         if self.kind == "word":
@@ -100,57 +120,78 @@ class PieceEncoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        todo: list[list[str]] = []
+        numbers: list[np.ndarray] = []
         size = 0
+        if len(self.kept["index"]) > CACHE:
+            self._empty()
+        get = self.kept["index"].__getitem__
         for t in texts:
             p = self.pieces(t) if t else []
-            todo.append(p)
+            numbers.append(np.fromiter(map(get, p), np.int64, len(p)))
             size += len(p)
-            if size > 150_000:
-                out += self._flush(todo)
-                todo, size = [], 0
-        return out + self._flush(todo)
-
-    def _flush(self, todo: list[list[str]]) -> list[bytes]:
-        own = set().union(*todo)
-        new = own - self.cache.keys()
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = own
-        self._learn(list(new))
-        near = dict(zip(own, map(self.cache.__getitem__, own), strict=True))  # small, so mostly in the processor's cache
-        get = near.__getitem__
-        return [b"".join(map(get, p)) for p in todo]
+            if size > 400_000:
+                out += self._flush(numbers)
+                numbers, size = [], 0
+                if len(self.kept["index"]) > CACHE:
+                    self._empty()
+                    get = self.kept["index"].__getitem__
+        return out + self._flush(numbers)
+
+    def _flush(self, numbers: list[np.ndarray]) -> list[bytes]:
+        if not numbers:
+            return []
+        index = self.kept["index"]
+        if index.pending:
+            self._learn(index.pending)
+            index.pending = []
+        at = np.concatenate(numbers)
+        n = self.kept["sizes"][at]
+        ends = np.cumsum(n, dtype=np.int64)
+        place = np.repeat(self.kept["starts"][at] - ends + n, n)
+        place += np.arange(len(place))
+        data = self.kept["ids"][place].tobytes()
+        width = self.kept["ids"].itemsize
+        first = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(x) for x in numbers])])] * width
+        return [data[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
     def _learn(self, pieces: list[str]) -> None:
         """Encodes unknown pieces. Most are a run of letters with or without punctuation behind it: two tokens' places, parted
         here; the run goes straight to the vocabulary's merges, many at a time. All others take the whole way."""
-        cache, lead = self.cache, 0 if self.kind == "word" else 1
+        lead = 0 if self.kind == "word" else 1
+        got: dict[str, bytes] = {}
         cores: dict[str, None] = {}
+        tails: dict[str, None] = {}
         parted, alone = [], []
         for p in pieces:
             core = p.rstrip(".,!?;:")
             run = core[1:] if lead and core[:1] == " " else core
             if run.isalpha() and len(run) < 200 and (lead or run.islower() and (run.isascii() or max(run) < "\u0250")):
+                cores[core] = None
                 if len(core) < len(p):
                     parted.append((p, core, p[len(core) :]))
-                if core not in cache:
-                    cores[core] = None
+                    tails[p[len(core) :]] = None
             else:
                 alone.append(p)
-        self._whole(list({tail for _, _, tail in parted}.difference(cache)))
-        self._merge(list(cores))
+        self._whole(alone, got)
+        self._whole([t for t in tails if t not in got], got)
+        self._merge(list(cores), got)
         for p, core, tail in parted:
-            cache[p] = cache[core] + cache[tail]
-        self._whole(alone)
-
-    def _whole(self, pieces: list[str]) -> None:
+            got[p] = got[core] + got[tail]
+        new = [got[p] for p in pieces]
+        k = self.kept
+        width = k["ids"].itemsize
+        sizes = np.fromiter(map(len, new), np.int64, len(new)) // width
+        k["starts"] = np.concatenate([k["starts"], len(k["ids"]) + np.cumsum(sizes) - sizes])
+        k["sizes"] = np.concatenate([k["sizes"], sizes.astype(np.int32)])
+        k["ids"] = np.concatenate([k["ids"], np.frombuffer(b"".join(new), self.width)])
+
+    def _whole(self, pieces: list[str], got: dict[str, bytes]) -> None:
         for a in range(0, len(pieces), 20000):
             part = pieces[a : a + 20000]
             for p, enc in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[p] = np.asarray(enc.ids, self.width).tobytes()
+                got[p] = np.asarray(enc.ids, self.width).tobytes()
 
-    def _merge(self, runs: list[str]) -> None:
+    def _merge(self, runs: list[str], got: dict[str, bytes]) -> None:
         """Runs of letters, each one pre-token, joined by a mark that no merge touches and parted again at its id."""
         bare, mark, mark_id = bare_tokenizer(self.path)
         for a in range(0, len(runs), 4000):
@@ -160,7 +201,7 @@ class PieceEncoder:
             ends = np.append(np.flatnonzero(ids == mark_id), len(ids))
             size, data, at = ids.itemsize, ids.tobytes(), 0
             for p, end in zip(part, ends.tolist(), strict=True):
-                self.cache[p] = data[at * size : end * size]
+                got[p] = data[at * size : end * size]
                 at = end + 1
 
 
