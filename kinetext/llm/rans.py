@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinetext.llm.common import batch, map_arrow, materialize, new_path, table
+from kinetext.llm.common import batch, map_arrow, materialize, new_path, table, texts_of
 from kinetext.llm.tokens import PieceEncoder, forget, load, public_path
 
 MAGIC, VERSION = b"KTXRANS1", 1
@@ -191,11 +191,8 @@ def count_ids(tokens: DataFrame, vocabulary: int) -> np.ndarray:
         forget()
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
-            for v in b.column(0):
-                total += np.bincount(np.frombuffer(v.as_buffer(), wide), minlength=vocabulary) if len(v.as_buffer()) > vocabulary else 0
-                if len(v.as_buffer()) <= vocabulary:
-                    ids, n = np.unique(np.frombuffer(v.as_buffer(), wide), return_counts=True)
-                    total[ids] += n
+            buf, off = texts_of(b.column(0))
+            total += np.bincount(np.frombuffer(buf[off[0] : off[-1]].tobytes(), wide), minlength=vocabulary)
         ids = np.flatnonzero(total)
         yield batch(out, id=ids, n=total[ids])
 

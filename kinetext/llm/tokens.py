@@ -105,18 +105,10 @@ class PieceEncoder:
             except UnicodeEncodeError:
                 pass
             return text.replace("\n", " ").split(" ")
-        out: list[str] = []
-        for line in text.split("\n"):
-            parts = line.split(" ")
-            for p in parts:
-                if not p or p[0].isspace() or p[-1].isspace():
-                    first, *rest = _safe_cut.split(text)
-                    return [first, *[" " + p for p in rest]]
-            out.append(parts[0])
-            out += [" " + p for p in parts[1:]]
-            out.append("\n")
-        out.pop()
-        return out
+        if "\0" not in text and " ".join(text.split()) == text.replace("\n", " "):  # single spaces and line feeds only
+            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        first, *rest = _safe_cut.split(text)
+        return [first, *[" " + p for p in rest]]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
