@@ -25,8 +25,13 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
 
 
+def once(value: Column, f) -> Column:
+    """``f`` of a value that is computed a single time, however often ``f`` uses it, also inside lambdas over arrays."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def scale(a: Column, by: Column) -> Column:
-    return F.transform(a, lambda x: x * by)
+    return once(by, lambda b: F.transform(a, lambda x: x * b))
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
@@ -41,8 +46,7 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def normalize(a: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    n = norm(a)
-    return F.when(n == 0, a).otherwise(scale(a, 1 / n))
+    return once(norm(a), lambda n: F.when(n == 0, a).otherwise(F.transform(a, lambda x: x / n)))
 
 
 def heatmap_unit(a: Column) -> Column:

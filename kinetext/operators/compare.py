@@ -15,14 +15,23 @@ def correlation(a: Column, b: Column) -> Column:
     def stats(xy: Column) -> Column:
         n = F.size(xy)
         mean = lambda c: F.aggregate(xy, F.lit(0.0), lambda s, p: s + p[c]) / n
-        mx, my = mean("x"), mean("y")
-        sum_of = lambda f: F.aggregate(xy, F.lit(0.0), lambda s, p: s + f(p))
-        cov, vx_, vy = sum_of(lambda p: (p["x"] - mx) * (p["y"] - my)), sum_of(lambda p: (p["x"] - mx) * (p["x"] - mx)), sum_of(lambda p: (p["y"] - my) * (p["y"] - my))
-        return F.when((F.sqrt(vx_ / n) > vx.TINY) & (F.sqrt(vy / n) > vx.TINY), cov / F.sqrt(vx_ * vy)).otherwise(0.0)
+        zero = F.struct(F.lit(0.0).alias("xy"), F.lit(0.0).alias("xx"), F.lit(0.0).alias("yy"))
+
+        def sums(m: Column) -> Column:
+            def step(s: Column, p: Column) -> Column:
+                dx, dy = p["x"] - m["x"], p["y"] - m["y"]
+                return F.struct((s["xy"] + dx * dy).alias("xy"), (s["xx"] + dx * dx).alias("xx"), (s["yy"] + dy * dy).alias("yy"))
+
+            return F.aggregate(xy, zero, step)
+
+        return vx.once(
+            vx.once(F.struct(mean("x").alias("x"), mean("y").alias("y")), sums),
+            lambda s: F.when((F.sqrt(s["xx"] / n) > vx.TINY) & (F.sqrt(s["yy"] / n) > vx.TINY), s["xy"] / F.sqrt(s["xx"] * s["yy"])).otherwise(0.0),
+        )
 
     length = F.greatest(F.size(a), F.size(b))
     both = F.zip_with(vx.resample(a, length), vx.resample(b, length), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    return F.when((F.size(a) > 1) & (F.size(b) > 1), F.get(F.transform(F.array(both), stats), 0)).otherwise(0.0)
+    return F.when((F.size(a) > 1) & (F.size(b) > 1), vx.once(both, stats)).otherwise(0.0)
 
 
 def fitness_interpretation(fitness: Column) -> Column:

@@ -39,8 +39,8 @@ class HashBackend(Backend):
     def vector(self, text: Column) -> Column:
         """Stays in the JVM: buckets of all tokens, counted, at unit length; no tokens: zeros."""
         buckets = F.transform(tx.tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % self.dimensions)
-        counted = F.transform(F.array(buckets), lambda b: F.transform(F.sequence(F.lit(0), F.lit(self.dimensions - 1)), lambda d: F.size(F.filter(b, lambda x: x == d)).cast("double")))
-        return F.get(F.transform(counted, vx.normalize), 0)
+        counted = vx.once(buckets, lambda b: F.transform(F.sequence(F.lit(0), F.lit(self.dimensions - 1)), lambda d: F.size(F.filter(b, lambda x: x == d)).cast("double")))
+        return vx.once(counted, vx.normalize)
 
     def embed(self, df: DataFrame, text: str = "text", out: str = "e") -> DataFrame:
         return df.withColumn(out, self.vector(F.col(text)))

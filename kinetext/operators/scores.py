@@ -13,6 +13,8 @@ from kinetext.functions import vectors as vx
 from kinetext.functions.vectors import clip01
 from kinetext.operators import kinematics as km
 
+#: Velocities that differ by less are equal, and a slope under it is flat: else the last bit of a sum would decide.
+EQUAL = 1e-12
 SPIKE = "array<struct<index:int,magnitude:double,isolation_score:double,position_ratio:double>>"
 
 
@@ -49,7 +51,7 @@ def measure(seq: DataFrame, threshold: float = 0.3, key: str = "doc_id") -> Data
         F.array_sort(F.collect_list(F.when(spike, F.struct(F.col("i").alias("index"), F.col("a").alias("magnitude"), F.col("iso").alias("isolation_score"), F.col("ratio").alias("position_ratio"))))).alias("spikes"),
         F.count_if(spike).alias("n_spikes"), F.coalesce(F.avg(of("iso")), F.lit(0.0)).alias("isolation"), F.max(of("a")).alias("top"), F.avg(calm).alias("calm"), F.max(calm).alias("calm_top"),
         F.avg("lag2").alias("lag2"), F.min_by("e", "p").alias("e0"), F.max_by("e", "p").alias("e1"),
-        F.avg(F.when(F.col("_v1").isNotNull(), (F.col("v") < F.col("_v1")).cast("double"))).alias("falling"), F.regr_slope(F.col("v"), F.col("p").cast("double")).alias("slope"),
+        F.avg(F.when(F.col("_v1").isNotNull(), (F.col("_v1") - F.col("v") > EQUAL).cast("double"))).alias("falling"), F.regr_slope(F.col("v"), F.col("p").cast("double")).alias("slope"),
     )
     t = t.join(pairwise_mean(seq, key), key, "left")
     n_spikes, na = F.col("n_spikes"), F.col("na")
@@ -61,7 +63,7 @@ def measure(seq: DataFrame, threshold: float = 0.3, key: str = "doc_id") -> Data
     net = F.when((vx.norm(F.col("e0")) <= vx.TINY) | (vx.norm(F.col("e1")) <= vx.TINY), 0.0).otherwise(1 - F.least(vx.norm(vx.subtract(F.col("e1"), F.col("e0"))) / (F.col("path") + 0.01), F.lit(1.0)))
     close = F.when(F.coalesce("pairwise", F.lit(0.0)) == 0, 0.0).otherwise(clip01((F.col("pairwise") - 0.3) / 0.5))
     tautology = F.when(F.col("n") < 2, 0.0).otherwise(clip01(0.6 * close + 0.4 * net))
-    slope = F.when(F.abs("slope") < 1e-12, 0.0).otherwise(F.col("slope"))
+    slope = F.when(F.abs("slope") < EQUAL, 0.0).otherwise(F.col("slope"))
     trend = F.when(F.col("nv") < 3, 0.5).when(slope < -0.05, 1.0).when(slope < 0, 0.5).otherwise(0.0)
     deceleration = F.when(F.col("nv") < 2, 0.0).otherwise(clip01(0.6 * F.col("falling") + 0.4 * trend))
     t = t.withColumns({"deadpan_score": deadpan, "circularity_score": circularity, "tautology_density": tautology, "deceleration_score": deceleration})

@@ -83,7 +83,7 @@ MEASURE = """u AS (SELECT doc_id, k, sum(x) AS s, count(*) AS m FROM (SELECT doc
 pw AS (SELECT doc_id, CASE WHEN max(m) > 1 THEN (sum(s * s) - max(m)) / (max(m) * (max(m) - 1)) ELSE 0 END AS pairwise FROM u GROUP BY doc_id),
 g AS (SELECT doc_id, count(*) AS n, count(v) AS nv, count(a) AS na, coalesce(avg(v), 0) AS mv, coalesce(var_pop(v), 0) AS vv, coalesce(sum(v), 0) AS path, coalesce(avg(a), 0) AS ma, coalesce(var_pop(a), 0) AS va,
   coalesce(max(a), 0) AS xa, coalesce(max(k), 0) AS xk, count(*) FILTER (spike) AS ns, coalesce(avg(iso) FILTER (spike), 0) AS isolation, max(a) FILTER (spike) AS top, avg(a) FILTER (NOT spike) AS calm,
-  max(a) FILTER (NOT spike) AS calm_top, avg(lag2) AS lag2, arg_min(e, p) AS e0, arg_max(e, p) AS e1, avg(CASE WHEN v1 IS NOT NULL THEN (v < v1)::INT END) AS falling, regr_slope(v, p) FILTER (v IS NOT NULL) AS slope
+  max(a) FILTER (NOT spike) AS calm_top, avg(lag2) AS lag2, arg_min(e, p) AS e0, arg_max(e, p) AS e1, avg(CASE WHEN v1 IS NOT NULL THEN (v1 - v > 1e-12)::INT END) AS falling, regr_slope(v, p) FILTER (v IS NOT NULL) AS slope
   FROM sp GROUP BY doc_id),
 h AS (SELECT g.*, pairwise,
   CASE WHEN na < 2 THEN 0 ELSE greatest(0.0, least(1.0, 0.25 * (1 - least(3.0 * ns / na, 1.0)) + 0.35 * isolation + 0.20 * coalesce(1 - least(calm / 0.3, 1.0), 0) + 0.20 * coalesce(tanh(2 * (top - calm_top) / (top + 0.01)), 0))) END AS deadpan,
