@@ -171,7 +171,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "do
     wide = "<u2" if load(tokenizer).get_vocab_size() <= 65536 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = PieceEncoder(tokenizer, "byte", wide)
+        enc = PieceEncoder(tokenizer, "byte", wide, 1_500_000)
         end = np.asarray([end_id], wide).tobytes()
         for b in batches:
             for a in range(0, b.num_rows, 500):

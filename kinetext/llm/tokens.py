@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Pieces kept per Python worker before the cache starts anew (about 150 bytes each).
+#: Pieces kept per Python worker before the cache starts anew (about 200 bytes each).
 CACHE = 900_000
 _caches: dict[tuple, dict] = {}
 
@@ -83,10 +83,11 @@ class PieceEncoder:
     a single line feed, between two characters that are not white space is independent; a text with
     longer runs of white space is cut at its single spaces only.
 
-    A worker keeps the pieces that it has met (at most CACHE) as numbers into one array of ids.
+    A worker keeps the pieces that it has met (about ``most``) as numbers into one array of ids.
     """
 
-    def __init__(self, path: str, kind: str, width: str = "<u4"):
+    def __init__(self, path: str, kind: str, width: str = "<u4", most: int = CACHE):
+        self.most = most
         self.path, self.tok, self.kind, self.width = path, load(path), kind, width
         self.kept = _caches.setdefault((path, kind, width), {})
         if not self.kept:
@@ -114,7 +115,7 @@ class PieceEncoder:
         out: list[bytes] = []
         numbers: list[np.ndarray] = []
         size = 0
-        if len(self.kept["index"]) > CACHE:
+        if len(self.kept["index"]) > self.most:
             self._empty()
         get = self.kept["index"].__getitem__
         for t in texts:
@@ -124,7 +125,7 @@ class PieceEncoder:
             if size > 400_000:
                 out += self._flush(numbers)
                 numbers, size = [], 0
-                if len(self.kept["index"]) > CACHE:
+                if len(self.kept["index"]) > self.most:
                     self._empty()
                     get = self.kept["index"].__getitem__
         return out + self._flush(numbers)
