@@ -22,12 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinetext.llm.common import batch, map_arrow, materialize, new_path, table, texts_of
+from kinetext.llm.common import batch, map_arrow, materialize, new_path, table
 from kinetext.llm.tokens import PieceEncoder, forget, load, public_path
 
 MAGIC, VERSION = b"KTXRANS1", 1
 LOW = np.uint64(1 << 31)
-LANES, BLOCK, CHECK_ROWS, FILE_TOKENS = 2048, 1 << 20, 256, 1 << 22
+LANES, BLOCK, CHECK_ROWS, FILE_TOKENS = 4096, 1 << 20, 128, 1 << 22
 _HEAD, _BLOCK = struct.Struct("<8sIIQQII"), struct.Struct("<IIIIII")
 
 
@@ -166,18 +166,25 @@ def decode_file(data: bytes, t: Table) -> tuple[list[int | None], np.ndarray, np
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian uint32, with the end id) of every whole text; null: the end id only."""
+    """doc_id, n_tokens and ids (little-endian, two bytes for small vocabularies, with the end id) of every whole text; null: the end id only.
+
+    Each task adds one row with n_tokens -1, whose ids are its counts of all ids (int64).
+    """
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-    wide = "<u2" if load(tokenizer).get_vocab_size() <= 65536 else "<u4"
+    vocabulary = load(tokenizer).get_vocab_size()
+    wide = "<u2" if vocabulary <= 65536 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = PieceEncoder(tokenizer, "byte", wide, 1_500_000)
+        total = np.zeros(vocabulary, np.int64)
+        enc = PieceEncoder(tokenizer, "byte", wide, 1_200_000)
         end = np.asarray([end_id], wide).tobytes()
         for b in batches:
             for a in range(0, b.num_rows, 500):
                 part = b.slice(a, 500)
                 got = [e + end for e in enc.encode_many([t or "" for t in part.column(1).to_pylist()])]
+                total += np.bincount(np.frombuffer(b"".join(got), wide), minlength=vocabulary)
                 yield batch(out, doc_id=part.column(0), n_tokens=[len(g) // len(end) for g in got], ids=got)
+        yield batch(out, doc_id=[None], n_tokens=[-1], ids=[total.tobytes()])
 
     return map_arrow(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id bigint, n_tokens bigint, ids binary")
 
@@ -185,19 +192,18 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "do
 def count_ids(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     """How often each id occurs in the whole corpus; what reaches the driver is bounded by the vocabulary."""
     out = pa.schema([("id", pa.int64()), ("n", pa.int64())])
-    wide = "<u2" if vocabulary <= 65536 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
-            buf, off = texts_of(b.column(0))
-            total += np.bincount(np.frombuffer(buf[off[0] : off[-1]].tobytes(), wide), minlength=vocabulary)
+            for v in b.column(0):
+                total += np.frombuffer(v.as_buffer(), np.int64)
         ids = np.flatnonzero(total)
         yield batch(out, id=ids, n=total[ids])
 
     counts = np.zeros(vocabulary, np.int64)
-    for r in map_arrow(tokens.select("ids"), run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in map_arrow(tokens.filter("n_tokens < 0").select("ids"), run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
     return counts
 
@@ -243,7 +249,7 @@ def write_files(tokens: DataFrame, folder: str, t: Table, vocabulary: int, parti
         if keys:
             yield flush()
 
-    ranged = tokens.select("doc_id", "ids").repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    ranged = tokens.filter("n_tokens >= 0").select("doc_id", "ids").repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     return materialize(map_arrow(ranged, run, "file string, part bigint, number bigint, n_docs bigint, n_tokens bigint, n_bytes bigint"), "manifest")
 
 

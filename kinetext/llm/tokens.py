@@ -151,6 +151,8 @@ class PieceEncoder:
         """Encodes unknown pieces. Most are a run of letters with or without punctuation behind it: two tokens' places, parted
         here; the run goes straight to the vocabulary's merges, many at a time. All others take the whole way."""
         lead = 0 if self.kind == "word" else 1
+        k, old = self.kept, len(self.kept["starts"])
+        width, have = k["ids"].itemsize, k["index"].get
         got: dict[str, bytes] = {}
         cores: dict[str, None] = {}
         tails: dict[str, None] = {}
@@ -159,7 +161,11 @@ class PieceEncoder:
             core = p.rstrip(".,!?;:")
             run = core[1:] if lead and core[:1] == " " else core
             if run.isalpha() and len(run) < 200 and (lead or run.islower() and (run.isascii() or max(run) < "\u0250")):
-                cores[core] = None
+                at = have(core, old) if len(core) < len(p) else old
+                if at < old:
+                    got[core] = k["ids"][k["starts"][at] : k["starts"][at] + k["sizes"][at]].tobytes()
+                else:
+                    cores[core] = None
                 if len(core) < len(p):
                     parted.append((p, core, p[len(core) :]))
                     tails[p[len(core) :]] = None
@@ -171,8 +177,6 @@ class PieceEncoder:
         for p, core, tail in parted:
             got[p] = got[core] + got[tail]
         new = [got[p] for p in pieces]
-        k = self.kept
-        width = k["ids"].itemsize
         sizes = np.fromiter(map(len, new), np.int64, len(new)) // width
         k["starts"] = np.concatenate([k["starts"], len(k["ids"]) + np.cumsum(sizes) - sizes])
         k["sizes"] = np.concatenate([k["sizes"], sizes.astype(np.int32)])
