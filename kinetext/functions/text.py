@@ -51,7 +51,7 @@ def exclamation_counts(t: Column) -> Column:
 
 def word_set(t: Column) -> Column:
     """Distinct lower-cased words without punctuation; underscores and digits stay."""
-    bare = F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), F.lit(r"(?U)[^\w\s\x1c-\x1f]"), F.lit(""))
+    bare = F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), F.lit(r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]"), F.lit(""))
     return F.array_distinct(F.filter(F.split(bare, r"(?U)[\s\x1c-\x1f]+"), lambda x: x != ""))
 
 
