@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetext.llm import decontaminate, langid, packing, simhash, substrings
-from kinetext.llm.common import materialize, table
+from kinetext.llm.common import aside, materialize, table
 from kinetext.llm.tokens import public_path
 
 #: A text of at least so many n-grams of which a smaller share belongs to its best language is in no known language.
@@ -23,9 +23,10 @@ LEAST_GRAMS, LEAST_EVIDENCE = 20, 0.1
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Trains on the labelled rows outside the held-out fold and rejects "und" and texts without evidence; null languages get the prediction."""
     model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))).select("lang", "text"))
-    found = langid.identify(docs, model)
+    plain, back = aside(docs, "doc_id", "text", "lang")
+    found = langid.identify(plain, model)
     unknown = (F.col("lang_pred") == "und") | ((F.col("n_grams") >= LEAST_GRAMS) & (F.col("evidence") < LEAST_EVIDENCE))
-    return found.filter(~unknown).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return back(found.filter(~unknown).withColumn("lang", F.coalesce("lang", "lang_pred")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +35,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that lose words get the rest, joined by spaces, as their text and its length; others stay as they are."""
-    found = substrings.remove_repeats(docs)
+    plain, back = aside(docs, "doc_id", "text", "n_chars")
+    found = substrings.remove_repeats(plain)
     cut = F.col("n_removed") > 0
     found = found.filter(~cut | (F.col("n_removed") < F.col("n_words")))
     found = found.withColumn("text", F.when(cut, F.col("kept")).otherwise(F.col("text"))).withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast("bigint"))
-    return found.select(*docs.columns)
+    return back(found)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -227,6 +227,20 @@ def pack_runs(positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return positions[first], np.diff(np.r_[first, len(positions)])
 
 
+def aside(df: DataFrame, *keep: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``df`` with all columns but ``keep`` under names of no meaning, so that they clash with none; and what gives them their names and order back.
+
+    The second takes columns to add (names that ``df`` has already are replaced by them).
+    """
+    names = {c: c if c in keep else f"_x{k}" for k, c in enumerate(df.columns)}
+    plain = df.toDF(*names.values())
+
+    def back(out: DataFrame, *add: str) -> DataFrame:
+        return out.select(*[F.col(n).alias(c) for c, n in names.items() if c not in add], *add)
+
+    return plain, back
+
+
 def key_of(df: DataFrame) -> DataFrame:
     """Adds ``_h``, a fingerprint of the text: rows that share doc_id and text count as repeats of one document."""
     return df.withColumn("_h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))

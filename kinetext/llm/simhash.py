@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinetext.llm.common import batch, map_arrow, materialize, shuffle_partitions, ship, table
+from kinetext.llm.common import aside, batch, map_arrow, materialize, shuffle_partitions, ship, table
 from kinetext.llm.graph import components, local_components
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
@@ -206,9 +206,10 @@ def keep_one(docs: DataFrame, radius: int = 3, k: int = 5) -> DataFrame:
     # groups without any doc_id are told apart by their fingerprints
     one = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_key"))
     kept = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(F.min(one).alias("one")).select(F.col("one._key").alias("_key"))
-    rows = docs.withColumn("_key", row_key()).join(kept.distinct(), "_key")
+    plain, back = aside(docs, "doc_id", "text")
+    rows = plain.withColumn("_key", row_key()).join(kept.distinct(), "_key")
     again = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    return rows.withColumn("_again", again).filter("_again = 1").select(*docs.columns)
+    return back(rows.withColumn("_again", again).filter("_again = 1"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetext.llm import repeats
-from kinetext.llm.common import SECOND_BASE, batch, gram_hashes, key_of, map_arrow, materialize, minimizers, runs_of_rows, shuffle_partitions, table, texts_of, word_bounds, word_hashes
+from kinetext.llm.common import SECOND_BASE, aside, gram_hashes, key_of, map_arrow, materialize, minimizers, runs_of_rows, shuffle_partitions, table, texts_of, word_bounds, word_hashes
 
 WIDTH, ANCHOR = 35, 18
 #: Entries that a task holds before it sends them on.
@@ -102,7 +102,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
     (a repeated row repeats all its windows); other columns stay, those named kept, n_words or n_removed are replaced;
     empty tables stay empty.
     """
-    base = key_of(docs.drop("kept", "n_words", "n_removed"))
+    plain, back = aside(docs, "doc_id", "text")
+    base = key_of(plain)
     keep = [c for c in base.columns if c != "_h"]
     starts = repeated_windows(base.select("doc_id", "text", "_h"), width, anchor)
     same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._h") == F.col("s._h"))
@@ -123,7 +124,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*keep, "kept", "n_words", "n_removed"])
 
-    return map_arrow(both, apply, spec)
+    return back(map_arrow(both, apply, spec), "kept", "n_words", "n_removed")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

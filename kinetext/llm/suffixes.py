@@ -85,7 +85,7 @@ class Segment:
 def segments(b: pa.RecordBatch) -> Iterator[tuple[int, int, Segment]]:
     """Rows i to j and their segment. Texts over SEGMENT bytes are read in parts that reach as far as the surroundings."""
     buf, off = texts_of(b.column(1))
-    for i, j in runs_of_rows(off, 1 << 20):
+    for i, j in runs_of_rows(off, min(1 << 20, SEGMENT)):
         size = int(off[j] - off[i])
         if size <= SEGMENT:
             yield i, j, Segment(buf[off[i] : off[j]], off[i : j + 1] - off[i])
