@@ -55,6 +55,8 @@ def bare_tokenizer(path: str):
     t = load(path)
     bare = Tokenizer(t.model)
     bare.pre_tokenizer = CharDelimiterSplit("\n")
+    if hasattr(bare.model, "_resize_cache"):  # runs come once: the library's cache of words only costs time
+        bare.model._resize_cache(0)
     vocab = t.get_vocab()
     for b in [0x7F, *range(1, 9), *range(14, 28)]:
         shown = _SHOWN[b]
