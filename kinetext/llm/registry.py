@@ -1,6 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
 from kinetext.llm import chat, decontaminate, langid, licenses, multi_index, packing, rans, simhash, substrings, suffixes
+from kinetext.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -14,5 +17,3 @@ QUERIES = {
     "op9_language_id": langid.op9_language_id,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
-
-ORACLES: dict[str, str] = {}
