@@ -176,7 +176,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
-        enc = PieceEncoder(tokenizer, "byte", wide)
+        enc = PieceEncoder(tokenizer, "byte", wide, 1_200_000)
         end = np.asarray([end_id], wide).tobytes()
         for b in batches:
             for a in range(0, b.num_rows, 500):
@@ -289,7 +289,7 @@ def write_corpus(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0)
     """
     spark = docs.sparkSession
     vocabulary = load(tokenizer).get_vocab_size()
-    tokens = materialize(tokenize(docs, tokenizer, end_id), "tokens")
+    tokens = materialize(tokenize(docs, tokenizer, end_id), "tokens", **{"parquet.enable.dictionary": "false"})
     counts = count_ids(tokens, vocabulary)
     t = Table.of_counts(counts)
     write_table(spark, folder, t)

@@ -21,8 +21,8 @@ from kinetext.llm.common import aside, batch, map_arrow, materialize, shuffle_pa
 from kinetext.llm.graph import components, local_components
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
-#: Fingerprints of the sample that the upper tree is built from, and fingerprints per shard aimed at.
-SAMPLE, SHARD = 8192, 20_000
+#: The most fingerprints of the sample that the upper tree is built from (8 per shard, 8192 at least), and fingerprints per shard aimed at.
+SAMPLE, SHARD = 1 << 19, 20_000
 
 
 def shingle_hashes(text: bytes, k: int = SHINGLE, seed: int = SEED) -> Iterator[np.ndarray]:
@@ -163,8 +163,9 @@ def near_duplicates(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE,
     ship(spark)
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
     n = nodes.count()
-    drawn = np.array([r.fp for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64)
-    tree = build(drawn, max(1, min(n // shard + 1, sample // 8)))
+    shards = max(1, min(n // shard + 1, sample // 8))
+    drawn = np.array([r.fp for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(min(sample, max(8192, 8 * shards))).collect()], np.int64).view(np.uint64)
+    tree = build(drawn, shards)
     out = pa.schema([("leaf", pa.int64()), ("fp", pa.int64()), ("rep", pa.int64()), ("query", pa.bool_())])
     forest = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 

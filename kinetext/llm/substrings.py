@@ -42,7 +42,7 @@ class Words:
 
 
 def _keys(b: pa.RecordBatch, i: int, j: int) -> np.ndarray:
-    ids = b.column(0).slice(i, j - i).fill_null(int(repeats.NULL_ID)).to_numpy(zero_copy_only=False)
+    ids = b.column(0).slice(i, j - i).cast(pa.int64()).fill_null(int(repeats.NULL_ID)).to_numpy(zero_copy_only=False)
     return np.stack([ids, b.column(2).slice(i, j - i).to_numpy(zero_copy_only=False)], axis=1).astype(np.int64)
 
 

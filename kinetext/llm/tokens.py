@@ -81,8 +81,8 @@ class PieceEncoder:
     """Gives the ids of a text as little-endian bytes, equal to encoding the whole text at once.
 
     ``kind`` "word" is for vocabularies whose pre-tokenizer drops white space: any space parts two independent pieces.
-    ``kind`` "byte" is for byte-level ones, where a token may start with a space: a cut before a single space, or around
-    a single line feed, between two characters that are not white space is independent; a text with
+    ``kind`` "byte" is for byte-level ones, where a token may start with a space: a cut before a single space or a
+    single line feed between two characters that are not white space is independent; a text with
     longer runs of white space is cut at its single spaces only.
 
     A worker keeps the pieces that it has met (about ``most``) as numbers into one array of ids.
@@ -109,7 +109,7 @@ class PieceEncoder:
                 pass
             return text.replace("\n", " ").split(" ")
         if "\0" not in text and " ".join(text.split()) == text.replace("\n", " "):  # single spaces and line feeds only
-            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+            return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
         first, *rest = _safe_cut.split(text)
         return [first, *[" " + p for p in rest]]
 
@@ -150,34 +150,39 @@ class PieceEncoder:
         return [data[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encodes unknown pieces. Most are a run of letters with or without punctuation behind it: two tokens' places, parted
-        here; the run goes straight to the vocabulary's merges, many at a time. All others take the whole way."""
+        """Encodes unknown pieces. Most are a run of letters, with a line feed before or punctuation behind it: each of these is parted
+        from the others by the pre-tokenizer, and here; the run goes straight to the vocabulary's merges, many at a time.
+        All other pieces take the whole way."""
         lead = 0 if self.kind == "word" else 1
         k, old = self.kept, len(self.kept["starts"])
         width, have = k["ids"].itemsize, k["index"].get
         got: dict[str, bytes] = {}
         cores: dict[str, None] = {}
-        tails: dict[str, None] = {}
+        marks: dict[str, None] = {}
         parted, alone = [], []
         for p in pieces:
             core = p.rstrip(".,!?;:")
+            tail = p[len(core) :]
+            head = ""
+            if lead and core[:1] == "\n":
+                head, core = "\n", core[1:]
             run = core[1:] if lead and core[:1] == " " else core
             if run.isalpha() and len(run) < 200 and (lead or run.islower() and (run.isascii() or max(run) < "\u0250")):
-                at = have(core, old) if len(core) < len(p) else old
+                at = have(core, old) if head or tail else old
                 if at < old:
                     got[core] = k["ids"][k["starts"][at] : k["starts"][at] + k["sizes"][at]].tobytes()
                 else:
                     cores[core] = None
-                if len(core) < len(p):
-                    parted.append((p, core, p[len(core) :]))
-                    tails[p[len(core) :]] = None
+                if head or tail:
+                    parted.append((p, head, core, tail))
+                    marks[tail] = marks[head] = None
             else:
                 alone.append(p)
         self._whole(alone, got)
-        self._whole([t for t in tails if t not in got], got)
+        self._whole([m for m in marks if m not in got], got)
         self._merge(list(cores), got)
-        for p, core, tail in parted:
-            got[p] = got[core] + got[tail]
+        for p, head, core, tail in parted:
+            got[p] = got[head] + got[core] + got[tail]
         new = [got[p] for p in pieces]
         sizes = np.fromiter(map(len, new), np.int64, len(new)) // width
         k["starts"] = np.concatenate([k["starts"], len(k["ids"]) + np.cumsum(sizes) - sizes])
