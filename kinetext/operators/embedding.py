@@ -81,7 +81,35 @@ class HttpBackend(Backend):
         return df.withColumn(out, ask(F.col(text)))
 
 
-_REGISTRY: dict[str, type[Backend]] = {"hash": HashBackend, "table": TableBackend, "http": HttpBackend}
+class ModelBackend(Backend):
+    """A local model: ``load`` is called once in each Python worker and gives a function from a list of texts to a list of vectors.
+
+    ``sentence_transformers`` models can be named instead, where that package is installed on the workers.
+    """
+
+    def __init__(self, model_name: str, load=None, dimensions: int | None = None, batch_size: int = 32, normalize: bool = True):
+        self.model_name, self.load, self.dimensions, self.batch_size, self.normalize = model_name, load, dimensions, batch_size, normalize
+
+    def embed(self, df: DataFrame, text: str = "text", out: str = "e") -> DataFrame:
+        name, load, size, unit = self.model_name, self.load, self.batch_size, self.normalize
+
+        @F.pandas_udf("array<double>")
+        def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            if load is None:
+                from sentence_transformers import SentenceTransformer
+
+                model = SentenceTransformer(name)
+                encode = lambda texts: model.encode(texts, batch_size=size, normalize_embeddings=unit).tolist()
+            else:
+                encode = load()
+            for s in batches:
+                texts = s.fillna("").tolist()
+                yield pd.Series([[float(v) for v in e] for a in range(0, len(texts), size) for e in encode(texts[a : a + size])])
+
+        return df.withColumn(out, ask(F.col(text)))
+
+
+_REGISTRY: dict[str, type[Backend]] = {"hash": HashBackend, "table": TableBackend, "http": HttpBackend, "model": ModelBackend}
 
 
 def register(name: str, kind: type[Backend]) -> None:

@@ -68,6 +68,14 @@ class Models:
         self.cache = EmbeddingCache(spark, cache_path)
         self.active: Backend | None = None
 
+    @classmethod
+    def from_conf(cls, spark: SparkSession, cache_path: str | None = None) -> Models:
+        """Backend and options from ``spark.kinetext.embedding.backend`` and ``spark.kinetext.embedding.<option>``."""
+        prefix = "spark.kinetext.embedding."
+        have = {k.removeprefix(prefix): v for k, v in spark.conf.getAll.items() if k.startswith(prefix)}
+        name = have.pop("backend", "hash")
+        return cls(spark, name, cache_path, **{k: int(v) if v.isdigit() else v for k, v in have.items()})
+
     def backend(self) -> Backend:
         if self.active is None:
             self.active = get_backend(self.name, **self.options.get(self.name, {}))

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinetext.operators import classify, drift
-from kinetext.operators.embedding import EmbeddingCache, HashBackend, TableBackend, get_backend
+from kinetext.functions import sql
+from kinetext.operators.embedding import EmbeddingCache, HashBackend, ModelBackend, TableBackend, get_backend
 from kinetext.plans import api
 from kinetext.sources import pairs as src
 from kinetext.streaming import trajectories
@@ -86,6 +87,26 @@ def test_models_and_cache(spark, tmp_path):
     assert EmbeddingCache(spark).embed(docs(spark, "a"), HashBackend(4)).first().e is not None
 
 
+def test_model_backend(spark):
+    b = ModelBackend("lengths", load=lambda: lambda texts: [[len(t), 1] for t in texts], batch_size=2)
+    assert [r.e for r in b.embed(docs(spark, "a", "bbb", None)).orderBy("doc_id").collect()] == [[1.0, 1.0], [3.0, 1.0], [0.0, 1.0]]
+
+
+def test_configuration(spark):
+    spark.conf.set("spark.kinetext.embedding.backend", "hash")
+    spark.conf.set("spark.kinetext.embedding.dimensions", "12")
+    assert api.Models.from_conf(spark).backend().dimensions == 12
+    spark.conf.unset("spark.kinetext.embedding.backend")
+    spark.conf.unset("spark.kinetext.embedding.dimensions")
+    assert api.Models.from_conf(spark).name == "hash"
+
+
+def test_sql_functions(spark):
+    sql.register(spark)
+    r = spark.sql("select kx_dot(array(1D, 2D), array(3D, 4D)) d, kx_norm(array(3D, 4D)) n, kx_cosine_distance(array(1D, 0D), array(0.8D, 0.6D)) c, kx_cosine_similarity(array(0D), array(1D)) z, kx_text_key('hello') k, kx_jaccard('the cat sat', 'the dog sat') j, kx_preview('abcd', 3) p").first()
+    assert (r.d, r.n, round(r.c, 12), r.z, r.k, r.j, r.p) == (11.0, 5.0, 0.2, 0.0, "2cf24dba5fb0a30e", 0.5, "abc...")
+
+
 def test_streams(spark, tmp_path):
     spark.createDataFrame([(1, 0, [0.0, 0.0]), (1, 1, [3.0, 4.0]), (1, 2, [3.0, 5.0]), (2, 0, [1.0, 1.0])], "key bigint, pos int, e array<double>").write.parquet(str(tmp_path / "in"))
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
