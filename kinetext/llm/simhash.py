@@ -17,12 +17,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinetext.llm.common import aside, batch, map_arrow, materialize, shuffle_partitions, ship, table
+from kinetext.llm.common import aside, batch, map_arrow, materialize, mix, shuffle_partitions, ship, table
 from kinetext.llm.graph import components, local_components
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 #: The most fingerprints of the sample that the upper tree is built from (8 per shard, 8192 at least), and fingerprints per shard aimed at.
 SAMPLE, SHARD = 1 << 19, 20_000
+#: For links by similarity: bands of two minima each, bits that fingerprints of similar texts may differ in, nodes that meet at once.
+BANDS, SLACK, CHUNK = 8, 20, 512
+_ODD = [np.uint64(int(x) | 1) for x in np.random.default_rng(77).integers(1 << 62, 1 << 63, 2 * BANDS)]
 
 
 def shingle_hashes(text: bytes, k: int = SHINGLE, seed: int = SEED) -> Iterator[np.ndarray]:
@@ -153,9 +156,11 @@ def links(members: np.ndarray, queries: np.ndarray, radius: int, block: int = 10
                     yield own[i], part[j]
 
 
-def near_duplicates(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
+def near_duplicates(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard: int = SHARD, more: DataFrame | None = None) -> DataFrame:
     """For ``fps`` (doc_id, fp): each row with component_id, the smallest doc_id that links of ``radius`` bits reach.
 
+    ``more``: further links (a, b) between the smallest doc_ids of fingerprints.
+
     Equal fingerprints are one node, so a group of copies never becomes pairs. A null doc_id takes part and never is a
     component's name unless all its rows are null; repeated rows stay; an empty table gives no rows.
     """
@@ -191,26 +196,119 @@ def near_duplicates(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE,
 
     dealt = map_arrow(nodes.select("fp", "rep"), deal, "leaf bigint, fp bigint, rep bigint, query boolean")
     edges = dealt.repartition(shuffle_partitions(spark), "leaf").groupBy("leaf").applyInArrow(search, "a bigint, b bigint")
-    comp = components(edges)
+    comp = components(edges if more is None else edges.unionByName(more))
     named = nodes.join(comp, nodes.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp")
 
 
-def keep_one(docs: DataFrame, radius: int = 3, k: int = 5) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each group that links within ``radius`` bits join, the row of the smallest
-    doc_id stays (nulls last; ties: the smaller hash of the row; of equal rows one).
+def sketch(text: bytes, k: int) -> tuple[int, list[int]]:
+    """Fingerprint and band values of a text: each band joins the minima of two hash functions over the shingles. No words: no bands."""
+    total, ones, low = 0, np.zeros(64, np.int64), None
+    for h in shingle_hashes(text.lower(), k):
+        total += len(h)
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        own = np.array([(h * c).min() for c in _ODD], np.uint64)
+        low = own if low is None else np.minimum(low, own)
+    if low is None:
+        return 0, []
+    bands = mix(mix(low[0::2]) + low[1::2]) ^ np.arange(BANDS, dtype=np.uint64)
+    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0]), bands.view(np.int64).tolist()
+
+
+def sketches(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, fp, bands and _key of every row."""
+    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("_key", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [sketch(t.as_buffer().to_pybytes() if t.is_valid else b"", k) for t in b.column(1)]
+            yield batch(out, doc_id=b.column(0), fp=np.array([f for f, _ in got], np.uint64).view(np.int64), bands=[x for _, x in got], _key=b.column(2))
+
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), row_key().alias("_key")), run, "doc_id bigint, fp bigint, bands array<bigint>, _key bigint")
+
+
+def similar(sets: list[np.ndarray], threshold: float, most: int = 30_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets with a Jaccard similarity of at least ``threshold``, from exact sizes of all intersections."""
+    size = np.array([len(x) for x in sets])
+    names, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    both = np.zeros((len(sets), len(sets)))
+    step = max(1, most // len(sets))
+    for a in range(0, len(names), step):
+        own = (at >= a) & (at < a + step)
+        m = np.zeros((len(sets), min(step, len(names) - a)), np.float32)
+        m[row[own], at[own] - a] = 1
+        both += m @ m.T
+    return np.nonzero(np.triu(both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9, 1))
 
-    Fingerprints are of ``k``-word shingles. All columns stay; an empty table stays empty.
+
+def verified_links(docs: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(a, b): a spanning forest of links between ``nodes`` (fp, rep, _key, bands) whose texts have a similarity of at least ``threshold``.
+
+    Nodes that share a band meet, in chunks of about CHUNK: a larger group is dealt anew by each of the bands, so its members stay
+    connected through the others. Those whose fingerprints lie within SLACK bits are compared by their whole shingle sets.
+    """
+    bands = nodes.filter("rep is not null").select("fp", "rep", "_key", F.explode("bands").alias("band"))
+    counts = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = bands.join(counts, "band").withColumn("chunk", F.pmod(F.xxhash64("fp", "band"), F.ceil(F.col("n") / CHUNK)))
+    out = pa.schema([("band", pa.int64()), ("chunk", pa.int64()), ("fp", pa.int64()), ("rep", pa.int64()), ("_key", pa.int64())])
+    forest = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def near(group: pa.Table) -> pa.Table:
+        f = group["fp"].to_numpy().view(np.uint64)
+        hit = np.zeros(len(f), bool)
+        for i, j in links(f, f[:0], SLACK):
+            hit[i] = hit[j] = True
+        return group.select(out.names).filter(pa.array(hit)).cast(out)
+
+    def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("_key", pa.int64()), ("shingles", pa.binary())])
+        for b in batches:
+            got = [np.unique(np.concatenate(list(shingle_hashes(t.as_buffer().to_pybytes().lower(), k)))).tobytes() for t in b.column(1)]
+            yield batch(kind, _key=b.column(0), shingles=got)
+
+    def verify(group: pa.Table) -> pa.Table:
+        f, rep = group["fp"].to_numpy().view(np.uint64), group["rep"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
+        label = np.arange(len(f))
+        for i, j in links(f, f[:0], SLACK):
+            label = local_components(len(f), np.concatenate([np.arange(len(f)), i]), np.concatenate([label, j]))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for c in np.flatnonzero(np.bincount(label, minlength=len(f)) > 1):
+            own = np.flatnonzero(label == c)
+            i, j = similar([sets[x] for x in own], threshold)
+            comp = local_components(len(own), i, j)
+            low = np.full(len(own), np.iinfo(np.int64).max)
+            np.minimum.at(low, comp, rep[own])
+            linked = low[comp] != rep[own]
+            a.append(rep[own][linked])
+            b.append(low[comp][linked])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)}, schema=forest)
+
+    close = materialize(met.groupBy("band", "chunk").applyInArrow(near, "band bigint, chunk bigint, fp bigint, rep bigint, _key bigint"), "close")
+    texts = docs.select(row_key().alias("_key"), "text").join(close.select("_key").distinct(), "_key", "left_semi")
+    sets = map_arrow(texts, shingle_sets, "_key bigint, shingles binary").dropDuplicates(["_key"])
+    return close.join(sets, "_key").groupBy("band", "chunk").applyInArrow(verify, "a bigint, b bigint")
+
+
+def keep_one(docs: DataFrame, radius: int = 2, k: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group that links join, the row of the smallest doc_id stays (nulls last;
+    ties: the smaller hash of the row; of equal rows one).
+
+    Two texts link if the fingerprints of their ``k``-word shingles lie within ``radius`` bits, or if they share a band, lie
+    within SLACK bits and their shingle sets have a Jaccard similarity of at least ``threshold``. All columns stay; an
+    empty table stays empty.
     """
-    fps = materialize(fingerprints(docs, k), "simhash")
-    groups = near_duplicates(fps, radius)
-    # groups without any doc_id are told apart by their fingerprints
-    one = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_key"))
-    kept = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(F.min(one).alias("one")).select(F.col("one._key").alias("_key"))
     plain, back = aside(docs, "doc_id", "text")
-    rows = plain.withColumn("_key", row_key()).join(kept.distinct(), "_key")
+    rows = materialize(sketches(plain, k), "simhash")
+    first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_key"))
+    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min(first).getField("_key").alias("_key"), F.min_by("bands", first).alias("bands")), "nodes")
+    groups = near_duplicates(rows.select("doc_id", "fp", "_key"), radius, more=verified_links(plain, nodes, k, threshold))
+    # groups without any doc_id are told apart by their fingerprints
+    kept = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(F.min(first).alias("one")).select(F.col("one._key").alias("_key"))
+    found = plain.withColumn("_key", row_key()).join(kept.distinct(), "_key")
     again = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    return back(rows.withColumn("_again", again).filter("_again = 1"))
+    return back(found.withColumn("_again", again).filter("_again = 1"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
