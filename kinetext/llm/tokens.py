@@ -108,7 +108,7 @@ class PieceEncoder:
             except UnicodeEncodeError:
                 pass
             return text.replace("\n", " ").split(" ")
-        if "\0" not in text and " ".join(text.split()) == text.replace("\n", " "):  # single spaces and line feeds only
+        if _plain(text):
             return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
         first, *rest = _safe_cut.split(text)
         return [first, *[" " + p for p in rest]]
@@ -142,8 +142,8 @@ class PieceEncoder:
         at = np.concatenate(numbers)
         n = self.kept["sizes"][at]
         ends = np.cumsum(n, dtype=np.int64)
-        place = np.repeat(self.kept["starts"][at] - ends + n, n)
-        place += np.arange(len(place))
+        place = np.repeat((self.kept["starts"][at] - ends + n).astype(np.int32), n)
+        place += np.arange(len(place), dtype=np.int32)
         data = self.kept["ids"][place].tobytes()
         width = self.kept["ids"].itemsize
         first = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(x) for x in numbers])])] * width
@@ -209,5 +209,20 @@ class PieceEncoder:
                 at = end + 1
 
 
+#: White space of Latin-1 beside space and line feed, and the character that marks cuts.
+_OTHER = bytes([0, 9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0])
+
+
+def _plain(text: str) -> bool:
+    """Whether all white space is single spaces and line feeds between other characters."""
+    if "  " in text or "\n " in text or "\n\n" in text or " \n" in text or text[0].isspace() or text[-1].isspace():
+        return False
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return "\0" not in text and " ".join(text.split()) == text.replace("\n", " ")
+    return len(raw.translate(None, _OTHER)) == len(raw)
+
+
 #: A single space between two characters that are not white space.
 _safe_cut = re.compile(r"(?<=\S) (?=\S)")
