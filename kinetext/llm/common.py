@@ -71,6 +71,13 @@ def shared_dir(spark: SparkSession) -> str:
         return _roots[app]
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Removes this application's intermediate tables; results that still read them must have been written before."""
+    root = _roots.pop(spark.sparkContext.applicationId, None)
+    if root is not None:
+        _remove(spark, root)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -15,6 +15,8 @@ five-word shingles, sum of minima over sum of maxima) of at least ``threshold``
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +26,8 @@ from kinetext.llm.licenses import gram_rows, words
 SHINGLE, THRESHOLD = 5, 0.8
 BLOCKS, BLOCK_BITS, NEAR = 8, 8, 2
 RADIUS = BLOCKS * (NEAR + 1) - 1
-#: Words of all items up to which the item tables are broadcast; beyond, the joins are shuffled ones.
-MOST_WORDS = 1_000_000
+#: Items, and words of them, whose tables are broadcast at a time; more of them are looked for in several passes.
+MOST_ITEMS, MOST_WORDS = 5_000, 200_000
 
 
 def shingles(w: Column, k: int = SHINGLE) -> Column:
@@ -68,25 +70,31 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
     null ids stay null; repeated rows of one doc_id give one row per item; ties take the smallest first word;
     other columns are dropped first; empty tables give no rows. A document shorter than the item is one window.
     """
-    spark = docs.sparkSession
     it = items.select("item_id", words(F.col("text")).alias("t")).filter(F.size("t") > 0).distinct()
     it = it.withColumn("size", F.size("t"))
-    facts = it.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("words"), F.collect_set(F.when(F.col("size") < SHINGLE, F.col("size"))).alias("short")).first()
-    near = F.broadcast if facts.words <= MOST_WORDS else (lambda df: df)
+    facts = it.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum("size"), F.lit(0)).alias("words"), F.coalesce(F.max("size"), F.lit(0)).alias("longest"), F.collect_set(F.when(F.col("size") < SHINGLE, F.col("size"))).alias("short")).first()
+    if facts.longest > 65_000:
+        raise ValueError(f"an item has {facts.longest} words; fingerprints count up to 65,535 shingles")
+    passes = max(1, -(-facts.items // MOST_ITEMS), -(-facts.words // MOST_WORDS))
     base = docs.select("doc_id", words(F.col("text")).alias("w"))
+    found = [x for n in range(passes) for x in _pass(base, it.filter(F.pmod(F.xxhash64("t"), F.lit(passes)) == n) if passes > 1 else it, sorted(facts.short), threshold)]
+    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max_by("pos", F.struct("similarity", -F.col("pos"))).cast("long").alias("first_word"))
+
 
-    found = _long(spark, base, it.filter(F.col("size") >= SHINGLE), near, threshold)
-    for k in sorted(facts.short):  # an item of fewer words is found as a whole
+def _pass(base: DataFrame, it: DataFrame, short: list[int], threshold: float) -> list[DataFrame]:
+    """Matches with a bounded part of the items, which is broadcast."""
+    out = [_long(base, it.filter(F.col("size") >= SHINGLE), threshold)]
+    for k in short:  # an item of fewer words is found as a whole
         own = it.filter(F.col("size") == k).select("item_id", F.xxhash64(*[F.col("t")[i] for i in range(k)]).alias("gram"), *[F.col("t")[i].alias(f"t{i}") for i in range(k)])
         rows = base.select("doc_id", F.posexplode(gram_rows(F.col("w"), k)).alias("pos", "g")).select("doc_id", "pos", *[F.col(f"g.w{i}").alias(f"w{i}") for i in range(k)])
         same = F.xxhash64(*[f"w{i}" for i in range(k)]) == F.col("gram")
         for i in range(k):
             same &= F.col(f"w{i}") == F.col(f"t{i}")
-        found = found.unionByName(rows.join(near(own), same).select("doc_id", "item_id", F.lit(1.0).alias("similarity"), "pos"))
-    return found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max_by("pos", F.struct("similarity", -F.col("pos"))).cast("long").alias("first_word"))
+        out.append(rows.join(F.broadcast(own), same).select("doc_id", "item_id", F.lit(1.0).alias("similarity"), "pos"))
+    return out
 
 
-def _long(spark: SparkSession, base: DataFrame, it: DataFrame, near, threshold: float) -> DataFrame:
+def _long(base: DataFrame, it: DataFrame, threshold: float) -> DataFrame:
     k = SHINGLE
     # Each shingle of the items, with the word before it: a match whose words before agree too is no leader.
     grams = it.select("item_id", "size", "t", F.posexplode(gram_rows(F.col("t"), k)).alias("tpos", "g")).filter(F.col(f"g.w{k - 1}").isNotNull())
@@ -96,7 +104,7 @@ def _long(spark: SparkSession, base: DataFrame, it: DataFrame, near, threshold:
     same = (F.xxhash64(*[f"w{i}" for i in range(k)]) == F.col("gram")) & F.col(f"w{k - 1}").isNotNull()
     for i in range(k):
         same &= F.col(f"w{i}") == F.col(f"t{i}")
-    hits = rows.join(near(grams), same).select("doc_id", "w", "pos", F.inline("places"))
+    hits = rows.join(F.broadcast(grams), same).select("doc_id", "w", "pos", F.inline("places"))
     leads = hits.filter(F.col("before").isNull() | (F.col("pos") == 0) | (F.get("w", F.col("pos") - 1) != F.col("before")))
 
     # The words around a leader: all windows that contain it.
@@ -105,7 +113,7 @@ def _long(spark: SparkSession, base: DataFrame, it: DataFrame, near, threshold:
     ends = F.least(F.size("w"), F.col("pos") + F.col("size"))
     around = leads.select("doc_id", "item_id", "size", "pos", low.alias("low"), F.slice("w", low + 1, ends - low).alias("c"))
     around = around.select("doc_id", "item_id", "size", "low", shingles(F.col("c")).alias("s"), F.greatest(F.lit(0), F.size("c") - F.col("size")).alias("last"))
-    known = near(it.select("item_id", shingles(F.col("t")).alias("bag")))
+    known = F.broadcast(it.select("item_id", shingles(F.col("t")).alias("bag")))
     windows = around.join(known, "item_id").select("doc_id", "size", "low", "s", "bag", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("at"))
     windows = windows.select("doc_id", "size", (F.col("low") + F.col("at")).alias("pos"), F.slice("s", F.col("at") + 1, n).alias("s"), "bag")
     shared = F.size(F.filter("s", lambda x: F.array_contains("bag", x)))
@@ -116,7 +124,7 @@ def _long(spark: SparkSession, base: DataFrame, it: DataFrame, near, threshold:
     spread = [0] + [m for m in range(1, 1 << BLOCK_BITS) if bin(m).count("1") <= NEAR]
     index = it.select("item_id", "size", fingerprint(shingles(F.col("t"))).alias("item_fp"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("b"))
     index = index.select("item_id", "size", "item_fp", "b", F.explode(F.transform(F.array(*map(F.lit, spread)), lambda m: block(F.col("item_fp"), F.col("b")).bitwiseXOR(m.cast("long")))).alias("v"))
-    pairs = windows.join(near(index), ["size", "b", "v"])
+    pairs = windows.join(F.broadcast(index), ["size", "b", "v"])
     off = F.col("fp").bitwiseXOR(F.col("item_fp"))
     # A pair that meets in several blocks counts in its first.
     earlier = F.exists(F.filter(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda j: j < F.col("b")), lambda j: F.bit_count(block(off, j)) <= NEAR)

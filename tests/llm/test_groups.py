@@ -96,6 +96,27 @@ def test_keep_one(spark, docs, texts, odd, none):
     assert {t for _, _, t in rows} == {t or "" for t in texts_of}
 
 
+def test_similar_copies(spark):
+    """Edited copies against all pairs by brute force, in chunks that are smaller than some groups."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    rows = []
+    for _ in range(40):
+        w = [word() for _ in range(rng.choice([6, 40, 150, 400]))]
+        for _ in range(rng.choice([1, 1, 2, 5])):
+            v = w[:]
+            for _ in range(rng.choice([0, 0, 1, 2, 4, 9])):
+                v[rng.randrange(len(v))] = word()
+            rows.append(" ".join(v))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in rows)]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = closure(len(rows), pairs)
+    assert len(pairs) > 15 and sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(set(want))
+    i, j = simhash.similar([np.array(sorted(hash(x) for x in s)) for s in sets], 0.8, most=5000)
+    assert {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True)} == {(b, a) for a, b in pairs}
+
+
 def test_multi_index(spark):
     rng = np.random.default_rng(11)
     centers = rng.normal(size=(40, 16))

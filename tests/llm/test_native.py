@@ -82,7 +82,7 @@ def leaks_brute(docs, items, t=0.8):
     return out
 
 
-def test_leaks(spark):
+def test_leaks(spark, monkeypatch):
     rng = random.Random(3)
     word = lambda: rng.choice("ab cd ef gh ij kl mn op qr st uv wx yz".split()) + rng.choice("aeiou")
     text = lambda n: " ".join(word() for _ in range(n))
@@ -104,6 +104,9 @@ def test_leaks(spark):
     assert got.keys() == want.keys() and len(want) > 10
     assert all(got[x] == pytest.approx(want[x]) for x in want)
     assert decontaminate.find_leaks(d.limit(0), i).count() == 0 and decontaminate.find_leaks(d, i.limit(0)).count() == 0
+    monkeypatch.setattr(decontaminate, "MOST_WORDS", 100)  # several passes
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(d, i).collect()} == want.keys()
+    monkeypatch.undo()
     again = decontaminate.find_leaks(d.unionByName(d), i)
     assert again.count() == len(want)
 
