@@ -87,6 +87,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its file system's scheme, as other libraries need it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return out.replace("file:/", "file:///", 1) if out.startswith("file:/") and not out.startswith("file://") else out
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinetext.llm.common import batch, map_arrow, materialize, new_path, table
+from kinetext.llm.common import batch, map_arrow, materialize, new_path, qualified, table
 from kinetext.llm.tokens import PieceEncoder, forget, load, public_path
 
 MAGIC, VERSION = b"KTXRANS1", 1
@@ -214,6 +214,7 @@ def write_files(tokens: DataFrame, folder: str, t: Table, vocabulary: int, parti
     A file appears under its name by one rename after all its bytes are there; a task that runs again writes the same bytes.
     """
     out = pa.schema([("file", pa.string()), ("part", pa.int64()), ("number", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
+    folder = qualified(tokens.sparkSession, folder)
     wide, freq, bits = "<u2" if vocabulary <= 65536 else "<u4", t.freq, t.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
