@@ -21,7 +21,7 @@ def whole(path, texts):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="aBé'sTΣİ .,!?\n\t\x7f\x00 ́9_œ🙂", max_size=25), max_size=8))
+@given(st.lists(st.text(alphabet="\x85\xa0\u2003\u3000\x1caBé'sTΣİ .,!?\n\t\x7f\x00 ́9_œ🙂", max_size=25), max_size=8))
 def test_pieces_equal_whole(texts):
     for path, kind, width in ((WORD, "word", "<u4"), (BYTE, "byte", "<u2")):
         got = [np.frombuffer(b, width).tolist() for b in PieceEncoder(path, kind, width).encode_many(texts)]
