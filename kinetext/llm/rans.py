@@ -39,23 +39,22 @@ class Table:
     bits: int
 
     def __post_init__(self):
-        self.cum = np.concatenate([[0], np.cumsum(self.freq)]).astype(np.uint64)
-        self.f64 = self.freq.astype(np.uint64)
-        self.limit = (LOW >> np.uint64(self.bits) << np.uint64(32)) * self.f64
+        # small types: the tables are read at random places and should stay in the processor's own cache
+        self.cum = (np.cumsum(self.freq, dtype=np.uint64) - self.freq).astype(np.uint32)
         self.crc = zlib.crc32(self.freq.astype("<u4").tobytes())
         self._slots: np.ndarray | None = None
 
     @property
     def slots(self) -> np.ndarray:
         if self._slots is None:
-            self._slots = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq)
+            self._slots = np.repeat(np.arange(len(self.freq), dtype=np.uint16 if len(self.freq) <= 65536 else np.uint32), self.freq)
         return self._slots
 
     @staticmethod
     def of_counts(counts: np.ndarray) -> Table:
         """Scales counts; the rounding's rest goes to the most frequent id (the smallest of equal ones)."""
         n = len(counts)
-        bits = min(28, max(16, int(np.ceil(np.log2(max(n, 2)))) + 4))
+        bits = min(28, max(16, int(np.ceil(np.log2(max(n, 2)))) + 3))
         total = max(1, int(counts.sum()))
         freq = 1 + (counts.astype(object) * ((1 << bits) - n) // total).astype(np.int64)
         freq[int(np.argmax(counts))] += (1 << bits) - int(freq.sum())
@@ -79,20 +78,19 @@ def encode_block(ids: np.ndarray, t: Table) -> bytes:
     lanes = min(LANES, n)
     rows = -(-n // lanes)
     x = np.full(lanes, LOW, np.uint64)
-    bits, s32, low32 = np.uint64(t.bits), np.uint64(32), np.uint64(0xFFFFFFFF)
+    full, room, s32, low32 = np.uint64(1 << t.bits), np.uint64(63 - t.bits), np.uint64(32), np.uint64(0xFFFFFFFF)
     words, checks, emitted = [], [], 0
     for r in range(rows - 1, -1, -1):
         sym = ids[r * lanes : (r + 1) * lanes]
         y = x[: len(sym)]
-        f = t.f64[sym]
-        over = y >= t.limit[sym]
+        f = t.freq[sym].astype(np.uint64)
+        over = y >= f << room
         if over.any():
             w = y[over]
             words.append((w & low32).astype("<u4"))
             emitted += len(w)
             y = np.where(over, y >> s32, y)
-        q, rest = np.divmod(y, f)
-        x[: len(sym)] = (q << bits) + rest + t.cum[sym]
+        x[: len(sym)] = y + (y // f) * (full - f) + t.cum[sym]
         if r % CHECK_ROWS == 0:
             checks.append((emitted, x.copy()))
     checks.reverse()
@@ -118,14 +116,14 @@ def decode_block(data: memoryview, t: Table, first: int = 0, last: int | None =
     hi = n if last is None else min(n, last * CHECK_ROWS * lanes)
     out = np.empty(hi - lo, np.uint32)
     bits, mask, s32 = np.uint64(t.bits), np.uint64((1 << t.bits) - 1), np.uint64(32)
-    slots, f64, cum = t.slots, t.f64, t.cum
+    slots, freq, cum = t.slots, t.freq, t.cum
     for a in range(lo, hi, lanes):
         m = min(lanes, hi - a)
         y = x[:m]
         slot = y & mask
         sym = slots[slot]
         out[a - lo : a - lo + m] = sym
-        y = f64[sym] * (y >> bits) + slot - cum[sym]
+        y = freq[sym] * (y >> bits) + (slot - cum[sym])
         under = y < LOW
         k = int(np.count_nonzero(under))
         if k:
@@ -254,24 +252,27 @@ def write_files(tokens: DataFrame, folder: str, t: Table, vocabulary: int, parti
     return materialize(map_arrow(ranged, run, "file string, part bigint, number bigint, n_docs bigint, n_tokens bigint, n_bytes bigint"), "manifest")
 
 
-def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Decodes all files of a folder: file, place in it, doc_id, tokens before it in the file, n_tokens and ids (uint32)."""
+def read_files(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
+    """Decodes all files of a folder: file, doc_id, tokens before it in the file, n_tokens, ids (little-endian uint32; null if not asked for) and ids_crc32 of these bytes."""
     t = Table.parse(bytes(spark.read.format("binaryFile").load(f"{folder}/table.ktt").select("content").first()[0]))
     freq, bits = t.freq, t.bits
-    out = pa.schema([("file", pa.string()), ("doc_id", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    out = pa.schema([("file", pa.string()), ("doc_id", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Table(freq, bits)
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 keys, lens, ids = decode_file(content.as_buffer().to_pybytes(), coder)
-                ends = np.cumsum(lens)
+                ends, data = np.cumsum(lens), memoryview(ids.astype("<u4").tobytes())
                 for a in range(0, len(keys), 1000):
-                    rows = range(a, min(a + 1000, len(keys)))
-                    yield batch(out, file=[path.rpartition("/")[2]] * len(rows), doc_id=keys[a : a + 1000], before=(ends - lens)[a : a + 1000], n_tokens=lens[a : a + 1000], ids=[ids[ends[k] - lens[k] : ends[k]].astype("<u4").tobytes() for k in rows])
+                    own = [data[4 * i : 4 * j] for i, j in zip((ends - lens)[a : a + 1000].tolist(), ends[a : a + 1000].tolist(), strict=True)]
+                    yield batch(
+                        out, file=[path.rpartition("/")[2]] * len(own), doc_id=keys[a : a + 1000], before=(ends - lens)[a : a + 1000], n_tokens=lens[a : a + 1000],
+                        ids=[x.tobytes() if with_ids else None for x in own], ids_crc32=[zlib.crc32(x) for x in own],
+                    )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ktx").load(folder).select("path", "content")
-    return map_arrow(files, run, "file string, doc_id bigint, before bigint, n_tokens bigint, ids binary")
+    return map_arrow(files, run, "file string, doc_id bigint, before bigint, n_tokens bigint, ids binary, ids_crc32 bigint")
 
 
 def write_table(spark: SparkSession, folder: str, t: Table) -> None:
@@ -302,5 +303,5 @@ def write_corpus(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0)
 def op3_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "rans")
     manifest = write_corpus(table(spark, sf_dir, "documents"), folder, public_path("byte_bpe_50k.json"))
-    back = read_files(spark, folder).select("file", "doc_id", "before", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    back = read_files(spark, folder, with_ids=False).drop("ids")
     return back.join(manifest.select("file", "base"), "file").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
