@@ -32,8 +32,12 @@ def classify_document(docs: DataFrame, categories: DataFrame, backend: Backend,
 
 
 def passages(docs: DataFrame, backend: Backend, splitter=sentences.regex_sentences) -> DataFrame:
-    """(doc_id, pos, sentence, e) of all sentences; each distinct sentence text could also come from a cache."""
-    return backend.embed(sentences.split(docs, splitter), "sentence", "e")
+    """(doc_id, pos, sentence, e) of all sentences.
+
+    The exchange by document that the measures need comes before embedding: it moves sentences instead of vectors, and all that
+    follows (windows, sums of vectors) needs no other.
+    """
+    return backend.embed(sentences.split(docs, splitter).repartition(F.col("doc_id")), "sentence", "e")
 
 
 def analyze_trajectory(docs: DataFrame, backend: Backend, acceleration_threshold: float = 0.3, include_sentences: bool = False, splitter=sentences.regex_sentences) -> DataFrame:

@@ -143,7 +143,7 @@ def analyze_documents(spark, d):
 
 @query(f"WITH {CONVSEQ}, {MOTION}, {spiked(0.3)}, {MEASURE} {REPORT}")
 def analyze_conversations(spark, d):
-    turns = read(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), "text")
+    turns = read(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), "text").repartition(F.col("doc_id"))
     return reported(HashBackend().embed(turns).select("doc_id", "pos", "e"), 0.3)
 
 
