@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinetext.llm.common import aside, batch, map_arrow, materialize, mix, shuffle_partitions, ship, table
@@ -23,8 +23,8 @@ from kinetext.llm.graph import components, local_components
 RADIUS, SHINGLE, SEED = 2, 3, 42
 #: The most fingerprints of the sample that the upper tree is built from (8 per shard, 8192 at least), and fingerprints per shard aimed at.
 SAMPLE, SHARD = 1 << 19, 20_000
-#: For links by similarity: bands of two minima each, bits that fingerprints of similar texts may differ in, nodes that meet at once.
-BANDS, SLACK, CHUNK = 8, 20, 512
+#: For links by similarity: bands of two minima each, nodes of a block, bits of a parity map at most.
+BANDS, CHUNK, MOST_BITS = 8, 512, 1 << 17
 _ODD = [np.uint64(int(x) | 1) for x in np.random.default_rng(77).integers(1 << 62, 1 << 63, 2 * BANDS)]
 
 
@@ -156,23 +156,15 @@ def links(members: np.ndarray, queries: np.ndarray, radius: int, block: int = 10
                     yield own[i], part[j]
 
 
-def near_duplicates(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard: int = SHARD, more: DataFrame | None = None) -> DataFrame:
-    """For ``fps`` (doc_id, fp): each row with component_id, the smallest doc_id that links of ``radius`` bits reach.
-
-    ``more``: further links (a, b) between the smallest doc_ids of fingerprints.
-
-    Equal fingerprints are one node, so a group of copies never becomes pairs. A null doc_id takes part and never is a
-    component's name unless all its rows are null; repeated rows stay; an empty table gives no rows.
-    """
-    spark = fps.sparkSession
+def dealt(nodes: DataFrame, radius: int, sample: int = SAMPLE, shard: int = SHARD) -> GroupedData:
+    """``nodes`` (distinct fp, rep) by the leaves of an upper tree, as members and queries (leaf, fp, rep, query)."""
+    spark = nodes.sparkSession
     ship(spark)
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
     n = nodes.count()
     shards = max(1, min(n // shard + 1, sample // 8))
     drawn = np.array([r.fp for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(min(sample, max(8192, 8 * shards))).collect()], np.int64).view(np.uint64)
     tree = build(drawn, shards)
     out = pa.schema([("leaf", pa.int64()), ("fp", pa.int64()), ("rep", pa.int64()), ("query", pa.bool_())])
-    forest = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,6 +172,19 @@ def near_duplicates(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE,
             rows, leaf, query = route(f, tree, radius)
             yield batch(out, leaf=leaf, fp=f[rows].view(np.int64), rep=b.column(1).take(pa.array(rows)), query=query)
 
+    rows = map_arrow(nodes.select("fp", "rep"), deal, "leaf bigint, fp bigint, rep bigint, query boolean")
+    return rows.repartition(shuffle_partitions(spark), "leaf").groupBy("leaf")
+
+
+def near_duplicates(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
+    """For ``fps`` (doc_id, fp): each row with component_id, the smallest doc_id that links of ``radius`` bits reach.
+
+    Equal fingerprints are one node, so a group of copies never becomes pairs. A null doc_id takes part and never is a
+    component's name unless all its rows are null; repeated rows stay; an empty table gives no rows.
+    """
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
+    forest = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
     def search(group: pa.Table) -> pa.Table:
         group = group.filter(group["rep"].is_valid()) if group["rep"].null_count else group
         query, f, rep = group["query"].to_numpy(), group["fp"].to_numpy().view(np.uint64), group["rep"].to_numpy()
@@ -194,40 +199,77 @@ def near_duplicates(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE,
         linked = low[label] != rep
         return pa.table({"a": rep[linked], "b": low[label][linked]}, schema=forest)
 
-    dealt = map_arrow(nodes.select("fp", "rep"), deal, "leaf bigint, fp bigint, rep bigint, query boolean")
-    edges = dealt.repartition(shuffle_partitions(spark), "leaf").groupBy("leaf").applyInArrow(search, "a bigint, b bigint")
-    comp = components(edges if more is None else edges.unionByName(more))
+    comp = components(dealt(nodes, radius, sample, shard).applyInArrow(search, "a bigint, b bigint"))
     named = nodes.join(comp, nodes.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp")
 
 
-def sketch(text: bytes, k: int) -> tuple[int, list[int]]:
-    """Fingerprint and band values of a text: each band joins the minima of two hash functions over the shingles. No words: no bands."""
-    total, ones, low = 0, np.zeros(64, np.int64), None
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """A map of 2 to 4 bits per distinct shingle; each bit tells whether an odd number of shingles falls on it.
+
+    Two maps differ in at most as many bits as their sets have shingles that aren't in both, and a map folds to half its length.
+    """
+    bits = min(MOST_BITS, 1 << max(6, (2 * len(shingles) - 1).bit_length()))
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def candidates(sizes: np.ndarray, maps: list[np.ndarray], threshold: float, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that can reach ``threshold`` by their sizes and parity maps, which loses none; with ``side`` only pairs across."""
+    words = np.array([len(m) for m in maps])
+    levels = {int(n): np.flatnonzero(words == n) for n in np.unique(words)}
+    for low, mine in levels.items():
+        for high, others in levels.items():
+            if high < low or high * threshold > 2 * low:
+                continue
+            x, y = np.stack([maps[i] for i in mine]), np.stack([maps[i] for i in others])
+            while y.shape[1] > low:
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+            a, b = sizes[mine][:, None], sizes[others][None, :]
+            near = np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9
+            if side is not None:
+                near &= side[mine][:, None] != side[others][None, :]
+            if low == high:
+                near = np.triu(near, 1)
+            if not near.any():
+                continue
+            off, step = np.zeros(near.shape, np.int32), max(1, (1 << 18) // near.size)
+            for c in range(0, low, step):
+                off += np.bitwise_count(x[:, None, c : c + step] ^ y[None, :, c : c + step]).sum(axis=2, dtype=np.int32)
+            i, j = np.nonzero(near & (off <= (1 - threshold) / (1 + threshold) * (a + b) + 1e-9))
+            if len(i):
+                yield mine[i], others[j]
+
+
+def sketch(text: bytes, k: int) -> tuple[int, int, int, list[int], bytes]:
+    """Fingerprint, hash and size of the set of shingles, its band values (each joins the minima of two hash functions) and parity map. No words: no bands."""
+    total, ones, sets = 0, np.zeros(64, np.int64), []
     for h in shingle_hashes(text.lower(), k):
         total += len(h)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        own = np.array([(h * c).min() for c in _ODD], np.uint64)
-        low = own if low is None else np.minimum(low, own)
-    if low is None:
-        return 0, []
+        sets.append(np.unique(h))
+    if not sets:
+        return 0, 0, 0, [], b""
+    own = np.unique(np.concatenate(sets)) if len(sets) > 1 else sets[0]
+    low = np.array([(own * c).min() for c in _ODD], np.uint64)
     bands = mix(mix(low[0::2]) + low[1::2]) ^ np.arange(BANDS, dtype=np.uint64)
-    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0]), bands.view(np.int64).tolist()
+    fp = int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
+    return fp, xxhash.xxh64_intdigest(own.tobytes(), SEED), len(own), bands.view(np.int64).tolist(), parity(own).tobytes()
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, fp, bands and _key of every row."""
-    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("_key", pa.int64())])
+    """doc_id, fp, sid (hash of the set of shingles), size (of the set), bands, map and _key of every row."""
+    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("sid", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64())), ("map", pa.binary()), ("_key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [sketch(t.as_buffer().to_pybytes() if t.is_valid else b"", k) for t in b.column(1)]
-            yield batch(out, doc_id=b.column(0), fp=np.array([f for f, _ in got], np.uint64).view(np.int64), bands=[x for _, x in got], _key=b.column(2))
+            fp, sid, size, bands, maps = zip(*[sketch(t.as_buffer().to_pybytes() if t.is_valid else b"", k) for t in b.column(1)], strict=True) if b.num_rows else [()] * 5
+            yield batch(out, doc_id=b.column(0), fp=np.array(fp, np.uint64).view(np.int64), sid=np.array(sid, np.uint64).view(np.int64), size=list(size), bands=list(bands), map=list(maps), _key=b.column(2))
 
-    return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), row_key().alias("_key")), run, "doc_id bigint, fp bigint, bands array<bigint>, _key bigint")
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), row_key().alias("_key")), run, "doc_id bigint, fp bigint, sid bigint, size bigint, bands array<bigint>, map binary, _key bigint")
 
 
-def similar(sets: list[np.ndarray], threshold: float, most: int = 30_000_000) -> tuple[np.ndarray, np.ndarray]:
+def similar(sets: list[np.ndarray], threshold: float, most: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of sets with a Jaccard similarity of at least ``threshold``, from exact sizes of all intersections."""
     size = np.array([len(x) for x in sets])
     names, at = np.unique(np.concatenate(sets), return_inverse=True)
@@ -242,22 +284,19 @@ def similar(sets: list[np.ndarray], threshold: float, most: int = 30_000_000) ->
     return np.nonzero(np.triu(both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9, 1))
 
 
-def verified_links(docs: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(a, b): a spanning forest of links between ``nodes`` (fp, rep, _key, bands) whose texts have a similarity of at least ``threshold``.
+def verified(docs: DataFrame, met: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(a, b): a spanning forest of links between nodes that meet (spot, side, sid, size, map, _key) and have a similarity of at least ``threshold``.
 
-    Nodes that share a band meet, in chunks of about CHUNK: a larger group is dealt anew by each of the bands, so its members stay
-    connected through the others. Those whose fingerprints lie within SLACK bits are compared by their whole shingle sets.
+    Within a spot, nodes of different sides are compared; of a spot with one side only, all. Parity maps tell which nodes can have a
+    partner; those are compared by their whole shingle sets.
     """
-    bands = nodes.filter("rep is not null").select("fp", "rep", "_key", F.explode("bands").alias("band"))
-    counts = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = bands.join(counts, "band").withColumn("chunk", F.pmod(F.xxhash64("fp", "band"), F.ceil(F.col("n") / CHUNK)))
-    out = pa.schema([("band", pa.int64()), ("chunk", pa.int64()), ("fp", pa.int64()), ("rep", pa.int64()), ("_key", pa.int64())])
+    out = pa.schema([("spot", pa.int64()), ("sid", pa.int64()), ("_key", pa.int64())])
     forest = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def near(group: pa.Table) -> pa.Table:
-        f = group["fp"].to_numpy().view(np.uint64)
-        hit = np.zeros(len(f), bool)
-        for i, j in links(f, f[:0], SLACK):
+        side, size = group["side"].to_numpy(), group["size"].to_numpy()
+        hit = np.zeros(len(size), bool)
+        for i, j in candidates(size, [np.frombuffer(x, np.uint64) for x in group["map"].to_pylist()], threshold, side if side.min() != side.max() else None):
             hit[i] = hit[j] = True
         return group.select(out.names).filter(pa.array(hit)).cast(out)
 
@@ -268,44 +307,112 @@ def verified_links(docs: DataFrame, nodes: DataFrame, k: int, threshold: float)
             yield batch(kind, _key=b.column(0), shingles=got)
 
     def verify(group: pa.Table) -> pa.Table:
-        f, rep = group["fp"].to_numpy().view(np.uint64), group["rep"].to_numpy()
+        sid = group["sid"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
-        label = np.arange(len(f))
-        for i, j in links(f, f[:0], SLACK):
-            label = local_components(len(f), np.concatenate([np.arange(len(f)), i]), np.concatenate([label, j]))
+        label = np.arange(len(sid))
+        for i, j in candidates(np.array([len(x) for x in sets]), [parity(x) for x in sets], threshold):
+            label = local_components(len(sid), np.concatenate([np.arange(len(sid)), i]), np.concatenate([label, j]))
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for c in np.flatnonzero(np.bincount(label, minlength=len(f)) > 1):
+        for c in np.flatnonzero(np.bincount(label, minlength=len(sid)) > 1):
             own = np.flatnonzero(label == c)
             i, j = similar([sets[x] for x in own], threshold)
             comp = local_components(len(own), i, j)
             low = np.full(len(own), np.iinfo(np.int64).max)
-            np.minimum.at(low, comp, rep[own])
-            linked = low[comp] != rep[own]
-            a.append(rep[own][linked])
+            np.minimum.at(low, comp, sid[own])
+            linked = low[comp] != sid[own]
+            a.append(sid[own][linked])
             b.append(low[comp][linked])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)}, schema=forest)
 
-    close = materialize(met.groupBy("band", "chunk").applyInArrow(near, "band bigint, chunk bigint, fp bigint, rep bigint, _key bigint"), "close")
+    close = materialize(met.groupBy("spot").applyInArrow(near, "spot bigint, sid bigint, _key bigint"), "close")
     texts = docs.select(row_key().alias("_key"), "text").join(close.select("_key").distinct(), "_key", "left_semi")
     sets = map_arrow(texts, shingle_sets, "_key bigint, shingles binary").dropDuplicates(["_key"])
-    return close.join(sets, "_key").groupBy("band", "chunk").applyInArrow(verify, "a bigint, b bigint")
+    return materialize(close.join(sets, "_key").groupBy("spot").applyInArrow(verify, "a bigint, b bigint"), "verified")
+
+
+def blocks(bands: DataFrame) -> DataFrame:
+    """``bands`` (band, sid, component) so that all nodes of a band meet, save those that a component joins already: sid, spot, side.
+
+    Components of over CHUNK nodes in a band are cut into blocks of their own, which needn't meet each other; all other nodes share
+    blocks. Of two blocks that meet, each is a side; a shared block meets itself too.
+    """
+    many = bands.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n")).withColumn("unit", F.when(F.col("n") > CHUNK, F.col("component")))
+    units = many.groupBy("band", "unit").agg(F.ceil(F.sum("n") / CHUNK).cast("bigint").alias("parts"))
+    block = lambda part: F.struct(F.col("unit").isNotNull().alias("own"), F.coalesce("unit", F.lit(0)).alias("unit"), part.alias("part"))
+    every = units.select("band", "unit", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("band", block(F.col("part")).alias("other"))
+    placed = bands.join(many.filter("unit is not null").select("band", "component", "unit"), ["band", "component"], "left").alias("x")
+    placed = placed.join(units.alias("u"), (F.col("x.band") == F.col("u.band")) & F.col("x.unit").eqNullSafe(F.col("u.unit"))).select("x.band", "sid", "x.unit", F.pmod(F.xxhash64("sid", "x.band"), F.col("parts")).alias("part"))
+    mine = placed.select("band", "sid", block(F.col("part")).alias("mine"))
+    pairs = mine.join(every, "band").filter(~F.col("mine.own") | (F.col("mine.unit") != F.col("other.unit")) | ~F.col("other.own"))
+    spot = F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other"))
+    return pairs.select("sid", spot.alias("spot"), (F.col("mine") > F.col("other")).alias("side"))
+
+
+def fingerprint_pairs(fps: DataFrame, radius: int) -> DataFrame:
+    """Pairs of fingerprints of ``fps`` (fp, component) within ``radius`` bits whose nodes no component joins already: center, fp."""
+    nodes = materialize(fps.groupBy("fp").agg(F.when(F.min("component") == F.max("component"), F.min("component")).alias("rep")), "fingerprints")
+    out = pa.schema([("center", pa.int64()), ("fp", pa.int64())])
+
+    def search(group: pa.Table) -> pa.Table:
+        query, f, rep = group["query"].to_numpy(), group["fp"].to_numpy(), group["rep"].to_pandas(integer_object_nulls=True).to_numpy()
+        order = np.concatenate([np.flatnonzero(~query), np.flatnonzero(query)])
+        f, k = f[order], int((~query).sum())
+        mixed, known = np.array([r is None for r in rep[order]], bool), np.array([r or 0 for r in rep[order]], np.int64)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, j in links(f[:k].view(np.uint64), f[k:].view(np.uint64), radius):
+            open_ = mixed[i] | mixed[j] | (known[i] != known[j])
+            low, high = np.minimum(f[i], f[j])[open_], np.maximum(f[i], f[j])[open_]
+            a += [low, np.unique(low)]
+            b += [high, np.unique(low)]
+        return pa.table({"center": np.concatenate(a), "fp": np.concatenate(b)}, schema=out)
+
+    return dealt(nodes, radius).applyInArrow(search, "center bigint, fp bigint").distinct()
+
+
+def verified_links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, radius: int, threshold: float) -> DataFrame:
+    """(node, component) of the links between ``nodes`` (sid, _key, size, bands, map): texts that share a band or whose fingerprints
+    (``rows``: sid, fp) lie within ``radius`` bits, and whose similarity is at least ``threshold``.
+
+    First all meet by band and by equal fingerprint, larger groups in chunks. Then, block against block, larger groups
+    meet as a whole, and the pairs within the radius, in both cases without what the first links have joined.
+    """
+    own = materialize(rows.filter("size > 0").select("sid", "fp").distinct(), "fps")
+    bands = nodes.select("sid", F.explode("bands").alias("band")).unionByName(own.select("sid", F.xxhash64("fp", F.lit("fp")).alias("band")))
+    counts = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    bands = materialize(bands.join(counts, "band"), "bands")
+    facts = nodes.select("sid", "_key", "size", "map")
+    spot = F.xxhash64("band", F.pmod(F.xxhash64("sid", "band"), F.ceil(F.col("n") / CHUNK)))
+    joined = verified(docs, bands.select("sid", spot.alias("spot"), F.lit(False).alias("side")).join(facts, "sid"), k, threshold)
+    comp = components(joined)
+
+    component = F.coalesce("component", "sid").alias("component")
+    fps = own.join(comp, own.sid == comp.node, "left").select("sid", "fp", component)
+    stars = fingerprint_pairs(fps, radius).join(fps, "fp").select(F.xxhash64("center", F.lit("star")).alias("band"), "sid", "component").distinct()
+    large = bands.filter(F.col("n") > CHUNK)
+    large = large.join(comp, large.sid == comp.node, "left").select("band", "sid", component)
+    rest = materialize(large.unionByName(stars), "rest")
+    if rest.isEmpty():
+        return comp
+    more = verified(docs, blocks(rest).join(facts, "sid"), k, threshold)
+    return components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
 def keep_one(docs: DataFrame, radius: int = 2, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group that links join, the row of the smallest doc_id stays (nulls last;
     ties: the smaller hash of the row; of equal rows one).
 
-    Two texts link if the fingerprints of their ``k``-word shingles lie within ``radius`` bits, or if they share a band, lie
-    within SLACK bits and their shingle sets have a Jaccard similarity of at least ``threshold``. All columns stay; an
-    empty table stays empty.
+    Two texts link if they share a band, or the fingerprints of their ``k``-word shingles lie within ``radius`` bits, and if their
+    sets of shingles have a Jaccard similarity of at least ``threshold``. Texts of one set are one node; those without words
+    count as copies. All columns stay; an empty table stays empty.
     """
     plain, back = aside(docs, "doc_id", "text")
     rows = materialize(sketches(plain, k), "simhash")
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_key"))
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min(first).getField("_key").alias("_key"), F.min_by("bands", first).alias("bands")), "nodes")
-    groups = near_duplicates(rows.select("doc_id", "fp", "_key"), radius, more=verified_links(plain, nodes, k, threshold))
-    # groups without any doc_id are told apart by their fingerprints
-    kept = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(F.min(first).alias("one")).select(F.col("one._key").alias("_key"))
+    nodes = rows.groupBy("sid").agg(F.min(first).alias("one"), F.min_by(F.struct("size", "bands", "map"), first).alias("x"))
+    nodes = materialize(nodes.select("sid", "one", F.col("one._key").alias("_key"), "x.*"), "nodes")
+    comp = verified_links(plain, rows, nodes, k, radius, threshold)
+    groups = nodes.join(comp, nodes.sid == comp.node, "left").groupBy(F.coalesce("component", "sid").alias("group"))
+    kept = groups.agg(F.min("one").alias("one")).select(F.col("one._key").alias("_key"))
     found = plain.withColumn("_key", row_key()).join(kept.distinct(), "_key")
     again = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
     return back(found.withColumn("_again", again).filter("_again = 1"))

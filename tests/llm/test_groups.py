@@ -159,3 +159,50 @@ def test_multi_sequence_order():
     full = (multi_index.distances(x[:, :3], ix.first)[:, :, None] + multi_index.distances(x[:, 3:], ix.second)[:, None, :]).reshape(20, -1)
     assert (ix.order(x) == full.argsort(axis=1, kind="stable")[:, :9]).all()
     assert (ix.cells(x) == full.argmin(axis=1)).all() and (ix.order(x)[:, 0] == ix.cells(x)).all()
+
+
+def _words(rng, n):
+    return ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+
+
+def _kept(spark, rows):
+    return sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect())
+
+
+def test_large_band(spark, monkeypatch):
+    """Near copies among many different texts that share a band, which is larger than a chunk: none is lost."""
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    rng = random.Random(3)
+    rows = []
+    for _ in range(60):
+        w = _words(rng, 60)
+        rows += [" ".join(w), " ".join(w[:-1] + _words(rng, 1))]
+    # one value for all bands: a text meets its copy in that group only
+    real = simhash.sketch
+    monkeypatch.setattr(simhash, "sketch", lambda t, k: tuple([7] if isinstance(x, list) else x for x in real(t, k)))
+    assert _kept(spark, rows) == list(range(0, 120, 2))
+
+
+def test_radius_pairs(spark):
+    """Similar texts that share no band are found by their fingerprints."""
+    rng = random.Random(8)
+    w = _words(rng, 400)
+    rows = [" ".join(w), " ".join(w[:-1] + _words(rng, 1)), " ".join(_words(rng, 400))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id bigint, text string")
+    s = simhash.sketches(df, 5).withColumn("bands", F.array().cast("array<bigint>"))
+    nodes = s.select("sid", "_key", "size", "bands", "map")
+    assert simhash.verified_links(df, s, nodes, 5, 8, 0.8).count() == 1
+
+
+def test_parity_maps():
+    """No pair that reaches the threshold is lost by the maps."""
+    rng = np.random.default_rng(9)
+    sets = []
+    for n in (1, 5, 9, 31, 32, 33, 70, 500):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        sets += [np.unique(np.concatenate([base[: n - d], rng.integers(0, 1 << 63, e, dtype=np.uint64)])) for d in range(0, max(1, n // 5)) for e in (0, d, n // 4)]
+    sets = [s for s in sets if len(s)][:400]
+    i, j = simhash.similar(sets, 0.8)
+    want = set(zip(i.tolist(), j.tolist(), strict=True))
+    got = {(min(a, b), max(a, b)) for x, y in simhash.candidates(np.array([len(s) for s in sets]), [simhash.parity(s) for s in sets], 0.8) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+    assert len(want) > 100 and want <= got
