@@ -183,6 +183,17 @@ def test_large_band(spark, monkeypatch):
     assert _kept(spark, rows) == list(range(0, 120, 2))
 
 
+def test_repeated_line_in_a_copy(spark):
+    """A copy that also repeats a line: its fingerprint is far off, its set of shingles near."""
+    rng = random.Random(4)
+    rows = []
+    for _ in range(20):
+        w = _words(rng, 150)
+        rows += [" ".join(w), " ".join(w + _words(rng, 10) * 50)]
+    far = [(simhash.fingerprint(a.encode(), 5) ^ simhash.fingerprint(b.encode(), 5)).bit_count() for a, b in zip(rows[::2], rows[1::2], strict=True)]
+    assert max(far) > 20 and _kept(spark, rows) == list(range(0, 40, 2))
+
+
 def test_radius_pairs(spark):
     """Similar texts that share no band are found by their fingerprints."""
     rng = random.Random(8)

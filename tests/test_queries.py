@@ -40,3 +40,25 @@ def test_runs(spark, sf, name):
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_all_documents_compared(spark, sf):
+    """Every document against the one before it in its source, with the pairs made by hand."""
+    from kinetext.operators.embedding import HashBackend
+    from kinetext.plans import api
+
+    rows = sorted(((r.source or "", r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()), key=lambda r: r[:2])
+    pairs = [(b[1], a[2] if a and a[0] == b[0] else None, b[2]) for a, b in zip([None, *rows], rows)]
+    want = api.compare_trajectories(spark.createDataFrame(pairs, "pair_id bigint, golden_text string, synthetic_text string"), HashBackend())
+    plain = lambda df: {r.pair_id: (r.error, _plain(r.fitness_score)) for r in df.collect()}
+    got = plain(core.QUERIES["compare_documents"](spark, sf))
+    assert set(got) == {r[1] for r in rows} and got == plain(want)
+
+
+def test_all_items_compared(spark, sf):
+    """Word sets of all documents and all items by brute force."""
+    sets = lambda name, key: [(r[0], frozenset(r[1])) for r in spark.read.parquet(f"{sf}/{name}.parquet").select(key, core.tx.word_set(core.F.col("text"))).collect()]
+    docs, items = sets("documents", "doc_id"), sets("benchmark", "item_id")
+    want = {(i, j): round(len(x & y) / len(x | y), 5) for i, x in docs for j, y in items if x & y}
+    got = {(r.doc_id, r.item_id): r.jaccard for r in core.QUERIES["jaccard_benchmark_all"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
