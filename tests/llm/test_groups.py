@@ -194,6 +194,15 @@ def test_repeated_line_in_a_copy(spark):
     assert max(far) > 20 and _kept(spark, rows) == list(range(0, 40, 2))
 
 
+def test_different_texts_with_one_line(spark):
+    """Different texts dominated by one line have near fingerprints and all stay."""
+    rng = random.Random(5)
+    line = _words(rng, 11) * 20
+    rows = [" ".join(_words(rng, 60) + line) for _ in range(20)]
+    fps = [simhash.fingerprint(t.encode(), 5) for t in rows]
+    assert min((a ^ b).bit_count() for a in fps for b in fps if a is not b) <= 2 and _kept(spark, rows) == list(range(20))
+
+
 def test_radius_pairs(spark):
     """Similar texts that share no band are found by their fingerprints."""
     rng = random.Random(8)
