@@ -203,6 +203,18 @@ def test_different_texts_with_one_line(spark):
     assert min((a ^ b).bit_count() for a in fps for b in fps if a is not b) <= 2 and _kept(spark, rows) == list(range(20))
 
 
+def test_texts_of_one_fingerprint(spark):
+    """Each of several texts of one fingerprint gets its own near copies."""
+    rng = random.Random(6)
+    line = _words(rng, 11)
+    firsts = [_words(rng, 60) for _ in range(6)]
+    rows = [" ".join(w + line * 400) for w in firsts]
+    rows += [" ".join(w[:-1] + _words(rng, 1) + _words(rng, 3) + line * 3) for w in firsts]
+    fps = [simhash.fingerprint(t.encode(), 5) for t in rows]
+    assert len(set(fps[:6])) < 6 and min((a ^ b).bit_count() for a in fps[:6] for b in fps[6:]) > 2
+    assert _kept(spark, rows) == list(range(6))
+
+
 def test_radius_pairs(spark):
     """Similar texts that share no band are found by their fingerprints."""
     rng = random.Random(8)
