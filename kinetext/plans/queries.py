@@ -405,20 +405,6 @@ def jaccard_benchmark(spark, d):
     return t.join(b.select("item_id", tx.word_set(F.col("text")).alias("w")), "item_id").select("doc_id", "item_id", F.round(tx.jaccard(F.col("x"), F.col("w")), 6).alias("jaccard"))
 
 
-@query()
-def jaccard_benchmark_all(spark, d):
-    """The similarity of every document with every item, where it isn't 0: words in common are counted by a join of the word sets of distinct texts."""
-
-    def sets(t, key, size):
-        return t.select(tx.text_key(F.col("text")).alias(key), tx.word_set(F.col("text")).alias("w")).dropDuplicates([key]).select(key, F.size("w").alias(size), F.explode("w").alias("word"))
-
-    docs, items = texts(spark, d), read(spark, d, "benchmark").select("item_id", "text")
-    both = sets(docs, "x", "n_x").join(F.broadcast(sets(items, "y", "n_y")), "word").groupBy("x", "y", "n_x", "n_y").agg(F.count(F.lit(1)).alias("n"))
-    found = both.select("x", "y", F.round(F.col("n") / (F.col("n_x") + F.col("n_y") - F.col("n")), 6).alias("jaccard"))
-    named = found.join(F.broadcast(items.select("item_id", tx.text_key(F.col("text")).alias("y"))), "y")
-    return docs.select("doc_id", tx.text_key(F.col("text")).alias("x")).join(named, "x").select("doc_id", "item_id", "jaccard")
-
-
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events")
 def iso8601_format(spark, d):
     return read(spark, d, "events").select("event_id", timestamps.to_iso8601(F.col("ts").cast("timestamp")).alias("iso"))
