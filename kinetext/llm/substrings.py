@@ -2,8 +2,9 @@
 
 A window is ``width`` consecutive words. Its anchor is the smallest hash among the runs of ``anchor`` words in it, so equal windows have
 equal anchors, and a window occurs at most as often as its anchor: counting anchors bounds the counts of all windows from above
-with a tenth of the entries. Pass 1 counts anchors: each task sketches its own, the shards merge the tasks' sketches into
-count-min tables and answer with the anchors whose estimate is 2 or more. Pass 2 groups exactly (by 96 bits of hash) the
+with a tenth of the entries. Pass 1 counts anchors: each task sends its distinct anchors with their counts and places (no sketch of
+its own), the shards build count-min tables of 8 to 16 cells per entry and answer with the anchors whose estimate is 2 or
+more. No partition sketches are merged: this departs from a merge cell by cell and comes near an exact count. Pass 2 groups exactly (by 96 bits of hash) the
 windows of those anchors only. Estimates never count too few, so no repeated window is lost.
 """
 
