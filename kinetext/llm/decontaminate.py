@@ -36,14 +36,18 @@ def shingles(w: Column, k: int = SHINGLE) -> Column:
 
 
 def fingerprint(hashes: Column) -> Column:
-    """The 64 bits that are set in over half of the hashes; counters of 16 bits lie four to a long, so up to 65,535 shingles."""
+    """The 64 bits that are set in over half of the hashes; counters of 16 bits lie four to a long, those of over 32,767 shingles have 32 bits (the uppermost must not reach the sign)."""
+    return F.when(F.size(hashes) <= 0x7FFF, _fingerprint(hashes, 16, 0x0001000100010001)).otherwise(_fingerprint(hashes, 32, 0x0000000100000001))
+
+
+def _fingerprint(hashes: Column, wide: int, ones: int) -> Column:
     lanes = F.aggregate(
-        hashes, F.array_repeat(F.lit(0).cast("long"), 16),
-        lambda acc, h: F.transform(acc, lambda a, j: a + F.call_function("shiftrightunsigned", h, j).bitwiseAND(F.lit(0x0001000100010001))),
+        hashes, F.array_repeat(F.lit(0).cast("long"), wide),
+        lambda acc, h: F.transform(acc, lambda a, j: a + F.call_function("shiftrightunsigned", h, j).bitwiseAND(F.lit(ones))),
     )
     def finish(x: Column) -> Column:
         def fold(f: Column, b: Column) -> Column:
-            count = F.call_function("shiftrightunsigned", F.get(x["lanes"], b % 16), (b / 16).cast("int") * 16).bitwiseAND(F.lit(0xFFFF))
+            count = F.call_function("shiftrightunsigned", F.get(x["lanes"], b % wide), (b / wide).cast("int") * wide).bitwiseAND(F.lit((1 << wide) - 1))
             return f.bitwiseOR(F.when(count * 2 > x["n"], F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
 
         return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), fold)
@@ -72,9 +76,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
     """
     it = items.select("item_id", words(F.col("text")).alias("t")).filter(F.size("t") > 0).distinct()
     it = it.withColumn("size", F.size("t"))
-    facts = it.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum("size"), F.lit(0)).alias("words"), F.coalesce(F.max("size"), F.lit(0)).alias("longest"), F.collect_set(F.when(F.col("size") < SHINGLE, F.col("size"))).alias("short")).first()
-    if facts.longest > 65_000:
-        raise ValueError(f"an item has {facts.longest} words; fingerprints count up to 65,535 shingles")
+    facts = it.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum("size"), F.lit(0)).alias("words"), F.collect_set(F.when(F.col("size") < SHINGLE, F.col("size"))).alias("short")).first()
     passes = max(1, -(-facts.items // MOST_ITEMS), -(-facts.words // MOST_WORDS))
     base = docs.select("doc_id", words(F.col("text")).alias("w"))
     found = [x for n in range(passes) for x in _pass(base, it.filter(F.pmod(F.xxhash64("t"), F.lit(passes)) == n) if passes > 1 else it, sorted(facts.short), threshold)]

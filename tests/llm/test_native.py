@@ -125,3 +125,16 @@ def test_plans_are_native(spark, sf, capsys):
         q(spark, sf).explain()
         plan = capsys.readouterr().out
         assert not re.search("Python|Arrow|Pandas|CartesianProduct", plan)
+
+
+def test_wide_fingerprints(spark):
+    """Fingerprints of more shingles than a counter of 16 bits can hold."""
+    rng = random.Random(12)
+    hashes = [rng.getrandbits(64) - (1 << 63) for _ in range(70_000)]
+    for n in (32_767, 32_768, 65_536, 70_000):
+        df = spark.createDataFrame([(hashes[:n],)], "h array<bigint>")
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes[:n]) > n)
+        assert df.select(decontaminate.fingerprint(F.col("h")).alias("f")).first().f % (1 << 64) == want
+    for n in (32_767, 32_768, 70_000):
+        same = spark.createDataFrame([([-1] * n,)], "h array<bigint>")
+        assert same.select(decontaminate.fingerprint(F.col("h")).alias("f")).first().f == -1
