@@ -3,15 +3,17 @@
 Remove each byte that a ``WIDTH``-byte string covers which also starts earlier (smaller doc_id, or the same document and an earlier byte).
 
 1. Anchors. A window's anchor is the smallest hash among its grams of ``GRAM`` bytes; equal windows have equal anchors at equal
-   offsets, and each anchor owns the windows that chose it. Tasks send, by gram, one entry per distinct surroundings (all bytes
-   that windows with this anchor can reach). If the same surroundings exist earlier, all owned windows are repeats. A
-   gram that has one kind of surroundings only has no repeats. What remains are the edges of repeated passages.
-2. Suffix sort. The texts around the remaining anchors meet by gram. Their suffixes from the anchor on, and their reversed prefixes
+   offsets, and each anchor owns the windows that chose it. Its surroundings are all bytes that these windows can reach; anchors of one
+   gram and one hash of surroundings (64 bits each) are a class. Tasks send one entry per class. A class that occurs again gets the
+   code CLASS everywhere; of a gram with several classes, the first of each class gets PART as well.
+2. Classes. Every member of a class sends its surroundings (once per task), and members are compared byte by byte with the class's
+   first: all windows of equal later ones are repeats. No hash decides that alone.
+3. Suffix sort. The texts of the classes of one gram meet. Their suffixes from the anchor on, and their reversed prefixes
    before it, are mergesorted; a comparison finds the common extension by binary search over prefix polynomial hashes,
    and the extensions of neighbours are verified byte by byte. Two texts share the window that starts ``t`` bytes
    before the anchor if they fall into one interval of extension ``WIDTH`` - t to the right and t to the left.
-3. Grams with very many kinds of surroundings in one task (one passage in very many places) don't meet by gram: their windows
-   are hashed and meet by that hash, each window once per task.
+4. Grams with very many classes (one passage in very many places) are split: instead of by gram, their windows meet by a hash of the
+   window (code SPREAD), which finds the same repeats; a window that occurs again is a class of its own, verified as in 2.
 
 Equal keys of a task are settled inside it first, so no shard receives a key more often than there are tasks. Order is by
 (doc_id, hash of the text, place); rows equal in both are one document and no repeats of each other.
@@ -33,7 +35,11 @@ from kinetext.llm.substrings import _keys
 
 WIDTH, GRAM = 100, 32
 HELD, SEGMENT, HOT, MANY = 2_000_000, 1 << 21, 64, 4096
-FULL, PART, SPREAD = 1, 2, 3
+#: Surroundings that a task holds before it sends them on, and the bytes of one: offset of the anchor, length, and the text.
+HELD_TEXTS, ROW = 1 << 17, 2 + 2 * WIDTH - GRAM
+CLASS, PART, SPREAD = 1, 2, 4
+#: Kinds of rows in the second exchange: texts of parts, classes, windows that are settled.
+PARTS, CLASSES, SETTLED = 0, 1, 2
 _POS = np.uint64((1 << 22) - 1)
 
 ENTRY = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), *[(c, pa.binary()) for c in ("hashes", "more", "flags", "docs", "codes", "places", "shapes", "texts")]])
@@ -74,12 +80,29 @@ class Segment:
         self.gram = g[self.anchor]
         self.place = self.anchor - off[:-1][self.doc] + shift
 
+    def reach(self, at: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of all bytes that windows with the anchors ``at`` can reach, cut at the text's ends."""
+        anchor, doc = self.anchor[at], self.doc[at]
+        return np.maximum(anchor - (WIDTH - GRAM), self.off[:-1][doc]), np.minimum(anchor + WIDTH, self.off[1:][doc])
+
     def surroundings(self) -> np.ndarray:
-        """A 32-bit hash of all bytes that windows with the anchor can reach, cut at the text's ends."""
-        lo = np.maximum(self.anchor - (WIDTH - GRAM), self.off[:-1][self.doc])
-        hi = np.minimum(self.anchor + WIDTH, self.off[1:][self.doc])
-        h = (self.prefix[hi] - self.prefix[lo]) * powers(_B1, len(self.buf) + 1)[lo]
-        return (mix(h + (hi - lo).astype(np.uint64) * _B2 + (self.anchor - lo).astype(np.uint64) * np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.uint32)
+        """A 64-bit hash of the bytes within reach (by another polynomial than the gram's)."""
+        lo, hi = self.reach()
+        second = np.zeros(len(self.buf) + 1, np.uint64)
+        np.cumsum(_LUT[self.buf] * powers(inverse(_B2), len(self.buf)), out=second[1:])
+        h = (second[hi] - second[lo]) * powers(_B2, len(self.buf) + 1)[lo]
+        return mix(h + (hi - lo).astype(np.uint64) * _B1 + (self.anchor - lo).astype(np.uint64) * np.uint64(0x5851F42D4C957F2D))
+
+    def windows(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The starts of all windows of the anchors ``own``, and whose each is."""
+        n = self.high[own] - self.low[own] + 1
+        return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.low[own], n), np.repeat(own, n)
+
+    def rows(self, lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        """The bytes from ``lo`` to ``hi`` as rows of ROW bytes, after the anchor's offset and the length."""
+        at = lo[:, None] + np.arange(ROW - 2)
+        text = np.where(at < hi[:, None], self.buf[np.minimum(at, len(self.buf) - 1)], 0).astype(np.uint8)
+        return np.concatenate([np.stack([anchor - lo, hi - lo], axis=1).astype(np.uint8), text], axis=1)
 
 
 def segments(b: pa.RecordBatch) -> Iterator[tuple[int, int, Segment]]:
@@ -96,7 +119,9 @@ def segments(b: pa.RecordBatch) -> Iterator[tuple[int, int, Segment]]:
             yield i, j, Segment(text[lo:hi], np.array([0, hi - lo]), lo, a - lo, SEGMENT // 2)
 
 
-def _pack(kind: int, shard: np.ndarray, docs: np.ndarray, doc: np.ndarray, place: np.ndarray, h: np.ndarray | None = None, more: np.ndarray | None = None, flags: np.ndarray | None = None, shapes: np.ndarray | None = None, texts: list[bytes] | None = None) -> Iterator[pa.RecordBatch]:
+def _pack(kind: int, shard: np.ndarray, docs: np.ndarray, doc: np.ndarray, place: np.ndarray, h: np.ndarray | None = None, more: np.ndarray | None = None, flags: np.ndarray | None = None, shapes: np.ndarray | None = None, texts: list[bytes] | np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    if not len(doc):
+        return
     order = np.lexsort((place, doc, shard))
     shard, doc, place = shard[order], doc[order], place[order]
     cut = np.append(np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)).tolist()
@@ -104,7 +129,7 @@ def _pack(kind: int, shard: np.ndarray, docs: np.ndarray, doc: np.ndarray, place
     part = lambda x, a, b: b"" if x is None else x[order[a:b]].tobytes()
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         used, codes = np.unique(doc[a:b], return_inverse=True)
-        rows.append((int(shard[a]), kind, b - a, part(h, a, b), part(more, a, b), part(flags, a, b), docs[used].tobytes(), codes.astype(np.uint32).tobytes(), place[a:b].astype(np.uint32).tobytes(), part(shapes, a, b), b"" if texts is None else b"".join([texts[k] for k in order[a:b].tolist()])))
+        rows.append((int(shard[a]), kind, b - a, part(h, a, b), part(more, a, b), part(flags, a, b), docs[used].tobytes(), codes.astype(np.uint32).tobytes(), place[a:b].astype(np.uint32).tobytes(), part(shapes, a, b), b"".join([texts[k] for k in order[a:b].tolist()]) if isinstance(texts, list) else part(texts, a, b)))
         if len(rows) == 32:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ENTRY, strict=True)], schema=ENTRY)
             rows = []
@@ -136,7 +161,7 @@ def _unpack(group: pa.Table, kind: int) -> dict | None:
         return None
     col = lambda c, d: np.frombuffer(b"".join(t[c].to_pylist()), d)
     docs = np.concatenate([np.frombuffer(d, np.int64).reshape(-1, 2)[np.frombuffer(c, np.uint32)] for d, c in zip(t["docs"].to_pylist(), t["codes"].to_pylist(), strict=True)])
-    return {"docs": docs, "place": col("places", np.uint32).astype(np.int64), "h": col("hashes", np.uint64), "more": col("more", np.uint32), "flags": col("flags", np.uint8), "shapes": col("shapes", np.uint8).reshape(-1, 4), "text": b"".join(t["texts"].to_pylist())}
+    return {"docs": docs, "place": col("places", np.uint32).astype(np.int64), "h": col("hashes", np.uint64), "more": col("more", np.uint64), "flags": col("flags", np.uint8), "shapes": col("shapes", np.uint8).reshape(-1, 4), "text": b"".join(t["texts"].to_pylist())}
 
 
 def _order_keys(docs: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -177,44 +202,64 @@ def anchor_entries(shards: int):
         g, c, doc, place = (np.concatenate([x[k] for x in held]) for k in range(4))
         rank = (_ranks(keys)[doc].astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64)
         order, new_g, new_c, later = settle(g, c, rank)
-        group = np.cumsum(new_g) - 1
+        group, kind = np.cumsum(new_g) - 1, np.cumsum(new_c) - 1
         hot = (np.bincount(group, weights=new_c) > HOT)[group]
+        again = (np.bincount(kind, weights=later) > 0)[kind]
+        # Of a hot gram one entry tells all shards; its classes are settled here.
         send = np.flatnonzero(new_c & ~hot | new_g & hot)
         own = order[send]
-        yield from _pack(0, _shard(g[own], shards), keys, doc[own], place[own], g[own], c[own], hot[send].astype(np.uint8))
-        for code, known in ((FULL, later), (SPREAD, new_c & hot)):
-            own = order[known]
-            if len(own):
-                yield from _pack(code, _home(keys, doc[own], shards), keys, doc[own], place[own])
+        yield from _pack(0, _shard(g[own], shards), keys, doc[own], place[own], g[own], c[own], np.where(hot, 2, again)[send].astype(np.uint8))
+        code = np.where(new_c & hot, SPREAD, 0) | np.where(later | new_c & hot & again, CLASS, 0)
+        known = np.flatnonzero(code)
+        own = order[known]
+        yield from _pack(1, _home(keys, doc[own], shards), keys, doc[own], place[own], flags=code[known].astype(np.uint8))
 
     return run
 
 
+TOLD = "doc_id bigint, _h bigint, anchors binary, spread boolean"
+TOLD_ARROW = pa.schema([("doc_id", pa.int64()), ("_h", pa.int64()), ("anchors", pa.binary()), ("spread", pa.bool_())])
+
+
+def codes(x: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and answers (place and code) for the entries of a shard."""
+    hot_grams = np.unique(x["h"][x["flags"] == 2])
+    x = {k: x[k][x["flags"] < 2] for k in ("docs", "place", "h", "more", "flags")}
+    if not len(x["h"]):
+        return x["docs"], x["place"]
+    order, new_g, new_c, _ = settle(x["h"], x["more"], _order_keys(x["docs"], x["place"]))
+    group, kind = np.cumsum(new_g) - 1, np.cumsum(new_c) - 1
+    kinds = np.bincount(group, weights=new_c)[group]
+    hot = (kinds > MANY) | np.isin(x["h"][order], hot_grams)
+    again = (np.bincount(kind) > 1) | (np.bincount(kind, weights=x["flags"][order]) > 0)
+    code = np.where(again[kind], CLASS, 0) | np.where(new_c, np.where(hot, SPREAD, np.where(kinds > 1, PART, 0)), 0)
+    say = order[code > 0]
+    return x["docs"][say], x["place"][say] << 3 | code[code > 0]
+
+
 def answers(entries: DataFrame) -> DataFrame:
-    """(doc_id, _h, runs): each document's settled anchors as pairs (place, code) of uint32."""
+    """(doc_id, _h, anchors, spread): each document's suspect anchors as pairs (place, code) of uint32, and whether any is spread."""
     buckets = shuffle_partitions(entries.sparkSession)
 
     def run(group: pa.Table) -> pa.Table:
         parts = []
         if x := _unpack(group, 0):
-            order, new_g, new_c, later = settle(x["h"], x["more"], _order_keys(x["docs"], x["place"]))
-            at = np.cumsum(new_g) - 1
-            flag = x["flags"][order] > 0
-            kinds = np.bincount(at, weights=new_c)[at]
-            hot = (np.bincount(at, weights=flag) > 0)[at] | (kinds > MANY)
-            code = np.where(later, FULL, np.where(hot, SPREAD, np.where(kinds > 1, PART, 0)))
-            say = (code > 0) & ~flag
-            parts.append((x["docs"][order[say]], x["place"][order[say]] << 2 | code[say]))
-        for code in (FULL, SPREAD):
-            if x := _unpack(group, code):
-                parts.append((x["docs"], x["place"] << 2 | code))
+            parts.append(codes(x))
+        if x := _unpack(group, 1):
+            parts.append((x["docs"], x["place"] << 3 | x["flags"]))
         return _send(parts, buckets)
 
-    return _gather(entries.groupBy("shard").applyInArrow(run, repeats.SENT), lambda v: np.stack([v >> 2, v & 3], axis=1))
+    def shape(v: np.ndarray) -> tuple[bytes, bool]:
+        new = np.flatnonzero(np.r_[True, v[1:] >> 3 != v[:-1] >> 3])
+        code = np.bitwise_or.reduceat(v & 7, new)
+        return np.stack([v[new] >> 3, code], axis=1).astype(np.uint32).tobytes(), bool((code & SPREAD).any())
+
+    return _gather(entries.groupBy("shard").applyInArrow(run, repeats.SENT), shape, TOLD, TOLD_ARROW)
 
 
 def _send(parts: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.Table:
     rows: list[tuple] = []
+    parts = [(d, v) for d, v in parts if len(v)]
     if parts:
         docs, value = np.concatenate([d for d, _ in parts]), np.concatenate([v for _, v in parts])
         bucket = (mix(docs[:, 0].view(np.uint64) ^ docs[:, 1].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
@@ -228,7 +273,9 @@ def _send(parts: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, repeats.SENT_ARROW, strict=True)], schema=repeats.SENT_ARROW)
 
 
-def _gather(sent: DataFrame, shape) -> DataFrame:
+def _gather(sent: DataFrame, shape, ddl: str = repeats.FOUND, schema: pa.Schema = repeats.FOUND_ARROW) -> DataFrame:
+    """One row per document: doc_id, _h and what ``shape`` makes of its sorted values."""
+
     def run(group: pa.Table) -> pa.Table:
         join = lambda c, d: np.frombuffer(b"".join(group[c].to_pylist()), d)
         docs = np.repeat(join("docs", np.int64).reshape(-1, 2), join("numbers", np.uint32), axis=0)
@@ -237,75 +284,164 @@ def _gather(sent: DataFrame, shape) -> DataFrame:
         docs, value = docs[order], value[order]
         cut = np.append(np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]).any(axis=1)]), len(docs)).tolist()
         ids = [None if k == repeats.NULL_ID else k for k in docs[cut[:-1], 0].tolist()]
-        runs = [shape(np.unique(value[a:b])).astype(np.uint32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "_h": docs[cut[:-1], 1], "runs": pa.array(runs, pa.binary())}, schema=repeats.FOUND_ARROW)
+        made = zip(*[shape(value[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], strict=True)
+        return pa.table([pa.array(c, f.type) for c, f in zip([ids, docs[cut[:-1], 1], *made], schema, strict=True)], schema=schema)
+
+    return sent.groupBy("bucket").applyInArrow(run, ddl)
+
+
+def _told(s: Segment, lists: list[bytes | None]) -> np.ndarray:
+    """The codes of the anchors of a segment, of the answers to its texts."""
+    told = [np.frombuffer(r or b"", np.uint32).reshape(-1, 2).astype(np.int64) for r in lists]
+    of = np.concatenate([(np.full(len(t), k) << 33) | t[:, 0] for k, t in enumerate(told)])
+    if not len(of):
+        return np.zeros(len(s.anchor), np.int64)
+    code = np.concatenate([t[:, 1] for t in told])
+    mine = (s.doc << 33) | s.place
+    at = np.minimum(np.searchsorted(of, mine), len(of) - 1)
+    return np.where(of[at] == mine, code[at], 0)
+
+
+def _in_runs(doc: np.ndarray, at: np.ndarray, lists: list[bytes | None]) -> np.ndarray:
+    """Whether places ``at`` of texts ``doc`` lie in the runs (start, number) of their texts."""
+    runs = [np.frombuffer(r or b"", np.uint32).reshape(-1, 2).astype(np.int64) for r in lists]
+    first = np.concatenate([(np.full(len(r), k) << 33) | r[:, 0] for k, r in enumerate(runs)])
+    if not len(first):
+        return np.zeros(len(at), bool)
+    end = first + np.concatenate([r[:, 1] for r in runs])
+    mine = (doc << 33) | at
+    k = np.searchsorted(first, mine, "right") - 1
+    return (k >= 0) & (mine < end[np.maximum(k, 0)])
+
+
+def _window_hashes(s: Segment, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the windows that start at ``w``."""
+    second = np.zeros(len(s.buf) + 1, np.uint64)
+    np.cumsum(_LUT[s.buf] * powers(inverse(_B2), len(s.buf)), out=second[1:])
+    return mix((s.prefix[w + WIDTH] - s.prefix[w]) * powers(_B1, len(s.buf))[w]), mix((second[w + WIDTH] - second[w]) * powers(_B2, len(s.buf))[w])
+
+
+def spread_entries(shards: int):
+    """For documents with spread anchors: their windows, by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = repeats.Entries()
+        for b in batches:
+            for i, j, s in segments(b):
+                if not len(s.anchor):
+                    continue
+                own = np.flatnonzero(_told(s, b.column(3).slice(i, j - i).to_pylist()) & SPREAD)
+                if len(own):
+                    w, k = s.windows(own)
+                    h, more = _window_hashes(s, w)
+                    held.add(_keys(b, i, j), h, more >> np.uint64(32), s.doc[k], w - s.off[:-1][s.doc[k]] + s.shift)
+                if held.size >= HELD:
+                    yield from held.rows(shards)
+                    held = repeats.Entries()
+        yield from held.rows(shards)
+
+    return run
+
+
+class Held:
+    """The classes of a task: both hashes, document, place of the anchor, first window, number of windows and the row of bytes."""
+
+    def __init__(self):
+        self.docs: list[np.ndarray] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.n_docs = self.size = 0
 
-    return sent.groupBy("bucket").applyInArrow(run, repeats.FOUND)
+    def add(self, docs: np.ndarray, parts: list[tuple[np.ndarray, ...]]) -> None:
+        for h, more, doc, place, first, n, rows in parts:
+            self.parts.append((h, more, doc + self.n_docs, place, first, n, rows))
+            self.size += len(h)
+        self.docs.append(docs)
+        self.n_docs += len(docs)
+
+    def rows(self, shards: int) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        docs = np.concatenate(self.docs)
+        h, more, doc, place, first, n, text = (np.concatenate([p[k] for p in self.parts]) for k in range(7))
+        rank = (_ranks(docs)[doc].astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64)
+        order, head, later = equal_rows(h, more, rank, first, text)
+        known = order[later]
+        if len(known):
+            yield from _pack(SETTLED, _home(docs, doc[known], shards), docs, doc[known], first[known], flags=n[known].astype(np.uint8))
+        own = order[head & ~later]
+        shapes = np.stack([place[own] - first[own], n[own], n[own], n[own]], axis=1).astype(np.uint8)
+        yield from _pack(CLASSES, _shard(h[own] ^ mix(more[own]), shards), docs, doc[own], first[own], h[own], more[own], shapes=shapes, texts=text[own])
+
+
+def equal_rows(h: np.ndarray, more: np.ndarray, rank: np.ndarray, first: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries in order of class, rank and first window; which of them stand for themselves, and which have the same bytes as an earlier one.
+
+    An entry stands for itself if no earlier one of its class has its bytes, or if that one is of its own anchor (a long text's
+    parts may share an anchor) and has other windows. Classes whose bytes differ (equal hashes) fall apart here.
+    """
+    order = np.lexsort((first, rank, more, h))
+    later, head = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    hs, ms, rs, fs = h[order], more[order], rank[order], first[order]
+    todo = np.arange(len(order))
+    while len(todo):
+        new = np.r_[True, (hs[todo][1:] != hs[todo][:-1]) | (ms[todo][1:] != ms[todo][:-1])]
+        top = todo[np.flatnonzero(new)][np.cumsum(new) - 1]
+        same = (text[order[todo]] == text[order[top]]).all(axis=1)
+        own = same & (rs[todo] == rs[top])
+        head[todo[own]] = np.r_[True, (fs[todo[own]][1:] != fs[todo[own]][:-1]) | (top[own][1:] != top[own][:-1])] if own.any() else False
+        later[todo[same & ~own]] = True
+        todo = todo[~same]
+    return order, head, later
 
 
 def window_entries(shards: int):
-    """For documents with answers: repeats that are certain, texts around anchors to be compared, hashes of spread windows."""
+    """For documents with answers (anchors) and repeated windows (starts): the texts to be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Held()
         for b in batches:
-            lists = b.column(3)
             docs: list[np.ndarray] = []
-            sure: list[tuple] = []
             part: list[tuple] = []
             texts: list[bytes] = []
-            loose: list[tuple] = []
             n_docs = 0
             for i, j, s in segments(b):
                 if not len(s.anchor):
                     continue
-                docs.append(_keys(b, i, j))
-                told = [np.frombuffer(r, np.uint32).reshape(-1, 2).astype(np.int64) for r in lists.slice(i, j - i).to_pylist()]
-                of = np.concatenate([(np.full(len(t), k) << 33) | t[:, 0] for k, t in enumerate(told)])
-                code_of = np.concatenate([t[:, 1] for t in told])
-                mine = (s.doc << 33) | s.place
-                at = np.minimum(np.searchsorted(of, mine), len(of) - 1)
-                code = np.where(of[at] == mine, code_of[at], 0)
+                keys = _keys(b, i, j)
+                docs.append(keys)
+                code = _told(s, b.column(3).slice(i, j - i).to_pylist())
                 begin = s.off[:-1][s.doc] - s.shift
-                for kind, out in ((FULL, sure), (SPREAD, loose)):
-                    own = np.flatnonzero(code == kind)
-                    if len(own):
-                        n = s.high[own] - s.low[own] + 1
-                        if kind == FULL:
-                            out.append((s.doc[own] + n_docs, s.low[own] - begin[own], n))
-                            continue
-                        w = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s.low[own], n)
-                        k = np.repeat(own, n)
-                        h = (s.prefix[w + WIDTH] - s.prefix[w]) * powers(_B1, len(s.buf))[w]
-                        second = np.zeros(len(s.buf) + 1, np.uint64)
-                        np.cumsum(_LUT[s.buf] * powers(inverse(_B2), len(s.buf)), out=second[1:])
-                        h2 = mix((second[w + WIDTH] - second[w]) * powers(_B2, len(s.buf))[w]) >> np.uint64(32)
-                        out.append((s.doc[k] + n_docs, w - begin[k], mix(h), h2.astype(np.uint32)))
-                own = np.flatnonzero(code == PART)
+                classes = []
+                own = np.flatnonzero(code & CLASS)
+                if len(own):
+                    lo, hi = s.reach(own)
+                    classes.append((s.gram[own], s.surroundings()[own], s.doc[own], s.place[own], s.low[own] - begin[own], s.high[own] - s.low[own] + 1, s.rows(lo, hi, s.anchor[own])))
+                if b.column(4).null_count < len(b):
+                    starts = b.column(4).slice(i, j - i).to_pylist()
+                    w, k = s.windows(np.flatnonzero(code & SPREAD))
+                    at = w - begin[k]
+                    hit = _in_runs(s.doc[k], at, starts)
+                    w, k, at = w[hit], k[hit], at[hit]
+                    if len(w):
+                        h, more = _window_hashes(s, w)
+                        classes.append((h, more, s.doc[k], at, at, np.ones(len(w), np.int64), s.rows(w, w + WIDTH, w)))
+                held.add(keys, classes)
+                if held.size >= HELD_TEXTS:
+                    yield from held.rows(shards)
+                    held = Held()
+                own = np.flatnonzero(code & PART)
                 if len(own):
                     left, short = s.anchor[own] - s.low[own], s.anchor[own] - s.high[own]  # t of the first and of the last own window
                     raw = s.buf.tobytes()
                     texts += [raw[a - t : a + WIDTH - u] for a, t, u in zip(s.anchor[own].tolist(), left.tolist(), short.tolist(), strict=True)]
                     part.append((s.doc[own] + n_docs, s.place[own], s.gram[own], np.stack([left, short, left, short], axis=1).astype(np.uint8)))
                 n_docs += j - i
-            if not docs:
-                continue
-            keys = np.concatenate(docs)
-            join = lambda x, k: np.concatenate([p[k] for p in x])
             if part:
+                keys = np.concatenate(docs)
+                join = lambda x, k: np.concatenate([p[k] for p in x])
                 doc, g = join(part, 0), join(part, 2)
-                yield from _pack(0, _shard(g, shards), keys, doc, join(part, 1), g, None, None, join(part, 3), texts)
-            if loose:
-                doc, place, h, more = (join(loose, k) for k in range(4))
-                rank = (_ranks(keys)[doc].astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64)
-                order, _, first, later = settle(h, more, rank)
-                own = order[first]
-                yield from _pack(SPREAD, _shard(h[own], shards), keys, doc[own], place[own], h[own], more[own])
-                own = order[later]
-                if len(own):
-                    sure.append((doc[own], place[own], np.ones(len(own), np.int64)))
-            if sure:  # runs of windows: first start and number
-                doc = join(sure, 0)
-                yield from _pack(FULL, _home(keys, doc, shards), keys, doc, join(sure, 1), flags=join(sure, 2).astype(np.uint8))
+                yield from _pack(PARTS, _shard(g, shards), keys, doc, join(part, 1), g, None, None, join(part, 3), texts)
+        yield from held.rows(shards)
 
     return run
 
@@ -416,27 +552,42 @@ def compare(x: dict, most: int = 60_000) -> list[tuple[np.ndarray, np.ndarray]]:
     return found
 
 
+def found(group: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Documents and their repeated windows (start and number) of a shard."""
+    parts = []
+    if x := _unpack(group, PARTS):
+        parts += [(docs, place << 8 | 1) for docs, place in compare(x)]
+    if x := _unpack(group, CLASSES):
+        place = x["place"] + x["shapes"][:, 0]
+        order, _, later = equal_rows(x["h"], x["more"], _order_keys(x["docs"], place), x["place"], np.frombuffer(x["text"], np.uint8).reshape(-1, ROW))
+        own = order[later]
+        parts.append((x["docs"][own], x["place"][own] << 8 | x["shapes"][own, 1]))
+    if x := _unpack(group, SETTLED):
+        parts.append((x["docs"], x["place"] << 8 | x["flags"]))
+    return parts
+
+
 def earlier_windows(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """(doc_id, _h, starts): the windows of ``docs`` (doc_id, text, _h) that started earlier, as runs of starts."""
     shards = shards or shuffle_partitions(docs.sparkSession)
     buckets = shuffle_partitions(docs.sparkSession)
 
     def run(group: pa.Table) -> pa.Table:
-        parts = []
-        if x := _unpack(group, 0):
-            parts += [(docs, place << 8 | 1) for docs, place in compare(x)]
-        if x := _unpack(group, SPREAD):
-            order, _, _, later = settle(x["h"], x["more"], _order_keys(x["docs"], x["place"]))
-            parts.append((x["docs"][order[later]], x["place"][order[later]] << 8 | 1))
-        if x := _unpack(group, FULL):
-            parts.append((x["docs"], x["place"] << 8 | x["flags"]))
-        return _send(parts, buckets)
+        return _send(found(group), buckets)
 
-    told = materialize(answers(map_arrow(docs, anchor_entries(shards), ENTRY_DDL)).withColumnRenamed("runs", "anchors"), "anchors")
+    told = materialize(answers(map_arrow(docs, anchor_entries(shards), ENTRY_DDL)), "anchors")
     same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._h") == F.col("s._h"))
-    some = docs.alias("d").join(told.alias("s"), same).select("d.doc_id", "d.text", "d._h", "s.anchors")
+    spread = told.filter("spread")
+    if spread.isEmpty():
+        asked = told.select("doc_id", "_h", "anchors", F.lit(None).cast("binary").alias("windows"))
+    else:
+        some = docs.alias("d").join(spread.alias("s"), same).select("d.doc_id", "d.text", "d._h", "s.anchors")
+        again = materialize(repeats.answer(map_arrow(some, spread_entries(shards), repeats.SCHEMA), repeats.exact), "windows")
+        t, w = told.alias("t"), again.alias("w")
+        asked = t.join(w, F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t._h") == F.col("w._h")), "left").select("t.doc_id", "t._h", "anchors", F.col("runs").alias("windows"))
+    some = docs.alias("d").join(asked.alias("s"), same).select("d.doc_id", "d.text", "d._h", "s.anchors", "s.windows")
     sent = map_arrow(some, window_entries(shards), ENTRY_DDL).groupBy("shard").applyInArrow(run, repeats.SENT)
-    return _gather(sent, lambda v: np.stack([v >> 8, v & 255], axis=1)).withColumnRenamed("runs", "starts")
+    return _gather(sent, lambda v: (np.stack([np.unique(v) >> 8, np.unique(v) & 255], axis=1).astype(np.uint32).tobytes(),)).withColumnRenamed("runs", "starts")
 
 
 def remove_earlier(docs: DataFrame) -> DataFrame:

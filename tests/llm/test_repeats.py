@@ -70,53 +70,91 @@ def test_bytes(docs, texts):
     assert got == bytes_brute(list(enumerate(texts)))
 
 
-@pytest.mark.parametrize("settings_", [{"HOT": 1, "MANY": 2}, {"HELD": 100, "SEGMENT": 1 << 11}])
-def test_bytes_other_ways(docs, texts, monkeypatch, settings_):
+@pytest.mark.parametrize("settings_", [{"HOT": 1}, {"MANY": 2}, {"HOT": 1, "MANY": 2, "HELD": 300}, {"HELD": 100, "HELD_TEXTS": 40, "SEGMENT": 1 << 11}, {"HOT": 2, "HELD_TEXTS": 1, "SEGMENT": 1 << 9}])
+def test_bytes_other_ways(texts, monkeypatch, settings_):
     for k, v in settings_.items():
         monkeypatch.setattr(suffixes, k, v)
     # functions sent to workers carry the module by name: run the task functions here
     import pyarrow as pa
 
+    def pairs(parts):
+        out: dict = {}
+        for docs_, value in parts:
+            for d, v in zip(docs_, value, strict=True):
+                out.setdefault(int(d[0]), []).append(int(v))
+        return out
+
     b = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string()), pa.array([hash(t) for t in texts], pa.int64())], names=["doc_id", "text", "_h"])
-    entries = pa.Table.from_batches(list(suffixes.anchor_entries(1)(iter([b]))))
+    half = [b.slice(0, 25), b.slice(25)]  # two tasks
+    entries = pa.Table.from_batches([e for x in half for e in suffixes.anchor_entries(1)(iter([x]))])
+    parts = [suffixes.codes(suffixes._unpack(entries, 0))]
+    if x := suffixes._unpack(entries, 1):
+        parts.append((x["docs"], x["place"] << 3 | x["flags"]))
     told: dict = {}
-    if x := suffixes._unpack(entries, 0):
-        order, new_g, new_c, later = suffixes.settle(x["h"], x["more"], suffixes._order_keys(x["docs"], x["place"]))
-        at = np.cumsum(new_g) - 1
-        flag = x["flags"][order] > 0
-        kinds = np.bincount(at, weights=new_c)[at]
-        hot = (np.bincount(at, weights=flag) > 0)[at] | (kinds > suffixes.MANY)
-        code = np.where(later, suffixes.FULL, np.where(hot, suffixes.SPREAD, np.where(kinds > 1, suffixes.PART, 0)))
-        for d, p, c, f in zip(x["docs"][order], x["place"][order], code, flag, strict=True):
-            if c and not f:
-                told.setdefault(int(d[0]), {})[int(p)] = int(c)
-    for c in (suffixes.FULL, suffixes.SPREAD):
-        if x := suffixes._unpack(entries, c):
-            for d, p in zip(x["docs"], x["place"], strict=True):
-                told.setdefault(int(d[0]), {})[int(p)] = c
-    some = sorted(told)
-    anchors = [np.array(sorted(told[k].items()), np.uint32).tobytes() for k in some]
-    w = pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), b.column(1).take(pa.array(some)), b.column(2).take(pa.array(some)), pa.array(anchors, pa.binary())], names=["doc_id", "text", "_h", "anchors"])
-    e = pa.Table.from_batches(list(suffixes.window_entries(1)(iter([w]))))
-    starts: dict = {}
-    if x := suffixes._unpack(e, 0):
-        for docs_, place in suffixes.compare(x):
-            for d, p in zip(docs_, place, strict=True):
-                starts.setdefault(int(d[0]), []).append((int(p), 1))
-    if x := suffixes._unpack(e, suffixes.SPREAD):
-        order, _, _, later = suffixes.settle(x["h"], x["more"], suffixes._order_keys(x["docs"], x["place"]))
-        for d, p in zip(x["docs"][order[later]], x["place"][order[later]], strict=True):
-            starts.setdefault(int(d[0]), []).append((int(p), 1))
-    if x := suffixes._unpack(e, suffixes.FULL):
-        for d, p, n in zip(x["docs"], x["place"], x["flags"], strict=True):
-            starts.setdefault(int(d[0]), []).append((int(p), int(n)))
+    for d, values in pairs(parts).items():
+        for v in values:
+            told.setdefault(d, {}).setdefault(v >> 3, 0)
+            told[d][v >> 3] |= v & 7
+    spread = {d for d, x in told.items() if any(c & suffixes.SPREAD for c in x.values())}
+    assert spread or not {"HOT", "MANY"} & set(settings_)
+
+    def asked(x, starts):
+        some = [k for k, d in enumerate(x.column(0).to_pylist()) if d in told]
+        at = pa.array(some, pa.int64())
+        ids = [x.column(0)[k].as_py() for k in some]
+        cols = [x.column(0).take(at), x.column(1).take(at), x.column(2).take(at), pa.array([np.array(sorted(told[d].items()), np.uint32).tobytes() for d in ids], pa.binary()), pa.array([starts.get(d) for d in ids], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", "_h", "anchors", "windows"])
+
+    windows: dict = {}
+    e = pa.Table.from_batches([y for x in half for y in suffixes.spread_entries(1)(iter([asked(x, {})]))], schema=repeats.ARROW)
+    for row in e.to_pylist():
+        docs_ = np.frombuffer(row["docs"], np.int64).reshape(-1, 2)[np.frombuffer(row["codes"], np.uint32)]
+        h, more, times = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["more"], np.uint32), np.frombuffer(row["times"], np.uint8)
+        for k, place in enumerate(np.frombuffer(row["places"], np.uint32).tolist()):
+            key = (int(h[k]), int(more[k])) if row["kind"] == 0 else None
+            windows.setdefault(key, []).append((int(docs_[k, 0]), place, int(times[k]) if row["kind"] == 0 else 2))
+    again: dict = {}
+    for key, own in windows.items():
+        if key is None or sum(n for _, _, n in own) > 1:
+            for d, place, _ in own:
+                again.setdefault(d, set()).add(place)
+    starts = {d: np.stack(repeats.pack_runs(np.array(sorted(x))), axis=1).astype(np.uint32).tobytes() for d, x in again.items()}
+
+    table = pa.Table.from_batches([y for x in half for y in suffixes.window_entries(1)(iter([asked(x, starts)]))])
+    got = {d: np.stack([np.array(v) >> 8, np.array(v) & 255], axis=1).astype(np.uint32).tobytes() for d, v in pairs(suffixes.found(table)).items()}
     want = bytes_brute(list(enumerate(texts)))
     for k, t in enumerate(texts):
         n = len((t or "").encode())
-        gone = repeats.covered([np.array(starts[k], np.uint32).tobytes()], n, 100) if k in starts else np.zeros(n, bool)
+        gone = repeats.covered([got[k]], n, 100) if k in got else np.zeros(n, bool)
         assert int(gone.sum()) == want[k][1]
 
 
+@pytest.mark.parametrize("n, parts", [(70, 1), (1000, 3), (250_000, 4)])
+def test_bytes_one_string_everywhere(spark, n, parts):
+    """Texts around one common string of 32 bytes: nothing repeats but 20 copies, of which nothing stays."""
+    rng = np.random.default_rng(n)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+-", np.uint8)
+    raw = letters[rng.integers(0, 64, (n, 168))]
+    raw[:, 68:100] = letters[:32]
+    texts = [r.tobytes().decode() for r in raw]
+    copies = sorted(rng.choice(n // 2, 20, replace=False).tolist())
+    rows = list(enumerate(texts + [texts[k] for k in copies]))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+    got = {r.doc_id: r.n_removed for r in suffixes.remove_earlier(df).filter("n_removed > 0").collect()}
+    if n <= 1000:
+        assert got == {k: x[1] for k, x in bytes_brute(rows).items() if x[1]}
+    assert got == {n + k: 168 for k in range(20)}
+
+
+def test_bytes_equal_hashes_are_compared():
+    """Entries whose hashes are equal and whose bytes differ are no repeats of each other."""
+    text = np.zeros((4, suffixes.ROW), np.uint8)
+    text[2:, 5] = 1
+    h = np.full(4, 7, np.uint64)
+    order, head, later = suffixes.equal_rows(h, h, np.array([3, 1, 0, 2], np.uint64), np.arange(4), text)
+    assert order.tolist() == [2, 1, 3, 0] and head.tolist() == [True, True, False, False] and later.tolist() == [False, False, True, True]
+
+
 def test_bytes_odd(odd, none):
     rows = odd.collect()
     got = {(r.doc_id, r.n_bytes): r for r in suffixes.remove_earlier(odd).collect()}
