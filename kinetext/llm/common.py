@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that map functions get at a time (texts are long rows); the session's own batch sizes stay as they are.
+ROWS = 1000
 _PACKAGE = Path(__file__).resolve().parent.parent
 _lock = threading.Lock()
 _shipped: set[str] = set()
@@ -31,12 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, so that their Python workers can import it.
-
-    Arrow batches are made smaller (1000 rows) where the session leaves their size at its default: texts are long rows.
-    """
-    if spark.conf.get(BATCH) == "10000":
-        spark.conf.set(BATCH, "1000")
+    """Sends this package to the executors once per application, so that their Python workers can import it."""
     app = spark.sparkContext.applicationId
     with _lock:
         if app in _shipped:
@@ -110,8 +106,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of at most ROWS rows."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(lambda batches: fn(_short(batches)), schema)
+
+
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for a in range(0, b.num_rows, ROWS):
+            yield b.slice(a, ROWS)
 
 
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
@@ -238,6 +241,23 @@ def minimizers(h: np.ndarray, w: int) -> np.ndarray:
     return arg[:n]
 
 
+def _rotl(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def xxhash64(*columns: np.ndarray) -> np.ndarray:
+    """What Spark's ``xxhash64`` makes of columns of longs without nulls, as int64."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    h = np.full(len(columns[0]), 42, np.uint64)
+    for c in columns:
+        h = (h + p5 + np.uint64(8)) ^ (_rotl(c.astype(np.int64).view(np.uint64) * p2, 31) * p1)
+        h = _rotl(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h = h ^ (h >> np.uint64(32))
+    return h.view(np.int64)
+
+
 def pack_runs(positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ascending positions as maximal runs: starts and lengths."""
     if not len(positions):

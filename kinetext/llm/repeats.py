@@ -13,9 +13,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
-from kinetext.llm.common import mix, pack_runs, shuffle_partitions
+from kinetext.llm.common import pack_runs, shuffle_partitions, xxhash64
 
 #: kind 0: entries of a shard; kind 1: positions already decided, on their way to their document.
 SCHEMA = "shard int, kind int, n int, hashes binary, more binary, times binary, docs binary, codes binary, places binary"
@@ -90,13 +91,21 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def answer(entries: DataFrame, decide: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(doc_id, _h, runs): for each document with repeated keys their places, as pairs (first, number) of uint32.
+    """(doc_id, _h, runs): for each document with repeated keys their places, as pairs (first, number) of uint32."""
+    return gather(sent(entries, decide, shuffle_partitions(entries.sparkSession)))
+
+
+def bucket_of(docs: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each document (doc_id, _h); the same as pmod(xxhash64(doc_id, _h), buckets) on Spark, with NULL_ID for nulls."""
+    return np.mod(xxhash64(docs[:, 0], docs[:, 1]), buckets)
+
+
+def sent(entries: DataFrame, decide: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], buckets: int) -> DataFrame:
+    """Packed places of repeated keys, by bucket of documents.
 
     ``decide`` gets a shard's hashes, second hashes and times, and says which of its entries repeat.
     """
 
-    buckets = shuffle_partitions(entries.sparkSession)
-
     def run(group: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray]] = []
         cols = {c: group[c].to_pylist() for c in group.column_names if c != "shard"}
@@ -118,7 +127,7 @@ def answer(entries: DataFrame, decide: Callable[[np.ndarray, np.ndarray, np.ndar
                 out.append((docs[np.frombuffer(cols["codes"][k], np.uint32)], np.frombuffer(cols["places"][k], np.uint32)))
         return _sent(out, buckets)
 
-    return gather(entries.groupBy("shard").applyInArrow(run, SENT))
+    return entries.groupBy("shard").applyInArrow(run, SENT)
 
 
 def _sent(parts: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.Table:
@@ -126,7 +135,7 @@ def _sent(parts: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.Table:
     rows: list[tuple] = []
     if parts:
         docs, place = np.concatenate([d for d, _ in parts]), np.concatenate([p for _, p in parts])
-        bucket = (mix(docs[:, 0].view(np.uint64) ^ docs[:, 1].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        bucket = bucket_of(docs, buckets)
         order = np.lexsort((place, docs[:, 1], docs[:, 0], bucket))
         docs, place, bucket = docs[order], place[order], bucket[order]
         new = np.r_[True, (docs[1:] != docs[:-1]).any(axis=1)]
@@ -137,31 +146,29 @@ def _sent(parts: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, SENT_ARROW, strict=True)], schema=SENT_ARROW)
 
 
-def gather(sent: DataFrame) -> DataFrame:
+def gather(packed: DataFrame) -> DataFrame:
     """One row per answered document: (doc_id, _h, runs)."""
 
     def run(group: pa.Table) -> pa.Table:
-        docs = np.concatenate([np.frombuffer(v, np.int64).reshape(-1, 2) for v in group["docs"].to_pylist()])
-        n = np.concatenate([np.frombuffer(v, np.uint32) for v in group["numbers"].to_pylist()])
-        place = np.concatenate([np.frombuffer(v, np.uint32) for v in group["places"].to_pylist()])
-        return _found([(np.repeat(docs, n, axis=0), place)])
-
-    return sent.groupBy("bucket").applyInArrow(run, FOUND)
-
-
-def _found(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
-    """A row for each document of each part, its places as runs."""
-    ids, hs, runs = [], [], []
-    for docs, place in parts:
-        order = np.lexsort((place, docs[:, 1], docs[:, 0]))
-        docs, place = docs[order], place[order]
-        cut = np.flatnonzero((docs[1:] != docs[:-1]).any(axis=1)) + 1
-        bounds = np.r_[0, cut, len(place)]
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            ids.append(int(docs[a, 0]))
-            hs.append(int(docs[a, 1]))
-            runs.append(np.stack(pack_runs(np.unique(place[a:b]).astype(np.int64)), axis=1).astype(np.uint32).tobytes())
-    return pa.table({"doc_id": pa.array([None if i == NULL_ID else i for i in ids], pa.int64()), "_h": hs, "runs": pa.array(runs, pa.binary())}, schema=FOUND_ARROW)
+        found = runs_of(group)
+        ids = [None if i == NULL_ID else i for i, _ in found]
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "_h": [h for _, h in found], "runs": pa.array(found.values(), pa.binary())}, schema=FOUND_ARROW)
+
+    return packed.groupBy("bucket").applyInArrow(run, FOUND)
+
+
+def runs_of(packed: pa.Table) -> dict[tuple[int, int], bytes]:
+    """The places of each document (doc_id, _h) of a bucket, as runs."""
+    docs = np.concatenate([np.zeros((0, 2), np.int64), *[np.frombuffer(v, np.int64).reshape(-1, 2) for v in packed["docs"].to_pylist()]])
+    join = lambda c: np.frombuffer(b"".join(packed[c].to_pylist()), np.uint32)
+    docs, place = np.repeat(docs, join("numbers"), axis=0), join("places")
+    order = np.lexsort((place, docs[:, 1], docs[:, 0]))
+    docs, place = docs[order], place[order]
+    bounds = np.append(np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]).any(axis=1)]), len(place)).tolist() if len(place) else [0]
+    out = {}
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        out[int(docs[a, 0]), int(docs[a, 1])] = np.stack(pack_runs(np.unique(place[a:b]).astype(np.int64)), axis=1).astype(np.uint32).tobytes()
+    return out
 
 
 def exact(h: np.ndarray, more: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -177,14 +184,90 @@ def exact(h: np.ndarray, more: np.ndarray, times: np.ndarray) -> np.ndarray:
     return out
 
 
-def count_min(h: np.ndarray, more: np.ndarray, times: np.ndarray, depth: int = 2, load: int = 8) -> np.ndarray:
-    """Entries whose count-min estimate is at least 2: the merged sketch never counts too few, so no repeated key is lost."""
-    width = 1 << max(10, int(load * len(h)).bit_length())
-    low = np.full(len(h), 255.0)
-    for k in range(depth):
-        cell = ((h * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(64 - width.bit_length() + 1)).astype(np.int64)
-        low = np.minimum(low, np.bincount(cell, weights=times, minlength=width)[cell])
-    return low >= 2
+class Sketch:
+    """A task's count-min sketch, sparse: for each shard of the keys ``DEPTH`` rows of ``width`` cells, of which the used ones travel.
+
+    Cells are listed by bucket of the documents that hold their keys, which is where the merged counts go. Keys themselves never travel.
+    """
+
+    SCHEMA = "shard int, row int, buckets binary, sizes binary, cells binary, counts binary"
+    ARROW = pa.schema([("shard", pa.int32()), ("row", pa.int32()), *[(c, pa.binary()) for c in ("buckets", "sizes", "cells", "counts")]])
+    #: Cells with a merged count of 2 or more, on their way to the documents' bucket.
+    MERGED = "bucket int, shard int, row int, cells binary"
+    MERGED_ARROW = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("row", pa.int32()), ("cells", pa.binary())])
+    DEPTH, LOAD = 2, 8
+    _MULTIPLIERS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
+
+    def __init__(self, shards: int, width: int):
+        self.shards, self.width = shards, width
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    @staticmethod
+    def width_for(keys: float) -> int:
+        """A power of two of LOAD cells per key that a shard is expected to get; more keys than expected only raise the estimates."""
+        return 1 << min(31, max(10, int(Sketch.LOAD * keys).bit_length()))
+
+    def shard(self, h: np.ndarray) -> np.ndarray:
+        return ((h >> np.uint64(33)) % np.uint64(self.shards)).astype(np.int64)
+
+    def cells(self, h: np.ndarray, row: int) -> np.ndarray:
+        return ((h * self._MULTIPLIERS[row]) >> np.uint64(65 - self.width.bit_length())).astype(np.uint32)
+
+    def add(self, h: np.ndarray, bucket: np.ndarray) -> None:
+        self.parts.append((h, bucket))
+        self.size += len(h)
+
+    def rows(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        h, bucket = (np.concatenate([p[k] for p in self.parts]) for k in (0, 1))
+        spot = (self.shard(h) * buckets + bucket).astype(np.uint64) << np.uint64(32)
+        rows: list[tuple] = []
+        for row in range(self.DEPTH):
+            key, n = np.unique(spot | self.cells(h, row), return_counts=True)
+            at, cell, n = (key >> np.uint64(32)).astype(np.int64), key.astype(np.uint32), np.minimum(n, 2).astype(np.uint8)
+            cut = np.append(np.flatnonzero(np.r_[True, at[1:] // buckets != at[:-1] // buckets]), len(at)).tolist()
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                first = np.flatnonzero(np.r_[True, at[a + 1 : b] != at[a : b - 1]])
+                rows.append((int(at[a] // buckets), row, (at[a:b][first] % buckets).astype(np.uint32).tobytes(), np.diff(np.append(first, b - a)).astype(np.uint32).tobytes(), cell[a:b].tobytes(), n[a:b].tobytes()))
+        for a in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[a : a + 64], strict=True), self.ARROW, strict=True)], schema=self.ARROW)
+
+    @staticmethod
+    def merge(group: pa.Table, width: int) -> pa.Table:
+        """Adds up the sketches of all tasks for one shard; gives each bucket those of its cells that count 2 or more."""
+        rows: list[tuple] = []
+        for row in range(Sketch.DEPTH):
+            own = group.filter(pa.compute.equal(group["row"], row))
+            join = lambda c, d: np.frombuffer(b"".join(own[c].to_pylist()), d)  # noqa: B023, E731
+            cells, table = join("cells", np.uint32), np.zeros(width, np.uint32)
+            np.add.at(table, cells, join("counts", np.uint8).astype(np.uint32))
+            bucket = np.repeat(join("buckets", np.uint32), join("sizes", np.uint32))
+            hit = table[cells] >= 2
+            key = np.unique(bucket[hit].astype(np.uint64) << np.uint64(32) | cells[hit])
+            at, cell = (key >> np.uint64(32)).astype(np.int64), key.astype(np.uint32)
+            cut = np.append(np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), len(at)).tolist() if len(at) else [0]
+            rows += [(int(at[a]), int(own["shard"][0].as_py()), row, cell[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, Sketch.MERGED_ARROW, strict=True)], schema=Sketch.MERGED_ARROW)
+
+    def suspects(self, merged: pa.Table) -> Callable[[np.ndarray], np.ndarray]:
+        """Of a bucket's merged cells: a function that tells which keys have an estimate of 2 or more."""
+        known = []
+        for row in range(self.DEPTH):
+            own = merged.filter(pa.compute.equal(merged["row"], row))
+            known.append(np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(c, np.uint32) | np.uint64(s) << np.uint64(32) for s, c in zip(own["shard"].to_pylist(), own["cells"].to_pylist(), strict=True)]])))
+
+        def test(h: np.ndarray) -> np.ndarray:
+            hit = np.ones(len(h), bool)
+            shard = self.shard(h).astype(np.uint64) << np.uint64(32)
+            for row, cells in enumerate(known):
+                key = shard | self.cells(h, row)
+                at = np.searchsorted(cells, key)
+                hit &= np.append(cells, np.uint64(0))[at] == key if len(cells) else False
+            return hit
+
+        return test
 
 
 def covered(runs: list[bytes], n: int, width: int) -> np.ndarray:

@@ -2,10 +2,14 @@
 
 A window is ``width`` consecutive words. Its anchor is the smallest hash among the runs of ``anchor`` words in it, so equal windows have
 equal anchors, and a window occurs at most as often as its anchor: counting anchors bounds the counts of all windows from above
-with a tenth of the entries. Pass 1 counts anchors: each task sends its distinct anchors with their counts and places (no sketch of
-its own), the shards build count-min tables of 8 to 16 cells per entry and answer with the anchors whose estimate is 2 or
-more. No partition sketches are merged: this departs from a merge cell by cell and comes near an exact count. Pass 2 groups exactly (by 96 bits of hash) the
-windows of those anchors only. Estimates never count too few, so no repeated window is lost.
+with a tenth of the entries.
+
+Pass 1: each task counts its anchors in a count-min sketch of its own, sparse and cut into shards of cells; shards add the
+tasks' sketches cell by cell, and each bucket of documents gets those of its cells that count 2 or more. Two equal anchors raise
+the same cells of both rows, so the estimate never counts too few and no repeated window is lost. The sketches' width follows the
+bytes of all texts, and no key or place travels.
+Pass 2: buckets of documents test their anchors against the merged cells and send the windows of suspect anchors only, which are
+grouped exactly (by 96 bits of hash).
 """
 
 from __future__ import annotations
@@ -19,11 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetext.llm import repeats
-from kinetext.llm.common import SECOND_BASE, aside, gram_hashes, key_of, map_arrow, materialize, minimizers, runs_of_rows, shuffle_partitions, table, texts_of, word_bounds, word_hashes
+from kinetext.llm.common import SECOND_BASE, aside, gram_hashes, key_of, map_arrow, materialize, minimizers, runs_of_rows, ship, shuffle_partitions, table, texts_of, word_bounds, word_hashes
 
 WIDTH, ANCHOR = 35, 18
-#: Entries that a task holds before it sends them on.
-HELD = 2_000_000
+#: Entries that a task holds before it sends them on, and bytes of text in a bucket of documents.
+HELD, BUCKET = 2_000_000, 1 << 23
 
 
 class Words:
@@ -42,90 +46,97 @@ class Words:
         self.anchor = at[self.window] if len(self.window) else np.zeros(0, np.int64)
 
 
+def _ids(b: pa.RecordBatch) -> np.ndarray:
+    ids = b.column("doc_id").cast(pa.int64()).fill_null(int(repeats.NULL_ID)).to_numpy(zero_copy_only=False)
+    return np.stack([ids, b.column("_h").to_numpy(zero_copy_only=False)], axis=1).astype(np.int64)
+
+
 def _keys(b: pa.RecordBatch, i: int, j: int) -> np.ndarray:
     ids = b.column(0).slice(i, j - i).cast(pa.int64()).fill_null(int(repeats.NULL_ID)).to_numpy(zero_copy_only=False)
     return np.stack([ids, b.column(2).slice(i, j - i).to_numpy(zero_copy_only=False)], axis=1).astype(np.int64)
 
 
-def repeated_windows(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, shards: int | None = None) -> DataFrame:
-    """(doc_id, _h, starts): for each document with repeated windows the runs of their first words; ``docs`` has doc_id, text, _h."""
-    shards = shards or shuffle_partitions(docs.sparkSession)
+def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
+    """Every row of ``docs`` with ``kept`` (words that no repeated window covers, joined by one space), n_words and n_removed.
+
+    Null and empty texts have no words; texts under ``width`` words keep all; null doc_ids and repeated rows take part like any other
+    (a repeated row repeats all its windows); other columns stay, those named kept, n_words or n_removed are replaced;
+    empty tables stay empty.
+    """
+    plain, back = aside(docs, "doc_id", "text")
+    spark = docs.sparkSession
+    ship(spark)
+    shards = shuffle_partitions(spark)
+    size = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    # Buckets are read as a whole; several to a partition, so that partitions are of equal size.
+    buckets = max(4 * shards, size // BUCKET)
+    # An anchor per half a window of words, of six bytes each.
+    cells = repeats.Sketch.width_for(size / (6 * (width - anchor + 2) / 2) / shards)
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(repeats.NULL_ID))), "_h")
+    base = key_of(plain).withColumn("_bucket", F.pmod(key, F.lit(buckets)).cast("int"))
+    keep = plain.columns
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = repeats.Entries()
+        held = repeats.Sketch(shards, cells)
         for b in batches:
-            buf, off = texts_of(b.column(1))
+            buf, off = texts_of(b.column(0))
+            bucket = b.column(1).to_numpy()
             for i, j in runs_of_rows(off, 1 << 20):
                 w = Words(buf[off[i] : off[j]], off[i : j + 1] - off[i], width, anchor)
                 if len(w.anchor):
                     own = w.anchor[np.r_[True, w.anchor[1:] != w.anchor[:-1]]]
-                    doc = np.searchsorted(w.first, own, "right") - 1
                     # texts without words share a first word with the next one
-                    held.add(_keys(b, i, j), w.grams[own], np.zeros(len(own), np.uint32), doc, own - w.first[doc])
+                    held.add(w.grams[own], bucket[i:j][np.searchsorted(w.first, own, "right") - 1])
                 if held.size >= HELD:
-                    yield from held.rows(shards)
-                    held = repeats.Entries()
-        yield from held.rows(shards)
+                    yield from held.rows(buckets)
+                    held = repeats.Sketch(shards, cells)
+        yield from held.rows(buckets)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows(rows: pa.Table, merged: pa.Table) -> pa.Table:
+        out: list[pa.RecordBatch] = []
         held, by = repeats.Entries(), []
-        for b in batches:
-            buf, off = texts_of(b.column(1))
-            lists = b.column(3)
+        suspect = repeats.Sketch(shards, cells).suspects(merged) if merged.num_rows else None
+        for b in rows.to_batches() if suspect else []:
+            buf, off = texts_of(b.column("text"))
+            ids = _ids(b)
             for i, j in runs_of_rows(off, 1 << 20):
                 w = Words(buf[off[i] : off[j]], off[i : j + 1] - off[i], width, anchor)
-                suspect = np.zeros(len(w.h) + 1, bool)
-                for k, runs in enumerate(lists.slice(i, j - i).to_pylist()):
-                    for a, n in np.frombuffer(runs, np.uint32).reshape(-1, 2).tolist():
-                        suspect[w.first[k] + a : w.first[k] + a + n] = True
-                own = np.flatnonzero(suspect[w.anchor])
+                own = np.flatnonzero(suspect(w.grams)[w.anchor]) if len(w.anchor) else []
                 if len(own):
                     at = w.window[own]
-                    held.add(_keys(b, i, j), gram_hashes(w.h, width)[at], gram_hashes(w.h, width, SECOND_BASE)[at] >> np.uint64(32), w.doc[own], w.place[own])
+                    held.add(ids[i:j], gram_hashes(w.h, width)[at], gram_hashes(w.h, width, SECOND_BASE)[at] >> np.uint64(32), w.doc[own], w.place[own])
                     by.append(w.grams[w.anchor[own]])  # equal windows have equal anchors; neighbours mostly share one
                 if held.size >= HELD:
-                    yield from held.rows(shards, sharding=by)
+                    out += held.rows(shards, sharding=by)
                     held, by = repeats.Entries(), []
         if by:
-            yield from held.rows(shards, sharding=by)
+            out += held.rows(shards, sharding=by)
+        return pa.Table.from_batches(out, schema=repeats.ARROW)
 
-    suspects = repeats.answer(map_arrow(docs, sketch, repeats.SCHEMA), repeats.count_min)
-    suspects = materialize(suspects.withColumnRenamed("runs", "anchors"), "suspects")
-    same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._h") == F.col("s._h"))
-    some = docs.alias("d").join(suspects.alias("s"), same).select("d.doc_id", "d.text", "d._h", "s.anchors")
-    return repeats.answer(map_arrow(some, windows, repeats.SCHEMA), repeats.exact).withColumnRenamed("runs", "starts")
+    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields) + ", kept string, n_words bigint, n_removed bigint"
 
-
-def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
-    """Every row of ``docs`` with ``kept`` (words that no repeated window covers, joined by one space), n_words and n_removed.
-
-    Null and empty texts have no words; texts under ``width`` words keep all; null doc_ids and repeated rows take part like any other
-    (a repeated row repeats all its windows); other columns stay, those named kept, n_words or n_removed are replaced;
-    empty tables stay empty.
-    """
-    plain, back = aside(docs, "doc_id", "text")
-    base = key_of(plain)
-    keep = [c for c in base.columns if c != "_h"]
-    starts = repeated_windows(base.select("doc_id", "text", "_h"), width, anchor)
-    same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._h") == F.col("s._h"))
-    both = base.alias("d").join(starts.alias("s"), same, "left").select(*[F.col(f"d.`{c}`") for c in keep], F.col("s.starts").alias("_starts"))
-    at = keep.index("text")
-    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.select(*keep).schema.fields) + ", kept string, n_words bigint, n_removed bigint"
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+    def apply(rows: pa.Table, starts: pa.Table) -> pa.Table:
+        runs = repeats.runs_of(starts)
+        out: list[pa.RecordBatch] = []
+        for b in rows.to_batches():
             kept, n, gone = [], [], []
-            for t, runs in zip(b.column(at), b.column(len(keep)).to_pylist(), strict=True):
+            for t, i in zip(b.column("text"), map(tuple, _ids(b).tolist()), strict=True):
                 words = t.as_buffer().to_pybytes().split() if t.is_valid else []
                 n.append(len(words))
-                if runs:
-                    out = repeats.covered([runs], len(words), width)
-                    words = [w for w, o in zip(words, out.tolist(), strict=True) if not o]
+                if i in runs:
+                    cover = repeats.covered([runs[i]], len(words), width)
+                    words = [w for w, o in zip(words, cover.tolist(), strict=True) if not o]
                 gone.append(n[-1] - len(words))
                 kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*keep, "kept", "n_words", "n_removed"])
-
-    return back(map_arrow(both, apply, spec), "kept", "n_words", "n_removed")
+            out.append(pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*keep, "kept", "n_words", "n_removed"]))
+        return pa.Table.from_batches(out)
+
+    by_bucket = lambda df: df.groupBy("_bucket")
+    sketches = map_arrow(base.select("text", "_bucket"), sketch, repeats.Sketch.SCHEMA)
+    merged = materialize(sketches.groupBy("shard").applyInArrow(lambda g: repeats.Sketch.merge(g, cells), repeats.Sketch.MERGED), "merged").withColumnRenamed("bucket", "_bucket")
+    entries = by_bucket(base).cogroup(by_bucket(merged)).applyInArrow(windows, repeats.SCHEMA)
+    starts = repeats.sent(entries, repeats.exact, buckets).withColumnRenamed("bucket", "_bucket")
+    return back(by_bucket(base).cogroup(by_bucket(starts)).applyInArrow(apply, spec), "kept", "n_words", "n_removed")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,13 +184,44 @@ def test_suffix_sort(rows):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(0, 30), min_size=1, max_size=200))
-def test_sketch_never_counts_too_few(keys):
+@given(st.lists(st.integers(0, 30), min_size=1, max_size=200), st.integers(1, 4), st.sampled_from([2, 16, 1024]))
+def test_sketch_never_counts_too_few(keys, tasks, width):
+    """Sketches of several tasks, merged by shard: every repeated key is suspect in its bucket, whatever the width."""
+    import pyarrow as pa
+
     k = np.array(keys, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    one = np.ones(len(k), np.uint8)
-    more = np.zeros(len(k), np.uint32)
-    true = np.array([keys.count(x) >= 2 for x in keys])
-    assert (repeats.exact(k, more, one) == true).all() and (repeats.count_min(k, more, one) | ~true).all()
+    bucket = np.array(keys) % 3
+    rows = []
+    for t in range(tasks):
+        s = repeats.Sketch(2, width)
+        s.add(k[t::tasks], bucket[t::tasks])
+        rows += s.rows(3)
+    sent = pa.Table.from_batches(rows, schema=repeats.Sketch.ARROW)
+    assert not set(sent.column_names) & {"hashes", "docs", "places"}
+    merged = pa.concat_tables([repeats.Sketch.merge(sent.filter(pa.compute.equal(sent["shard"], x)), width) for x in set(sent["shard"].to_pylist())])
+    for x in range(3):
+        own = np.flatnonzero(bucket == x)
+        got = repeats.Sketch(2, width).suspects(merged.filter(pa.compute.equal(merged["bucket"], x)))(k[own])
+        assert all(g or keys.count(keys[i]) < 2 for g, i in zip(got, own.tolist(), strict=True))
+    assert (repeats.exact(k, np.zeros(len(k), np.uint32), np.ones(len(k), np.uint8)) == [keys.count(x) >= 2 for x in keys]).all()
+
+
+def test_sketch_drops_most_single_keys():
+    import pyarrow as pa
+
+    k = np.random.default_rng(1).integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    s = repeats.Sketch(1, repeats.Sketch.width_for(20_000))
+    s.add(k, np.zeros(len(k), np.int64))
+    merged = repeats.Sketch.merge(pa.Table.from_batches(list(s.rows(1))), s.width)
+    assert s.suspects(merged)(k).mean() < 0.05
+
+
+def test_bucket_is_the_one_of_spark(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, 5), (-3, 1 << 62), (repeats.NULL_ID, -9), (0, 0), ((1 << 63) - 1, 7)]
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in rows], "a bigint, b bigint").select(F.pmod(F.xxhash64("a", "b"), F.lit(37)).alias("x"))
+    assert [r.x for r in df.collect()] == repeats.bucket_of(np.array(rows, np.int64), 37).tolist()
 
 
 def test_query(spark, sf):
