@@ -105,16 +105,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches of at most ROWS rows."""
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = ROWS) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``rows`` rows (0: as they come)."""
     ship(df.sparkSession)
-    return df.mapInArrow(lambda batches: fn(_short(batches)), schema)
+    return df.mapInArrow((lambda batches: fn(_short(batches, rows))) if rows else fn, schema)
 
 
-def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _short(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for a in range(0, b.num_rows, ROWS):
-            yield b.slice(a, ROWS)
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
 
 
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:

@@ -58,16 +58,42 @@ def test_round_trip(spark, sf):
     assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in out.collect()} == brute(turns)
 
 
-def test_filter_has_no_false_negative():
+def test_filter_against_exact_sets(spark):
+    """Kept n-grams by brute force: the filter holds all of them, and as many others as the measured rate tells."""
     rng = np.random.default_rng(0)
-    counts = [(f"l{k:02}", int(g), 10) for k in range(70) for g in rng.integers(0, langid.GRAMS, 200)]
-    counts = list({(a, b): (a, b, c) for a, b, c in counts}.values())
-    m = langid.Model.train(counts, dominance=0.0)
-    assert m.slots.shape[0] == 2
-    at = langid._places(np.array([g for _, g, _ in counts], np.uint32))
-    for i, (lang, _, _) in enumerate(counts):
-        k = m.langs.index(lang)
-        assert all(int(m.slots[k // 64, at[h, i]]) >> (k % 64) & 1 for h in range(langid.HASHES))
+    counts = {(f"l{k:02}", int(g)): int(rng.integers(1, 40)) for k in range(70) for g in rng.integers(0, 3000, 900)}
+    m = langid.Model.fit(spark.createDataFrame([(a, b, n) for (a, b), n in counts.items()], "lang string, gram bigint, n bigint"))
+    assert m.slots.shape[0] == 2 and len(m.langs) == 70
+    total, best = {}, {}
+    for (lang, _), n in counts.items():
+        total[lang] = total.get(lang, 0) + n
+    for (lang, g), n in counts.items():
+        best[g] = max(best.get(g, 0), n / total[lang])
+    keep = {(lang, g) for (lang, g), n in counts.items() if n >= 3 and n / total[lang] >= 0.5 * best[g] - 1e-15}
+    grams = np.array(sorted(best), np.uint64)
+    masks = m.masks(grams)
+    got = {(m.langs[k], int(g)) for k in range(70) for g in grams[(masks[k // 64] >> np.uint64(k % 64) & np.uint64(1)) > 0]}
+    assert keep <= got
+    others = 70 * len(grams) - len(keep)
+    assert abs(len(got - keep) - m.rate.mean() * others) <= 0.002 * others
+
+
+def test_false_positives_of_a_full_filter():
+    """The measured rate is that of keys which the filter lacks."""
+    rng = np.random.default_rng(1)
+    slots = np.zeros((1, 1 << 12), np.uint64)
+    known = rng.choice(1 << 32, 1500, replace=False).astype(np.uint64)
+    slots[0, langid.places(known, 1 << 12).ravel()] |= np.uint64(1)
+    m = langid.Model(["x"], slots, "x")
+    new = np.setdiff1d(rng.choice(1 << 32, 50_000).astype(np.uint64), known)
+    assert m.masks(known).all() and m.rate[0] > 0.1 and abs(np.count_nonzero(m.masks(new)) / len(new) - m.rate[0]) < 0.01
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 3)
+    rows = [(f"l{k}", g, 5 + k) for k in range(6) for g in range(10)]
+    m = langid.Model.fit(spark.createDataFrame(rows, "lang string, gram bigint, n bigint"))
+    assert m.langs == ["l3", "l4", "l5"] and m.common == "l5"
 
 
 def test_accuracy(spark):
