@@ -5,6 +5,11 @@ distance to its vantage point at ``mu``. A fingerprint is a member of the one sh
 near to a boundary that a partner within the radius may lie beyond (triangle inequality), it also enters
 the shards beyond as a query. In each shard the tree goes on, down to small blocks whose distances are
 counted bit by bit. Shards return a spanning forest of their links, not pairs.
+
+Growth: on fingerprints without structure a level of the tree lets a query of radius 2 into both children in two cases of five, so that rows
+per fingerprint grow by about the power 0.4 of the shards: 4 rows at 64 shards, 8 at 320, 13 at 1024. Hence shards grow
+first: up to FEW of them are small, and more are made from ``SHARD`` fingerprints each on. A dense group of fingerprints that no vantage
+point parts falls into one shard; a shard of far more rows than the others is cut into blocks that meet pair by pair.
 """
 
 from __future__ import annotations
@@ -22,7 +27,9 @@ from kinetext.llm.graph import components, local_components
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 #: The most fingerprints of the sample that the upper tree is built from (8 per shard, 8192 at least), and fingerprints per shard aimed at.
-SAMPLE, SHARD = 1 << 19, 20_000
+SAMPLE, SHARD = 1 << 19, 500_000
+#: Shards that may be smaller, down to so many fingerprints; and rows of a block at least, where a shard is cut.
+FEW, SMALL, LEAST_BLOCK = 64, 2_000, 4_096
 #: For links by similarity: bands of two minima each, nodes of a block, bits of a parity map at most.
 BANDS, CHUNK, MOST_BITS = 8, 512, 1 << 17
 _ODD = [np.uint64(int(x) | 1) for x in np.random.default_rng(77).integers(1 << 62, 1 << 63, 2 * BANDS)]
@@ -126,13 +133,13 @@ def route(fps: np.ndarray, nodes: list[tuple[int, int, int, int]], radius: int)
     return np.concatenate([r for r, _, _ in out]), np.concatenate([np.full(len(r), k) for r, k, _ in out]), np.concatenate([np.full(len(r), q) for r, _, q in out])
 
 
-def links(members: np.ndarray, queries: np.ndarray, radius: int, block: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs (i, j) within the radius: of members i < j, and of query i (numbered after the members) and member j."""
+def links(members: np.ndarray, queries: np.ndarray, radius: int, block: int = 256, inner: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (i, j) within the radius: of members i < j (if ``inner``), and of query i (numbered after the members) and member j."""
     fps = np.concatenate([members, queries])
     todo = [(np.arange(len(members)), np.arange(len(members), len(fps)))]
     while todo:
         m, q = todo.pop()
-        if not len(m):
+        if not len(m) or not (inner or len(q)):
             continue
         if len(m) > block:
             point = fps[m[len(m) // 2]]
@@ -142,66 +149,119 @@ def links(members: np.ndarray, queries: np.ndarray, radius: int, block: int = 10
                 mu = int(d.max()) - 1
             left = d <= mu
             if left.any() and not left.all():
-                near = m[left & (d + radius > mu)]
+                near = m[left & (d + radius > mu)] if inner else m[:0]
                 todo += [(m[left], q[e - radius <= mu]), (m[~left], np.concatenate([q[e + radius > mu], near]))]
                 continue
         for a in range(0, len(m), block):
             own = m[a : a + block]
-            for part, inner in [(m[c : c + block], c == a) for c in range(a, len(m), block)] + [(q[c : c + block], False) for c in range(0, len(q), block)]:
+            for part, same in [(m[c : c + block], c == a) for c in range(a, len(m) if inner else a, block)] + [(q[c : c + 4 * block], False) for c in range(0, len(q), 4 * block)]:
                 near = np.bitwise_count(fps[own][:, None] ^ fps[part][None, :]) <= radius
-                if inner:
+                if same:
                     near = np.triu(near, 1)
                 i, j = np.nonzero(near)
                 if len(i):
                     yield own[i], part[j]
 
 
-def dealt(nodes: DataFrame, radius: int, sample: int = SAMPLE, shard: int = SHARD) -> GroupedData:
-    """``nodes`` (distinct fp, rep) by the leaves of an upper tree, as members and queries (leaf, fp, rep, query)."""
+def shard_count(n: int, sample: int = SAMPLE, shard: int = SHARD) -> int:
+    """Shards for ``n`` fingerprints: small ones up to FEW of them, then of ``shard`` fingerprints, as many as the sample allows."""
+    return max(1, min(n // min(SMALL, shard) + 1, max(FEW, n // shard + 1), sample // 8))
+
+
+def dealt(nodes: DataFrame, radius: int, sample: int = SAMPLE, shard: int = SHARD, block: int = LEAST_BLOCK) -> GroupedData:
+    """``nodes`` (distinct fp, rep) by the leaves of an upper tree and by pairs of blocks: leaf, sub, fp, rep, and ``side``.
+
+    Sides: 0 and 1 are members and queries of a leaf that is whole; of a leaf that is cut, 0 alone is a block with itself,
+    and 2 and 3 are two blocks that meet across only.
+    """
     spark = nodes.sparkSession
     ship(spark)
     n = nodes.count()
-    shards = max(1, min(n // shard + 1, sample // 8))
+    shards = shard_count(n, sample, shard)
     drawn = np.array([r.fp for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(min(sample, max(8192, 8 * shards))).collect()], np.int64).view(np.uint64)
     tree = build(drawn, shards)
-    out = pa.schema([("leaf", pa.int64()), ("fp", pa.int64()), ("rep", pa.int64()), ("query", pa.bool_())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = np.zeros((shards, 2), np.int64)
+        for b in batches:
+            _, leaf, query = route(b.column(0).to_numpy().view(np.uint64), tree, radius)
+            np.add.at(rows, (leaf, query.astype(int)), 1)
+        leaf = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_pydict({"leaf": leaf, "members": rows[leaf, 0], "queries": rows[leaf, 1]})
+
+    # A row per shard: bounded by the sample.
+    load = np.zeros((shards, 2), np.int64)
+    for r in map_arrow(nodes.select("fp"), count, "leaf bigint, members bigint, queries bigint", rows=0).groupBy("leaf").agg(F.sum("members").alias("m"), F.sum("queries").alias("q")).collect():
+        load[r.leaf] = r.m, r.q
+    most = max(block, 2 * int(load.sum() // shards))
+    parts = np.maximum(1, -(-load // most))
+    out = pa.schema([("leaf", pa.int64()), ("sub", pa.int64()), ("fp", pa.int64()), ("rep", pa.int64()), ("side", pa.int32())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = b.column(0).to_numpy().view(np.uint64)
             rows, leaf, query = route(f, tree, radius)
-            yield batch(out, leaf=leaf, fp=f[rows].view(np.int64), rep=b.column(1).take(pa.array(rows)), query=query)
+            sub, side, at = pair_blocks(f[rows], leaf, query, parts)
+            for a in range(0, len(at), 100_000):
+                k = rows[at[a : a + 100_000]]
+                yield batch(out, leaf=leaf[at[a : a + 100_000]], sub=sub[a : a + 100_000], fp=f[k].view(np.int64), rep=b.column(1).take(pa.array(k)), side=side[a : a + 100_000].astype(np.int32))
 
-    rows = map_arrow(nodes.select("fp", "rep"), deal, "leaf bigint, fp bigint, rep bigint, query boolean")
-    return rows.repartition(shuffle_partitions(spark), "leaf").groupBy("leaf")
+    rows = map_arrow(nodes.select("fp", "rep"), deal, "leaf bigint, sub bigint, fp bigint, rep bigint, side int")
+    return rows.repartition(shuffle_partitions(spark), "leaf", "sub").groupBy("leaf", "sub")
 
 
-def near_duplicates(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
+def pair_blocks(fps: np.ndarray, leaf: np.ndarray, query: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where rows go: sub, side, and the row. ``parts``: blocks of members and of queries of each leaf.
+
+    Block i of the members meets itself (sub i, i), the blocks j > i of the members, and all blocks of the queries.
+    """
+    pm, pq = parts[leaf, 0], parts[leaf, 1]
+    whole = (pm == 1) & (pq == 1)
+    mine = (mix(fps) >> np.uint64(40)).astype(np.int64) % np.where(query, pq, pm)
+    times = np.where(whole, 1, np.where(query, pm, pm + pq))
+    at = np.repeat(np.arange(len(leaf)), times)
+    k = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+    i, other, wide = mine[at], k, (pm + pq)[at]
+    # members: with block k of the members, or block k - pm of the queries; queries: with block k of the members
+    low = np.where(query[at], k, np.minimum(i, other))
+    high = np.where(query[at], pm[at] + i, np.maximum(i, other))
+    side = np.where(query[at] | (i > other), 3, np.where(i == other, 0, 2))
+    side = np.where(whole[at], query[at].astype(int), side)
+    return np.where(whole[at], 0, low * wide + high), side, at
+
+
+def meet(side: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The links within a group of ``dealt``, as positions."""
+    first = np.flatnonzero((side == 0) | (side == 2))
+    second = np.flatnonzero((side == 1) | (side == 3))
+    order = np.concatenate([first, second])
+    for i, j in links(fps[first], fps[second], radius, inner=not (side >= 2).any()):
+        yield order[i], order[j]
+
+
+def near_duplicates(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard: int = SHARD, block: int = LEAST_BLOCK) -> DataFrame:
     """For ``fps`` (doc_id, fp): each row with component_id, the smallest doc_id that links of ``radius`` bits reach.
 
-    Equal fingerprints are one node, so a group of copies never becomes pairs. A null doc_id takes part and never is a
-    component's name unless all its rows are null; repeated rows stay; an empty table gives no rows.
+    Equal fingerprints are one node, so a group of copies never becomes pairs. A row with a null doc_id links like any other and never
+    names a component, unless all its rows are null; repeated rows stay; an empty table gives no rows.
     """
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
     forest = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def search(group: pa.Table) -> pa.Table:
-        group = group.filter(group["rep"].is_valid()) if group["rep"].null_count else group
-        query, f, rep = group["query"].to_numpy(), group["fp"].to_numpy().view(np.uint64), group["rep"].to_numpy()
-        order = np.concatenate([np.flatnonzero(~query), np.flatnonzero(query)])
-        k = int((~query).sum())
-        f, rep = f[order], rep[order]
+        f = group["fp"].to_numpy()
         label = np.arange(len(f))
-        for i, j in links(f[:k], f[k:], radius):
+        for i, j in meet(group["side"].to_numpy(), f.view(np.uint64), radius):
             label = local_components(len(f), np.concatenate([np.arange(len(f)), i]), np.concatenate([label, j]))
         low = np.full(len(f), np.iinfo(np.int64).max)
-        np.minimum.at(low, label, rep)
-        linked = low[label] != rep
-        return pa.table({"a": rep[linked], "b": low[label][linked]}, schema=forest)
+        np.minimum.at(low, label, f)
+        linked = low[label] != f
+        return pa.table({"a": f[linked], "b": low[label][linked]}, schema=forest)
 
-    comp = components(dealt(nodes, radius, sample, shard).applyInArrow(search, "a bigint, b bigint"))
-    named = nodes.join(comp, nodes.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp")
+    comp = components(dealt(nodes, radius, sample, shard, block).applyInArrow(search, "a bigint, b bigint"))
+    named = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return fps.join(named.join(least, "component").select("fp", "component_id"), "fp")
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
@@ -354,12 +414,10 @@ def fingerprint_pairs(fps: DataFrame, radius: int) -> DataFrame:
     out = pa.schema([("center", pa.int64()), ("fp", pa.int64())])
 
     def search(group: pa.Table) -> pa.Table:
-        query, f, rep = group["query"].to_numpy(), group["fp"].to_numpy(), group["rep"].to_pandas(integer_object_nulls=True).to_numpy()
-        order = np.concatenate([np.flatnonzero(~query), np.flatnonzero(query)])
-        f, k = f[order], int((~query).sum())
-        mixed, known = np.array([r is None for r in rep[order]], bool), np.array([r or 0 for r in rep[order]], np.int64)
+        f, rep = group["fp"].to_numpy(), group["rep"].to_pandas(integer_object_nulls=True).to_numpy()
+        mixed, known = np.array([r is None for r in rep], bool), np.array([r or 0 for r in rep], np.int64)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, j in links(f[:k].view(np.uint64), f[k:].view(np.uint64), radius):
+        for i, j in meet(group["side"].to_numpy(), f.view(np.uint64), radius):
             open_ = mixed[i] | mixed[j] | (known[i] != known[j])
             low, high = np.minimum(f[i], f[j])[open_], np.maximum(f[i], f[j])[open_]
             a += [low, np.unique(low)]

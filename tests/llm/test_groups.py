@@ -73,8 +73,9 @@ def test_all_pairs(spark):
     df = spark.createDataFrame([(k, f - (1 << 64) if f >> 63 else f) for k, f in enumerate(fps)], "doc_id bigint, fp bigint")
     for radius in (2, 5):
         want = closure(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= radius])
-        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, radius, sample=64, shard=40).collect()}
-        assert got == dict(enumerate(want))
+        for block in (4096, 7):  # shards as a whole; cut into blocks
+            got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, radius, sample=64, shard=40, block=block).collect()}
+            assert got == dict(enumerate(want))
     arr = np.array(sorted(set(fps)), np.uint64)
     found = {(int(a), int(b)) for i, j in simhash.links(arr[:400], arr[400:], 3, block=16) for a, b in zip(i, j, strict=True)}
     want = {(i, j) for i in range(len(arr)) for j in range(len(arr)) if (i < j < 400 or i >= 400 > j) and (int(arr[i]) ^ int(arr[j])).bit_count() <= 3}
@@ -82,6 +83,39 @@ def test_all_pairs(spark):
     assert norm(found) == norm(want)
 
 
+def test_null_ids_link(spark):
+    """0 and 15 are linked through a row without an id only."""
+    df = spark.createDataFrame([(7, 0), (None, 3), (9, 15), (None, -1)], "doc_id bigint, fp bigint")
+    assert sorted((r.fp, r.component_id) for r in simhash.near_duplicates(df).collect()) == [(-1, None), (0, 7), (3, 7), (15, 7)]
+
+
+def test_blocks_meet_once():
+    """Blocks of a cut leaf: all pairs of members, and of members with queries, in exactly one group."""
+    rng = np.random.default_rng(2)
+    fps, query = rng.integers(0, 1 << 63, 60, dtype=np.uint64), np.arange(60) >= 40
+    for parts in ([1, 1], [3, 2], [1, 3], [4, 1]):
+        sub, side, at = simhash.pair_blocks(fps, np.zeros(60, int), query, np.array([parts]))
+        met: dict = {}
+        for g in set(sub.tolist()):
+            own = np.flatnonzero(sub == g)
+            for i, j in simhash.meet(side[own], fps[at[own]], 64):
+                for x, y in zip(at[own][i].tolist(), at[own][j].tolist(), strict=True):
+                    met[min(x, y), max(x, y)] = met.get((min(x, y), max(x, y)), 0) + 1
+        assert met == {(i, j): 1 for i in range(40) for j in range(i + 1, 60)}
+
+
+def test_routing_growth():
+    """Rows per fingerprint without structure, at the shards that so many fingerprints get."""
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    for n, most in ((1_000_000, 5), (30_000_000, 5), (160_000_000, 9)):
+        shards = simhash.shard_count(n)
+        tree = simhash.build(fps[: max(8192, 8 * shards)], shards)
+        rows, _, _ = simhash.route(fps, tree, 2)
+        assert len(rows) < most * len(fps)
+    assert simhash.shard_count(100) == 1 and simhash.shard_count(1 << 40) == simhash.SAMPLE // 8
+
+
 def test_keep_one(spark, docs, texts, odd, none):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
