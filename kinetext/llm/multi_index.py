@@ -6,14 +6,17 @@ visit is measured: for vectors of the sample, neighbours are drawn at exactly th
 directions, and the number is the one at which ``recall`` of them are met from either side. Cosines of what
 meets are then computed in double precision; no link is kept without that.
 
-Bounds: the codebooks and the number of visits are fitted on at most ``SAMPLE`` distinct vectors; cells with many vectors or visitors
-are cut into blocks of at most about ``BLOCK`` by ``BLOCK``, so no task gathers a cell as a whole. Equal vectors are one node.
+Bounds: the codebooks and the number of visits are fitted on at most ``SAMPLE`` distinct vectors; k, the size of a codebook, grows with the
+square root of the vectors up to ``MOST_CENTROIDS``, so that cells keep their size up to half a billion vectors. Cells with many vectors or
+visitors are cut into blocks, so no task gathers a cell as a whole. Equal vectors are one node. Vectors of another length are
+indexed apart. Components travel as they came (single precision stays single), and cosines are computed in double precision.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,9 @@ from pyspark.sql import functions as F
 from kinetext.llm.common import batch, map_arrow, materialize, ship, table
 from kinetext.llm.graph import components, local_components
 
-THRESHOLD, RECALL, SAMPLE, BLOCK = 0.95, 0.995, 16_384, 4096
+THRESHOLD, RECALL, SAMPLE, BLOCK = 0.95, 0.995, 1 << 18, 2048
+#: Vectors of a cell aimed at, centroids of a codebook at most, and sampled vectors per centroid (LEAST_SAMPLE at least).
+CELL, MOST_CENTROIDS, PER_CENTROID, LEAST_SAMPLE = 32, 4096, 64, 16_384
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -59,10 +64,9 @@ class Index:
 
     def __post_init__(self):
         # Of the pairs (i, j) of ranks, only those with (i + 1) (j + 1) <= visits can be among the first ``visits``.
-        k = len(self.first)
-        i, j = np.divmod(np.arange(k * k), k)
-        near = (i + 1) * (j + 1) <= self.visits
-        self.ranks = i[near], j[near]
+        many = np.minimum(len(self.second), self.visits // np.arange(1, min(len(self.first), self.visits) + 1))
+        i = np.repeat(np.arange(len(many)), many)
+        self.ranks = i, np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         h = x.shape[1] // 2
@@ -83,7 +87,7 @@ class Index:
         x = units(sample)
         h = x.shape[1] // 2
         k = min(k, len(x))
-        index = Index(kmeans(x[:, :h], k), kmeans(x[:, h:], k), k * k)
+        index = Index(kmeans(x[:, :h], k), kmeans(x[:, h:], k), 1)
         rng = np.random.default_rng(7)
         probe = x[rng.permutation(len(x))[:1024]]
         u = rng.standard_normal(probe.shape)
@@ -93,12 +97,14 @@ class Index:
         return Index(index.first, index.second, int(min(k * k, max(1, np.ceil(np.quantile(ranks, recall)) + 1))))
 
     def _rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """How many cells come before that of ``y`` in the order of ``x``."""
+        """How many cells come before that of ``y`` in the order of ``x``: for each centroid of one half, a search among those of the other."""
         h, k = x.shape[1] // 2, len(self.second)
         a, b = distances(x[:, :h], self.first), distances(x[:, h:], self.second)
-        total = (a[:, :, None] + b[:, None, :]).reshape(len(x), -1)
-        at = self.cells(y)
-        return (total < total[np.arange(len(x)), at][:, None]).sum(axis=1)
+        i, j = np.divmod(self.cells(y), k)
+        own = np.arange(len(x))
+        last = a[own, i] + b[own, j]
+        b.sort(axis=1)
+        return np.array([np.searchsorted(b[r], last[r] - a[r] - 1e-12, "left").sum() for r in own])
 
 
 _DEALT = pa.schema([("cell", pa.int64()), ("sub", pa.int32()), ("visitor", pa.bool_()), ("rep", pa.int64()), ("times", pa.int64()), ("vector", pa.binary()), ("visits", pa.binary())])
@@ -114,40 +120,71 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     """For each row of ``vectors`` (vec_id, embedding): n_links, component_id and kept.
 
     Linked are rows whose cosine is at least ``threshold`` and that meet in the index. Rows whose vec_id is null, whose vector is null,
-    empty, zero, of another length than most, or holds null or non-finite components link with nothing and are their own
-    component. Equal vectors link with each other; rows that share a vec_id count as one node; other columns are dropped
+    empty, zero, or holds null or non-finite components link with nothing and are their own component; so do vectors of different
+    lengths with each other. Equal vectors link with each other; rows that share a vec_id count as one node; other columns are dropped
     first; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    kind = kind if kind == "float" else "double"
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     sound = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     valid = rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(sound)
-    sizes = valid.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    plain = rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if sizes is None:
-        return plain
-    nodes = materialize(valid.filter(F.size("embedding") == sizes.d).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("times")), "vectors")
-    total = nodes.count()
-    drawn = np.array([r.embedding for r in nodes.select("embedding").orderBy(F.xxhash64("rep"), "rep").limit(sample).collect()])
-    index = Index.fit(drawn, int(np.clip(np.sqrt(total / 32), 2, 256)), threshold, recall)
-    cells = len(index.first) * len(index.second)
+    nodes = materialize(valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("times")).withColumn("d", F.size("embedding")), "vectors")
+    # One index for each length; hardly ever more than one.
+    met = [_links(nodes.filter(F.col("d") == r.d), r.n, kind, threshold, recall, sample) for r in nodes.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect()]
+    if not met:
+        return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    met = materialize(reduce(DataFrame.unionByName, met), "met")
+    comp = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    links = met.groupBy("rep").agg(F.sum("links").alias("links"))
+    named = nodes.join(links, "rep", "left").join(comp, nodes.rep == comp.node, "left").select(
+        "embedding", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"), F.coalesce("component", "rep").alias("component")
+    )
+    out = rows.join(named, (rows.embedding == named.embedding) & rows.vec_id.isNotNull(), "left")
+    component = F.coalesce("component", "vec_id")
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+
+
+def codebook(total: int) -> int:
+    """Centroids of each half: cells of about CELL vectors as long as MOST_CENTROIDS allow."""
+    return int(np.clip(np.sqrt(total / CELL), 2, MOST_CENTROIDS))
+
+
+def _links(nodes: DataFrame, total: int, kind: str, threshold: float, recall: float, sample: int) -> DataFrame:
+    """(rep, links, root) of the ``total`` distinct vectors (embedding, rep, times) of one length."""
+    k = codebook(total)
+    drawn = np.array([r.embedding for r in nodes.select("embedding").orderBy(F.xxhash64("rep"), "rep").limit(min(sample, max(LEAST_SAMPLE, PER_CENTROID * k))).collect()])
+    index = Index.fit(drawn, k, threshold, recall)
+    cells, form = len(index.first) * len(index.second), np.float32 if kind == "float" else np.float64
+    # Blocks of stored vectors and of visitors: twice what a cell has on the average, BLOCK at least.
+    most = np.maximum(BLOCK, 2 * np.array([total, total * index.visits]) // cells)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, cells), np.int64)
+        n: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for b in batches:
             x = _vectors(b.column(0))
             for a in range(0, len(x), 512):
                 u = units(x[a : a + 512])
-                n[0] += np.bincount(index.cells(u), minlength=cells)
-                n[1] += np.bincount(index.order(u).ravel(), minlength=cells)
-        yield pa.RecordBatch.from_pydict({"cell": np.tile(np.arange(cells), 2), "visitor": np.repeat([False, True], cells), "n": n.ravel()})
-
-    # A row per cell of the grid at most: bounded by the codebooks.
-    load = np.zeros((2, cells), np.int64)
-    for r in map_arrow(nodes.select("embedding"), count, "cell bigint, visitor boolean, n bigint").groupBy("cell", "visitor").agg(F.sum("n").alias("n")).collect():
-        load[int(r.visitor), r.cell] = r.n
-    parts = np.maximum(1, -(-load // BLOCK))
+                n.append(np.unique(np.concatenate([index.cells(u) * 2, index.order(u).ravel() * 2 + 1]), return_counts=True))
+            if len(n) > 200:
+                n = [_added(n)]
+        key, times = _added(n)
+        yield pa.RecordBatch.from_pydict({"key": key, "n": times})
+
+    # Only cells that are cut reach the driver: at most half of all.
+    counted = map_arrow(nodes.select("embedding"), count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    cut = {r.key: r.n for r in counted.filter(F.col("n") > F.when(F.col("key") % 2 == 0, int(most[0])).otherwise(int(most[1]))).collect()}
+    hot = np.array(sorted(cut), np.int64)
+    blocks = np.array([-(-cut[c] // int(most[c % 2])) for c in hot.tolist()], np.int64)
+
+    def parts(cell: np.ndarray, visitor: int) -> np.ndarray:
+        """Blocks of stored vectors (0) or visitors (1) of each cell."""
+        if not len(hot):
+            return np.ones(len(cell), np.int64)
+        at = np.minimum(np.searchsorted(hot, cell * 2 + visitor), len(hot) - 1)
+        return np.where(hot[at] == cell * 2 + visitor, blocks[at], 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -157,17 +194,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
                 r, t = rep[a : a + 512], times[a : a + 512]
                 spread = (r.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
                 own, seen = index.cells(u), index.order(u)
-                vec = [v.tobytes() for v in u]
+                vec = [v.tobytes() for v in x[a : a + 512].astype(form)]
                 packed = [v.tobytes() for v in seen.astype(np.uint32)]
                 i = np.concatenate([np.arange(len(u)), np.repeat(np.arange(len(u)), seen.shape[1])])
                 cell = np.concatenate([own, seen.ravel()])
                 visitor = np.arange(len(i)) >= len(u)
+                of = parts(cell, 0), parts(cell, 1)
                 # a stored vector has one block and goes to all blocks of visitors, a visitor the other way round
-                mine = (spread[i] % np.where(visitor, parts[1][cell], parts[0][cell]).astype(np.uint64)).astype(np.int64)
-                many = np.where(visitor, parts[0][cell], parts[1][cell])
+                mine = (spread[i] % np.where(visitor, of[1], of[0]).astype(np.uint64)).astype(np.int64)
+                many = np.where(visitor, of[0], of[1])
                 j = np.repeat(np.arange(len(i)), many)
                 other = np.arange(len(j)) - np.repeat(np.cumsum(many) - many, many)
-                sub = np.where(visitor[j], other * parts[1][cell[j]] + mine[j], mine[j] * parts[1][cell[j]] + other)
+                sub = np.where(visitor[j], other * of[1][j] + mine[j], mine[j] * of[1][j] + other)
                 for c in range(0, len(j), 20_000):
                     q = j[c : c + 20_000]
                     k = i[q]
@@ -175,7 +213,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
 
     def meet(group: pa.Table) -> pa.Table:
         visitor = group["visitor"].to_numpy()
-        x = np.frombuffer(b"".join(group["vector"].to_pylist()), np.float64).reshape(len(visitor), -1)
+        x = units(np.frombuffer(b"".join(group["vector"].to_pylist()), form).reshape(len(visitor), -1))
         rep, times = group["rep"].to_numpy(), group["times"].to_numpy()
         s, v = np.flatnonzero(~visitor), np.flatnonzero(visitor)
         if not len(s) or not len(v):
@@ -200,15 +238,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
         return pa.table({"rep": names[hit], "links": links[hit], "root": names[label][hit]}, schema=_MET)
 
     dealt = map_arrow(nodes.select("embedding", "rep", "times"), deal, "cell bigint, sub int, visitor boolean, rep bigint, times bigint, vector binary, visits binary")
-    met = materialize(dealt.groupBy("cell", "sub").applyInArrow(meet, "rep bigint, links bigint, root bigint"), "met")
-    comp = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    links = met.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = nodes.join(links, "rep", "left").join(comp, nodes.rep == comp.node, "left").select(
-        "embedding", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"), F.coalesce("component", "rep").alias("component")
-    )
-    out = rows.join(named, (rows.embedding == named.embedding) & rows.vec_id.isNotNull(), "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    return dealt.groupBy("cell", "sub").applyInArrow(meet, "rep bigint, links bigint, root bigint")
+
+
+def _added(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, n = (np.concatenate([c[k] for c in counts]) for k in (0, 1))
+    new, at = np.unique(key, return_inverse=True)
+    return new, np.bincount(at, weights=n, minlength=len(new)).astype(np.int64)
 
 
 def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:

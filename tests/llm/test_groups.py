@@ -195,6 +195,40 @@ def test_multi_sequence_order():
     assert (ix.cells(x) == full.argmin(axis=1)).all() and (ix.order(x)[:, 0] == ix.cells(x)).all()
 
 
+def test_ranks_by_brute_force():
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(30, 8)), rng.normal(size=(30, 8))
+    ix = multi_index.Index(rng.normal(size=(7, 4)), rng.normal(size=(7, 4)), 49)
+    at = (ix.order(x) == ix.cells(y)[:, None]).argmax(axis=1)
+    assert (ix._rank(x, y) == at).all()
+
+
+def test_lengths_are_indexed_apart(spark):
+    """Vectors of rarer lengths link among themselves, copies as well."""
+    rows = [(k, [float(k == j) for j in range(6)]) for k in range(6)] + [(10, [1.0, 0.1]), (11, [1.0, 0.12]), (12, [0.0, 1.0]), (13, [5.0]), (14, [5.0]), (15, [-1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in multi_index.near_duplicates(df).collect()}
+    assert got == {k: (0, k) for k in (*range(6), 12, 15)} | {10: (1, 10), 11: (1, 10), 13: (1, 13), 14: (1, 13)}
+
+
+def test_recall_on_planted_neighbours(spark):
+    """64 dimensions, neighbours just beyond the threshold: at least 0.9 of the links and none below."""
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=(4000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    u = rng.normal(size=(1500, 64))
+    u -= (u * base[:1500]).sum(axis=1, keepdims=True) * base[:1500]
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    c = rng.uniform(0.951, 0.999, (1500, 1))
+    x = np.concatenate([base, c * base[:1500] + np.sqrt(1 - c * c) * u]).astype(np.float32)
+    df = spark.createDataFrame([(k, e.tolist()) for k, e in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in multi_index.near_duplicates(df).collect()}
+    v = multi_index.units(x)
+    n = (v @ v.T >= 0.95).sum(axis=1) - 1
+    assert n.sum() >= 3000 and all(got[k] <= n[k] for k in range(len(x))) and sum(got.values()) >= 0.95 * n.sum()
+    assert [multi_index.codebook(m) for m in (100, 3_200_000, 1 << 40)] == [2, 316, multi_index.MOST_CENTROIDS]
+
+
 def _words(rng, n):
     return ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
 
