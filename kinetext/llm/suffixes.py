@@ -34,9 +34,9 @@ from kinetext.llm.common import _B1, _B2, _LUT, inverse, key_of, map_arrow, mate
 from kinetext.llm.substrings import _keys
 
 WIDTH, GRAM = 100, 32
-HELD, SEGMENT, HOT, MANY = 2_000_000, 1 << 21, 64, 4096
+HELD, SEGMENT, HOT, MANY = 1_000_000, 1 << 21, 64, 4096
 #: Surroundings that a task holds before it sends them on, and the bytes of one: offset of the anchor, length, and the text.
-HELD_TEXTS, ROW = 1 << 17, 2 + 2 * WIDTH - GRAM
+HELD_TEXTS, ROW = 1 << 16, 2 + 2 * WIDTH - GRAM
 CLASS, PART, SPREAD = 1, 2, 4
 #: Kinds of rows in the second exchange: texts of parts, classes, windows that are settled.
 PARTS, CLASSES, SETTLED = 0, 1, 2
@@ -188,7 +188,7 @@ def anchor_entries(shards: int):
             for i, j, s in segments(b):
                 if len(s.anchor):
                     docs.append(_keys(b, i, j))
-                    held.append((s.gram, s.surroundings(), s.doc + n_docs, s.place))
+                    held.append((s.gram, s.surroundings(), (s.doc + n_docs).astype(np.int32), s.place.astype(np.int32)))
                     n_docs += j - i
                     size += len(s.anchor)
                 if size >= HELD:
@@ -200,6 +200,7 @@ def anchor_entries(shards: int):
     def flush(docs: list[np.ndarray], held: list[tuple]) -> Iterator[pa.RecordBatch]:
         keys = np.concatenate(docs)
         g, c, doc, place = (np.concatenate([x[k] for x in held]) for k in range(4))
+        held.clear()
         rank = (_ranks(keys)[doc].astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64)
         order, new_g, new_c, later = settle(g, c, rank)
         group, kind = np.cumsum(new_g) - 1, np.cumsum(new_c) - 1
