@@ -218,8 +218,8 @@ def anchor_entries(shards: int):
     return run
 
 
-TOLD = "doc_id bigint, _h bigint, anchors binary, spread boolean"
-TOLD_ARROW = pa.schema([("doc_id", pa.int64()), ("_h", pa.int64()), ("anchors", pa.binary()), ("spread", pa.bool_())])
+TOLD = "doc_id bigint, _h bigint, anchors binary, spread binary"
+TOLD_ARROW = pa.schema([("doc_id", pa.int64()), ("_h", pa.int64()), ("anchors", pa.binary()), ("spread", pa.binary())])
 
 
 def codes(x: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +239,7 @@ def codes(x: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def answers(entries: DataFrame) -> DataFrame:
-    """(doc_id, _h, anchors, spread): each document's suspect anchors as pairs (place, code) of uint32, and whether any is spread."""
+    """(doc_id, _h, anchors, spread): each document's suspect anchors as pairs (place, code) of uint32, and those that are spread again (none: null)."""
     buckets = shuffle_partitions(entries.sparkSession)
 
     def run(group: pa.Table) -> pa.Table:
@@ -250,10 +250,11 @@ def answers(entries: DataFrame) -> DataFrame:
             parts.append((x["docs"], x["place"] << 3 | x["flags"]))
         return _send(parts, buckets)
 
-    def shape(v: np.ndarray) -> tuple[bytes, bool]:
+    def shape(v: np.ndarray) -> tuple[bytes, bytes | None]:
         new = np.flatnonzero(np.r_[True, v[1:] >> 3 != v[:-1] >> 3])
         code = np.bitwise_or.reduceat(v & 7, new)
-        return np.stack([v[new] >> 3, code], axis=1).astype(np.uint32).tobytes(), bool((code & SPREAD).any())
+        pairs = np.stack([v[new] >> 3, code], axis=1).astype(np.uint32)
+        return pairs.tobytes(), pairs[code & SPREAD > 0].tobytes() or None
 
     return _gather(entries.groupBy("shard").applyInArrow(run, repeats.SENT), shape, TOLD, TOLD_ARROW)
 
@@ -578,11 +579,12 @@ def earlier_windows(docs: DataFrame, shards: int | None = None) -> DataFrame:
 
     told = materialize(answers(map_arrow(docs, anchor_entries(shards), ENTRY_DDL)), "anchors")
     same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._h") == F.col("s._h"))
-    spread = told.filter("spread")
+    # A table of its own: its size decides whether the join with the texts needs an exchange of them.
+    spread = materialize(told.filter("spread is not null").select("doc_id", "_h", "spread"), "spread")
     if spread.isEmpty():
         asked = told.select("doc_id", "_h", "anchors", F.lit(None).cast("binary").alias("windows"))
     else:
-        some = docs.alias("d").join(spread.alias("s"), same).select("d.doc_id", "d.text", "d._h", "s.anchors")
+        some = docs.alias("d").join(spread.alias("s"), same).select("d.doc_id", "d.text", "d._h", "s.spread")
         again = materialize(repeats.answer(map_arrow(some, spread_entries(shards), repeats.SCHEMA), repeats.exact), "windows")
         t, w = told.alias("t"), again.alias("w")
         asked = t.join(w, F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t._h") == F.col("w._h")), "left").select("t.doc_id", "t._h", "anchors", F.col("runs").alias("windows"))
