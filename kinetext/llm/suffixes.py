@@ -579,15 +579,12 @@ def earlier_windows(docs: DataFrame, shards: int | None = None) -> DataFrame:
 
     told = materialize(answers(map_arrow(docs, anchor_entries(shards), ENTRY_DDL)), "anchors")
     same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._h") == F.col("s._h"))
-    # A table of its own: its size decides whether the join with the texts needs an exchange of them.
-    spread = materialize(told.filter("spread is not null").select("doc_id", "_h", "spread"), "spread")
-    if spread.isEmpty():
-        asked = told.select("doc_id", "_h", "anchors", F.lit(None).cast("binary").alias("windows"))
-    else:
-        some = docs.alias("d").join(spread.alias("s"), same).select("d.doc_id", "d.text", "d._h", "s.spread")
-        again = materialize(repeats.answer(map_arrow(some, spread_entries(shards), repeats.SCHEMA), repeats.exact), "windows")
-        t, w = told.alias("t"), again.alias("w")
-        asked = t.join(w, F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t._h") == F.col("w._h")), "left").select("t.doc_id", "t._h", "anchors", F.col("runs").alias("windows"))
+    # Not materialized: all three joins with the texts then read one exchange of them.
+    spread = told.filter("spread is not null").select("doc_id", "_h", "spread")
+    some = docs.alias("d").join(spread.alias("s"), same).select("d.doc_id", "d.text", "d._h", "s.spread")
+    again = repeats.answer(map_arrow(some, spread_entries(shards), repeats.SCHEMA), repeats.exact)
+    t, w = told.alias("t"), again.alias("w")
+    asked = t.join(w, F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t._h") == F.col("w._h")), "left").select("t.doc_id", "t._h", "anchors", F.col("runs").alias("windows"))
     some = docs.alias("d").join(asked.alias("s"), same).select("d.doc_id", "d.text", "d._h", "s.anchors", "s.windows")
     sent = map_arrow(some, window_entries(shards), ENTRY_DDL).groupBy("shard").applyInArrow(run, repeats.SENT)
     return _gather(sent, lambda v: (np.stack([np.unique(v) >> 8, np.unique(v) & 255], axis=1).astype(np.uint32).tobytes(),)).withColumnRenamed("runs", "starts")
