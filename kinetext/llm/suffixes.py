@@ -119,6 +119,15 @@ def segments(b: pa.RecordBatch) -> Iterator[tuple[int, int, Segment]]:
             yield i, j, Segment(text[lo:hi], np.array([0, hi - lo]), lo, a - lo, SEGMENT // 2)
 
 
+def packed(text: bytes) -> bytes:
+    """Texts on their way to a shard: their length (8 bytes) and their bytes, compressed."""
+    return len(text).to_bytes(8, "little") + pa.compress(text, "zstd", asbytes=True) if text else b""
+
+
+def unpacked(sent: bytes) -> bytes:
+    return pa.decompress(sent[8:], int.from_bytes(sent[:8], "little"), "zstd", asbytes=True) if sent else b""
+
+
 def _pack(kind: int, shard: np.ndarray, docs: np.ndarray, doc: np.ndarray, place: np.ndarray, h: np.ndarray | None = None, more: np.ndarray | None = None, flags: np.ndarray | None = None, shapes: np.ndarray | None = None, texts: list[bytes] | np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     if not len(doc):
         return
@@ -129,7 +138,7 @@ def _pack(kind: int, shard: np.ndarray, docs: np.ndarray, doc: np.ndarray, place
     part = lambda x, a, b: b"" if x is None else x[order[a:b]].tobytes()
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         used, codes = np.unique(doc[a:b], return_inverse=True)
-        rows.append((int(shard[a]), kind, b - a, part(h, a, b), part(more, a, b), part(flags, a, b), docs[used].tobytes(), codes.astype(np.uint32).tobytes(), place[a:b].astype(np.uint32).tobytes(), part(shapes, a, b), b"".join([texts[k] for k in order[a:b].tolist()]) if isinstance(texts, list) else part(texts, a, b)))
+        rows.append((int(shard[a]), kind, b - a, part(h, a, b), part(more, a, b), part(flags, a, b), docs[used].tobytes(), codes.astype(np.uint32).tobytes(), place[a:b].astype(np.uint32).tobytes(), part(shapes, a, b), packed(b"".join([texts[k] for k in order[a:b].tolist()]) if isinstance(texts, list) else part(texts, a, b))))
         if len(rows) == 32:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ENTRY, strict=True)], schema=ENTRY)
             rows = []
@@ -161,7 +170,7 @@ def _unpack(group: pa.Table, kind: int) -> dict | None:
         return None
     col = lambda c, d: np.frombuffer(b"".join(t[c].to_pylist()), d)
     docs = np.concatenate([np.frombuffer(d, np.int64).reshape(-1, 2)[np.frombuffer(c, np.uint32)] for d, c in zip(t["docs"].to_pylist(), t["codes"].to_pylist(), strict=True)])
-    return {"docs": docs, "place": col("places", np.uint32).astype(np.int64), "h": col("hashes", np.uint64), "more": col("more", np.uint64), "flags": col("flags", np.uint8), "shapes": col("shapes", np.uint8).reshape(-1, 4), "text": b"".join(t["texts"].to_pylist())}
+    return {"docs": docs, "place": col("places", np.uint32).astype(np.int64), "h": col("hashes", np.uint64), "more": col("more", np.uint64), "flags": col("flags", np.uint8), "shapes": col("shapes", np.uint8).reshape(-1, 4), "text": b"".join(map(unpacked, t["texts"].to_pylist()))}
 
 
 def _order_keys(docs: np.ndarray, place: np.ndarray) -> np.ndarray:
