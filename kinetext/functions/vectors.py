@@ -30,6 +30,11 @@ def once(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), 0)
 
 
+def total(vectors: Column) -> Column:
+    """The sum of an array of vectors; null without any."""
+    return F.aggregate(F.slice(vectors, 2, F.size(vectors)), F.get(vectors, 0), lambda s, x: F.zip_with(s, x, lambda p, q: p + q))
+
+
 def scale(a: Column, by: Column) -> Column:
     return once(by, lambda b: F.transform(a, lambda x: x * b))
 

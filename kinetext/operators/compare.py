@@ -40,9 +40,8 @@ def fitness_interpretation(fitness: Column) -> Column:
 
 def profile_of(seq: DataFrame, threshold: float = 0.3, key: str = "doc_id") -> DataFrame:
     """What a comparison needs of each sequence, computed once however many pairs it is in."""
-    m = scores.measure(seq, threshold, key)
-    a = km.motion(seq, key).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("a").isNotNull(), F.struct("p", "a")))), lambda x: x["a"]).alias("acc"))
-    return m.join(a, key).select(F.col(key).alias("id"), "n", "acc", "deadpan_score", "heller_score", "isolation", F.col("n_spikes").cast("int").alias("n_spikes"), F.transform("spikes", lambda s: s["position_ratio"]).alias("places"))
+    m = scores.measure(seq, threshold, key, acc=km.in_order("a"))
+    return m.select(F.col(key).alias("id"), "n", "acc", "deadpan_score", "heller_score", "isolation", F.col("n_spikes").cast("int").alias("n_spikes"), F.transform("spikes", lambda s: s["position_ratio"]).alias("places"))
 
 
 def compare(pairs: DataFrame, golden: DataFrame, synthetic: DataFrame) -> DataFrame:

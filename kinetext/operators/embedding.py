@@ -39,8 +39,16 @@ class HashBackend(Backend):
     def vector(self, text: Column) -> Column:
         """Stays in the JVM: buckets of all tokens, counted, at unit length; no tokens: zeros."""
         buckets = F.transform(tx.tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % self.dimensions)
-        counted = vx.once(buckets, lambda b: F.transform(F.sequence(F.lit(0), F.lit(self.dimensions - 1)), lambda d: F.size(F.filter(b, lambda x: x == d)).cast("double")))
-        return vx.once(counted, vx.normalize)
+        # sorted buckets, and one fold over them that appends each bucket's count when the next one begins
+        state = F.struct(F.array().cast("array<double>").alias("counts"), F.lit(0.0).alias("run"))
+        ends = F.concat(F.array_sort(buckets), F.array(F.lit(self.dimensions).cast("bigint")))
+
+        def step(s: Column, x: Column) -> Column:
+            at = F.size(s["counts"]).cast("bigint")
+            grown = F.concat(s["counts"], F.array(s["run"]), F.array_repeat(F.lit(0.0), (x - at - 1).cast("int")))
+            return F.when(x == at, F.struct(s["counts"].alias("counts"), (s["run"] + 1).alias("run"))).otherwise(F.struct(grown.alias("counts"), F.lit(1.0).alias("run")))
+
+        return vx.once(F.aggregate(ends, state, step, lambda s: s["counts"]), vx.normalize)
 
     def embed(self, df: DataFrame, text: str = "text", out: str = "e") -> DataFrame:
         return df.withColumn(out, self.vector(F.col(text)))

@@ -11,24 +11,29 @@ from pyspark.sql import functions as F
 from kinetext.functions import vectors as vx
 
 
+#: Characters of a sentence in the label of a mean.
+LABEL = 50
+PROFILES = {"velocity_profile": "v", "acceleration_profile": "a", "curvature_profile": "k"}
+
+
 def _window(key: str) -> Window:
     return Window.partitionBy(key).orderBy("pos")
 
 
-def motion(seq: DataFrame, key: str = "doc_id") -> DataFrame:
+def motion(seq: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Adds p (place from 0), n (places), v, a, k and lag2 (cosine with the vector two places before; null if a norm is tiny).
 
-    Row p holds velocity p - 1, acceleration p - 2 and curvature p - 2; rows before the first of each hold null.
+    Row p holds velocity p - 1, acceleration p - 2 and curvature p - 2; rows before the first of each hold null. Columns ``keep`` stay.
     """
     w = _window(key)
-    rows = seq.select(key, "pos", vx.double(F.col("e")).alias("e"))
+    rows = seq.select(key, "pos", *keep, vx.double(F.col("e")).alias("e"))
     rows = rows.withColumns({"p": F.row_number().over(w) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy(key)), "_e1": F.lag("e", 1).over(w), "_e2": F.lag("e", 2).over(w)})
     rows = rows.withColumn("_d", F.when(F.col("_e1").isNotNull(), vx.subtract(F.col("e"), F.col("_e1"))))
     rows = rows.withColumn("v", vx.norm(F.col("_d")))
     rows = rows.withColumns({"_v1": F.lag("v").over(w), "_d1": F.lag("_d").over(w)})
     n0, n2 = vx.norm(F.col("e")), vx.norm(F.col("_e2"))
     return rows.select(
-        key, "pos", "p", "n", "e", "v", "_v1", F.abs(F.col("v") - F.col("_v1")).alias("a"),
+        key, "pos", *keep, "p", "n", "e", "v", "_v1", F.abs(F.col("v") - F.col("_v1")).alias("a"),
         F.when(F.col("_d1").isNotNull(), vx.angle(F.col("_d1"), F.col("_d"))).alias("k"),
         F.when((n0 > vx.TINY) & (n2 > vx.TINY), vx.dot(F.col("e"), F.col("_e2")) / (n0 * n2)).alias("lag2"),
     )
@@ -49,17 +54,28 @@ def spikes(rows: DataFrame, threshold: float = 0.3, key: str = "doc_id") -> Data
 
 
 def smooth(seq: DataFrame, width: int, key: str = "doc_id") -> DataFrame:
-    """Means of each ``width`` consecutive vectors; sequences of at most ``width`` vectors, or a width up to 1, stay as they are. Adds ``smoothed``."""
+    """Means of each ``width`` consecutive vectors; sequences of at most ``width`` vectors, or a width up to 1, stay as they are.
+
+    Adds ``smoothed`` and ``before`` (vectors before smoothing). Where ``seq`` has a column sentence, it becomes the label of the
+    mean: its first LABEL characters and how many sentences follow.
+    """
+    count = F.count(F.lit(1)).over(Window.partitionBy(key))
     if width <= 1:
-        return seq.select("*", F.lit(False).alias("smoothed"))
+        return seq.withColumns({"smoothed": F.lit(False), "before": count})
     ahead = _window(key).rowsBetween(0, width - 1)
-    rows = seq.withColumn("e", vx.double(F.col("e"))).withColumns({"_n": F.count(F.lit(1)).over(Window.partitionBy(key)), "_near": F.collect_list("e").over(ahead)})
-    rows = rows.filter((F.col("_n") <= width) | (F.size("_near") == width)).withColumn("smoothed", F.col("_n") > width)
-    add: Column = F.aggregate(F.slice("_near", 2, width), F.get("_near", 0), lambda s, x: F.zip_with(s, x, lambda p, q: p + q))
-    return rows.withColumn("e", F.when(F.col("smoothed"), vx.scale(add, F.lit(1.0 / width))).otherwise(F.col("e"))).drop("_n", "_near")
+    rows = seq.withColumn("e", vx.double(F.col("e"))).withColumns({"before": count, "_near": F.collect_list("e").over(ahead)})
+    rows = rows.filter((F.col("before") <= width) | (F.size("_near") == width)).withColumn("smoothed", F.col("before") > width)
+    if "sentence" in seq.columns:
+        rows = rows.withColumn("sentence", F.when(F.col("smoothed"), F.concat(F.substring("sentence", 1, LABEL), F.lit(f"... (+{width - 1})"))).otherwise(F.col("sentence")))
+    return rows.withColumn("e", F.when(F.col("smoothed"), vx.scale(vx.total(F.col("_near")), F.lit(1.0 / width))).otherwise(F.col("e"))).drop("_near")
+
+
+def in_order(column: str, digits: int | None = None) -> Column:
+    """Aggregate: the column's values by place, nulls left out."""
+    value = (lambda x: F.round(x[column], digits)) if digits is not None else (lambda x: x[column])
+    return F.transform(F.array_sort(F.collect_list(F.when(F.col(column).isNotNull(), F.struct("p", column)))), value)
 
 
 def profiles(rows: DataFrame, key: str = "doc_id", digits: int = 4) -> DataFrame:
     """One row per sequence with its three profiles as arrays in order."""
-    w = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("p", c)))), lambda x: F.round(x[c], digits))
-    return rows.groupBy(key).agg(w("v").alias("velocity_profile"), w("a").alias("acceleration_profile"), w("k").alias("curvature_profile"))
+    return rows.groupBy(key).agg(*[in_order(c, digits).alias(name) for name, c in PROFILES.items()])

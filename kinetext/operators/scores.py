@@ -1,7 +1,8 @@
 """Scores of whole sequences, from the rows of ``kinematics.motion`` and ``kinematics.spikes``.
 
-All are conditional aggregates of one grouping; the mean pairwise cosine comes from the closed form (|S|^2 - m) / (m (m - 1)), with S the
-sum of the m unit vectors, whose sums run over (sequence, dimension) with partial aggregation: linear in the data.
+All come from one pass over the vectors: the mean pairwise cosine has the closed form (|S|^2 - m) / (m (m - 1)), with S the sum of the
+m unit vectors, which is added up by chunks of a sequence first. So vectors are never read (or embedded) twice, and no
+row ever holds more than a chunk of them.
 """
 
 from __future__ import annotations
@@ -15,17 +16,27 @@ from kinetext.operators import kinematics as km
 
 #: Velocities that differ by less are equal, and a slope under it is flat: else the last bit of a sum would decide.
 EQUAL = 1e-12
+#: Vectors of a chunk, and digits to which accelerations and curvatures are compared for the place of the largest (the first of equal ones).
+CHUNK, DIGITS = 256, 9
 SPIKE = "array<struct<index:int,magnitude:double,isolation_score:double,position_ratio:double>>"
 
 
+def pairwise(sums: Column, m: Column) -> Column:
+    """Mean cosine of all pairs of ``m`` unit vectors, of the sums of parts of them; 0 without a pair."""
+    ss = vx.once(vx.total(sums), lambda s: vx.dot(s, s))
+    return F.when(m > 1, (ss - m) / (m * (m - 1))).otherwise(0.0)
+
+
+def _unit() -> Column:
+    n = vx.norm(F.col("e"))
+    return F.when(n > vx.TINY, vx.scale(F.col("e"), 1 / n))
+
+
 def pairwise_mean(seq: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, pairwise): mean cosine over all pairs of vectors whose norms aren't tiny; 0 without a pair."""
-    n = vx.norm(F.col("e"))
-    units = seq.select(key, vx.double(F.col("e")).alias("e")).filter(n > vx.TINY).select(key, F.posexplode(vx.scale(F.col("e"), 1 / vx.norm(F.col("e")))).alias("k", "x"))
-    sums = units.groupBy(key, "k").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("m"))
-    return sums.groupBy(key).agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.max("m").alias("m")).select(
-        key, F.when(F.col("m") > 1, (F.col("ss") - F.col("m")) / (F.col("m") * (F.col("m") - 1))).otherwise(0.0).alias("pairwise")
-    )
+    rows = seq.select(key, "pos", vx.double(F.col("e")).alias("e")).withColumn("_chunk", F.floor((F.row_number().over(km._window(key)) - 1) / CHUNK))
+    sums = rows.select(key, "_chunk", _unit().alias("_u")).groupBy(key, "_chunk").agg(vx.total(F.collect_list("_u")).alias("s"), F.count("_u").alias("m"))
+    return sums.groupBy(key).agg(F.collect_list("s").alias("s"), F.sum("m").alias("m")).select(key, pairwise(F.col("s"), F.col("m")).alias("pairwise"))
 
 
 def pairwise_mean_by_join(seq: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -36,24 +47,41 @@ def pairwise_mean_by_join(seq: DataFrame, key: str = "doc_id") -> DataFrame:
     return pairs.groupBy(F.col(f"a.{key}").alias(key)).agg(F.avg(vx.cosine_similarity(F.col("a.e"), F.col("b.e"))).alias("pairwise"))
 
 
-def measure(seq: DataFrame, threshold: float = 0.3, key: str = "doc_id") -> DataFrame:
-    """One row per sequence of ``seq`` (key, pos, e), unrounded: counts, means, variances, extremes, spikes and all scores."""
-    rows = km.spikes(km.motion(seq, key), threshold, key)
+def _rows(seq: DataFrame, threshold: float, key: str, keep: tuple[str, ...]) -> DataFrame:
+    """The rows of ``spikes``, with the sums of unit vectors (_sum, _m) on the first row of each chunk and vectors at both ends only."""
+    rows = km.spikes(km.motion(seq, key, keep), threshold, key)
+    of = ["p", "n", "v", "_v1", "a", "k", "lag2", "i", "iso", "ratio", "spike", *keep]
+    ends = F.when((F.col("p") == 0) | (F.col("p") == F.col("n") - 1), F.col("e")).alias("e")
+    rows = rows.select(key, F.floor(F.col("p") / CHUNK).alias("_chunk"), _unit().alias("_u"), F.struct(*of, ends).alias("_row"))
+    chunks = rows.groupBy(key, "_chunk").agg(vx.total(F.collect_list("_u")).alias("_sum"), F.count("_u").alias("_m"), F.collect_list("_row").alias("_rows"))
+    rows = chunks.select(key, "_sum", "_m", F.posexplode("_rows").alias("_at", "_row"))
+    first = F.col("_at") == 0
+    return rows.select(key, "_row.*", F.when(first, F.col("_sum")).alias("_sum"), F.when(first, F.col("_m")).alias("_m"))
+
+
+def measure(seq: DataFrame, threshold: float = 0.3, key: str = "doc_id", keep: tuple[str, ...] = (), **more: Column) -> DataFrame:
+    """One row per sequence of ``seq`` (key, pos, e), unrounded: counts, means, variances, extremes, spikes and all scores.
+
+    ``more`` adds aggregates of the rows of ``kinematics.spikes`` (and of the columns ``keep``), from the same grouping.
+    """
+    rows = _rows(seq, threshold, key, keep)
     spike = F.col("spike")
     of = lambda c: F.when(spike, F.col(c))
     calm = F.when(F.col("a").isNotNull() & ~spike, F.col("a"))
+    place = lambda c: F.max_by("i", F.when(F.col(c).isNotNull(), F.struct(F.round(c, DIGITS), -F.col("p"))))
     t = rows.groupBy(key).agg(
         F.count(F.lit(1)).cast("int").alias("n"), F.count("v").alias("nv"), F.count("a").alias("na"),
         F.coalesce(F.avg("v"), F.lit(0.0)).alias("mean_velocity"), F.coalesce(F.var_pop("v"), F.lit(0.0)).alias("velocity_variance"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("path"),
         F.coalesce(F.avg("a"), F.lit(0.0)).alias("mean_acceleration"), F.coalesce(F.var_pop("a"), F.lit(0.0)).alias("acceleration_variance"),
-        F.coalesce(F.max("a"), F.lit(0.0)).alias("max_acceleration"), F.coalesce(F.max_by("i", F.when(F.col("a").isNotNull(), F.struct("a", -F.col("p")))), F.lit(0)).alias("max_acceleration_index"),
-        F.coalesce(F.max("k"), F.lit(0.0)).alias("max_curvature"), F.coalesce(F.max_by("i", F.when(F.col("k").isNotNull(), F.struct("k", -F.col("p")))) + 1, F.lit(0)).alias("max_curvature_index"),
+        F.coalesce(F.max("a"), F.lit(0.0)).alias("max_acceleration"), F.coalesce(place("a"), F.lit(0)).alias("max_acceleration_index"),
+        F.coalesce(F.max("k"), F.lit(0.0)).alias("max_curvature"), F.coalesce(place("k") + 1, F.lit(0)).alias("max_curvature_index"),
         F.array_sort(F.collect_list(F.when(spike, F.struct(F.col("i").alias("index"), F.col("a").alias("magnitude"), F.col("iso").alias("isolation_score"), F.col("ratio").alias("position_ratio"))))).alias("spikes"),
         F.count_if(spike).alias("n_spikes"), F.coalesce(F.avg(of("iso")), F.lit(0.0)).alias("isolation"), F.max(of("a")).alias("top"), F.avg(calm).alias("calm"), F.max(calm).alias("calm_top"),
         F.avg("lag2").alias("lag2"), F.min_by("e", "p").alias("e0"), F.max_by("e", "p").alias("e1"),
         F.avg(F.when(F.col("_v1").isNotNull(), (F.col("_v1") - F.col("v") > EQUAL).cast("double"))).alias("falling"), F.regr_slope(F.col("v"), F.col("p").cast("double")).alias("slope"),
+        F.collect_list("_sum").alias("_sums"), F.sum("_m").alias("_m"), *[c.alias(name) for name, c in more.items()],
     )
-    t = t.join(pairwise_mean(seq, key), key, "left")
+    t = t.withColumn("pairwise", pairwise(F.col("_sums"), F.col("_m"))).drop("_sums", "_m")
     n_spikes, na = F.col("n_spikes"), F.col("na")
     spikiness = 1 - F.least(3 * n_spikes / F.when(na > 0, na), F.lit(1.0))
     stability = F.coalesce(1 - F.least(F.col("calm") / 0.3, F.lit(1.0)), F.lit(0.0))
@@ -78,8 +106,8 @@ def circularity_interpretation(heller: Column) -> Column:
     return F.when(heller > 0.5, "Strong circular/repetitive structure with deceleration").when(heller > 0.3, "Moderate circular structure").otherwise("Weak or no circular structure")
 
 
-def report(measured: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The metrics, rounded (variances to 6 places, the others to 4), with interpretations; under two sentences an error."""
+def report(measured: DataFrame, key: str = "doc_id", also: tuple[str, ...] = ()) -> DataFrame:
+    """The metrics, rounded (variances to 6 places, the others to 4), with interpretations; under two sentences an error. Columns ``also`` stay."""
     few = F.col("n") < 2
     r = lambda c, d=4: F.when(~few, F.round(c, d)).alias(c)
     rounded = F.transform("spikes", lambda s: F.struct(s["index"].alias("index"), F.round(s["magnitude"], 4).alias("magnitude"), F.round(s["isolation_score"], 4).alias("isolation_score"), F.round(s["position_ratio"], 4).alias("position_ratio")))
@@ -87,14 +115,14 @@ def report(measured: DataFrame, key: str = "doc_id") -> DataFrame:
         key, F.col("n").alias("n_sentences"), r("mean_velocity"), r("velocity_variance", 6), r("mean_acceleration"), r("acceleration_variance", 6), r("max_acceleration"), F.when(~few, F.col("max_acceleration_index")).alias("max_acceleration_index"),
         r("max_curvature"), F.when(~few, F.col("max_curvature_index")).alias("max_curvature_index"), F.when(~few, rounded).alias("acceleration_spikes"), r("deadpan_score"), r("circularity_score"), r("tautology_density"), r("deceleration_score"), r("heller_score"),
         F.when(~few, spike_interpretation(F.col("deadpan_score"))).alias("spike_interpretation"), F.when(~few, circularity_interpretation(F.col("heller_score"))).alias("circularity_interpretation"),
-        F.when(few, F.concat(F.lit("Need at least 2 sentences, got "), F.col("n").cast("string"))).alias("error"),
+        F.when(few, F.concat(F.lit("Need at least 2 sentences, got "), F.col("n").cast("string"))).alias("error"), *also,
     )
 
 
 def recompute(seq: DataFrame, width: int = 1, threshold: float = 0.3, key: str = "doc_id") -> DataFrame:
     """The report on smoothed vectors; fewer than three of them are an error, which names the sentences before smoothing."""
-    counts = seq.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    out = report(measure(km.smooth(seq, width, key).select(key, "pos", "e"), threshold, key), key).join(counts, key)
+    rows = km.smooth(seq, width, key).select(key, "pos", "e", "before")
+    out = report(measure(rows, threshold, key, ("before",), _n=F.first("before")), key, ("_n",))
     small = F.col("n_sentences") < 3
     return out.withColumn("error", F.when(small, F.format_string("Window too large for %d sentences", "_n"))).drop("_n")
 

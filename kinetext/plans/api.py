@@ -35,18 +35,16 @@ def passages(docs: DataFrame, backend: Backend, splitter=sentences.regex_sentenc
     """(doc_id, pos, sentence, e) of all sentences.
 
     The exchange by document that the measures need comes before embedding: it moves sentences instead of vectors, and all that
-    follows (windows, sums of vectors) needs no other.
+    follows needs no other and reads each vector once.
     """
     return backend.embed(sentences.split(docs, splitter).repartition(F.col("doc_id")), "sentence", "e")
 
 
 def analyze_trajectory(docs: DataFrame, backend: Backend, acceleration_threshold: float = 0.3, include_sentences: bool = False, splitter=sentences.regex_sentences) -> DataFrame:
-    """``docs`` (doc_id, text): all metrics of each passage; with ``include_sentences`` also the sentences and the three profiles."""
+    """``docs`` (doc_id, text): all metrics of each passage; with ``include_sentences`` also the sentences and the three profiles. Each sentence is embedded once."""
     seq = passages(docs.select("doc_id", "text"), backend, splitter)
-    out = scores.report(scores.measure(seq, acceleration_threshold))
-    if include_sentences:
-        said = seq.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]).alias("sentences"))
-        out = out.join(said, "doc_id", "left").join(km.profiles(km.motion(seq)), "doc_id", "left")
+    more = {"sentences": km.in_order("sentence")} | {name: km.in_order(c, 4) for name, c in km.PROFILES.items()} if include_sentences else {}
+    out = scores.report(scores.measure(seq, acceleration_threshold, keep=("sentence",) if include_sentences else (), **more), also=tuple(more))
     none = F.coalesce("text", F.lit("")) == ""
     error = F.when(none, F.lit("No text provided")).when(F.col("n_sentences").isNull(), F.lit("Need at least 2 sentences, got 0")).otherwise(F.col("error"))
     return docs.select("doc_id", "text").join(out, "doc_id", "left").withColumn("error", error).drop("text")
