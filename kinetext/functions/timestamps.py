@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 EPOCH = "1970-01-01T00:00:00Z"
 
 
+#: ISO 8601's basic form, and its extended form.
+_BASIC = r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})(Z|[+-]\d{2}:?\d{2})?$"
+_EXTENDED = "$1-$2-$3T$4:$5:$6$7"
+
+
 def parse_timestamp(t: Column) -> Column:
-    """ISO form with a T, or exactly ``yyyy-MM-dd HH:mm:ss``; without a zone UTC; null if neither (also for ISO's basic form)."""
-    return F.when(F.contains(t, F.lit("T")), F.try_to_timestamp(t)).when(
+    """ISO form with a T, extended or basic, or exactly ``yyyy-MM-dd HH:mm:ss``; without a zone UTC; null if neither."""
+    iso = F.regexp_replace(F.regexp_replace(t, F.lit(_BASIC), F.lit(_EXTENDED)), F.lit(r"([+-]\d{2})(\d{2})$"), F.lit("$1:$2"))
+    return F.when(F.contains(t, F.lit("T")), F.try_to_timestamp(iso)).when(
         F.regexp_like(t, F.lit(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$")), F.try_to_timestamp(t, F.lit("yyyy-MM-dd HH:mm:ss"))
     )
 
@@ -28,4 +34,4 @@ def takeout_timestamp(t: Column) -> Column:
 
 def month(t: Column) -> Column:
     """``yyyy-MM`` in the text's own offset; null if it can't be read."""
-    return F.when(parse_timestamp(t).isNotNull(), F.substring(t, 1, 7))
+    return F.when(parse_timestamp(t).isNotNull(), F.substring(F.regexp_replace(t, F.lit(_BASIC), F.lit(_EXTENDED)), 1, 7))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 from abc import ABC, abstractmethod
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,38 +89,68 @@ class HttpBackend(Backend):
         return df.withColumn(out, ask(F.col(text)))
 
 
+def of_worker(kind: str) -> dict:
+    """A dictionary that lives as long as the Python process, also where this package comes along by value only."""
+    import sys
+    import types
+
+    return sys.modules.setdefault(f"_kinetext_{kind}", types.ModuleType(f"_kinetext_{kind}")).__dict__
+
+
 class ModelBackend(Backend):
-    """A local model: ``load`` is called once in each Python worker and gives a function from a list of texts to a list of vectors.
+    """A local model: ``load`` is called once in each Python worker (and model name) and gives a function from a list of texts to a list of vectors.
 
-    ``sentence_transformers`` models can be named instead, where that package is installed on the workers.
+    Without ``load`` the named ``sentence_transformers`` model is taken, where that package is installed on the workers; with ``half``
+    in half precision, at unit length unless ``normalize`` is off. ``unload_after_use`` gives the model back at
+    the end of each task instead of keeping it for the worker's next one.
     """
 
-    def __init__(self, model_name: str, load=None, dimensions: int | None = None, batch_size: int = 32, normalize: bool = True):
-        self.model_name, self.load, self.dimensions, self.batch_size, self.normalize = model_name, load, dimensions, batch_size, normalize
+    def __init__(self, model_name: str, load=None, dimensions: int | None = None, batch_size: int = 32, normalize: bool = True, half: bool = False, unload_after_use: bool = False):
+        self.model_name, self.load, self.dimensions, self.batch_size = model_name, load, dimensions, batch_size
+        self.normalize, self.half, self.unload_after_use = normalize, half, unload_after_use
 
     def embed(self, df: DataFrame, text: str = "text", out: str = "e") -> DataFrame:
-        name, load, size, unit = self.model_name, self.load, self.batch_size, self.normalize
+        name, load, size, unit, half, drop = self.model_name, self.load, self.batch_size, self.normalize, self.half, self.unload_after_use
 
         @F.pandas_udf("array<double>")
         def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            if load is None:
-                from sentence_transformers import SentenceTransformer
-
-                model = SentenceTransformer(name)
-                encode = lambda texts: model.encode(texts, batch_size=size, normalize_embeddings=unit).tolist()
-            else:
-                encode = load()
+            models = of_worker("models")
+            if name not in models:
+                if load is None:
+                    from sentence_transformers import SentenceTransformer
+
+                    model = SentenceTransformer(name)
+                    model = model.half() if half else model
+                    models[name] = lambda texts: model.encode(texts, batch_size=size, normalize_embeddings=unit).tolist()
+                else:
+                    models[name] = load()
             for s in batches:
                 texts = s.fillna("").tolist()
-                yield pd.Series([[float(v) for v in e] for a in range(0, len(texts), size) for e in encode(texts[a : a + size])])
+                yield pd.Series([[float(v) for v in e] for a in range(0, len(texts), size) for e in models[name](texts[a : a + size])])
+            if drop:
+                models.pop(name)
 
         return df.withColumn(out, ask(F.col(text)))
 
 
-_REGISTRY: dict[str, type[Backend]] = {"hash": HashBackend, "table": TableBackend, "http": HttpBackend, "model": ModelBackend}
+def local_server(model_name: str = "text-embedding-nomic-embed-text-v1.5", base_url: str = "http://localhost:1234/v1", **options) -> HttpBackend:
+    """An endpoint on this machine, with the usual defaults."""
+    return HttpBackend(base_url, model_name, **options)
+
+
+def large_model(model_name: str = "nvidia/NV-Embed-v2", **options) -> ModelBackend:
+    """A model of 4096 dimensions that needs small batches, half precision, and its memory back after use."""
+    return ModelBackend(model_name, **({"dimensions": 4096, "batch_size": 8, "half": True, "unload_after_use": True} | options))
+
+
+#: Fixed names: backends, and the names under which callers know them.
+_REGISTRY: dict[str, Callable[..., Backend]] = {
+    "hash": HashBackend, "table": TableBackend, "http": HttpBackend, "model": ModelBackend,
+    "lmstudio": local_server, "nv_embed": large_model, "sentence_transformers": ModelBackend,
+}
 
 
-def register(name: str, kind: type[Backend]) -> None:
+def register(name: str, kind: Callable[..., Backend]) -> None:
     _REGISTRY[name] = kind
 
 

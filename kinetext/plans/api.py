@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,8 @@ from kinetext.operators import classify, compare, drift, scores, sentences
 from kinetext.operators import kinematics as km
 from kinetext.operators.embedding import Backend, EmbeddingCache, get_backend
 
+#: Fixed names of the settings in the environment.
+ENVIRONMENT = {"backend": "EMBEDDING_BACKEND", "base_url": "EMBEDDING_SERVER_URL", "model_name": "EMBEDDING_MODEL"}
 NOTE = "Use full_vector=true for complete embedding"
 
 
@@ -71,11 +77,15 @@ class Models:
         self.active: Backend | None = None
 
     @classmethod
-    def from_conf(cls, spark: SparkSession, cache_path: str | None = None) -> Models:
-        """Backend and options from ``spark.kinetext.embedding.backend`` and ``spark.kinetext.embedding.<option>``."""
+    def from_conf(cls, spark: SparkSession, cache_path: str | None = None, environ: Mapping[str, str] = os.environ) -> Models:
+        """Backend and options from ``spark.kinetext.embedding.backend`` and ``spark.kinetext.embedding.<option>``; what these
+        don't name, from the driver's environment (ENVIRONMENT)."""
         prefix = "spark.kinetext.embedding."
-        have = {k.removeprefix(prefix): v for k, v in spark.conf.getAll.items() if k.startswith(prefix)}
+        have = {option: environ[name] for option, name in ENVIRONMENT.items() if environ.get(name)}
+        have |= {k.removeprefix(prefix): v for k, v in spark.conf.getAll.items() if k.startswith(prefix)}
         name = have.pop("backend", "hash")
+        if name in ("hash", "table"):
+            have.pop("base_url", None)
         return cls(spark, name, cache_path, **{k: int(v) if v.isdigit() else v for k, v in have.items()})
 
     def backend(self) -> Backend:
@@ -116,14 +126,89 @@ class Models:
         return f"{s['backend']} | {s['model_name']} | {'loaded' if s['is_loaded'] else 'not loaded'} | {s['dimensions']}d | cache: {s['cache_size']}"
 
 
-#: The tools by name, as a client would call them.
-TOOLS = {"embed_text": embed_text, "calculate_drift": calculate_drift, "classify_document": classify_document, "analyze_trajectory": analyze_trajectory, "compare_trajectories": compare_trajectories, "model_status": Models.model_status, "model_load": Models.model_load, "model_unload": Models.model_unload}
+@dataclass(frozen=True)
+class Tool:
+    """A tool as a client sees it: what it does, and its parameters as (type, description, default); without a default it is required."""
+
+    name: str
+    description: str
+    parameters: dict[str, tuple]
+
+    def schema(self) -> dict:
+        properties = {}
+        for name, (kind, text, *default) in self.parameters.items():
+            properties[name] = {"type": kind, "description": text} | ({"default": default[0]} if default and default[0] is not None else {})
+            if kind == "object":
+                properties[name]["additionalProperties"] = {"type": "string"}
+        required = [name for name, x in self.parameters.items() if len(x) == 2]
+        return {"name": self.name, "description": self.description, "inputSchema": {"type": "object", "properties": properties} | ({"required": required} if required else {})}
+
+
+_THRESHOLD = ("number", "Accelerations from here on are spikes", 0.3)
+TOOLS = {t.name: t for t in (
+    Tool("embed_text", "The embedding of a text: its first ten values, or all of them", {"text": ("string", "Text to embed"), "full_vector": ("boolean", "Give the whole vector", False), "model": ("string", "Name of the model to report", "nomic-embed-text-v1.5")}),
+    Tool("calculate_drift", "Cosine distance between the embeddings of two texts", {"text_a": ("string", "One text"), "text_b": ("string", "The other text")}),
+    Tool("classify_document", "The category whose exemplar a text is most similar to; the first 2000 characters count", {"content": ("string", "Text to classify"), "categories": ("object", "Exemplar text of each category, in order of preference"), "threshold": ("number", "Similarity from which a match is confident", 0.85)}),
+    Tool("analyze_trajectory", "Motion of a passage through embedding space: velocity, acceleration, curvature, spikes and the scores made of them", {"text": ("string", "Passage of two sentences or more"), "acceleration_threshold": _THRESHOLD, "include_sentences": ("boolean", "Give the sentences and the profiles too", False)}),
+    Tool("compare_trajectories", "Structural comparison of two passages; a lower fitness is a better match", {"golden_text": ("string", "Passage that sets the structure"), "synthetic_text": ("string", "Passage to compare with it"), "acceleration_threshold": _THRESHOLD}),
+    Tool("model_status", "Backend, model, dimensions, whether it is loaded, and the size of the cache", {}),
+    Tool("model_load", "Makes the backend ready; a named one becomes the backend first", {"backend": ("string", "Backend to switch to", None), "base_url": ("string", "Address of an embedding endpoint", None), "model_name": ("string", "Model to use", None)}),
+    Tool("model_unload", "Gives the model's memory back", {"clear_cache": ("boolean", "Empty the cache too", True)}),
+)}
+_TYPES = {"string": str, "number": (int, float), "boolean": bool, "object": Mapping}
+
+
+def list_tools() -> list[dict]:
+    """All tools with the schemas of their parameters."""
+    return [t.schema() for t in TOOLS.values()]
 
 
-def call(tool: str, *args, **options):
+def call(models: Models, tool: str, arguments: Mapping | None = None) -> dict:
+    """One call of a tool as a client makes it. Unknown tools, bad arguments and failures give a result with ``error``, never an exception."""
     if tool not in TOOLS:
-        raise ValueError(f"Unknown tool: {tool}")
-    return TOOLS[tool](*args, **options)
+        return {"error": f"Unknown tool: {tool}"}
+    try:
+        given = _checked(TOOLS[tool], dict(arguments or {}))
+        if tool.startswith("model_"):
+            return getattr(models, tool)(**{k: v for k, v in given.items() if v is not None})
+        return _one(models, tool, given)
+    except Exception as e:  # noqa: BLE001  whatever went wrong is the answer
+        return {"error": str(e)}
+
+
+def _checked(tool: Tool, given: dict) -> dict:
+    """Arguments with defaults filled in. Missing texts count as empty ones, whose error the tool itself gives."""
+    unknown = sorted(set(given) - set(tool.parameters))
+    if unknown:
+        raise ValueError(f"{tool.name} has no parameter {', '.join(unknown)}")
+    out = {}
+    for name, (kind, _, *default) in tool.parameters.items():
+        value = given.get(name, default[0] if default else ({} if kind == "object" else ""))
+        if value is not None and (not isinstance(value, _TYPES[kind]) or kind == "number" and isinstance(value, bool)):
+            raise ValueError(f"{name} has to be of type {kind}")
+        out[name] = value
+    return out
+
+
+def _one(models: Models, tool: str, a: dict) -> dict:
+    spark, backend = models.spark, models.backend()
+    text = lambda x: spark.createDataFrame([(0, x)], "doc_id bigint, text string")
+    if tool == "embed_text":
+        out = embed_text(text(a["text"]), backend, a["full_vector"], a["model"], models.cache)
+    elif tool == "calculate_drift":
+        out = calculate_drift(spark.createDataFrame([(a["text_a"], a["text_b"])], "text_a string, text_b string"), backend).drop("text_a", "text_b")
+    elif tool == "classify_document":
+        if not a["categories"]:
+            return {"error": "No content provided" if not a["content"] else "No categories provided"}
+        cats = spark.createDataFrame([(k, n, v) for n, (k, v) in enumerate(a["categories"].items())], "category string, ordinal int, exemplar string")
+        out = classify_document(text(a["content"]), cats, backend, a["threshold"])
+    elif tool == "analyze_trajectory":
+        out = analyze_trajectory(text(a["text"]), backend, a["acceleration_threshold"], a["include_sentences"])
+    else:
+        out = compare_trajectories(spark.createDataFrame([(0, a["golden_text"], a["synthetic_text"])], "pair_id bigint, golden_text string, synthetic_text string"), backend, a["acceleration_threshold"])
+    row = out.drop("doc_id", "pair_id").first().asDict(recursive=True)
+    error = row.pop("error", None)
+    return {"error": error} if error else row
 
 
 def as_sequence(embeddings: DataFrame) -> DataFrame:

@@ -64,6 +64,9 @@ def test_smoothing(spark):
     assert all(r.smoothed for r in rows)
     assert [r.smoothed for r in s.collect() if r.doc_id == "T"] == [False, False]
     assert km.smooth(seq(spark, G=G), 1).count() == 6
+    said = seq(spark, G=G, T=G[:2]).withColumn("sentence", F.concat(F.lit("x" * 60), F.col("pos").cast("string")))
+    labels = {(r.doc_id, r.pos): r.sentence for r in km.smooth(said, 3).collect()}
+    assert len(labels) == 6 and labels["G", 0] == "x" * 50 + "... (+2)" and labels["T", 1] == "x" * 60 + "1"
     few = scores.recompute(seq(spark, G=G[:4]), 3).first()
     assert few.error == "Window too large for 4 sentences"
 
@@ -96,6 +99,15 @@ def test_pairwise_forms_agree(spark):
     assert all(abs(a[k].pairwise - b[k].pairwise) < 1e-12 for k in "xy")
 
 
+def test_long_sequences(spark, monkeypatch):
+    """More vectors than a chunk: sums of chunks give the same mean."""
+    monkeypatch.setattr(scores, "CHUNK", 4)
+    rng = np.random.default_rng(3)
+    s = seq(spark, x=rng.normal(size=(23, 5)), y=rng.normal(size=(4, 5)), z=[(0.0,) * 5, (1.0,) + (0.0,) * 4])
+    a, b, m = of(scores.pairwise_mean(s)), of(scores.pairwise_mean_by_join(s)), of(scores.measure(s))
+    assert all(abs(a[k].pairwise - b[k].pairwise) < 1e-12 and abs(m[k].pairwise - b[k].pairwise) < 1e-12 for k in "xy") and a["z"].pairwise == m["z"].pairwise == 0.0
+
+
 def test_scaling_and_duplicates(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(9, 4))

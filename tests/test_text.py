@@ -73,3 +73,27 @@ def test_messages(spark):
     rows = df.select(html.message(F.col("id"), at, F.lit("User"), F.col("h"), F.col("p"), F.lit("f"), F.lit("file"), F.lit("webui"), at).alias("m")).select("m.*").orderBy("message_id").collect()
     assert [r.text for r in rows] == ["hi", "yo", ""] and rows[0].extraction.version == "1.0" and rows[0].text_html == "<p>hi</p>"
     assert rows[1].extraction is None and not rows[1].has_thinking and rows[0].timestamp_source == "webui"
+
+
+def test_sentences(spark):
+    from kinetext.operators import sentences
+
+    rows = {
+        "It costs 3.14 dollars. Dr. X agrees, e.g. today. J. R. Smith left!": ["It costs 3.14 dollars.", "Dr. X agrees, e.g. today.", "J. R. Smith left!"],
+        'He said "Go!" Then he went...  And\nnow? "Yes." End': ['He said "Go!"', "Then he went...", "And now?", '"Yes."', "End"],
+        "See example.com/a.b now. ... !!! Ok.": ["See example.com/a.b now.", "Ok."],
+        "": [], "...": [], "no end": ["no end"],
+    }
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, t string").select("k", sentences.regex_sentences(F.col("t")).alias("s"))
+    assert [r.s for r in df.orderBy("k").collect()] == list(rows.values())
+    asked = sentences.parser_sentences("halves", load=lambda: lambda t: t.split(","))
+    d = spark.createDataFrame([(1, "a, b,"), (2, None)], "doc_id int, text string")
+    assert [(r.doc_id, r.pos, r.sentence) for r in sentences.split(d, asked).collect()] == [(1, 0, "a"), (1, 1, "b")]
+
+
+def test_basic_iso(spark):
+    rows = ["20240331T233000Z", "20240331T233000+0200", "20240331T233000", "2024-03-31T23:30:00-0500", "20240331", "20241331T000000Z", "2024-03-31T23:30:00.5Z"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, t string")
+    got = df.select("k", timestamps.to_iso8601(timestamps.parse_timestamp(F.col("t"))).alias("p"), timestamps.month(F.col("t")).alias("m")).orderBy("k").collect()
+    assert [r.p for r in got] == ["2024-03-31T23:30:00Z", "2024-03-31T21:30:00Z", "2024-03-31T23:30:00Z", "2024-04-01T04:30:00Z", None, None, "2024-03-31T23:30:00Z"]
+    assert [r.m for r in got] == ["2024-03", "2024-03", "2024-03", "2024-03", None, None, "2024-03"]

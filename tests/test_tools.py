@@ -82,11 +82,85 @@ def test_models_and_cache(spark, tmp_path):
     assert m.model_unload() == {"status": "unloaded", "cache_entries_cleared": 3} and m.cache.size() == 0
     with pytest.raises(ValueError):
         get_backend("nothing")
-    with pytest.raises(ValueError):
-        api.call("nothing")
+    assert api.call(m, "nothing") == {"error": "Unknown tool: nothing"}
     assert EmbeddingCache(spark).embed(docs(spark, "a"), HashBackend(4)).first().e is not None
 
 
+def test_tool_schemas():
+    tools = {t["name"]: t["inputSchema"] for t in api.list_tools()}
+    assert sorted(tools) == sorted(["embed_text", "calculate_drift", "classify_document", "analyze_trajectory", "compare_trajectories", "model_status", "model_load", "model_unload"])
+    assert tools["analyze_trajectory"]["required"] == ["text"] and tools["compare_trajectories"]["required"] == ["golden_text", "synthetic_text"]
+    p = tools["analyze_trajectory"]["properties"]
+    assert p["acceleration_threshold"]["type"] == "number" and p["acceleration_threshold"]["default"] == 0.3 and p["include_sentences"]["default"] is False
+    assert tools["classify_document"]["properties"]["threshold"]["default"] == 0.85 and tools["classify_document"]["properties"]["categories"]["additionalProperties"] == {"type": "string"}
+    assert "required" not in tools["model_load"] and tools["model_unload"]["properties"]["clear_cache"]["default"] is True
+    assert all(x["description"] and x["type"] for t in tools.values() for x in t["properties"].values())
+
+
+def test_calls(spark):
+    m = api.Models(spark)
+    assert api.call(m, "model_status")["model_name"] == "not initialized"
+    assert api.call(m, "model_load", {"backend": "hash"})["status"] == "loaded"
+    r = api.call(m, "analyze_trajectory", {"text": "One two. Three four! Five? Six seven.", "include_sentences": True})
+    assert r["n_sentences"] == 4 and len(r["velocity_profile"]) == 3 and "error" not in r
+    assert api.call(m, "calculate_drift", {"text_a": "a b", "text_b": "a b"})["drift"] == 0.0
+    assert api.call(m, "embed_text", {"text": "a"})["dimensions"] == 64
+    assert api.call(m, "classify_document", {"content": "alpha", "categories": {"x": "alpha", "y": "beta"}})["best_match"] == "x"
+    assert api.call(m, "compare_trajectories", {"golden_text": "A b. C d.", "synthetic_text": "A b. C d."})["fitness_score"] > 0
+    for tool, arguments, error in (
+        ("analyze_trajectory", {}, "No text provided"), ("analyze_trajectory", {"text": "One."}, "Need at least 2 sentences, got 1"), ("analyze_trajectory", {"text": 5}, "text has to be of type string"),
+        ("analyze_trajectory", {"words": "x"}, "analyze_trajectory has no parameter words"), ("classify_document", {"content": "x"}, "No categories provided"), ("calculate_drift", {"text_a": "x"}, "Both text_a and text_b are required"),
+        ("model_load", {"backend": "nothing"}, None), ("unknown", {}, "Unknown tool: unknown"),
+    ):
+        got = api.call(m, tool, arguments)
+        assert list(got) == ["error"] and (error is None or got["error"] == error)
+
+
+def test_environment(spark):
+    m = api.Models.from_conf(spark, environ={"EMBEDDING_BACKEND": "lmstudio", "EMBEDDING_SERVER_URL": "http://somewhere:9/v1", "EMBEDDING_MODEL": "named"})
+    assert (m.backend().base_url, m.backend().model_name) == ("http://somewhere:9/v1", "named")
+    assert api.Models.from_conf(spark, environ={"EMBEDDING_SERVER_URL": "http://x"}).backend().model_name == "hash-md5"
+    b = get_backend("nv_embed")
+    assert (b.batch_size, b.half, b.unload_after_use, b.dimensions) == (8, True, True, 4096) and get_backend("lmstudio").base_url == "http://localhost:1234/v1"
+
+
+def test_each_sentence_is_embedded_once(spark, tmp_path):
+    """Counted where it happens, and by the Python evaluations of the plan."""
+    log = str(tmp_path / "embedded")
+
+    def load():
+        def encode(texts):
+            with open(log, "a") as f:
+                f.writelines("x\n" for _ in texts)
+            return [[len(t), 1.0, t.count("a")] for t in texts]
+
+        return encode
+
+    b = ModelBackend("counted", load=load)
+    d = docs(spark, "One two. Three four! Five? Six seven.", "Alone.", "A b. C d.")
+    for sentences in (False, True):
+        df = api.analyze_trajectory(d, b, include_sentences=sentences)
+        assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ArrowEvalPython") == 1
+        open(log, "w").close()
+        assert df.count() == 3
+        df.collect()
+    assert len(open(log).read().split()) <= 14  # 7 sentences by count(), if it needs them, and by collect()
+
+
+def test_model_is_loaded_once_per_worker(spark):
+    import os
+
+    def load():
+        loaded = [0]
+        loaded[0] += 1
+        return lambda texts: [[float(os.getpid()), float(id(loaded))] for _ in texts]
+
+    b = ModelBackend("once", load=load)
+    df = spark.range(40).repartition(8).selectExpr("id as doc_id", "cast(id as string) as text")
+    seen = {tuple(r.e) for _ in range(2) for r in b.embed(df).collect()}
+    assert len(seen) == len({pid for pid, _ in seen})
+
+
 def test_model_backend(spark):
     b = ModelBackend("lengths", load=lambda: lambda texts: [[len(t), 1] for t in texts], batch_size=2)
     assert [r.e for r in b.embed(docs(spark, "a", "bbb", None)).orderBy("doc_id").collect()] == [[1.0, 1.0], [3.0, 1.0], [0.0, 1.0]]
