@@ -64,7 +64,8 @@ def compare(pairs: DataFrame, golden: DataFrame, synthetic: DataFrame) -> DataFr
         0.30 * (1 - F.col("synthetic_deadpan")) + 0.15 * (1 - F.col("synthetic_mean_isolation")) + 0.20 * F.least(F.col("acceleration_dtw"), F.lit(1.0))
         + 0.15 * (1 - F.greatest(F.col("acceleration_correlation"), F.lit(0.0))) + 0.10 * (1 - F.col("spike_position_match")) + 0.10 * (1 - F.col("spike_count_match"))
     )
-    t = t.withColumn("fitness_score", F.round(fitness, 4))
+    # to 8 places first: sums of rounded components often lie on a tie, which the last bit of the sum mustn't decide
+    t = t.withColumn("fitness_score", F.round(F.round(fitness, 8), 4))
     summary = lambda x: F.struct(F.col(f"{x}.n").alias("n_sentences"), F.round(f"{x}.deadpan_score", 4).alias("deadpan_score"), F.round(f"{x}.heller_score", 4).alias("heller_score"), F.col(f"{x}.n_spikes").alias("n_spikes"))
     few = F.when(F.col("g.n") < 2, F.col("g.n")).when(F.col("s.n") < 2, F.col("s.n"))
     return t.select(

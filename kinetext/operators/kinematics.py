@@ -46,7 +46,7 @@ def spikes(rows: DataFrame, threshold: float = 0.3, key: str = "doc_id") -> Data
     rows = rows.withColumns({"_before": before, "_after": after})
     known = F.col("_before").isNotNull().cast("int") + F.col("_after").isNotNull().cast("int")
     around = (F.coalesce("_before", F.lit(0.0)) + F.coalesce("_after", F.lit(0.0))) / F.when(known > 0, known)
-    iso = F.greatest(F.lit(0.0), F.tanh(2 * (F.col("a") - around) / (F.col("a") + 0.01)))
+    iso = F.when(known > 0, F.greatest(F.lit(0.0), F.tanh(2 * (F.col("a") - around) / (F.col("a") + 0.01))))
     return rows.withColumns({
         "i": F.col("p") - 2, "iso": F.when(F.col("a").isNotNull(), F.coalesce(iso, F.lit(0.5))),
         "ratio": (F.col("p") - 2) / F.greatest(F.col("n") - 3, F.lit(1)), "spike": F.coalesce(F.col("a") >= threshold, F.lit(False)),

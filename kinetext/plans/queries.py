@@ -51,7 +51,9 @@ SEQ = """seq AS (SELECT label AS doc_id, vec_id AS pos, row_number() OVER w - 1
 TOKENS = "regexp_extract_all(lower(coalesce({t}, '')), '[\\p{{L}}\\p{{N}}_]+')"
 COUNTS = "list_transform(range(64), lambda d: len(list_filter(list_transform(" + TOKENS + ", lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 64), lambda b: b = d))::DOUBLE)"
 UNIT = "CASE WHEN list_inner_product({c}, {c}) = 0 THEN {c} ELSE list_transform({c}, lambda x: x / sqrt(list_inner_product({c}, {c}))) END"
-SENTENCES = "list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?]+[.!?]*'), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: s <> '')"
+_HELD = f"regexp_replace(coalesce(text, ''), '{sentences.HOLD[0]}', '\\1\\2' || chr(1), 'g')"
+_MARKED = "regexp_replace(" + _HELD + ", '" + sentences.MARK[0].replace("'", "''") + "', '\\1' || chr(2), 'g')"
+SENTENCES = f"list_filter(list_transform(string_split({_MARKED}, chr(2)), lambda s: replace(trim(regexp_replace(s, '\\s+', ' ', 'g')), chr(1), '.')), lambda s: regexp_matches(s, '[\\p{{L}}\\p{{N}}]'))"
 SENT = f"sent AS (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS sentence FROM (SELECT doc_id, {SENTENCES} AS s FROM documents))"
 
 
@@ -82,7 +84,7 @@ MEASURE = """u AS (SELECT doc_id, k, sum(x) AS s, count(*) AS m FROM (SELECT doc
   FROM seq WHERE sqrt(list_inner_product(e, e)) > 1e-10) GROUP BY ALL),
 pw AS (SELECT doc_id, CASE WHEN max(m) > 1 THEN (sum(s * s) - max(m)) / (max(m) * (max(m) - 1)) ELSE 0 END AS pairwise FROM u GROUP BY doc_id),
 g AS (SELECT doc_id, count(*) AS n, count(v) AS nv, count(a) AS na, coalesce(avg(v), 0) AS mv, coalesce(var_pop(v), 0) AS vv, coalesce(sum(v), 0) AS path, coalesce(avg(a), 0) AS ma, coalesce(var_pop(a), 0) AS va,
-  coalesce(max(a), 0) AS xa, coalesce(max(k), 0) AS xk, count(*) FILTER (spike) AS ns, coalesce(avg(iso) FILTER (spike), 0) AS isolation, max(a) FILTER (spike) AS top, avg(a) FILTER (NOT spike) AS calm,
+  coalesce(max(a), 0) AS xa, coalesce(max(k), 0) AS xk, coalesce(arg_max(i, {'x': round(a, 9), 'p': -p}) FILTER (a IS NOT NULL), 0) AS ia, coalesce(arg_max(i, {'x': round(k, 9), 'p': -p}) FILTER (k IS NOT NULL) + 1, 0) AS ik, count(*) FILTER (spike) AS ns, coalesce(avg(iso) FILTER (spike), 0) AS isolation, max(a) FILTER (spike) AS top, avg(a) FILTER (NOT spike) AS calm,
   max(a) FILTER (NOT spike) AS calm_top, avg(lag2) AS lag2, arg_min(e, p) AS e0, arg_max(e, p) AS e1, avg(CASE WHEN v1 IS NOT NULL THEN (v1 - v > 1e-12)::INT END) AS falling, regr_slope(v, p) FILTER (v IS NOT NULL) AS slope
   FROM sp GROUP BY doc_id),
 h AS (SELECT g.*, pairwise,
@@ -94,17 +96,28 @@ h AS (SELECT g.*, pairwise,
   FROM g LEFT JOIN pw USING (doc_id)),
 me AS (SELECT *, greatest(0.0, least(1.0, 0.35 * circ + 0.40 * taut + 0.25 * decel)) AS heller FROM h)"""
 
-REPORT = """SELECT doc_id, n AS n_sentences, round(mv, 4) AS mean_velocity, round(vv, 6) AS velocity_variance, round(ma, 4) AS mean_acceleration, round(va, 6) AS acceleration_variance, round(xa, 4) AS max_acceleration,
-  round(xk, 4) AS max_curvature, ns AS n_spikes, round(deadpan, 4) AS deadpan_score, round(circ, 4) AS circularity_score, round(taut, 4) AS tautology_density, round(decel, 4) AS deceleration_score, round(heller, 4) AS heller_score,
-  CASE WHEN deadpan > 0.6 THEN 'Strong isolated spikes against steady background' WHEN deadpan > 0.4 THEN 'Moderate isolated spike pattern' ELSE 'Weak or no isolated spike pattern' END AS spike_interpretation,
-  CASE WHEN heller > 0.5 THEN 'Strong circular/repetitive structure with deceleration' WHEN heller > 0.3 THEN 'Moderate circular structure' ELSE 'Weak or no circular structure' END AS circularity_interpretation FROM me WHERE n >= 2"""
+METRICS = ["mean_velocity", "velocity_variance", "mean_acceleration", "acceleration_variance", "max_acceleration", "max_acceleration_index", "max_curvature", "max_curvature_index"]
+SCORES = ["deadpan_score", "circularity_score", "tautology_density", "deceleration_score", "heller_score"]
+_METRICS = dict(zip([*METRICS, "n_spikes", *SCORES], ["round(mv, 4)", "round(vv, 6)", "round(ma, 4)", "round(va, 6)", "round(xa, 4)", "ia", "round(xk, 4)", "ik", "ns", "round(deadpan, 4)", "round(circ, 4)", "round(taut, 4)", "round(decel, 4)", "round(heller, 4)"], strict=True))
+_SAID = {
+    "spike_interpretation": "CASE WHEN deadpan > 0.6 THEN 'Strong isolated spikes against steady background' WHEN deadpan > 0.4 THEN 'Moderate isolated spike pattern' ELSE 'Weak or no isolated spike pattern' END",
+    "circularity_interpretation": "CASE WHEN heller > 0.5 THEN 'Strong circular/repetitive structure with deceleration' WHEN heller > 0.3 THEN 'Moderate circular structure' ELSE 'Weak or no circular structure' END",
+}
+FEW = "CASE WHEN n < 2 THEN 'Need at least 2 sentences, got ' || n END"
 
-REPORTED = ["mean_velocity", "velocity_variance", "mean_acceleration", "acceleration_variance", "max_acceleration", "max_curvature"]
 
+def report_sql(rows: str, error: str = FEW) -> str:
+    """The report of ``rows``, a relation with the columns of ``me``; under two sentences only the error."""
+    return f"SELECT doc_id, n AS n_sentences, {', '.join(f'CASE WHEN n >= 2 THEN {x} END AS {c}' for c, x in (_METRICS | _SAID).items())}, {error} AS error FROM {rows}"
 
-def reported(seq: DataFrame, threshold: float) -> DataFrame:
-    r = scores.report(scores.measure(seq, threshold)).filter(F.col("error").isNull())
-    return r.select("doc_id", F.col("n_sentences").cast("bigint").alias("n_sentences"), *REPORTED, F.size("acceleration_spikes").cast("bigint").alias("n_spikes"), "deadpan_score", "circularity_score", "tautology_density", "deceleration_score", "heller_score", "spike_interpretation", "circularity_interpretation")
+
+REPORT = report_sql("me")
+DOCUMENT_REPORT = report_sql("documents LEFT JOIN me USING (doc_id)", f"CASE WHEN coalesce(text, '') = '' THEN 'No text provided' WHEN n IS NULL THEN 'Need at least 2 sentences, got 0' ELSE {FEW} END")
+
+
+def reported(r: DataFrame) -> DataFrame:
+    n = F.when(F.col("acceleration_spikes").isNotNull(), F.size("acceleration_spikes")).cast("bigint").alias("n_spikes")
+    return r.select("doc_id", F.col("n_sentences").cast("bigint").alias("n_sentences"), *[F.col(c).cast("bigint").alias(c) if c.endswith("index") else c for c in METRICS], n, *SCORES, *_SAID, "error")
 
 
 # --- motion ----------------------------------------------------------------------------------------------------------
@@ -133,18 +146,18 @@ def spike_detection(spark, d):
 
 @query(f"WITH {SEQ}, {MOTION}, {spiked(SPIKE)}, {MEASURE} {REPORT}")
 def analyze_embeddings(spark, d):
-    return reported(vectors(spark, d), SPIKE)
+    return reported(scores.report(scores.measure(vectors(spark, d), SPIKE)))
 
 
-@query(f"WITH {DOCSEQ}, {MOTION}, {spiked(0.3)}, {MEASURE} {REPORT}")
+@query(f"WITH {DOCSEQ}, {MOTION}, {spiked(0.3)}, {MEASURE} {DOCUMENT_REPORT}")
 def analyze_documents(spark, d):
-    return reported(api.passages(texts(spark, d), HashBackend()), 0.3)
+    return reported(api.analyze_trajectory(texts(spark, d), HashBackend()))
 
 
 @query(f"WITH {CONVSEQ}, {MOTION}, {spiked(0.3)}, {MEASURE} {REPORT}")
 def analyze_conversations(spark, d):
     turns = read(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), "text").repartition(F.col("doc_id"))
-    return reported(HashBackend().embed(turns).select("doc_id", "pos", "e"), 0.3)
+    return reported(scores.report(scores.measure(HashBackend().embed(turns).select("doc_id", "pos", "e"), 0.3)))
 
 
 def _score(column: str, short: str, label: str):
@@ -171,11 +184,12 @@ SMOOTH = f"""{SEQ.replace('seq AS', 'raw AS', 1)}, sm AS (SELECT doc_id, p, n, l
 seq AS (SELECT doc_id, p, n - 2 AS n, list_transform(range(1, 65), lambda k: (near[1][k] + near[2][k] + near[3][k]) / 3) AS e FROM sm WHERE len(near) = 3)"""
 
 
-@query(f"WITH {SMOOTH} SELECT doc_id, p, round(e[1], 6) AS first_value, round(e[64], 6) AS last_value, round(sqrt(list_inner_product(e, e)), 6) AS length FROM seq")
+@query(f"WITH {SMOOTH} SELECT doc_id, p, unnest(range(64)) AS k, round(unnest(e), 6) + 0.0 AS value FROM seq")
 def smoothing_w3(spark, d):
     s = km.smooth(vectors(spark, d), 3)
     place = F.row_number().over(km._window("doc_id")) - 1
-    return s.select("doc_id", place.cast("bigint").alias("p"), F.round(F.element_at("e", 1), 6).alias("first_value"), F.round(F.element_at("e", 64), 6).alias("last_value"), F.round(vx.norm(F.col("e")), 6).alias("length"))
+    s = s.select("doc_id", place.cast("bigint").alias("p"), "e").select("doc_id", "p", F.posexplode("e").alias("k", "value"))
+    return s.select("doc_id", "p", F.col("k").cast("bigint").alias("k"), (F.round("value", 6) + 0.0).alias("value"))
 
 
 @query(f"WITH {SMOOTH.replace('SELECT doc_id, p, n - 2', 'SELECT doc_id, p AS pos, p, n - 2')}, {MOTION}, {spiked(SPIKE)}, {MEASURE} SELECT doc_id, n AS n_sentences, round(mv, 4) AS mean_velocity, round(deadpan, 4) AS deadpan_score, round(circ, 4) AS circularity_score, round(heller, 4) AS heller_score FROM me")
@@ -183,51 +197,94 @@ def recompute_smoothed(spark, d):
     return scores.recompute(vectors(spark, d), 3, SPIKE).select("doc_id", F.col("n_sentences").cast("bigint").alias("n_sentences"), "mean_velocity", "deadpan_score", "circularity_score", "heller_score")
 
 
-@query()
+SMOOTHED = SMOOTH.replace("SELECT doc_id, p, n - 2", "SELECT doc_id, p AS pos, p, n - 2")
+
+
+@query(f"""WITH {SMOOTHED}, {MOTION}, {spiked(SPIKE)}, {MEASURE}, y AS (SELECT doc_id AS id, n, round(deadpan, 4) AS isolation, round(heller, 4) AS circularity, ns AS spikes FROM me)
+SELECT g.id AS golden_id, s.id AS synthetic_id, g.n AS golden_n, g.isolation AS golden_isolation, g.circularity AS golden_circularity, g.spikes AS golden_spikes, s.n AS synthetic_n, s.isolation AS synthetic_isolation, s.circularity AS synthetic_circularity, s.spikes AS synthetic_spikes,
+  CASE WHEN least(g.n, s.n) < 3 THEN 'Window too large for passage lengths' END AS error FROM y g JOIN y s ON s.id = g.id + 1""")
 def recompute_comparison(spark, d):
     seq = vectors(spark, d)
-    pairs = read(spark, d, "embeddings").select(F.col("label").alias("golden_id"), (F.col("label") + 1).alias("synthetic_id")).distinct()
-    return scores.recompute_pair(seq, seq, pairs, 3, SPIKE)
+    out = scores.recompute_pair(seq, seq, _neighbours(spark, d), 3, SPIKE)
+    side = lambda x: [F.col(f"{x}_summary.{c}").cast(t).alias(f"{x}_{name}") for c, name, t in (("n_sentences", "n", "bigint"), ("spike_isolation", "isolation", "double"), ("circularity", "circularity", "double"), ("n_spikes", "spikes", "bigint"))]
+    return out.select("golden_id", "synthetic_id", *side("golden"), *side("synthetic"), "error")
 
 
 # --- comparison ------------------------------------------------------------------------------------------------------
 
-PAIRS = "(SELECT g.doc_id AS golden_id, s.doc_id AS synthetic_id, g.acc AS ga, s.acc AS sa FROM acc g JOIN acc s ON s.doc_id = g.doc_id + 1)"
-ACC = f"WITH RECURSIVE {SEQ}, {MOTION}, acc AS (SELECT doc_id, list(a ORDER BY p) FILTER (a IS NOT NULL) AS acc FROM mo GROUP BY doc_id)"
+
+def compare_sql(seq: str, threshold: float, pairs: str) -> str:
+    """A whole comparison by definition, with ``pairs`` a relation (pair_id, golden_id, synthetic_id): warping row by row, matching spike by spike."""
+    return f"""WITH RECURSIVE {seq}, {MOTION}, {spiked(threshold)}, {MEASURE},
+ls AS (SELECT doc_id, coalesce(list(a ORDER BY p) FILTER (a IS NOT NULL), []) AS acc, coalesce(list(ratio ORDER BY p) FILTER (spike), []) AS places FROM sp GROUP BY doc_id),
+pf AS (SELECT me.*, acc, places FROM me JOIN ls USING (doc_id)),
+pr AS (SELECT x.pair_id, x.golden_id, x.synthetic_id, g.n AS gn, s.n AS sn, g.ns AS ng, s.ns AS nsy, g.acc AS ga, s.acc AS sa, g.places AS gp, s.places AS spl, g.deadpan AS gd, g.heller AS gh, s.deadpan AS sd, s.heller AS sh, s.isolation AS si
+  FROM {pairs} x JOIN pf g ON g.doc_id = x.golden_id JOIN pf s ON s.doc_id = x.synthetic_id),
+r(pair_id, i, lat) AS (
+  SELECT pair_id, 0, list_prepend(0::DOUBLE, list_transform(range(1, len(sa) + 1), lambda x: 'inf'::DOUBLE)) FROM pr
+  UNION ALL
+  SELECT r.pair_id, i + 1, list_reduce(list_prepend(['inf'::DOUBLE], list_transform(range(1, len(sa) + 1), lambda j: [j::DOUBLE])),
+    lambda acc, j: list_append(acc, abs(ga[i + 1] - sa[j[1]::INT]) + least(lat[j[1]::INT + 1], acc[j[1]::INT], lat[j[1]::INT]))) FROM r JOIN pr USING (pair_id) WHERE i < len(ga) AND len(sa) > 0),
+w AS (SELECT pair_id, lat[len(sa) + 1] / (len(ga) + len(sa) - 1) AS dtw FROM r JOIN pr USING (pair_id) WHERE i = len(ga) AND len(ga) > 0 AND len(sa) > 0),
+q(pair_id, i, used, total) AS (
+  SELECT pair_id, 0, []::BIGINT[], 0::DOUBLE FROM pr
+  UNION ALL
+  SELECT pair_id, i + 1, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.j) END, total + CASE WHEN best IS NULL THEN 1.0 ELSE best.d END FROM (
+    SELECT q.*, list_sort(list_transform(list_filter(range(1, len(spl) + 1), lambda j: NOT list_contains(used, j) AND abs(gp[i + 1] - spl[j]) < 1), lambda j: {{'d': abs(gp[i + 1] - spl[j]), 'j': j}}))[1] AS best
+    FROM q JOIN pr USING (pair_id) WHERE i < len(gp))),
+gm AS (SELECT pair_id, total FROM q JOIN pr USING (pair_id) WHERE i = len(gp)),
+x AS (SELECT pair_id, ga, sa, greatest(len(ga), len(sa)) AS m, unnest(range(greatest(len(ga), len(sa)))) AS i FROM pr WHERE len(ga) > 1 AND len(sa) > 1),
+y AS (SELECT pair_id, ga, sa, i * (len(ga) - 1) / (m - 1) AS xg, i * (len(sa) - 1) / (m - 1) AS xs FROM x),
+z AS (SELECT pair_id, ga[floor(xg)::INT + 1] + (ga[least(floor(xg)::INT + 2, len(ga))] - ga[floor(xg)::INT + 1]) * (xg - floor(xg)) AS g, sa[floor(xs)::INT + 1] + (sa[least(floor(xs)::INT + 2, len(sa))] - sa[floor(xs)::INT + 1]) * (xs - floor(xs)) AS s FROM y),
+co AS (SELECT pair_id, CASE WHEN stddev_pop(g) > 1e-10 AND stddev_pop(s) > 1e-10 THEN corr(g, s) ELSE 0 END AS corr FROM z GROUP BY pair_id),
+cm AS (SELECT pair_id, golden_id, synthetic_id, gn, sn, ng, nsy, round(gd, 4) AS golden_deadpan, round(gh, 4) AS golden_heller, round(sd, 4) AS synthetic_deadpan, round(sh, 4) AS synthetic_heller, round(si, 4) AS synthetic_mean_isolation,
+  round(coalesce(dtw, 'inf'::DOUBLE), 4) AS acceleration_dtw, round(coalesce(corr, 0), 4) AS acceleration_correlation,
+  round(CASE WHEN ng > 0 AND nsy > 0 THEN 1 - least(total / ng + 0.2 * abs(ng - nsy), 1.0) WHEN ng = 0 AND nsy = 0 THEN 1.0 ELSE 0.0 END, 4) AS spike_position_match,
+  round(CASE WHEN ng > 0 THEN least(ng, nsy) / greatest(ng, nsy) WHEN nsy = 0 THEN 1.0 ELSE 0.0 END, 4) AS spike_count_match FROM pr LEFT JOIN w USING (pair_id) LEFT JOIN gm USING (pair_id) LEFT JOIN co USING (pair_id)),
+fi AS (SELECT *, round((0.30 * (1 - synthetic_deadpan) + 0.15 * (1 - synthetic_mean_isolation) + 0.20 * least(acceleration_dtw, 1.0) + 0.15 * (1 - greatest(acceleration_correlation, 0.0)) + 0.10 * (1 - spike_position_match) + 0.10 * (1 - spike_count_match))::DECIMAL(18, 8), 4)::DOUBLE AS fitness_score FROM cm),
+fin AS (SELECT *, CASE WHEN fitness_score < 0.3 THEN 'Excellent structural match' WHEN fitness_score < 0.5 THEN 'Good match, some rhythm deviation' WHEN fitness_score < 0.7 THEN 'Moderate — structure present but weak' ELSE 'Poor match' END AS interpretation,
+  CASE WHEN gn < 2 THEN 'Need at least 2 sentences, got ' || gn WHEN sn < 2 THEN 'Need at least 2 sentences, got ' || sn END AS error FROM fi)"""
+
+
+COMPARED = ["synthetic_deadpan", "synthetic_heller", "synthetic_mean_isolation", "acceleration_dtw", "acceleration_correlation", "spike_position_match", "spike_count_match", "fitness_score", "interpretation"]
+_SUMMARIES = "gn AS golden_n, sn AS synthetic_n, golden_deadpan, golden_heller, ng AS golden_spikes, nsy AS synthetic_spikes"
+LABEL_PAIRS = "(SELECT DISTINCT a.label AS pair_id, a.label AS golden_id, b.label AS synthetic_id FROM embeddings a JOIN embeddings b ON b.label = a.label + 1)"
+SOURCE_PAIRS = "(SELECT doc_id AS pair_id, doc_id AS synthetic_id, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id, text) AS golden_id FROM documents)"
+
+
+def compared(out: DataFrame, *keys: str) -> DataFrame:
+    of = lambda side, c, name, t: F.col(f"{side}_summary.{c}").cast(t).alias(name)
+    r, c = "reference", "comparison"
+    return out.select(*keys, *COMPARED, of(r, "n_sentences", "golden_n", "bigint"), of(c, "n_sentences", "synthetic_n", "bigint"), of(r, "deadpan_score", "golden_deadpan", "double"), of(r, "heller_score", "golden_heller", "double"), of(r, "n_spikes", "golden_spikes", "bigint"), of(c, "n_spikes", "synthetic_spikes", "bigint"), "error")
 
 
 def _neighbours(spark, d):
     return read(spark, d, "embeddings").select(F.col("label").alias("golden_id"), (F.col("label") + 1).alias("synthetic_id")).distinct()
 
 
-@query()
-def compare_sequences(spark, d):
+def _compared(spark, d):
     known = compare.profile_of(vectors(spark, d), SPIKE)
     return compare.compare(_neighbours(spark, d), known, known)
 
 
-@query(f"""{ACC}, pr AS {PAIRS}, r(golden_id, i, lat) AS (
-  SELECT golden_id, 0, list_prepend(0::DOUBLE, list_transform(range(1, len(sa) + 1), lambda x: 'inf'::DOUBLE)) FROM pr
-  UNION ALL
-  SELECT r.golden_id, i + 1, list_reduce(list_prepend(['inf'::DOUBLE], list_transform(range(1, len(sa) + 1), lambda j: [j::DOUBLE])),
-    lambda acc, j: list_append(acc, abs(ga[i + 1] - sa[j[1]::INT]) + least(lat[j[1]::INT + 1], acc[j[1]::INT], lat[j[1]::INT]))) FROM r JOIN pr USING (golden_id) WHERE i < len(ga))
-SELECT golden_id, synthetic_id, round(lat[len(sa) + 1] / (len(ga) + len(sa) - 1), 4) AS acceleration_dtw FROM r JOIN pr USING (golden_id) WHERE i = len(ga)""")
+@query(f"{compare_sql(SEQ, SPIKE, LABEL_PAIRS)} SELECT golden_id, synthetic_id, {', '.join(COMPARED)}, {_SUMMARIES}, error FROM fin")
+def compare_sequences(spark, d):
+    return compared(_compared(spark, d), "golden_id", "synthetic_id")
+
+
+@query(f"{compare_sql(SEQ, SPIKE, LABEL_PAIRS)} SELECT golden_id, synthetic_id, acceleration_dtw FROM fin")
 def dtw_distance(spark, d):
-    return compare_sequences(spark, d).select("golden_id", "synthetic_id", "acceleration_dtw")
+    return _compared(spark, d).select("golden_id", "synthetic_id", "acceleration_dtw")
 
 
-@query(f"""{ACC}, pr AS {PAIRS}, l AS (SELECT *, greatest(len(ga), len(sa)) AS n FROM pr), x AS (SELECT golden_id, synthetic_id, ga, sa, n, unnest(range(n)) AS i FROM l),
-y AS (SELECT golden_id, synthetic_id, i, ga, sa, i * (len(ga) - 1) / (n - 1) AS xg, i * (len(sa) - 1) / (n - 1) AS xs FROM x),
-z AS (SELECT golden_id, synthetic_id, ga[floor(xg)::INT + 1] + (ga[least(floor(xg)::INT + 2, len(ga))] - ga[floor(xg)::INT + 1]) * (xg - floor(xg)) AS g, sa[floor(xs)::INT + 1] + (sa[least(floor(xs)::INT + 2, len(sa))] - sa[floor(xs)::INT + 1]) * (xs - floor(xs)) AS s FROM y)
-SELECT golden_id, synthetic_id, round(corr(g, s), 4) AS acceleration_correlation FROM z GROUP BY ALL""")
+@query(f"{compare_sql(SEQ, SPIKE, LABEL_PAIRS)} SELECT golden_id, synthetic_id, acceleration_correlation FROM fin")
 def acceleration_correlation(spark, d):
-    return compare_sequences(spark, d).select("golden_id", "synthetic_id", "acceleration_correlation")
+    return _compared(spark, d).select("golden_id", "synthetic_id", "acceleration_correlation")
 
 
-@query(f"""WITH {SEQ}, {MOTION}, {spiked(SPIKE)}, c AS (SELECT doc_id, count(*) FILTER (spike) AS ns FROM sp GROUP BY doc_id)
-SELECT g.doc_id AS golden_id, s.doc_id AS synthetic_id, round(CASE WHEN g.ns > 0 THEN least(g.ns, s.ns) / greatest(g.ns, s.ns) WHEN s.ns = 0 THEN 1.0 ELSE 0.0 END, 4) AS spike_count_match FROM c g JOIN c s ON s.doc_id = g.doc_id + 1""")
+@query(f"{compare_sql(SEQ, SPIKE, LABEL_PAIRS)} SELECT golden_id, synthetic_id, spike_position_match, spike_count_match FROM fin")
 def compare_spike_counts(spark, d):
-    return compare_sequences(spark, d).select("golden_id", "synthetic_id", "spike_count_match")
+    return _compared(spark, d).select("golden_id", "synthetic_id", "spike_position_match", "spike_count_match")
 
 
 # --- drift, classification -------------------------------------------------------------------------------------------
@@ -268,14 +325,17 @@ def bulk_drift(spark, d):
 CATS = "(SELECT lang AS category, dense_rank() OVER (ORDER BY lang) AS ordinal, arg_min(text, doc_id) AS exemplar FROM documents WHERE lang IS NOT NULL GROUP BY lang)"
 
 
-@query(f"""WITH c AS {hashed(CATS, 'exemplar', 'category, ordinal')}, t AS {hashed('(SELECT doc_id, substr(text, 1, 2000) AS head, length(text) > 2000 AS content_truncated FROM documents)', 'head', 'doc_id, content_truncated')},
-s AS (SELECT doc_id, content_truncated, category, ordinal, CASE WHEN list_inner_product(t.e, t.e) = 0 OR list_inner_product(c.e, c.e) = 0 THEN 0 ELSE list_inner_product(t.e, c.e) / (sqrt(list_inner_product(t.e, t.e)) * sqrt(list_inner_product(c.e, c.e))) END AS sim FROM t, c)
-SELECT doc_id, round(max(sim), 4) AS similarity, max(sim) >= 0.85 AS confident, any_value(content_truncated) AS content_truncated, count(*) AS n_categories FROM s GROUP BY doc_id""")
+@query(f"""WITH c AS {hashed(CATS, 'exemplar', 'category, ordinal')}, t AS {hashed("(SELECT doc_id, substr(text, 1, 2000) AS head, length(text) > 2000 AS content_truncated, coalesce(text, '') = '' AS none FROM documents)", 'head', 'doc_id, content_truncated, none')},
+s AS (SELECT doc_id, content_truncated, none, category, ordinal, CASE WHEN list_inner_product(t.e, t.e) = 0 OR list_inner_product(c.e, c.e) = 0 THEN 0 ELSE list_inner_product(t.e, c.e) / (sqrt(list_inner_product(t.e, t.e)) * sqrt(list_inner_product(c.e, c.e))) END AS sim FROM t, c),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, ordinal) - 1 AS rank, max(sim) OVER (PARTITION BY doc_id) AS top, arg_max(category, {{'s': sim, 'o': -ordinal}}) OVER (PARTITION BY doc_id) AS best FROM s)
+SELECT doc_id, CASE WHEN none THEN 0 ELSE rank END AS rank, any_value(CASE WHEN NOT none THEN category END) AS category, any_value(CASE WHEN NOT none THEN round(sim, 4) END) AS category_similarity, any_value(CASE WHEN NOT none THEN best END) AS best_match, any_value(CASE WHEN NOT none THEN round(top, 4) END) AS similarity,
+  any_value(CASE WHEN NOT none THEN top >= 0.85 END) AS confident, any_value(CASE WHEN NOT none THEN content_truncated END) AS content_truncated, any_value(CASE WHEN none THEN 'No content provided' END) AS error FROM o GROUP BY ALL""")
 def classify_documents(spark, d):
     docs = read(spark, d, "documents")
     cats = docs.filter("lang is not null").groupBy(F.col("lang").alias("category")).agg(F.min_by("text", "doc_id").alias("exemplar"), F.min("lang").alias("ordinal"))
     out = api.classify_document(docs, cats, HashBackend())
-    return out.select("doc_id", "similarity", "confident", "content_truncated", F.size("all_similarities").cast("bigint").alias("n_categories"))
+    out = out.select("doc_id", "best_match", "similarity", "confident", "content_truncated", "error", F.posexplode_outer("all_similarities").alias("rank", "x"))
+    return out.select("doc_id", F.coalesce("rank", F.lit(0)).cast("bigint").alias("rank"), F.col("x.category").alias("category"), F.col("x.similarity").alias("category_similarity"), "best_match", "similarity", "confident", "content_truncated", "error")
 
 
 @query(f"""WITH {SEQ}, c AS (SELECT doc_id AS category, arg_min(e, pos) AS x FROM seq GROUP BY doc_id), s AS (SELECT pos, category, list_cosine_similarity(e, x) AS sim FROM seq, c)
@@ -310,25 +370,32 @@ def pca_projection(spark, d):
     return projection.principal_components(vectors(spark, d))
 
 
-@query()
+@query(f"""WITH {DOCSEQ}, {MOTION}, {spiked(0.3)} SELECT sp.doc_id, i AS index, round(a, 4) AS magnitude, CASE WHEN length(sentence) > 50 THEN substr(sentence, 1, 50) || '...' ELSE sentence END AS label
+FROM sp JOIN sent ON sent.doc_id = sp.doc_id AND sent.pos = i + 1 WHERE spike""")
 def spike_sentences(spark, d):
     docs = texts(spark, d)
     found = api.analyze_trajectory(docs, HashBackend())
-    return projection.spike_sentences(sentences.split(docs), found)
+    return projection.spike_sentences(sentences.split(docs), found).withColumn("index", F.col("index").cast("bigint"))
 
 
-@query()
+@query(f"""WITH {DOCSEQ}, {MOTION} SELECT d.doc_id, s.pos, s.sentence, round(v.v, 4) AS velocity, round(a.a, 4) AS acceleration, round(a.k, 4) AS curvature
+FROM documents d LEFT JOIN sent s USING (doc_id) LEFT JOIN mo v ON v.doc_id = s.doc_id AND v.p = s.pos + 1 LEFT JOIN mo a ON a.doc_id = s.doc_id AND a.p = s.pos + 2""")
 def trajectories_with_sentences(spark, d):
-    return api.analyze_trajectory(texts(spark, d), HashBackend(), include_sentences=True)
+    """A row per sentence, with the velocity, acceleration and curvature of that index."""
+    t = api.analyze_trajectory(texts(spark, d), HashBackend(), include_sentences=True)
+    t = t.select("doc_id", F.posexplode_outer(F.arrays_zip("sentences", *km.PROFILES)).alias("pos", "x"))
+    return t.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("x.sentences").alias("sentence"), *[F.col(f"x.{c}").alias(c.removesuffix("_profile")) for c in km.PROFILES])
 
 
-@query()
+@query(f"""{compare_sql(DOCSEQ, 0.3, SOURCE_PAIRS)}, t AS (SELECT doc_id AS pair_id, text, lag(text) OVER (PARTITION BY source ORDER BY doc_id, text) AS golden FROM documents)
+SELECT t.pair_id, {', '.join(COMPARED)}, {_SUMMARIES}, CASE WHEN coalesce(golden, '') = '' THEN 'No golden_text provided' WHEN coalesce(text, '') = '' THEN 'No synthetic_text provided' WHEN error IS NOT NULL THEN error WHEN fitness_score IS NULL THEN 'Need at least 2 sentences, got 0' END AS error
+FROM t LEFT JOIN fin USING (pair_id)""")
 def compare_documents(spark, d):
     """Each document (pair_id) against the one before it in its source; the first of a source has none and gets the error of an empty text."""
     from pyspark.sql import Window
 
     t = read(spark, d, "documents").withColumn("golden_text", F.lag("text").over(Window.partitionBy("source").orderBy("doc_id", "text")))
-    return api.compare_trajectories(t.select(F.col("doc_id").alias("pair_id"), "golden_text", F.col("text").alias("synthetic_text")), HashBackend())
+    return compared(api.compare_trajectories(t.select(F.col("doc_id").alias("pair_id"), "golden_text", F.col("text").alias("synthetic_text")), HashBackend()), "pair_id")
 
 
 # --- texts -----------------------------------------------------------------------------------------------------------
@@ -339,15 +406,19 @@ def sentence_split(spark, d):
     return sentences.split(texts(spark, d)).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "sentence")
 
 
-@query(f"WITH e AS {hashed('benchmark', 'text', 'item_id')} SELECT item_id, round(list_max(e), 6) AS top, round(sqrt(list_inner_product(e, e)), 6) AS length, list_position(e, list_max(e)) AS place FROM e")
+@query(f"WITH e AS {hashed('documents', 'text', 'doc_id')} SELECT doc_id, round(list_max(e), 6) AS top, round(sqrt(list_inner_product(e, e)), 6) AS length, list_position(e, list_max(e)) AS place FROM e")
 def hash_embedding(spark, d):
-    t = HashBackend().embed(read(spark, d, "benchmark"))
-    return t.select("item_id", F.round(F.array_max("e"), 6).alias("top"), F.round(vx.norm(F.col("e")), 6).alias("length"), F.array_position("e", F.array_max("e")).cast("int").alias("place"))
+    t = HashBackend().embed(texts(spark, d))
+    return t.select("doc_id", F.round(F.array_max("e"), 6).alias("top"), F.round(vx.norm(F.col("e")), 6).alias("length"), F.array_position("e", F.array_max("e")).cast("int").alias("place"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS text_preview, 64 AS dimensions FROM documents WHERE coalesce(text, '') <> ''")
+@query(f"""WITH t AS {hashed('documents', 'text', 'doc_id, text')}, p AS (SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS text_preview, 64 AS dimensions, coalesce(text, '') = '' AS none, e FROM t)
+SELECT doc_id, unnest(range(CASE WHEN none THEN 1 ELSE 10 END)) AS k, CASE WHEN NOT none THEN text_preview END AS text_preview, CASE WHEN NOT none THEN dimensions END AS dimensions, unnest(CASE WHEN none THEN [NULL] ELSE list_transform(e[1:10], lambda x: round(x, 6)) END) AS value,
+  CASE WHEN none THEN 'No text provided' END AS error FROM p""")
 def embed_text(spark, d):
-    return api.embed_text(texts(spark, d), HashBackend()).filter("error is null").select("doc_id", "text_preview", "dimensions")
+    """The ten values of each preview, a row each."""
+    t = api.embed_text(texts(spark, d), HashBackend()).select("doc_id", "text_preview", "dimensions", "error", F.posexplode_outer("embedding_preview").alias("k", "value"))
+    return t.select("doc_id", F.coalesce("k", F.lit(0)).cast("bigint").alias("k"), "text_preview", "dimensions", F.round("value", 6).alias("value"), "error")
 
 
 @query("SELECT doc_id, substr(sha256(text), 1, 16) AS text_key, count(*) OVER (PARTITION BY text) AS copies FROM documents")
@@ -356,10 +427,11 @@ def cache_keys(spark, d):
     return t.join(t.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies")), "text_key").select("doc_id", "text_key", "copies")
 
 
-@query("SELECT doc_id, true AS known FROM documents WHERE text IS NOT NULL")
+@query(f"WITH e AS {hashed('documents', 'text', 'doc_id, text')} SELECT doc_id, unnest(range(64)) AS k, round(unnest(e), 6) AS value FROM e WHERE text IS NOT NULL")
 def cached_embedding(spark, d):
+    """All values of all vectors that come back from the cache."""
     t = EmbeddingCache(spark).embed(texts(spark, d).filter("text is not null"), HashBackend())
-    return t.select("doc_id", F.col("e").isNotNull().alias("known"))
+    return t.select("doc_id", F.posexplode("e").alias("k", "value")).select("doc_id", F.col("k").cast("bigint").alias("k"), F.round("value", 6).alias("value"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS normalized FROM documents")
@@ -372,11 +444,6 @@ def exclamation_totals(spark, d):
     return texts(spark, d).select("doc_id", tx.exclamation_counts(F.col("text"))["total"].cast("bigint").alias("total"))
 
 
-@query()
-def exclamation_counts(spark, d):
-    return texts(spark, d).select("doc_id", tx.exclamation_counts(F.col("text")).alias("c")).select("doc_id", "c.*")
-
-
 CLEAN = "text"
 for _p, _f in ((r"```[\s\S]*?```", "g"), (r"`[^`]+`", "g"), (r"(?m)^    .*$", "g"), (r"<![^>]*>", "g"), (r"<[^>]+>", "g"), (r"(?m)^#!/.*$", "g"), (r">\s*[^<\n]+", "g"), (r"\$\s*[!][!$^]", "g")):
     CLEAN = f"regexp_replace({CLEAN}, '{_p}', '', '{_f}')"
@@ -388,34 +455,38 @@ def clean_text(spark, d):
     return texts(spark, d).select("doc_id", F.length(c).cast("bigint").alias("chars"), F.sha2(c, 256).alias("cleaned"))
 
 
+_EDGE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
+_CLEANED = f"coalesce({CLEAN}, '')"
+
+
+@query(f"""WITH c AS (SELECT doc_id, {_CLEANED} AS c FROM documents), x AS (SELECT doc_id, (length(c) - length(replace(c, '!', ''))) AS total, regexp_matches(regexp_replace(c, '^{_EDGE}|{_EDGE}$', '', 'g'), '(?m)^[^.!?]*!')::INT AS opening, ends_with(regexp_replace(c, '{_EDGE}$', ''), '!')::INT AS closing FROM c)
+SELECT doc_id, total, opening, closing, total - opening - CASE WHEN opening <> closing THEN closing ELSE 0 END AS mid FROM x""")
+def exclamation_counts(spark, d):
+    return texts(spark, d).select("doc_id", tx.exclamation_counts(F.col("text")).alias("c")).select("doc_id", *[F.col(f"c.{c}").cast("bigint").alias(c) for c in ("total", "opening", "closing", "mid")])
+
+
 WORDS = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+'), lambda x: x <> ''))"
 
 
-@query(f"SELECT doc_id, len({WORDS.format('text')}) AS n_words FROM documents")
+@query(f"SELECT doc_id, coalesce(len({WORDS.format('text')}), 0) AS n_words, coalesce(array_to_string(list_sort({WORDS.format('text')}), ' '), '') AS words FROM documents")
 def word_sets(spark, d):
-    return texts(spark, d).select("doc_id", F.size(tx.word_set(F.col("text"))).cast("bigint").alias("n_words"))
+    w = tx.word_set(F.col("text"))
+    return texts(spark, d).select("doc_id", F.size(w).cast("bigint").alias("n_words"), F.array_join(F.array_sort(w), " ").alias("words"))
 
 
-@query(f"""WITH b AS (SELECT item_id, {WORDS.format('text')} AS w, count(*) OVER () AS n FROM benchmark), t AS (SELECT doc_id, {WORDS.format('text')} AS x FROM documents)
-SELECT doc_id, item_id, round(CASE WHEN len(w) = 0 OR len(x) = 0 THEN 0.0 ELSE len(list_intersect(x, w)) / len(list_distinct(list_concat(x, w))) END, 6) AS jaccard FROM t JOIN b ON doc_id % n = item_id""")
+@query(f"""WITH b AS (SELECT item_id, {WORDS.format('text')} AS y FROM benchmark), t AS (SELECT doc_id, {WORDS.format('text')} AS x FROM documents),
+n AS (SELECT doc_id, item_id, count(*) AS n FROM (SELECT doc_id, unnest(x) AS word FROM t) JOIN (SELECT item_id, unnest(y) AS word FROM b) USING (word) GROUP BY ALL)
+SELECT doc_id, item_id, round(n / (len(x) + len(y) - n), 6) AS jaccard FROM n JOIN t USING (doc_id) JOIN b USING (item_id)""")
 def jaccard_benchmark(spark, d):
-    b = read(spark, d, "benchmark")
-    n = b.count()
-    t = texts(spark, d).withColumn("item_id", F.col("doc_id") % n).select("doc_id", "item_id", tx.word_set(F.col("text")).alias("x"))
-    return t.join(b.select("item_id", tx.word_set(F.col("text")).alias("w")), "item_id").select("doc_id", "item_id", F.round(tx.jaccard(F.col("x"), F.col("w")), 6).alias("jaccard"))
-
-
-@query()
-def jaccard_benchmark_all(spark, d):
     """The similarity of every document with every item, where it isn't 0: words in common are counted by a join of the word sets of distinct texts."""
 
     def sets(t, key, size):
         return t.select(tx.text_key(F.col("text")).alias(key), tx.word_set(F.col("text")).alias("w")).dropDuplicates([key]).select(key, F.size("w").alias(size), F.explode("w").alias("word"))
 
     docs, items = texts(spark, d), read(spark, d, "benchmark").select("item_id", "text")
-    both = sets(docs, "x", "n_x").join(F.broadcast(sets(items, "y", "n_y")), "word").groupBy("x", "y", "n_x", "n_y").agg(F.count(F.lit(1)).alias("n"))
+    both = sets(docs, "x", "n_x").join(sets(items, "y", "n_y"), "word").groupBy("x", "y", "n_x", "n_y").agg(F.count(F.lit(1)).alias("n"))
     found = both.select("x", "y", F.round(F.col("n") / (F.col("n_x") + F.col("n_y") - F.col("n")), 6).alias("jaccard"))
-    named = found.join(F.broadcast(items.select("item_id", tx.text_key(F.col("text")).alias("y"))), "y")
+    named = found.join(items.select("item_id", tx.text_key(F.col("text")).alias("y")), "y")
     return docs.select("doc_id", tx.text_key(F.col("text")).alias("x")).join(named, "x").select("doc_id", "item_id", "jaccard")
 
 
@@ -424,36 +495,66 @@ def iso8601_format(spark, d):
     return read(spark, d, "events").select("event_id", timestamps.to_iso8601(F.col("ts").cast("timestamp")).alias("iso"))
 
 
-@query("SELECT strftime(ts, '%Y-%m') AS month, count(*) AS n FROM events GROUP BY 1")
+def _said(*forms):
+    """One of the forms of an event's time, by event_id."""
+    return F.element_at(F.array(*forms), (F.col("event_id") % len(forms) + 1).cast("int"))
+
+
+_DAY = "(date_trunc('second', ts) + INTERVAL (event_id % 400) DAY)"
+
+
+@query(f"SELECT strftime({_DAY}, '%Y-%m') AS month, count(*) AS n FROM events WHERE event_id % 3 <> 2 GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM events WHERE event_id % 3 = 2")
 def month_rollup(spark, d):
-    t = read(spark, d, "events").select(timestamps.month(timestamps.to_iso8601(F.col("ts").cast("timestamp"))).alias("month"))
-    return t.groupBy("month").agg(F.count(F.lit(1)).alias("n"))
+    """Months of texts in their own offsets, spread over 400 days; what can't be read has none."""
+    t = read(spark, d, "events").withColumn("at", F.expr("timestampadd(DAY, cast(event_id % 400 as int), cast(ts as timestamp))"))
+    said = _said(timestamps.to_iso8601(F.col("at")), F.date_format("at", "yyyyMMdd'T'HHmmss'-0500'"), F.date_format("at", "yyyy-MM-dd"))
+    return t.select(timestamps.month(said).alias("month")).groupBy("month").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS parsed FROM events")
+@query("SELECT event_id, CASE event_id % 4 WHEN 3 THEN '1970-01-01T00:00:00Z' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS parsed FROM events")
 def takeout_timestamps(spark, d):
-    said = F.concat(F.date_format(F.col("ts").cast("timestamp"), "MMM d, yyyy, h:mm:ss a"), F.lit(" MDT"))
+    """With a zone, without one, padded by other spaces, and texts that can't be read."""
+    plain = F.date_format(F.col("ts").cast("timestamp"), "MMM d, yyyy, h:mm:ss a")
+    said = _said(F.concat(plain, F.lit(" MDT")), plain, F.concat(F.lit("  "), F.replace(plain, F.lit(" AM"), F.lit("\u202fAM")), F.lit(" EST ")), F.concat(F.lit("at "), plain))
     return read(spark, d, "events").select("event_id", timestamps.takeout_timestamp(said).alias("parsed"))
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS parsed FROM events")
+@query("""SELECT event_id, strftime(CASE event_id % 7 WHEN 2 THEN ts - INTERVAL 2 HOUR WHEN 3 THEN ts + INTERVAL 330 MINUTE WHEN 5 THEN NULL WHEN 6 THEN NULL ELSE ts END, '%Y-%m-%dT%H:%M:%SZ') AS parsed FROM events""")
 def parsed_timestamps(spark, d):
-    said = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
+    """Spaced, ISO with Z, ahead of and behind UTC, basic, and two that can't be read."""
+    at = lambda form: F.date_format(F.col("ts").cast("timestamp"), form)
+    said = _said(at("yyyy-MM-dd HH:mm:ss"), at("yyyy-MM-dd'T'HH:mm:ss'Z'"), at("yyyy-MM-dd'T'HH:mm:ss'+02:00'"), at("yyyy-MM-dd'T'HH:mm:ss'-05:30'"), at("yyyyMMdd'T'HHmmss'Z'"), at("yyyy-MM-dd"), at("dd.MM.yyyy HH:mm:ss"))
     return read(spark, d, "events").select("event_id", timestamps.to_iso8601(timestamps.parse_timestamp(said)).alias("parsed"))
 
 
-@query()
+# Pages hold no block at the top level: all text outside scripts, styles, templates, comments and tags, one piece a line.
+_PIECES = r"string_split(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>|<!--.*?-->|<[/!a-z][^>]*>', chr(1), 'g'), chr(1))"
+_UNESCAPED = "x"
+for _e, _c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    _UNESCAPED = f"replace({_UNESCAPED}, '{_e}', '{_c}')"
+PAGE_TEXT = f"array_to_string(list_filter(list_transform({_PIECES}, lambda x: regexp_replace({_UNESCAPED}, '^{_EDGE}|{_EDGE}$', '', 'g')), lambda x: x <> ''), chr(10))"
+
+
+@query(f"SELECT page_id, coalesce({PAGE_TEXT}, '') AS text FROM pages")
 def html_text(spark, d):
     return read(spark, d, "pages").select("page_id", html.html_text(F.col("html")).alias("text"))
 
 
-@query()
+_AT = "2024-01-01T00:00:00Z"
+
+
+@query(f"""SELECT concat_ws('-', conv_id, turn) AS message_id, '{_AT}' AS timestamp, 'webui' AS timestamp_source, role AS speaker, coalesce(text, '') AS text, 'conversations' AS source_file, 'webui' AS source_format, false AS has_thinking, NULL::VARCHAR AS text_html, NULL::VARCHAR AS source_field, NULL::VARCHAR AS version, NULL::VARCHAR AS method, NULL::VARCHAR AS extracted FROM conversations
+UNION ALL SELECT page_id::VARCHAR, '{_AT}', 'takeout_html', 'page', coalesce({PAGE_TEXT}, ''), 'pages', 'takeout_html', false, nullif(html, ''), h, v, m, t FROM (SELECT *, CASE WHEN coalesce(html, '') <> '' THEN 'html' END AS h, CASE WHEN coalesce(html, '') <> '' THEN '{html.VERSION}' END AS v, CASE WHEN coalesce(html, '') <> '' THEN '{html.METHOD}' END AS m, CASE WHEN coalesce(html, '') <> '' THEN '{_AT}' END AS t FROM pages)""")
 def message_provenance(spark, d):
     c = read(spark, d, "conversations")
-    none = F.lit(None).cast("string")
-    m = html.message(F.concat_ws("-", "conv_id", "turn"), F.lit("2024-01-01T00:00:00Z"), F.col("role"), none, F.col("text"), F.lit("text"), F.lit("conversations"), F.lit("webui"), F.lit("2024-01-01T00:00:00Z"))
-    p = html.message(F.col("page_id"), F.lit("2024-01-01T00:00:00Z"), F.lit("page"), F.col("html"), none, F.lit("html"), F.lit("pages"), F.lit("takeout_html"), F.lit("2024-01-01T00:00:00Z"))
-    return c.select(m.alias("m")).select("m.*").unionByName(read(spark, d, "pages").select(p.alias("m")).select("m.*"))
+    none, at = F.lit(None).cast("string"), F.lit(_AT)
+    m = html.message(F.concat_ws("-", "conv_id", "turn"), at, F.col("role"), none, F.col("text"), F.lit("text"), F.lit("conversations"), F.lit("webui"), at)
+    p = html.message(F.col("page_id"), at, F.lit("page"), F.col("html"), none, F.lit("html"), F.lit("pages"), F.lit("takeout_html"), at)
+    out = c.select(m.alias("m")).select("m.*").unionByName(read(spark, d, "pages").select(p.alias("m")).select("m.*"))
+    e = F.col("extraction")
+    return out.select(
+        *[c for c in out.columns if c not in ("thinking_blocks", "extraction")], e["source_field"].alias("source_field"), e["version"].alias("version"), e["method"].alias("method"), e["timestamp"].alias("extracted")
+    )
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '...' ELSE text END AS preview, length(text) > 2000 AS truncated FROM documents")

@@ -77,6 +77,8 @@ def test_minimum_lengths(spark):
     assert (r["b"].deadpan_score, r["b"].circularity_score, r["b"].deceleration_score) == (0.0, 0.0, 0.0) and r["b"].tautology_density > 0
     assert r["c"].deadpan_score == 0.0 and abs(r["c"].deceleration_score - 0.2) < 1e-12
     assert r["d"].n == 4 and r["d"].na == 2
+    alone = of(scores.measure(seq(spark, c=G[:3]), 0.1))["c"]  # an only acceleration has no neighbours
+    assert alone.n_spikes == 1 and alone.isolation == 0.5
     known = compare.profile_of(seq(spark, b=G[:2], g=G))
     out = compare.compare(spark.createDataFrame([("g", "b")], "golden_id string, synthetic_id string"), known, known).first()
     assert math.isinf(out.acceleration_dtw) and out.acceleration_correlation == 0.0
