@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that map functions get at a time (texts are long rows); the session's own batch sizes stay as they are.
-ROWS = 1000
+#: Rows that map functions get at a time (texts are long rows), and the setting that bounds the batches that Spark makes.
+ROWS, BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 _PACKAGE = Path(__file__).resolve().parent.parent
 _lock = threading.Lock()
 _shipped: set[str] = set()
 _roots: dict[str, str] = {}
+_small: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, so that their Python workers can import it."""
+    """Sends this package to the executors once per application, so that their Python workers can import it.
+
+    Where the application leaves BATCH unset it becomes ROWS, until ``cleanup``: Arrow batches of long texts take much memory
+    beside the heap, and the setting is read when a plan runs, long after an operator has returned. A value that is set stays.
+    """
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH):
+        spark.conf.set(BATCH, str(ROWS))
+        _small.add(spark.sparkContext.applicationId)
     app = spark.sparkContext.applicationId
     with _lock:
         if app in _shipped:
@@ -68,7 +76,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cleanup(spark: SparkSession) -> None:
-    """Removes this application's intermediate tables; results that still read them must have been written before."""
+    """Removes this application's intermediate tables, and BATCH if ``ship`` has set it; results that still read them must have been written before."""
+    if spark.sparkContext.applicationId in _small:
+        _small.discard(spark.sparkContext.applicationId)
+        spark.conf.unset(BATCH)
     root = _roots.pop(spark.sparkContext.applicationId, None)
     if root is not None:
         _remove(spark, root)

@@ -63,3 +63,21 @@ def test_run_equals_stages(spark, sf):
 def test_names():
     names = [n for n, _ in pipeline.STAGES]
     assert 4 <= len(names) <= 5 and all(re.fullmatch(r"\w+", n) for n in names)
+
+
+def test_batch_setting(spark):
+    """Small Arrow batches where the application names no size; a size that is set stays; cleanup gives the setting back."""
+    from kinetext.llm import common
+
+    known = spark._jsparkSession.sessionState().conf()
+    common.cleanup(spark)
+    spark.conf.unset(common.BATCH)
+    common.ship(spark)
+    assert spark.conf.get(common.BATCH) == "1000"
+    common.cleanup(spark)
+    assert not known.contains(common.BATCH)
+    spark.conf.set(common.BATCH, "10000")
+    common.ship(spark)
+    common.cleanup(spark)
+    assert spark.conf.get(common.BATCH) == "10000"
+    spark.conf.unset(common.BATCH)
