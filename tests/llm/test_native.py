@@ -111,6 +111,36 @@ def test_leaks(spark, monkeypatch):
     assert again.count() == len(want)
 
 
+@pytest.mark.parametrize("wide", [0x7FFF, 50])
+def test_long_leaks(spark, monkeypatch, wide):
+    """Items longer than the windows that roll in one row, edited, in long documents; counters of either width."""
+    monkeypatch.setattr(decontaminate, "WIDE", wide)
+    monkeypatch.setattr(decontaminate, "STEP", 64)
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    items = [(0, text(300)), (1, " ".join(["round and round we go"] * 20 + text(40).split()))]
+    docs = []
+    for k in range(6):
+        w = items[k % 2][1].split()
+        for _ in range(k // 2 * 2):
+            w[rng.randrange(len(w))] = "new"
+        docs.append((k, text(200 + 50 * k) + " " + " ".join(w) + " " + text(100)))
+    docs.append((6, text(900)))
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in decontaminate.find_leaks(d, i).collect()}
+    want = leaks_brute(docs, items)
+    assert len(want) >= 4 and got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in want)
+
+
+def test_bags(spark):
+    rng = random.Random(4)
+    rows = [([rng.randrange(8) for _ in range(rng.randrange(1, 30))], [rng.randrange(8) for _ in range(rng.randrange(1, 30))]) for _ in range(60)]
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>")
+    for r in df.select("a", "b", decontaminate.similarity(F.col("a"), F.col("b")).alias("s"), decontaminate.held(F.col("a"), F.col("b")).alias("h")).collect():
+        both = sum((Counter(r.a) & Counter(r.b)).values())
+        assert r.s == pytest.approx(both / (len(r.a) + len(r.b) - both)) and r.h == [x in r.b for x in r.a]
+
+
 def test_fingerprint(spark):
     rng = random.Random(1)
     rows = [([rng.getrandbits(64) - (1 << 63) for _ in range(rng.randrange(1, 50))],) for _ in range(40)]
