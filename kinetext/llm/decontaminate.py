@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetext.llm.common import table
-from kinetext.llm.licenses import gram_rows, words
+from kinetext.llm.licenses import WORD, gram_rows
 
 SHINGLE, THRESHOLD = 5, 0.8
 BLOCKS, BLOCK_BITS, NEAR = 8, 8, 2
@@ -33,6 +33,11 @@ STEP, WIDE = 256, 0x7FFF
 MOST_ITEMS, MOST_WORDS = 5_000, 200_000
 
 
+def words(text: Column) -> Column:
+    """The words of a text, lower-cased (null: none)."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+
+
 def shingles(w: Column, k: int = SHINGLE) -> Column:
     """Hashes of all k-word shingles of an array of words."""
     return F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, k), " ")))

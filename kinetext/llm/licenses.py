@@ -10,6 +10,7 @@ each diagonal that holds all their k-grams.
 from __future__ import annotations
 
 import re
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,13 +39,13 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
 ]
 
-#: Template k-grams are broadcast; more than this many are refused.
+#: Template k-grams are broadcast up to this many, and joined by an exchange beyond.
 MOST_GRAMS = 100_000
 
 
 def words(text: Column) -> Column:
-    """The words of a text, lower-cased (null: none). Case folding beyond ASCII doesn't move word bounds, and no template word has a letter that some other character folds to."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """The words of a text (null: none), lower-cased in A-Z only: other characters that fold to a Latin letter don't become one."""
+    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase), F.lit(WORD), F.lit(0))
 
 
 def gram_rows(w: Column, k: int) -> Column:
@@ -60,11 +61,9 @@ def template_grams(spark: SparkSession, templates: list[tuple[str, str, bool]],
         if len(own) < k:
             raise ValueError(f"a template needs {k} words: {text}")
         rows += [(*own[i : i + k], t, i) for i in range(len(own) - k + 1)]
-    if len(rows) > MOST_GRAMS:
-        raise ValueError(f"{len(rows)} template k-grams; the bound for a broadcast is {MOST_GRAMS}")
     names = [f"t{i}" for i in range(k)]
     df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names) + ", template int, tpos int")
-    return df.groupBy(*names).agg(F.collect_list(F.struct("template", "tpos")).alias("places")).withColumn("gram", F.xxhash64(*names))
+    return df.groupBy(*names).agg(F.collect_list(F.struct("template", "tpos")).alias("places")).withColumn("gram", F.xxhash64(*names)).hint("broadcast" if len(rows) <= MOST_GRAMS else "shuffle_hash")
 
 
 def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, k: int = 3, slack: int = 3, min_coverage: float = 0.5, min_density: float = 0.5) -> DataFrame:
@@ -87,7 +86,7 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates: l
     same = (F.col("r.gram") == F.col("t.gram")) & F.col(f"w{k - 1}").isNotNull()
     for i in range(k):
         same &= F.col(f"w{i}") == F.col(f"t{i}")
-    hits = rows.alias("r").join(F.broadcast(grams).alias("t"), same, "left")
+    hits = rows.alias("r").join(grams.alias("t"), same, "left")
     hits = hits.filter(F.col("places").isNotNull() | (F.coalesce(F.col("pos"), F.lit(0)) == 0))
     hits = hits.select("doc_id", "_h", "n_words", "pos", "places").repartition("doc_id", "_h")
     hits = hits.select("doc_id", "_h", "n_words", "pos", F.posexplode_outer("places").alias("place", "p"))

@@ -168,3 +168,20 @@ def test_wide_fingerprints(spark):
     for n in (32_767, 32_768, 70_000):
         same = spark.createDataFrame([([-1] * n,)], "h array<bigint>")
         assert same.select(decontaminate.fingerprint(F.col("h")).alias("f")).first().f == -1
+
+
+def test_other_letters_stay(spark):
+    """The Kelvin sign folds to k elsewhere; here it makes another word."""
+    d = spark.createDataFrame([(1, "Under THE mit LICENSE"), (2, "wor\u212a Under the MIT license \u00c9"), (3, "apache license version\u212a 2")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_words, [s.label for s in r.spans if s.phrase]) for r in licenses.scan(d).collect()}
+    assert got == {1: (4, ["mit"]), 2: (6, ["mit"]), 3: (4, [])}
+    assert d.select(F.explode(licenses.words(F.col("text"))).alias("w")).filter(F.col("w") == "wor\u212a").count() == 1
+
+
+def test_many_template_grams(spark, monkeypatch):
+    """Beyond the bound of the broadcast the same spans are found by an exchange."""
+    d = spark.createDataFrame([(1, "x under the mit license y"), (2, "apache license version 2"), (3, None)], "doc_id bigint, text string")
+    want = sorted(map(str, licenses.scan(d).collect()))
+    monkeypatch.setattr(licenses, "MOST_GRAMS", 3)
+    found = licenses.scan(d)
+    assert sorted(map(str, found.collect())) == want

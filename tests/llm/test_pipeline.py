@@ -51,6 +51,18 @@ def test_odd_documents(spark, sf, docs, empty):
             assert (rows.count() == 0) == empty
 
 
+def test_null_ids_and_no_benchmark(spark, tmp_path):
+    """Rows without an id, repeated rows and an empty benchmark: no clean text is lost, a copy is."""
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    a, b = "one clean text about nothing much at all " * 3, "quite another text that says something else entirely here"
+    rows = spark.createDataFrame([(None, a, "en", "s", 1), (None, b, "en", "s", 1), (5, b, "en", "s", 1), (5, b, "en", "s", 1), (6, None, None, None, None)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    rows = rows.filter("text is not null")
+    for name, stage in pipeline.STAGES[1:-1]:
+        rows = stage(spark, rows, str(tmp_path))
+        assert sorted((r.doc_id is None, r.text) for r in rows.collect()) == [(False, b), (True, a)], name
+    assert pipeline.STAGES[-1][1](spark, rows, str(tmp_path)).count() >= 2
+
+
 def test_run_equals_stages(spark, sf):
     out = pipeline.run(spark, sf)
     assert {"doc_id", "start", "length", "ids", "sequence_id", "offset"} <= set(out.columns)
