@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import threading
 import uuid
@@ -48,7 +49,9 @@ def ship(spark: SparkSession) -> None:
         if zipfile.is_zipfile(_PACKAGE.parent):  # already running from a shipped archive
             _shipped.add(app)
             return
-        out = os.path.join(tempfile.mkdtemp(prefix="kinetext-"), "kinetext_pkg.zip")
+        home = tempfile.mkdtemp(prefix="kinetext-")  # the driver serves the archive from here until it ends
+        atexit.register(shutil.rmtree, home, ignore_errors=True)
+        out = os.path.join(home, "kinetext_pkg.zip")
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             for p in sorted(_PACKAGE.rglob("*.py")):
                 z.write(p, p.relative_to(_PACKAGE.parent))
@@ -109,7 +112,14 @@ def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, tag)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table that ``materialize`` wrote; nothing may read it any more."""
+    _remove(df.sparkSession, df._written)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

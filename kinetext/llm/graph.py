@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetext.llm.common import materialize
+from kinetext.llm.common import discard, materialize
 
 
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large and small stars: each round links neighbours to the smallest neighbour, and about log(n) rounds leave
     stars around the smallest nodes. Minima are aggregated before the join, which may split hub nodes. Each round is
-    written to the shared folder. Links of a node to itself or with a null don't count.
+    written to the shared folder, and the one before it removed. Links of a node to itself or with a null don't count.
     """
     e = materialize(edges.filter("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     before = None
@@ -45,4 +45,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        old, e = e, materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(old)

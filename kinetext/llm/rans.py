@@ -233,7 +233,14 @@ def write_files(tokens: DataFrame, folder: str, t: Table, vocabulary: int, parti
             temp = f"{root}/tmp/{name}.{ctx.taskAttemptId()}"
             with where.open_output_stream(temp) as f:
                 f.write(data)
-            where.move(temp, f"{root}/{name}")
+            # an earlier attempt of this task may have left the file: the same bytes, unless it was cut short
+            there = where.get_file_info(f"{root}/{name}")
+            if there.type == fs.FileType.File and there.size == len(data):
+                where.delete_file(temp)
+            else:
+                if there.type == fs.FileType.File:
+                    where.delete_file(f"{root}/{name}")
+                where.move(temp, f"{root}/{name}")
             return batch(out, file=[name], part=[part], number=[number], n_docs=[len(keys)], n_tokens=[size], n_bytes=[len(data)])
 
         for b in batches:

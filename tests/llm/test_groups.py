@@ -1,5 +1,6 @@
 """Components, SimHash and the multi-index against brute force."""
 
+import os
 import random
 
 import numpy as np
@@ -35,6 +36,11 @@ def test_components(spark):
     want = closure(400, links)
     assert all(got.get(k, k) == want[k] for k in range(400))
     assert graph.components(df.limit(0)).count() == 0
+    from kinetext.llm.common import shared_dir
+
+    tables = lambda: len([x for x in os.listdir(shared_dir(spark).removeprefix("file:")) if x.startswith("links-")])
+    before = tables()
+    assert graph.components(df).count() > 0 and tables() == before + 1  # the last round's table stays
 
 
 def plain(text):

@@ -142,3 +142,16 @@ def test_queries(spark, sf):
         own = np.array(ids[r.doc_id] + [0], "<u4")
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(own), zlib.crc32(own.tobytes()))
         at += len(own)
+
+
+def test_second_attempt(spark, docs, texts, tmp_path):
+    """Files that an earlier attempt has left, whole or cut short, don't stop a task that runs again."""
+    folder = str(tmp_path / "corpus")
+    rows = lambda: sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in rans.read_files(spark, folder, with_ids=False).collect())
+    rans.write_corpus(docs, folder, public_path("byte_bpe_50k.json"))
+    want = rows()
+    file = next((tmp_path / "corpus").glob("*.ktx"))
+    for data in (file.read_bytes(), file.read_bytes()[:-7]):
+        file.write_bytes(data)
+        rans.write_corpus(docs, folder, public_path("byte_bpe_50k.json"))
+        assert rows() == want and len(want) == len(texts)
