@@ -21,7 +21,9 @@ LEAST_GRAMS, LEAST_EVIDENCE = 20, 0.1
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Trains on the labelled rows outside the held-out fold and rejects "und" and texts without evidence; null languages get the prediction."""
+    """Trains on the labelled rows outside the held-out fold and rejects "und" and texts without evidence; null languages get the prediction.
+    Null texts and texts without letters go; rows without an id are judged like any other and never trained on; repeated rows stay
+    or go together; other columns stay; an empty table stays empty."""
     model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))).select("lang", "text"))
     plain, back = aside(docs, "doc_id", "text", "lang")
     found = langid.identify(plain, model)
@@ -30,11 +32,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group; of repeated rows one, and a row without an id only where its group has no other.
+    Texts without words are copies of each other; columns of any names stay; an empty table stays empty."""
     return simhash.keep_one(docs, radius=2, k=5, threshold=0.8)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that lose words get the rest, joined by spaces, as their text and its length; others stay as they are."""
+    """Documents that lose words get the rest, joined by spaces, as their text and its length; others stay as they are, also those with
+    null or empty texts. Rows without an id and repeated rows repeat each other's windows; other columns stay."""
     plain, back = aside(docs, "doc_id", "text", "n_chars")
     found = substrings.remove_repeats(plain)
     cut = F.col("n_removed") > 0
@@ -44,11 +49,17 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.alias("d").join(leaks.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")), "left_anti")
+    """Drops rows whose text leaks an item, judged row by row (by doc_id and text), so that a row without an id doesn't take others along.
+    Null and empty texts leak nothing; repeated rows stay or go together; other columns stay; an empty benchmark drops nothing."""
+    plain, back = aside(docs, "doc_id", "text")
+    rows = plain.withColumn("_key", simhash.row_key())
+    leaks = decontaminate.find_leaks(rows.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_key")).distinct()
+    return back(rows.join(leaks, "_key", "left_anti"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece; null and empty texts hold the end id only, repeated rows and rows without an id are packed like any other,
+    other columns are dropped; an empty table gives no rows."""
     return packing.pack(docs, public_path("word_bpe_49k.json"))
 
 
