@@ -63,6 +63,15 @@ def test_classify(spark):
     assert none.error == "No valid category exemplars provided"
 
 
+def test_many_categories(spark, monkeypatch):
+    """More categories than a broadcast may hold give the same answers, in several passes."""
+    cats = spark.createDataFrame([(f"c{k}", k, [float(k % 4), 1.0, float(k)]) for k in range(23)], "category string, ordinal int, e array<double>")
+    d = spark.createDataFrame([(k, [float(k), 2.0, 1.0]) for k in range(9)], "doc_id bigint, e array<double>")
+    want = sorted(map(str, classify.nearest(d, cats).collect()))
+    monkeypatch.setattr(classify, "MOST_CATEGORIES", 5)
+    assert sorted(map(str, classify.nearest(d, cats).collect())) == want
+
+
 def test_compare(spark):
     p = spark.createDataFrame([(1, "A b. C d. E f. G.", "A b. C d. E f. G."), (2, "", "x"), (3, "x. y.", None), (4, "One.", "A. B.")], "pair_id int, golden_text string, synthetic_text string")
     r = {x.pair_id: x for x in api.compare_trajectories(p, HashBackend()).collect()}
