@@ -63,6 +63,16 @@ def test_null_ids_and_no_benchmark(spark, tmp_path):
     assert pipeline.STAGES[-1][1](spark, rows, str(tmp_path)).count() >= 2
 
 
+def test_leaks_without_ids(spark, tmp_path):
+    """A leak without an id goes, a clean text without one stays."""
+    item = "what is the name of the river that runs through the old town and where does it end"
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = "nothing of the kind is said in these few words about the weather"
+    rows = spark.createDataFrame([(None, f"so {item} then", 1), (None, clean, 2), (None, None, 3), (4, item.upper(), 4), (4, clean, 5)], "doc_id bigint, text string, _key int")
+    out = pipeline.benchmarks(spark, rows, str(tmp_path))
+    assert out.columns == rows.columns and sorted(r._key for r in out.collect()) == [2, 3, 5]
+
+
 def test_run_equals_stages(spark, sf):
     out = pipeline.run(spark, sf)
     assert {"doc_id", "start", "length", "ids", "sequence_id", "offset"} <= set(out.columns)
