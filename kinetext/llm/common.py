@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -126,10 +127,36 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = ROWS) -> DataFrame:
-    """``mapInArrow`` with batches of at most ``rows`` rows (0: as they come)."""
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = ROWS, keep: bool = False) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``rows`` rows (0: as they come).
+
+    Workers live on from stage to stage: each task first gives back what earlier ones have left, unless it is to ``keep`` their caches.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow((lambda batches: fn(_short(batches, rows))) if rows else fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep:
+            relieve()
+        yield from fn(_short(batches, rows) if rows else batches)
+        if not keep:
+            relieve()
+
+    return df.mapInArrow(run, schema)
+
+
+#: Caches of a worker, by purpose.
+caches: dict[tuple, dict] = {}
+
+
+def relieve() -> None:
+    """Empties the worker's caches and gives freed memory back to the system."""
+    caches.clear()
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass
 
 
 def _short(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:

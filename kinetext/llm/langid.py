@@ -27,7 +27,7 @@ MOST_LANGS, LEAST_SLOTS, MOST_SLOTS, PIECE, HASHES = 512, 1 << 16, 1 << 22, 1 <<
 #: An n-gram is kept from so many occurrences on, and from such a share on: a language keeps at most 1 / MIN_RATE of them.
 MIN_COUNT, MIN_RATE, DOMINANCE = 3, 1e-6, 0.5
 #: Counts that a task holds before it sends them on, and keys that measure the rate of false positives.
-HELD, PROBES = 2_000_000, 1 << 17
+HELD, PROBES = 1_000_000, 1 << 17
 
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -50,7 +50,7 @@ def gram_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return key[good][: int(per.sum())], per
 
 
-def _rows(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _rows(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Runs of rows of about ``most`` characters."""
     start, size = 0, 0
     for i, t in enumerate(column):

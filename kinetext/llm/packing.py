@@ -148,7 +148,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...
         if rows:
             yield batch(_ARROW, **dict(zip(_ARROW.names, map(list, zip(*rows, strict=True)), strict=True)))
 
-    return map_arrow(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), run, SCHEMA)
+    return map_arrow(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), run, SCHEMA, keep=True)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinetext.llm.common import batch, map_arrow, materialize, new_path, qualified, table
-from kinetext.llm.tokens import PieceEncoder, forget, load, public_path
+from kinetext.llm.tokens import PieceEncoder, load, public_path
 
 MAGIC, VERSION = b"KTXRANS1", 1
 LOW = np.uint64(1 << 31)
@@ -184,7 +184,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "do
                 yield batch(out, doc_id=part.column(0), n_tokens=[len(g) // len(end) for g in got], ids=got)
         yield batch(out, doc_id=[None], n_tokens=[-1], ids=[total.tobytes()])
 
-    return map_arrow(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id bigint, n_tokens bigint, ids binary")
+    return map_arrow(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id bigint, n_tokens bigint, ids binary", keep=True)
 
 
 def count_ids(tokens: DataFrame, vocabulary: int) -> np.ndarray:
@@ -192,7 +192,6 @@ def count_ids(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     out = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
             for v in b.column(0):
@@ -218,7 +217,6 @@ def write_files(tokens: DataFrame, folder: str, t: Table, vocabulary: int, parti
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        forget()
         where, root = fs.FileSystem.from_uri(folder)
         coder, ctx = Table(freq, bits), TaskContext.get()
         part, number = ctx.partitionId(), 0

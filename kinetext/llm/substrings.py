@@ -27,7 +27,7 @@ from kinetext.llm.common import SECOND_BASE, aside, gram_hashes, key_of, map_arr
 
 WIDTH, ANCHOR = 35, 18
 #: Entries that a task holds before it sends them on, and bytes of text in a bucket of documents.
-HELD, BUCKET = 2_000_000, 1 << 23
+HELD, BUCKET = 1_000_000, 1 << 23
 
 
 class Words:

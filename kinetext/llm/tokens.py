@@ -8,21 +8,10 @@ from functools import lru_cache
 
 import numpy as np
 
+from kinetext.llm.common import caches
+
 #: Pieces kept per Python worker before the cache starts anew (about 200 bytes each).
 CACHE = 900_000
-_caches: dict[tuple, dict] = {}
-
-
-def forget() -> None:
-    """Gives the memory of a worker's piece caches back, before a stage that doesn't tokenise."""
-    if _caches:
-        import ctypes
-
-        _caches.clear()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except OSError:
-            pass
 
 
 def public_path(name: str) -> str:
@@ -91,7 +80,7 @@ class PieceEncoder:
     def __init__(self, path: str, kind: str, width: str = "<u4", most: int = CACHE):
         self.most = most
         self.path, self.tok, self.kind, self.width = path, load(path), kind, width
-        self.kept = _caches.setdefault((path, kind, width), {})
+        self.kept = caches.setdefault((path, kind, width), {})
         if not self.kept:
             self._empty()
 
