@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetext.llm.common import batch, map_arrow, table
-from kinetext.llm.tokens import PieceEncoder, public_path
+from kinetext.llm.tokens import CACHE, PieceEncoder, public_path
 
 TIERS = (2048, 1024, 512, 256)
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, window int, step_group bigint, step_cost bigint"
@@ -106,16 +106,16 @@ def step_groups(windows: list[tuple[int, list[tuple[int, int, int]]]], step_toke
     return groups, cost
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, step_tokens: int = 65536, group_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, step_tokens: int = 65536, group_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", pieces: int = CACHE) -> DataFrame:
     """One row per piece: document, start, length, token ids (little-endian uint32), sequence, offset, window and step group.
 
     Null texts are empty (one end id); a null ``doc_id`` stays null; repeated rows are packed once each; other columns are
     dropped first, so their names can't clash; an empty table gives no rows. Ties between items of one length are
-    taken last in, first out.
+    taken last in, first out. A worker keeps about ``pieces`` encoded pieces of text (200 bytes each); fewer only cost time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = PieceEncoder(tokenizer, "word")
+        enc = PieceEncoder(tokenizer, "word", most=pieces)
         end = np.asarray([end_id], "<u4").tobytes()
         counter = [TaskContext.get().partitionId() << 36, TaskContext.get().partitionId() << 36]
         ids, held, total = [], [], 0
