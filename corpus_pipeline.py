@@ -18,6 +18,8 @@ from kinetext.llm.tokens import public_path
 
 #: A text of at least so many n-grams of which a smaller share belongs to its best language is in no known language.
 LEAST_GRAMS, LEAST_EVIDENCE = 20, 0.1
+#: Encoded pieces that a worker keeps: other stages have used its memory before.
+PIECES = 400_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +62,7 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece; null and empty texts hold the end id only, repeated rows and rows without an id are packed like any other,
     other columns are dropped; an empty table gives no rows."""
-    return packing.pack(docs, public_path("word_bpe_49k.json"))
+    return packing.pack(docs, public_path("word_bpe_49k.json"), pieces=PIECES)
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("passages", passages), ("benchmarks", benchmarks), ("packing", pack)]
