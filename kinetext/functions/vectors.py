@@ -1,7 +1,11 @@
-"""Vector math on ``array<double>`` columns, by higher-order functions."""
+"""Vector math on ``array<double>`` columns, by higher-order functions; what is quadratic in two profiles goes through numpy."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,15 +106,29 @@ def dtw(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), inf).otherwise(total)
 
 
-def greedy_match(a: Column, b: Column) -> Column:
-    """Sum over ``a``, in its order, of the distance to the nearest value of ``b`` not yet taken, if under 1; else 1."""
-    state = F.struct(F.lit(0.0).alias("t"), F.array().cast("array<int>").alias("used"))
+def _row_by_row(f: Callable[[np.ndarray, np.ndarray], float], a: Column, b: Column) -> Column:
+    """``f`` of both arrays of each row; ``f`` is a nested function, so that workers need no module of this package."""
+    @F.arrow_udf("double")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        of = lambda v: v.values.to_numpy(zero_copy_only=False).astype(float)
+        return pa.array([f(of(p), of(q)) if p.is_valid and q.is_valid else None for p, q in zip(x, y)], pa.float64())
 
-    def step(s: Column, p: Column) -> Column:
-        near = F.aggregate(
-            F.sequence(F.lit(0), F.size(b) - 1), F.struct(F.lit(1.0).alias("d"), F.lit(-1).alias("j")),
-            lambda m, j: F.when(~F.array_contains(s["used"], j) & (F.abs(p - F.get(b, j)) < m["d"]), F.struct(F.abs(p - F.get(b, j)).alias("d"), j.alias("j"))).otherwise(m),
-        )
-        return F.get(F.transform(F.array(near), lambda m: F.struct((s["t"] + m["d"]).alias("t"), F.when(m["j"] >= 0, F.array_append(s["used"], m["j"])).otherwise(s["used"]).alias("used"))), 0)
+    return run(a, b)
 
-    return F.aggregate(a, state, step, lambda s: s["t"])
+
+def greedy_match(a: Column, b: Column) -> Column:
+    """Sum over ``a``, in its order, of the distance to the nearest value of ``b`` not yet taken (the first of equally near ones), if under 1; else 1."""
+    def match(a, b):
+        total, free = 0.0, np.where(np.isnan(b), np.inf, b)  # what is taken goes infinitely far
+        if not len(free):
+            return float(len(a))
+        far = np.empty_like(free)
+        for p in a:
+            j = int(np.abs(np.subtract(p, free, out=far), out=far).argmin())
+            if far[j] < 1:
+                total, free[j] = total + float(far[j]), np.inf
+            else:
+                total += 1.0
+        return total
+
+    return _row_by_row(match, a, b)

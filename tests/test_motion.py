@@ -175,3 +175,21 @@ def test_projections(spark):
 def test_empty(spark):
     none = seq(spark).limit(0)
     assert scores.report(scores.measure(none)).count() == 0 and km.smooth(none, 3).count() == 0
+
+
+def test_greedy_match_of_long_profiles(spark):
+    """Thousands of places on both sides, with ties and gaps, against the definition: quadratic, not cubic."""
+    import time
+
+    rng = np.random.default_rng(7)
+    a, b = sorted(rng.integers(0, 3000, 6000) / 3000), sorted(rng.integers(0, 2500, 5500) / 2500)
+    want, free = 0.0, np.array(b)
+    for p in a:
+        j = int(np.abs(p - free).argmin())
+        d = abs(p - free[j])
+        want, free[j] = (want + d, np.inf) if d < 1 else (want + 1.0, free[j])
+    rows = [(0, [float(x) for x in a], [float(x) for x in b]), (1, [0.5, 0.5], []), (2, [], [0.5]), (3, None, [0.5]), (4, [5.0, 0.2], [0.1, 0.3])]
+    t0 = time.monotonic()
+    got = of(spark.createDataFrame(rows, "i int, a array<double>, b array<double>").select("i", vx.greedy_match(F.col("a"), F.col("b")).alias("g")), "i")
+    assert time.monotonic() - t0 < 60
+    assert got[0].g == float(want) and [got[i].g for i in (1, 2, 3)] == [2.0, 0.0, None] and abs(got[4].g - 1.1) < 1e-12
