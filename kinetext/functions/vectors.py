@@ -88,24 +88,6 @@ def resample(a: Column, length: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), length - 1), value)
 
 
-def dtw(a: Column, b: Column) -> Column:
-    """Dynamic time warping distance by absolute differences, over len(a) + len(b) - 1; infinite if either is empty.
-
-    The fold carries one row of the lattice, so memory is that of one profile.
-    """
-    inf = F.lit(float("inf"))
-    start = F.transform(F.sequence(F.lit(0), F.size(b)), lambda k: F.when(k == 0, 0.0).otherwise(inf))
-
-    def step(prev: Column, x: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(b)), F.array(inf),
-            lambda row, j: F.array_append(row, F.abs(x - F.get(b, j - 1)) + F.least(F.get(prev, j), F.get(row, j - 1), F.get(prev, j - 1))),
-        )
-
-    total = F.aggregate(a, start, step, lambda r: F.element_at(r, -1) / (F.size(a) + F.size(b) - 1))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), inf).otherwise(total)
-
-
 def _row_by_row(f: Callable[[np.ndarray, np.ndarray], float], a: Column, b: Column) -> Column:
     """``f`` of both arrays of each row; ``f`` is a nested function, so that workers need no module of this package."""
     @F.arrow_udf("double")
@@ -116,6 +98,38 @@ def _row_by_row(f: Callable[[np.ndarray, np.ndarray], float], a: Column, b: Colu
     return run(a, b)
 
 
+def dtw(a: Column, b: Column) -> Column:
+    """Dynamic time warping distance by absolute differences, over len(a) + len(b) - 1; infinite if either is empty.
+
+    Goes diagonal by diagonal, three of which are held, so memory is that of a few profiles.
+    """
+    def warp(a, b):
+        if len(a) > len(b):
+            a, b = b, a  # the cells are the same either way
+        n, m = len(a), len(b)
+        if not n:
+            return float("inf")
+        back = b[::-1].copy()
+        # of a diagonal, the cell in row i is at i; before the first row and column all is infinite but the start
+        older, old, new = (np.full(n + 1, np.inf) for _ in range(3))
+        older[0] = 0.0
+        cost, near = np.empty(n), np.empty(n)
+        for k in range(2, n + m + 1):
+            lo, hi = max(1, k - m), min(n, k - 1)
+            c, d = cost[: hi - lo + 1], near[: hi - lo + 1]
+            np.abs(np.subtract(a[lo - 1 : hi], back[m - k + lo : m - k + hi + 1], out=c), out=c)
+            np.fmin(old[lo : hi + 1], old[lo - 1 : hi], out=d)
+            np.fmin(d, older[lo - 1 : hi], out=d)
+            np.add(c, d, out=new[lo : hi + 1])
+            new[lo - 1] = np.inf
+            if hi < n:
+                new[hi + 1] = np.inf
+            older, old, new = old, new, older
+        return float(old[n]) / (n + m - 1)
+
+    return _row_by_row(warp, a, b)
+
+
 def greedy_match(a: Column, b: Column) -> Column:
     """Sum over ``a``, in its order, of the distance to the nearest value of ``b`` not yet taken (the first of equally near ones), if under 1; else 1."""
     def match(a, b):

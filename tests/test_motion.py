@@ -193,3 +193,23 @@ def test_greedy_match_of_long_profiles(spark):
     got = of(spark.createDataFrame(rows, "i int, a array<double>, b array<double>").select("i", vx.greedy_match(F.col("a"), F.col("b")).alias("g")), "i")
     assert time.monotonic() - t0 < 60
     assert got[0].g == float(want) and [got[i].g for i in (1, 2, 3)] == [2.0, 0.0, None] and abs(got[4].g - 1.1) < 1e-12
+
+
+def test_dtw_of_long_profiles(spark):
+    """Two profiles of thousands of values against the definition, to the last bit, also with the sides swapped; odd rows."""
+    import time
+
+    rng = np.random.default_rng(8)
+    a, b = rng.random(4000), rng.random(3100)
+    row = np.concatenate([[0.0], np.full(len(b), np.inf)])
+    for x in a:
+        up, row = row, [np.inf]
+        for d, p, q in zip(np.abs(x - b).tolist(), up[1:], up):
+            row.append(d + min(p, q, row[-1]))
+    want = float(row[-1]) / (len(a) + len(b) - 1)
+    a, b = a.tolist(), b.tolist()
+    rows = [(0, a, b), (1, b, a), (2, [], [1.0]), (3, [1.0], []), (4, None, [1.0]), (5, [1.0], [3.0, 1.0]), (6, [2.0] * 3, [2.0])]
+    t0 = time.monotonic()
+    got = of(spark.createDataFrame(rows, "i int, a array<double>, b array<double>").select("i", vx.dtw(F.col("a"), F.col("b")).alias("d")), "i")
+    assert time.monotonic() - t0 < 30
+    assert [got[i].d for i in range(7)] == [want, want, math.inf, math.inf, None, 1.0, 0.0]
