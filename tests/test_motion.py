@@ -213,3 +213,18 @@ def test_dtw_of_long_profiles(spark):
     got = of(spark.createDataFrame(rows, "i int, a array<double>, b array<double>").select("i", vx.dtw(F.col("a"), F.col("b")).alias("d")), "i")
     assert time.monotonic() - t0 < 30
     assert [got[i].d for i in range(7)] == [want, want, math.inf, math.inf, None, 1.0, 0.0]
+
+
+def test_compare_long_sequences(spark):
+    """A whole comparison of sequences of thousands of vectors, most of whose accelerations are spikes."""
+    import time
+
+    rng = np.random.default_rng(9)
+    known = compare.profile_of(seq(spark, G=rng.normal(size=(2500, 3)), S=rng.normal(size=(2200, 3))), 0.05).cache()
+    g, s = (of(known, "id")[k] for k in "GS")
+    assert g.n_spikes > 2000 and s.n_spikes > 2000
+    t0 = time.monotonic()
+    r = compare.compare(spark.createDataFrame([("G", "S")], "golden_id string, synthetic_id string"), known, known).first()
+    assert time.monotonic() - t0 < 30
+    assert r.acceleration_dtw == round(dtw(g.acc, s.acc), 4) and r.spike_count_match == round(min(g.n_spikes, s.n_spikes) / max(g.n_spikes, s.n_spikes), 4)
+    known.unpersist()
