@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetext.functions import text as tx
 from kinetext.functions import vectors as vx
+from kinetext.operators import blocks
 from kinetext.operators import kinematics as km
 
 
@@ -32,11 +34,20 @@ def spike_sentences(sentences: DataFrame, spikes: DataFrame, key: str = "doc_id"
     return t.join(at, [key, "_pos"]).select(key, "index", "magnitude", tx.preview(F.col("sentence"), chars).alias("label"))
 
 
-def similarity_matrix(seq: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, i, j, sim) for all pairs of a sequence, both triangles and the diagonal; quadratic in its length by nature."""
+def similarity_matrix(seq: DataFrame, key: str = "doc_id", digits: int | None = None) -> DataFrame:
+    """(key, i, j, sim) for all pairs of a sequence, both triangles and the diagonal, rounded to ``digits``; quadratic in its length by nature."""
     u = seq.select(key, "pos", vx.heatmap_unit(vx.double(F.col("e"))).alias("u"))
-    a, b = u.alias("a"), u.alias("b")
-    return a.join(b, key).select(key, F.col("a.pos").alias("i"), F.col("b.pos").alias("j"), vx.dot(F.col("a.u"), F.col("b.u")).alias("sim"))
+    name, pos = (seq.schema[c].dataType.simpleString() for c in (key, "pos"))
+
+    def pairs(k, a, b, sim, ok):
+        if digits is not None:
+            sim = np.trunc(sim * 10.0**digits + np.copysign(0.5, sim)) / 10.0**digits
+        n, m = sim.shape
+        i, j = a["pos"].take(pa.array(np.repeat(np.arange(n), m))), b["pos"].take(pa.array(np.tile(np.arange(m), n)))
+        sim = pa.array(sim.ravel(), mask=None if ok.all() else ~ok.ravel())
+        return pa.table([pa.repeat(k, n * m), i, j, sim], names=[key, "i", "j", "sim"])
+
+    return blocks.products(u, key, pairs, f"{key} {name}, i {pos}, j {pos}, sim double")
 
 
 def principal_components(seq: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -351,7 +351,7 @@ def classify_vectors(spark, d):
 
 @query(f"WITH {SEQ} SELECT a.doc_id, a.pos AS i, b.pos AS j, round(list_cosine_similarity(a.e, b.e), 4) + 0.0 AS sim FROM seq a JOIN seq b USING (doc_id)")
 def heatmap_pairs(spark, d):
-    return projection.similarity_matrix(vectors(spark, d)).select("doc_id", "i", "j", (F.round("sim", 4) + 0.0).alias("sim"))
+    return projection.similarity_matrix(vectors(spark, d), digits=4).select("doc_id", "i", "j", (F.col("sim") + 0.0).alias("sim"))
 
 
 @query(f"WITH {SEQ}, {MOTION} SELECT doc_id, round((p - 2) / (n - 3), 6) AS x, round(a, 6) AS y FROM mo WHERE a IS NOT NULL")

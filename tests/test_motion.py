@@ -228,3 +228,29 @@ def test_compare_long_sequences(spark):
     assert time.monotonic() - t0 < 30
     assert r.acceleration_dtw == round(dtw(g.acc, s.acc), 4) and r.spike_count_match == round(min(g.n_spikes, s.n_spikes) / max(g.n_spikes, s.n_spikes), 4)
     known.unpersist()
+
+
+def test_similarity_of_long_sequences(spark):
+    """Sequences of several blocks, against numpy: every pair is there, in time that numpy's products set."""
+    import time
+
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(2600, 64))
+    rows = spark.createDataFrame([(k, i, e.tolist()) for k in range(6) for i, e in enumerate(x)], "doc_id int, pos int, e array<double>").cache()
+    assert rows.count() == 6 * len(x)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = u @ u.T
+    t0 = time.monotonic()
+    m = of(projection.similarity_matrix(rows, digits=4).groupBy("doc_id").agg(F.count("sim").alias("n"), F.count_distinct("i").alias("d"), F.sum("sim").alias("s"), F.sum(F.when(F.col("i") < F.col("j"), F.col("sim") * F.col("i"))).alias("si")))
+    assert time.monotonic() - t0 < 40
+    assert len(m) == 6 and all(r.n == len(x) ** 2 and r.d == len(x) for r in m.values())
+    assert all(abs(r.s - np.round(want, 4).sum()) < 0.01 and abs(r.si - (np.triu(np.round(want, 4), 1) * np.arange(len(x))[:, None]).sum()) < 1 for r in m.values())
+
+
+def test_similarity_of_odd_vectors(spark):
+    """Null vectors, vectors that hold null, other lengths and zeros keep their rows; equal places and null keys."""
+    rows = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("a", 1, None), ("a", 2, [1.0, None]), ("a", 2, [0.6, 0.8]), ("a", 3, [0.0, 0.0]), ("a", 4, [1.0]), ("b", 0, [2.0]), (None, 0, [1.0])], "doc_id string, pos int, e array<double>")
+    got = [(r.doc_id, r.i, r.j, r.sim) for r in projection.similarity_matrix(rows, digits=4).collect()]
+    known = sorted(x for x in got if x[3] is not None)
+    assert len(got) == 37 and known == sorted([
+        ("a", 0, 0, 1.0), ("a", 0, 2, 0.6), ("a", 2, 0, 0.6), ("a", 2, 2, 1.0), ("a", 0, 3, 0.0), ("a", 3, 0, 0.0), ("a", 2, 3, 0.0), ("a", 3, 2, 0.0), ("a", 3, 3, 0.0), ("a", 4, 4, 1.0), ("b", 0, 0, 1.0)])
