@@ -7,11 +7,13 @@ row ever holds more than a chunk of them.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetext.functions import vectors as vx
 from kinetext.functions.vectors import clip01
+from kinetext.operators import blocks
 from kinetext.operators import kinematics as km
 
 #: Velocities that differ by less are equal, and a slope under it is flat: else the last bit of a sum would decide.
@@ -40,11 +42,17 @@ def pairwise_mean(seq: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def pairwise_mean_by_join(seq: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The same by its definition, a self join on the key; quadratic in a sequence's length, for checks."""
-    ok = seq.select(key, "pos", vx.double(F.col("e")).alias("e")).filter(vx.norm(F.col("e")) > vx.TINY)
-    a, b = ok.alias("a"), ok.alias("b")
-    pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.pos") < F.col("b.pos")))
-    return pairs.groupBy(F.col(f"a.{key}").alias(key)).agg(F.avg(vx.cosine_similarity(F.col("a.e"), F.col("b.e"))).alias("pairwise"))
+    """The same by its definition, the cosine of each pair, a block of a sequence joined with a block; quadratic in a sequence's length, for checks."""
+    rows = seq.select(key, "pos", vx.double(F.col("e")).alias("e")).filter((vx.norm(F.col("e")) > vx.TINY) & F.col("pos").isNotNull())
+    name = seq.schema[key].dataType.simpleString()
+
+    def pairs(k, a, b, cosines, ok):
+        p, q = (t["pos"].to_numpy() for t in (a, b))
+        ok = ok & (p[:, None] < q[None, :])
+        return pa.table([pa.array([k.as_py()], k.type), pa.array([float(cosines[ok].sum())]), pa.array([int(ok.sum())])], names=[key, "s", "m"])
+
+    sums = blocks.products(rows.select(key, "pos", _unit().alias("u")), key, pairs, f"{key} {name}, s double, m bigint", half=True)
+    return sums.groupBy(key).agg(F.sum("s").alias("s"), F.sum("m").alias("m")).filter("m > 0").select(key, (F.col("s") / F.col("m")).alias("pairwise"))
 
 
 def _rows(seq: DataFrame, threshold: float, key: str, keep: tuple[str, ...]) -> DataFrame:
