@@ -9,10 +9,15 @@ from kinetext.functions import text as tx
 from kinetext.functions import vectors as vx
 
 
+#: A drift that is less under a limit is at it: else the last bit of a sum would decide.
+EQUAL = 1e-12
+
+
 def interpretation(drift: Column) -> Column:
+    under = lambda limit: drift < limit - EQUAL
     return (
-        F.when(drift < 0.1, "Very similar (near-identical semantics)").when(drift < 0.3, "Similar (related semantics)").when(drift < 0.5, "Moderate drift (some semantic divergence)")
-        .when(drift < 0.7, "Significant drift (different semantics)").when(drift.isNotNull(), "High drift (unrelated or opposite semantics)")
+        F.when(under(0.1), "Very similar (near-identical semantics)").when(under(0.3), "Similar (related semantics)").when(under(0.5), "Moderate drift (some semantic divergence)")
+        .when(under(0.7), "Significant drift (different semantics)").when(drift.isNotNull(), "High drift (unrelated or opposite semantics)")
     )
 
 

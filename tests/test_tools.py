@@ -204,3 +204,20 @@ def test_streams(spark, tmp_path):
     assert sorted(r.n for r in spark.table("counts").collect()) == [1, 1]
     if old is not None:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+
+
+#: The counts of both pairs have scalar products 17 and 42 and squares 34, 34 and 98, 72: cosines of exactly a half.
+HALF = [
+    ("Inenre. Thedatin toanthhesh, from, tionti tiheha that anre blent for thedea thesinnd.\nStheea, ththerble orst, theaat ther of. As thesed the. Helyble inoner thanerth the, ernt.",
+     "Ontionen of estiing thin thblent ofthintion thtish anreen ouen anhare thst tiinst. Erble inedhe esennt rein is, hesttion. It st inges, re was esha the attian."),
+    ("Of, onanat and, reerntanhe rendat and from, ing ed ananoued thes to ou a, ntes eringre tion innd edwhnd thlyble wh ntat this to re. Inouat the thontier ofatntnd is ersttion a renting. A.\nTist.\nOn. Thhaoution erreesing. Oferststsh ating a st, is that whtion that.",
+     "A with anshing threwhin the onan ennden. Ndble lyly haheat thhatian from onan tiansh this ersttition. Thinwh onin this thties onorer is inator thtiontion thhe, ofenerly thndtionhe thed in eaingon edsh thbleat inou oueren thes and whesha oninges erertionble it heat that."),
+]
+
+
+def test_drift_at_a_limit(spark):
+    """A drift of exactly 0.5 isn't under 0.5, whatever the last bits of the sums say."""
+    rows = drift.between(spark.createDataFrame(HALF, "text_a string, text_b string"), HashBackend()).collect()
+    assert [(r.drift, r.interpretation) for r in rows] == [(0.5, "Significant drift (different semantics)")] * 2
+    limits = spark.createDataFrame([(x - y,) for x in (0.1, 0.3, 0.5, 0.7) for y in (0.0, 1e-16, 1e-9)], "z double").select(drift.interpretation(F.col("z")).alias("i")).collect()
+    assert [r.i.split(" (")[0] for r in limits] == ["Similar", "Similar", "Very similar", "Moderate drift", "Moderate drift", "Similar", "Significant drift", "Significant drift", "Moderate drift", "High drift", "High drift", "Significant drift"]
