@@ -221,3 +221,10 @@ def test_drift_at_a_limit(spark):
     assert [(r.drift, r.interpretation) for r in rows] == [(0.5, "Significant drift (different semantics)")] * 2
     limits = spark.createDataFrame([(x - y,) for x in (0.1, 0.3, 0.5, 0.7) for y in (0.0, 1e-16, 1e-9)], "z double").select(drift.interpretation(F.col("z")).alias("i")).collect()
     assert [r.i.split(" (")[0] for r in limits] == ["Similar", "Similar", "Very similar", "Moderate drift", "Moderate drift", "Similar", "Significant drift", "Significant drift", "Moderate drift", "High drift", "High drift", "Significant drift"]
+
+
+def test_bulk_drift_at_a_limit(spark):
+    """The same through JSON lines."""
+    lines = spark.createDataFrame([(i, json.dumps({"text_a": a, "text_b": b})) for i, (a, b) in enumerate(HALF)], "line bigint, value string")
+    out = drift.bulk(src.parse_lines(lines), HashBackend()).collect()
+    assert [(r.drift, r.interpretation) for r in out] == [(0.5, "Significant drift (different semantics)")] * 2
