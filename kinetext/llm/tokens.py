@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from functools import lru_cache
@@ -12,6 +13,8 @@ from kinetext.llm.common import caches
 
 #: Pieces kept per Python worker before the cache starts anew (about 200 bytes each).
 CACHE = 900_000
+#: Runs of letters that are merged as one pre-token where that changes nothing.
+RUNS = 32
 
 
 def public_path(name: str) -> str:
@@ -103,6 +106,15 @@ class PieceEncoder:
         return [first, *[" " + p for p in rest]]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
+        on = gc.isenabled()
+        gc.disable()  # nothing here makes cycles, and each collection walks through all pieces
+        try:
+            return self._encode_many(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode_many(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         numbers: list[np.ndarray] = []
         size = 0
@@ -185,12 +197,17 @@ class PieceEncoder:
                 got[p] = np.asarray(enc.ids, self.width).tobytes()
 
     def _merge(self, runs: list[str], got: dict[str, bytes]) -> None:
-        """Runs of letters, each one pre-token, joined by a mark that no merge touches and parted again at its id."""
+        """Runs of letters, joined by a mark that no merge touches and parted again at its id. Where the vocabulary treats the ends of a
+        pre-token like its middle, several runs make one, as merges on either side of a mark don't see each other; else each run is one."""
         bare, mark, mark_id = bare_tokenizer(self.path)
+        m = bare.model
+        many = 1 if m.end_of_word_suffix or m.continuing_subword_prefix or m.ignore_merges or m.dropout else RUNS
+        parting = f"\n{mark}\n" if many == 1 else f"{mark}\n"
         for a in range(0, len(runs), 4000):
             part = runs[a : a + 4000]
             shown = "\n".join(part).encode().decode("latin-1").translate(_SHOWN).split("\n")
-            ids = np.asarray(bare.encode_batch_fast([f"\n{mark}\n".join(shown)], add_special_tokens=False)[0].ids, self.width)
+            shown = shown if many == 1 else [mark.join(shown[b : b + many]) for b in range(0, len(shown), many)]
+            ids = np.asarray(bare.encode_batch_fast([parting.join(shown)], add_special_tokens=False)[0].ids, self.width)
             ends = np.append(np.flatnonzero(ids == mark_id), len(ids))
             size, data, at = ids.itemsize, ids.tobytes(), 0
             for p, end in zip(part, ends.tolist(), strict=True):

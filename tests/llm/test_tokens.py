@@ -155,3 +155,18 @@ def test_second_attempt(spark, docs, texts, tmp_path):
         file.write_bytes(data)
         rans.write_corpus(docs, folder, public_path("byte_bpe_50k.json"))
         assert rows() == want and len(want) == len(texts)
+
+
+@pytest.mark.parametrize(("name", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_many_runs_equal_whole(name, kind):
+    """Thousands of different words, merged many at a time, with accents, punctuation and line feeds, against the whole text at once."""
+    rng = np.random.default_rng(3)
+    letters = np.array(list("etaoinshrdlucmfwypvbgkjqxz" * 4 + "éèñüßçÄÖ日本жд"))
+    words = ["".join(rng.choice(letters, rng.integers(1, 15))) for _ in range(9000)]
+    text = " ".join(w + ("", ".", ",", "\nx", "?!")[i % 5] for i, w in enumerate(words))
+    enc = PieceEncoder(public_path(name), kind)
+    enc._empty()
+    assert np.frombuffer(enc.encode_many([text])[0], "<u4").tolist() == load(public_path(name)).encode(text, add_special_tokens=False).ids
+    import gc
+
+    assert gc.isenabled()
