@@ -44,19 +44,33 @@ def profile_of(seq: DataFrame, threshold: float = 0.3, key: str = "doc_id") -> D
     return m.select(F.col(key).alias("id"), "n", "acc", "deadpan_score", "heller_score", "isolation", F.col("n_spikes").cast("int").alias("n_spikes"), F.transform("spikes", lambda s: s["position_ratio"]).alias("places"))
 
 
+def _sides(pairs: DataFrame, golden: DataFrame, synthetic: DataFrame) -> DataFrame:
+    """(golden_id, synthetic_id, g, s, _copies): each distinct pair with both profiles, and how often ``pairs`` has it; pairs that lack one go."""
+    def of(known: DataFrame, *sides: str) -> DataFrame:
+        at = F.explode(F.array(*[F.struct(F.col(f"{x}_id").alias("id"), F.lit(x).alias("side")) for x in sides])).alias("x")
+        roles = pairs.select("golden_id", "synthetic_id", at).select("golden_id", "synthetic_id", "x.*")
+        return roles.join(known.select("id", F.struct("*").alias("x")), "id").drop("id")
+
+    rows = of(golden, "golden", "synthetic") if golden is synthetic else of(golden, "golden").unionByName(of(synthetic, "synthetic"))
+    # a fixed number of partitions: warping has nothing to do with the few bytes of two profiles, by which partitions would be merged
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "golden_id", "synthetic_id")
+    side = lambda x: F.when(F.col("side") == x, F.col("x"))
+    t = rows.groupBy("golden_id", "synthetic_id").agg(F.first(side("golden"), True).alias("g"), F.first(side("synthetic"), True).alias("s"), F.count(side("golden")).cast("int").alias("_copies"))
+    return t.filter("g is not null and s is not null")
+
+
 def compare(pairs: DataFrame, golden: DataFrame, synthetic: DataFrame) -> DataFrame:
     """For ``pairs`` (golden_id, synthetic_id) and the ``profile_of`` both sides: the seven components, fitness and summaries.
 
     Lower fitness is better; components are rounded before they enter it. Sides with under two sentences are an error.
+    Where both sides are the same table, it is computed once; both profiles of a pair meet by the pair.
     """
-    g = golden.select(F.col("id").alias("golden_id"), F.struct("*").alias("g"))
-    s = synthetic.select(F.col("id").alias("synthetic_id"), F.struct("*").alias("s"))
-    t = pairs.join(g, "golden_id").join(s, "synthetic_id")
+    t = _sides(pairs, golden, synthetic)
     ng, ns = F.col("g.n_spikes"), F.col("s.n_spikes")
     place = F.when((ng > 0) & (ns > 0), 1 - F.least(vx.greedy_match(F.col("g.places"), F.col("s.places")) / ng + 0.2 * F.abs(ng - ns), F.lit(1.0))).when((ng == 0) & (ns == 0), 1.0).otherwise(0.0)
     count = F.when(ng > 0, F.least(ng, ns) / F.greatest(ng, ns)).otherwise(F.when(ns == 0, 1.0).otherwise(0.0))
     t = t.select(
-        "golden_id", "synthetic_id", "g", "s", F.round("s.deadpan_score", 4).alias("synthetic_deadpan"), F.round("s.heller_score", 4).alias("synthetic_heller"), F.round("s.isolation", 4).alias("synthetic_mean_isolation"),
+        "golden_id", "synthetic_id", "g", "s", "_copies", F.round("s.deadpan_score", 4).alias("synthetic_deadpan"), F.round("s.heller_score", 4).alias("synthetic_heller"), F.round("s.isolation", 4).alias("synthetic_mean_isolation"),
         F.round(vx.dtw(F.col("g.acc"), F.col("s.acc")), 4).alias("acceleration_dtw"), F.round(correlation(F.col("g.acc"), F.col("s.acc")), 4).alias("acceleration_correlation"),
         F.round(place, 4).alias("spike_position_match"), F.round(count, 4).alias("spike_count_match"),
     )
@@ -69,6 +83,6 @@ def compare(pairs: DataFrame, golden: DataFrame, synthetic: DataFrame) -> DataFr
     summary = lambda x: F.struct(F.col(f"{x}.n").alias("n_sentences"), F.round(f"{x}.deadpan_score", 4).alias("deadpan_score"), F.round(f"{x}.heller_score", 4).alias("heller_score"), F.col(f"{x}.n_spikes").alias("n_spikes"))
     few = F.when(F.col("g.n") < 2, F.col("g.n")).when(F.col("s.n") < 2, F.col("s.n"))
     return t.select(
-        *[c for c in t.columns if c not in ("g", "s")], fitness_interpretation(F.col("fitness_score")).alias("interpretation"), summary("g").alias("reference_summary"), summary("s").alias("comparison_summary"),
-        F.when(few.isNotNull(), F.concat(F.lit("Need at least 2 sentences, got "), few.cast("string"))).alias("error"),
-    )
+        *[c for c in t.columns if c not in ("g", "s", "_copies")], fitness_interpretation(F.col("fitness_score")).alias("interpretation"), summary("g").alias("reference_summary"), summary("s").alias("comparison_summary"),
+        F.when(few.isNotNull(), F.concat(F.lit("Need at least 2 sentences, got "), few.cast("string"))).alias("error"), F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy"),
+    ).drop("_copy")

@@ -230,6 +230,23 @@ def test_compare_long_sequences(spark):
     known.unpersist()
 
 
+def test_compare_computes_a_side_once(spark):
+    """A table of profiles that is both sides is computed once, and each pair comes as often as it is asked for; unknown ones are left out."""
+    known = compare.profile_of(seq(spark, G=G, S=S, T=S[::-1]))
+    pairs = [("G", "S"), ("S", "T"), ("G", "S"), ("G", "G"), ("G", "?"), (None, "S")]
+    pairs = spark.createDataFrame(pairs, "golden_id string, synthetic_id string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for profiles of long sequences
+    out = compare.compare(pairs, known, known)
+    got = sorted(out.collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    windows = lambda df: df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Window [")
+    assert windows(out) == 4
+    assert [(r.golden_id, r.synthetic_id) for r in got] == [("G", "G"), ("G", "S"), ("G", "S"), ("S", "T")]
+    assert (got[0].acceleration_dtw, got[0].spike_position_match) == (0.0, 1.0) and got[1] == got[2] and got[1].fitness_score == 0.7292
+    assert sorted(compare.compare(pairs, known.filter("id != 'T'"), known).collect()) == got
+
+
 def test_similarity_of_long_sequences(spark):
     """Sequences of several blocks, against numpy: every pair is there, in time that numpy's products set."""
     import time
