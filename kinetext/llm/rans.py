@@ -177,11 +177,9 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "do
         enc = PieceEncoder(tokenizer, "byte", wide)
         end = np.asarray([end_id], wide).tobytes()
         for b in batches:
-            for a in range(0, b.num_rows, 500):
-                part = b.slice(a, 500)
-                got = [e + end for e in enc.encode_many([t or "" for t in part.column(1).to_pylist()])]
-                total += np.bincount(np.frombuffer(b"".join(got), wide), minlength=vocabulary)
-                yield batch(out, doc_id=part.column(0), n_tokens=[len(g) // len(end) for g in got], ids=got)
+            got = [e + end for e in enc.encode_column(b.column(1))]
+            total += np.bincount(np.frombuffer(b"".join(got), wide), minlength=vocabulary)
+            yield batch(out, doc_id=b.column(0), n_tokens=[len(g) // len(end) for g in got], ids=got)
         yield batch(out, doc_id=[None], n_tokens=[-1], ids=[total.tobytes()])
 
     return map_arrow(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id bigint, n_tokens bigint, ids binary", keep=True)

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import gc
 import os
-import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
-from kinetext.llm.common import caches
+from kinetext.llm.common import caches, runs_of_rows, texts_of
 
 #: Pieces kept per Python worker before the cache starts anew (about 200 bytes each).
 CACHE = 900_000
 #: Runs of letters that are merged as one pre-token where that changes nothing.
 RUNS = 32
+#: Bytes of text that are cut and numbered at a time for byte-level vocabularies.
+AT_ONCE = 4 << 20
 
 
 def public_path(name: str) -> str:
@@ -73,9 +76,8 @@ class PieceEncoder:
     """Gives the ids of a text as little-endian bytes, equal to encoding the whole text at once.
 
     ``kind`` "word" is for vocabularies whose pre-tokenizer drops white space: any space parts two independent pieces.
-    ``kind`` "byte" is for byte-level ones, where a token may start with a space: a cut before a single space or a
-    single line feed between two characters that are not white space is independent; a text with
-    longer runs of white space is cut at its single spaces only.
+    ``kind`` "byte" is for byte-level ones, whose texts are cut as UTF-8 bytes where ``_cuts`` says; Arrow's hash table finds
+    the distinct pieces of ``AT_ONCE`` bytes, so that only these are looked up one by one.
 
     A worker keeps the pieces that it has met (about ``most``) as numbers into one array of ids.
     """
@@ -93,23 +95,32 @@ class PieceEncoder:
         self.kept |= {"index": index, "ids": np.zeros(0, self.width), "starts": np.zeros(0, np.int64), "sizes": np.zeros(0, np.int32)}
 
     def pieces(self, text: str) -> list[str]:
-        if self.kind == "word":
-            try:  # lower-casing Latin-1 is what the tokenizer does to it; fewer distinct pieces
-                text.encode("latin-1")
-                text = text.lower()
-            except UnicodeEncodeError:
-                pass
-            return text.replace("\n", " ").split(" ")
-        if _plain(text):
-            return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-        first, *rest = _safe_cut.split(text)
-        return [first, *[" " + p for p in rest]]
+        try:  # lower-casing Latin-1 is what the tokenizer does to it; fewer distinct pieces
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+        return text.replace("\n", " ").split(" ")
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
+        return self._resting(self._encode_many, texts) if self.kind == "word" else self.encode_column(pa.array(texts, pa.large_string()))
+
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        """As ``encode_many``, of a column of strings; nulls are empty."""
+        if self.kind == "word":
+            return self.encode_many([t or "" for t in column.to_pylist()])
+        buf, off = texts_of(column)
+        out: list[bytes] = []
+        for i, j in runs_of_rows(off, AT_ONCE):
+            out += self._resting(self._encode_rows, buf[off[i] : off[j]], off[i : j + 1] - off[i])
+        return out
+
+    @staticmethod
+    def _resting(encode: Callable[..., list[bytes]], *args) -> list[bytes]:
         on = gc.isenabled()
         gc.disable()  # nothing here makes cycles, and each collection walks through all pieces
         try:
-            return self._encode_many(texts)
+            return encode(*args)
         finally:
             if on:
                 gc.enable()
@@ -133,6 +144,21 @@ class PieceEncoder:
                     get = self.kept["index"].__getitem__
         return out + self._flush(numbers)
 
+    def _encode_rows(self, raw: np.ndarray, off: np.ndarray) -> list[bytes]:
+        if not len(raw):
+            return [b""] * (len(off) - 1)
+        if len(self.kept["index"]) > self.most or len(self.kept["ids"]) > 16 * self.most:
+            self._empty()
+        at = _cuts(raw, off)
+        found = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(raw)]).dictionary_encode()
+        words = found.dictionary.to_pylist()
+        index = self.kept["index"]
+        number = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        if index.pending:
+            self._learn_bytes(index.pending)
+            index.pending = []
+        return self._ids(number, found.indices.to_numpy(), np.searchsorted(at, off))
+
     def _flush(self, numbers: list[np.ndarray]) -> list[bytes]:
         if not numbers:
             return []
@@ -141,51 +167,67 @@ class PieceEncoder:
             self._learn(index.pending)
             index.pending = []
         at = np.concatenate(numbers)
-        n = self.kept["sizes"][at]
+        return self._ids(at, slice(None), np.concatenate([[0], np.cumsum([len(x) for x in numbers])]))
+
+    def _ids(self, number: np.ndarray, which: np.ndarray | slice, parts: np.ndarray) -> list[bytes]:
+        """The ids of the pieces ``number[which]``, parted at the places ``parts`` among these."""
+        n = self.kept["sizes"][number][which]
         ends = np.cumsum(n, dtype=np.int64)
-        place = np.repeat((self.kept["starts"][at] - ends + n).astype(np.int32), n)
+        place = np.repeat((self.kept["starts"][number][which] - ends + n).astype(np.int32), n)
         place += np.arange(len(place), dtype=np.int32)
         data = self.kept["ids"][place].tobytes()
         width = self.kept["ids"].itemsize
-        first = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(x) for x in numbers])])] * width
+        first = np.concatenate([[0], ends])[parts] * width
         return [data[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encodes unknown pieces. Most are a run of letters, with a line feed before or punctuation behind it: each of these is parted
+        """Encodes unknown pieces. Most are a run of letters, with punctuation behind it: each of these is parted
         from the others by the pre-tokenizer, and here; the run goes straight to the vocabulary's merges, many at a time.
         All other pieces take the whole way."""
-        lead = 0 if self.kind == "word" else 1
         k, old = self.kept, len(self.kept["starts"])
-        width, have = k["ids"].itemsize, k["index"].get
+        have = k["index"].get
         got: dict[str, bytes] = {}
         cores: dict[str, None] = {}
         marks: dict[str, None] = {}
         parted, alone = [], []
         for p in pieces:
-            core = p.rstrip(".,!?;:")
-            tail = p[len(core) :]
-            head = ""
-            if lead and core[:1] == "\n":
-                head, core = "\n", core[1:]
-            run = core[1:] if lead and core[:1] == " " else core
-            if run.isalpha() and len(run) < 200 and (lead or run.islower() and (run.isascii() or max(run) < "\u0250")):
-                at = have(core, old) if head or tail else old
+            run = p.rstrip(".,!?;:")
+            tail = p[len(run) :]
+            if run.isalpha() and len(run) < 200 and run.islower() and (run.isascii() or max(run) < "\u0250"):
+                at = have(run, old) if tail else old
                 if at < old:
-                    got[core] = k["ids"][k["starts"][at] : k["starts"][at] + k["sizes"][at]].tobytes()
+                    got[run] = k["ids"][k["starts"][at] : k["starts"][at] + k["sizes"][at]].tobytes()
                 else:
-                    cores[core] = None
-                if head or tail:
-                    parted.append((p, head, core, tail))
-                    marks[tail] = marks[head] = None
+                    cores[run] = None
+                if tail:
+                    parted.append((p, run, tail))
+                    marks[tail] = None
             else:
                 alone.append(p)
         self._whole(alone, got)
         self._whole([m for m in marks if m not in got], got)
         self._merge(list(cores), got)
-        for p, head, core, tail in parted:
-            got[p] = got[head] + got[core] + got[tail]
-        new = [got[p] for p in pieces]
-        sizes = np.fromiter(map(len, new), np.int64, len(new)) // width
+        for p, run, tail in parted:
+            got[p] = got[run] + got[tail]
+        self._add([got[p] for p in pieces])
+
+    def _learn_bytes(self, pieces: list[bytes]) -> None:
+        """As ``_learn``: a run of letters, with a space before it or not, goes to the merges, all else takes the whole way."""
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        starts = np.cumsum(sizes) - sizes
+        other = _classes(raw) != _LETTER
+        other[starts[(raw[starts] == 32) & (sizes > 1)]] = False
+        run = (np.add.reduceat(other, starts, dtype=np.int64) == 0) & (sizes < 200)
+        texts = [p.decode() for p in pieces]
+        got: dict[str, bytes] = {}
+        self._whole([texts[k] for k in np.flatnonzero(~run).tolist()], got)
+        self._merge([texts[k] for k in np.flatnonzero(run).tolist()], got)
+        self._add([got[t] for t in texts])
+
+    def _add(self, new: list[bytes]) -> None:
+        k = self.kept
+        sizes = np.fromiter(map(len, new), np.int64, len(new)) // k["ids"].itemsize
         k["starts"] = np.concatenate([k["starts"], len(k["ids"]) + np.cumsum(sizes) - sizes])
         k["sizes"] = np.concatenate([k["sizes"], sizes.astype(np.int32)])
         k["ids"] = np.concatenate([k["ids"], np.frombuffer(b"".join(new), self.width)])
@@ -215,20 +257,46 @@ class PieceEncoder:
                 at = end + 1
 
 
-#: White space of Latin-1 beside space and line feed, and the character that marks cuts.
-_OTHER = bytes([0, 9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0])
-
-
-def _plain(text: str) -> bool:
-    """Whether all white space is single spaces and line feeds between other characters."""
-    if "  " in text or "\n " in text or "\n\n" in text or " \n" in text or text[0].isspace() or text[-1].isspace():
-        return False
-    try:
-        raw = text.encode("latin-1")
-    except UnicodeEncodeError:
-        return "\0" not in text and " ".join(text.split()) == text.replace("\n", " ")
-    return len(raw.translate(None, _OTHER)) == len(raw)
-
-
-#: A single space between two characters that are not white space.
-_safe_cut = re.compile(r"(?<=\S) (?=\S)")
+_SPACE, _LETTER, _DIGIT, _MARK, _UNSURE = range(5)
+#: What a byte of UTF-8 belongs to. Two bytes from C3 on are letters up to U+023F, but for two signs; what else isn't ASCII, and control
+#: characters, stay unsure.
+_CLASS = np.full(256, _UNSURE, np.uint8)
+_CLASS[33:127] = _MARK
+_CLASS[[32, 10]] = _SPACE
+_CLASS[48:58] = _DIGIT
+_CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xC9)]] = _LETTER
+
+
+def _classes(raw: np.ndarray) -> np.ndarray:
+    out = _CLASS[raw]
+    if raw.max() >= 0x80:
+        signs = np.flatnonzero(raw[:-1] == 0xC3)
+        signs = signs[(raw[signs + 1] == 0x97) | (raw[signs + 1] == 0xB7)]
+        out[signs] = out[signs + 1] = _UNSURE
+        lead = np.flatnonzero((out == _UNSURE) & (raw > 0xC0))  # the bytes that follow belong to it
+        for k, least in ((1, 0xC0), (2, 0xE0), (3, 0xF0)):
+            at = lead[raw[lead] >= least] + k
+            at = at[at < len(raw)]
+            out[at[raw[at] & 0xC0 == 0x80]] = _UNSURE
+    return out
+
+
+def _cuts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places where the byte-level pre-tokenizer parts texts, whatever stands before and behind; the texts' own bounds are among them.
+
+    Its pattern is ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``. Letters, digits, marks and white space
+    are parted from what follows if that is of another class, but for white space, which may lead a token, and an apostrophe before a letter.
+    A line feed alone between others is parted from both. No cut touches a character whose class is unsure.
+    """
+    kind = _classes(raw)
+    a, b = kind[:-1], kind[1:]
+    cut = np.ones(len(raw) + 1, bool)
+    inner = cut[1:-1]
+    np.not_equal(a, b, out=inner)
+    inner &= (a != _SPACE) & (a != _UNSURE) & (b != _UNSURE)
+    inner &= (raw[:-1] != 39) | (b != _LETTER)
+    alone = (raw[:-1] == 10) & (b != _SPACE) & (b != _UNSURE)
+    alone[1:] &= (kind[:-2] != _SPACE) & (kind[:-2] != _UNSURE)
+    inner |= alone
+    cut[starts] = True
+    return np.flatnonzero(cut)

@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -170,3 +171,23 @@ def test_many_runs_equal_whole(name, kind):
     import gc
 
     assert gc.isenabled()
+
+
+def test_few_pieces_for_many_words():
+    """A word with marks, digits or a line feed around it takes no encoding of its own; before, each such form was a piece."""
+    words = ["lo" * k + c + "é" for k in range(1, 9) for c in "bcdfghjklmnp"]
+    text = " ".join(w + m for m in (".", ",", "?!", ";", ":", ")", ".\nand", "7", "") for w in words)
+    enc = PieceEncoder(BYTE, "byte", "<u2")
+    enc._empty()
+    assert np.frombuffer(enc.encode_many([text])[0], "<u2").tolist() == whole(BYTE, [text])[0]
+    assert len(enc.kept["sizes"]) < len(words) + 20
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="abSstdmé×÷ªßﬁǅʰ́ \x85\xa0\x1f\x7f\x00٣²½日🙂  \n\n\t\r''''.,-<|>7", max_size=40), max_size=6))
+def test_cuts(texts):
+    """Cuts of bytes at every mixture of letters, apostrophes, signs and white space, over a column with nulls and an offset."""
+    column = pa.array(["cut off", *texts, None, *texts]).slice(1)
+    got = [np.frombuffer(b, "<u4").tolist() for b in PieceEncoder(BYTE, "byte").encode_column(column)]
+    want = whole(BYTE, texts)
+    assert got == [*want, [], *want]
