@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 from kinetext.llm.common import caches, runs_of_rows, texts_of
+from kinetext.llm.merges import LONGEST, SHOWN, merges_of
 
 #: Pieces kept per Python worker before the cache starts anew (about 200 bytes each).
 CACHE = 900_000
@@ -36,9 +37,8 @@ def load(path: str):
     return t
 
 
-#: How byte-level vocabularies show bytes: printable ones as themselves, the others from U+0100 on; line feeds stay, to part runs.
-_SHOWN = {b: (chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else None) for b in range(256)}
-_SHOWN |= {b: chr(256 + k) for k, b in enumerate(b for b, c in list(_SHOWN.items()) if c is None)} | {10: "\n"}
+#: Line feeds stay, to part runs.
+_SHOWN = SHOWN | {10: "\n"}
 
 
 @lru_cache(maxsize=8)
@@ -212,25 +212,36 @@ class PieceEncoder:
         self._add([got[p] for p in pieces])
 
     def _learn_bytes(self, pieces: list[bytes]) -> None:
-        """As ``_learn``: a run of letters, with a space before it or not, goes to the merges, all else takes the whole way."""
+        """As ``_learn``: short runs of letters, with a space before them or not, are merged side by side, all else takes the whole way."""
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         starts = np.cumsum(sizes) - sizes
         other = _classes(raw) != _LETTER
         other[starts[(raw[starts] == 32) & (sizes > 1)]] = False
-        run = (np.add.reduceat(other, starts, dtype=np.int64) == 0) & (sizes < 200)
-        texts = [p.decode() for p in pieces]
+        merges = merges_of(self.path)
+        run = (np.add.reduceat(other, starts, dtype=np.int64) == 0) & (sizes <= LONGEST) & (merges is not None)
+        rest, own = np.flatnonzero(~run), np.flatnonzero(run)
+        texts = [pieces[k].decode() for k in rest.tolist()]
         got: dict[str, bytes] = {}
-        self._whole([texts[k] for k in np.flatnonzero(~run).tolist()], got)
-        self._merge([texts[k] for k in np.flatnonzero(run).tolist()], got)
-        self._add([got[t] for t in texts])
-
-    def _add(self, new: list[bytes]) -> None:
+        self._whole(texts, got)
+        if not len(own):
+            self._add([got[t] for t in texts])
+            return
+        order, n, ids = merges.ids(raw, starts[own], sizes[own])
+        places = np.argsort(np.concatenate([rest, own[order]]))
+        self._add([got[t] for t in texts], n, ids, places)
+
+    def _add(self, new: list[bytes], n: np.ndarray | None = None, ids: np.ndarray | None = None, places: np.ndarray | slice = slice(None)) -> None:
+        """Appends the ids of new pieces, those of ``new`` and then the ``n`` each of ``ids``; ``places``: where the pieces are among these."""
         k = self.kept
         sizes = np.fromiter(map(len, new), np.int64, len(new)) // k["ids"].itemsize
-        k["starts"] = np.concatenate([k["starts"], len(k["ids"]) + np.cumsum(sizes) - sizes])
-        k["sizes"] = np.concatenate([k["sizes"], sizes.astype(np.int32)])
-        k["ids"] = np.concatenate([k["ids"], np.frombuffer(b"".join(new), self.width)])
+        parts = [k["ids"], np.frombuffer(b"".join(new), self.width)]
+        if n is not None:
+            sizes = np.concatenate([sizes, n])
+            parts.append(ids.astype(self.width))
+        k["starts"] = np.concatenate([k["starts"], (len(k["ids"]) + np.cumsum(sizes) - sizes)[places]])
+        k["sizes"] = np.concatenate([k["sizes"], sizes[places].astype(np.int32)])
+        k["ids"] = np.concatenate(parts)
 
     def _whole(self, pieces: list[str], got: dict[str, bytes]) -> None:
         for a in range(0, len(pieces), 20000):

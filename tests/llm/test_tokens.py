@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kinetext.llm import packing, rans
 from kinetext.llm.common import new_path
+from kinetext.llm.merges import LONGEST, Merges, merges_of
 from kinetext.llm.tokens import PieceEncoder, load, public_path
 
 WORD, BYTE = public_path("word_bpe_49k.json"), public_path("byte_bpe_50k.json")
@@ -191,3 +192,24 @@ def test_cuts(texts):
     got = [np.frombuffer(b, "<u4").tolist() for b in PieceEncoder(BYTE, "byte").encode_column(column)]
     want = whole(BYTE, texts)
     assert got == [*want, [], *want]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="aaehintsTé日", min_size=1, max_size=LONGEST // 3), min_size=1, max_size=40))
+def test_merges_side_by_side(words):
+    """Runs of letters, repeated ones too, merged in numpy against the library."""
+    raw = [w.encode() for w in words]
+    sizes = np.array(list(map(len, raw)))
+    order, n, ids = merges_of(BYTE).ids(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes, sizes)
+    got = dict(zip(order.tolist(), np.split(ids, np.cumsum(n)[:-1]), strict=True))
+    assert [got[k].tolist() for k in range(len(words))] == whole(BYTE, words)
+
+
+def test_merges_by_hand():
+    """Pairs by rank, the leftmost first; a vocabulary whose tokens end or go on differently isn't merged so."""
+    m = Merges(np.array([[98, 99], [97, 97], [256, 257], [97, 256]]), np.array([256, 257, 258, 259]), np.arange(256))
+    raw = b"aaabcbcaabca"
+    order, n, ids = m.ids(np.frombuffer(raw + b"a" * 32, np.uint8), np.array([0, 12]), np.array([12, 32]))
+    assert (order.tolist(), n.tolist()) == ([0, 1], [5, 16])
+    assert ids.tolist() == [257, 259, 258, 256, 97] + [257] * 16
+    assert merges_of(WORD) is None
