@@ -26,7 +26,7 @@ class Merges:
         self.keys = np.append(keys, np.uint32(0xFFFFFFFF))
         self.factors = [np.uint32(2654435769), np.uint32(1)]
         rng = np.random.default_rng(1)
-        for k in range(20_000):  # tables of twice the size after each 2000 tries
+        for k in range(8_000):  # tables of twice the size after each 2000 tries
             self.shift = np.uint32(max(2, 32 - max(n * 8, 2).bit_length() - k // 2000))
             if k % 2000 == 0:
                 _, first = np.unique(self._slot(keys, 0), return_index=True)

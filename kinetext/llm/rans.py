@@ -252,7 +252,8 @@ def write_files(tokens: DataFrame, folder: str, t: Table, vocabulary: int, parti
             yield flush()
 
     ranged = tokens.filter("n_tokens >= 0").select("doc_id", "ids").repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    return materialize(map_arrow(ranged, run, "file string, part bigint, number bigint, n_docs bigint, n_tokens bigint, n_bytes bigint"), "manifest")
+    written = map_arrow(ranged, run, "file string, part bigint, number bigint, n_docs bigint, n_tokens bigint, n_bytes bigint")
+    return materialize(written.repartition(partitions // 256 + 1), "manifest")  # a row per file: else as many tables' files as files
 
 
 def read_files(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:

@@ -213,3 +213,13 @@ def test_merges_by_hand():
     assert (order.tolist(), n.tolist()) == ([0, 1], [5, 16])
     assert ids.tolist() == [257, 259, 258, 256, 97] + [257] * 16
     assert merges_of(WORD) is None
+
+
+def test_small_manifest(spark, docs, texts):
+    """The manifest of many files is few files itself."""
+    folder = new_path(spark, "files")
+    tokens = rans.tokenize(docs, BYTE)
+    vocabulary = load(BYTE).get_vocab_size()
+    manifest = rans.write_files(tokens, folder, rans.Table.of_counts(np.ones(vocabulary, np.int64)), vocabulary, 7)
+    assert sum(r.n_docs for r in manifest.collect()) == len(texts) and manifest.count() > 3
+    assert len(manifest.inputFiles()) == 1
